@@ -1,0 +1 @@
+"""Spark-native interval, depth-segmentation and genotyping analytics, as DataFrame -> DataFrame operators."""
