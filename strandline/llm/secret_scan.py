@@ -303,5 +303,9 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rule"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("secrets", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["rule"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules) if r.plain]
+
+    def count(k: int):
+        return F.size(F.filter(base, lambda s: s["rule"] == k)).cast("long").alias(f"n_{rules[k].kind}")
+
+    counts = [count(k) for k, r in enumerate(rules) if r.plain]
     return found.select(id_col, *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))

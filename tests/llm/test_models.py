@@ -1,0 +1,219 @@
+import itertools
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strandline.llm import components, langid, quality, simhash
+from tests.llm.conftest import rows
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_fingerprint(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    own = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in own]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def brute_groups(pairs):
+    """(id, fingerprint) pairs: id's smallest reachable id; nulls largest."""
+    parent = list(range(len(pairs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(pairs)), 2):
+        if (pairs[i][1] ^ pairs[j][1]).bit_count() <= 2:
+            parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i, (name, _) in enumerate(pairs):
+        least[root(i)].append(name)
+    smallest = {r: min((n for n in names if n is not None), default=None) for r, names in least.items()}
+    return Counter((name, f"{fp:016x}", smallest[root(i)]) for i, (name, fp) in enumerate(pairs))
+
+
+def test_simhash(docs, empty):
+    pairs = [(r[0], brute_fingerprint(r[1])) for r in rows()]
+    want = brute_groups(pairs)
+    assert Counter(map(tuple, simhash.near_groups(docs).select("doc_id", "fingerprint", "component_id").collect())) == want
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({(c) for _, _, c in want})
+    assert simhash.near_groups(empty).count() == 0 == simhash.near_dedup(empty).count()
+
+
+@pytest.mark.parametrize("meet", [2, 4, 256])
+def test_links_either_way(spark, monkeypatch, meet):
+    """Few bits apart, many nodes on a key: pairs and cleared bits give the same components."""
+    monkeypatch.setattr(simhash, "MEET", meet)
+    r = np.random.default_rng(meet)
+    values = {0, (1 << 64) - 1}
+    for centre in r.integers(0, 1 << 63, 6, dtype=np.int64).tolist():
+        for _ in range(12):
+            x = centre
+            for bit in r.integers(0, 64, int(r.integers(0, 4))).tolist():
+                x ^= 1 << bit
+            values.add(x)
+    values = sorted(values)
+    nodes = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    roots = {x["node"]: x["root"] for x in components.components(simhash.links(nodes)).collect()}
+    got = defaultdict(set)
+    for v in values:
+        got[roots.get(simhash._signed(v), simhash._signed(v))].add(v)
+    want = brute_groups([(v, v) for v in values])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v for v, _, c in want if c == x) for x in {c for _, _, c in want})
+
+
+def test_components_of_long_chains(spark):
+    r = np.random.default_rng(2)
+    names = r.permutation(400).tolist()
+    edges = list(zip(names[:200], names[1:200])) + list(zip(names[200:], names[201:])) + [(5, 5)]
+    found = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    for part in (names[:200], names[200:]):
+        assert {found.get(n, n) for n in part} == {min(part)}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def brute_counts(text):
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    again = set()
+    for i in range(len(words) - 7):
+        if windows[tuple(words[i : i + 8])] > 1:
+            again.update(range(i, i + 8))
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    return len(words), sum(map(len, words)), symbols, dup, len(again)
+
+
+def test_quality_counts(docs, empty, spark):
+    field = quality.Field.trusting()
+    found = quality.judge(docs, field).collect()
+    want = Counter()
+    for r in rows():
+        n, chars, symbols, dup, again = brute_counts(r[1])
+        failed = n < 20 or 100 * again > 30 * n
+        want[r[0], n, chars, symbols, dup, again, failed, not failed] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in found) == want
+    assert quality.judge(empty, field).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.fit(docs, labels).emit.tolist() == field.emit.tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "\n", " ", "###", "É!", "\t"]), max_size=60))
+def test_counts_on_random_texts(parts):
+    text = "".join(parts)
+    got = quality.judged(text, quality.Field.trusting())
+    assert got[:5] == brute_counts(text)
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(4)
+    for n in range(1, 9):
+        field = quality.Field(r.normal(size=len(quality.FEATURES)), r.normal(size=(2, 2)), r.normal(size=2))
+        x = r.normal(size=(n, len(quality.FEATURES)))
+
+        def score(path, x=x, field=field):
+            return field.begin[path[0]] + sum(x[t] @ field.emit for t in range(len(path)) if path[t]) + sum(field.move[a, b] for a, b in zip(path, path[1:]))
+
+        best = max(itertools.product((0, 1), repeat=n), key=score)
+        assert score(tuple(field.decode(x))) == pytest.approx(score(best))
+
+
+def test_slope_is_the_gradient():
+    r = np.random.default_rng(9)
+    field = quality.Field(r.normal(size=len(quality.FEATURES)), r.normal(size=(2, 2)), r.normal(size=2))
+    x = r.normal(size=(2, 4, len(quality.FEATURES)))
+    there = np.array([[True] * 4, [True, True, False, False]])
+    y = np.array([1, 0])
+
+    def likelihood(f):
+        total = 0
+        for k in range(2):
+            n = there[k].sum()
+            value = lambda p: f.begin[p[0]] + sum(x[k, t] @ f.emit for t in range(n) if p[t]) + sum(f.move[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            total += value((y[k],) * n) - np.logaddexp.reduce([value(p) for p in itertools.product((0, 1), repeat=n)])
+        return total
+
+    for got, part in zip(field._slope(x, there, y), ("emit", "move", "begin")):
+        for at in np.ndindex(got.shape):
+            up, down = (quality.Field(field.emit.copy(), field.move.copy(), field.begin.copy()) for _ in range(2))
+            getattr(up, part)[at] += 1e-5
+            getattr(down, part)[at] -= 1e-5
+            assert (likelihood(up) - likelihood(down)) / 2e-5 == pytest.approx(got[at], abs=1e-5)
+
+
+def test_quality_separates_labels(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.judge(docs, quality.fit(docs, labels)).join(labels, "doc_id").collect()
+    good = [r for r in found if r["quality"] == 1 and not r["base_failed"]]
+    bad = [r for r in found if r["quality"] == 0]
+    assert sum(r["kept"] for r in good) >= 0.97 * len(good)
+    assert sum(r["kept"] for r in bad) <= 0.2 * len(bad)
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = langid.predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for r in found:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+    held = [r for r in found if r["held_out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+
+
+def test_language_odd_cases(docs, empty, spark):
+    found = langid.predict_languages(docs).collect()
+    assert len(found) == len(rows())
+    letters = Counter((r[0], bool(r[1]) and any(c.isalpha() for c in r[1])) for r in rows())
+    assert Counter((r["doc_id"], r["lang_pred"] != "und") for r in found) == letters
+    assert langid.predict_languages(empty).count() == 0
+    assert langid.known_language(docs).columns == docs.columns
+    unlabelled = docs.withColumn("lang", docs["source"].substr(100, 1).cast("string")).selectExpr("doc_id", "text", "cast(null AS string) AS lang")
+    assert {r["lang_pred"] for r in langid.predict_languages(unlabelled).collect()} == {"und"}
+
+
+def test_forward_sums_all_segmentations():
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba"])}
+    r = np.random.default_rng(0)
+    chance = r.random((len(pieces), 2))
+    table = langid._table(chance)
+
+    def brute(text):
+        if not text:
+            return np.ones(2)
+        total = np.zeros(2)
+        for n in range(1, len(text) + 1):
+            head = text[:n]
+            p = chance[pieces[head]] if head in pieces else np.full(2, langid.UNKNOWN) if n == 1 else np.zeros(2)
+            total = total + p * brute(text[n:])
+        return total
+
+    words = ["a", "ab", "abab", "baxab", "é", "abaab"]
+    assert np.exp(langid.word_scores(words, pieces, table)) == pytest.approx(np.array([brute("▁" + w) for w in words]))
+
+
+def test_cache_overflow(monkeypatch):
+    monkeypatch.setattr(langid, "CACHE", 40)
+    pieces = langid.vocabulary(langid.vocabulary_path())
+    table = langid._table(np.random.default_rng(1).random((len(pieces), 2)) / 1000)
+    texts = [" ".join(f"{a}{b}{c}" for a in "abc" for b in "def" for c in "ghiklm"[:n]) for n in range(1, 7)]
+    scorer = langid.Scorer(["x", "y"], table, pieces)
+    got = [scorer.total(langid.words_of(t)) for t in texts] + [scorer.total(langid.words_of(texts[0]))]
+    want = [langid.word_scores(langid.words_of(t), pieces, table).sum(axis=0) for t in (*texts, texts[0])]
+    assert np.array(got) == pytest.approx(np.array(want), rel=1e-4)

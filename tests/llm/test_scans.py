@@ -1,0 +1,96 @@
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strandline.llm import license_scan, secret_scan
+from tests.llm.conftest import rows
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+PLAIN = (("assign", ASSIGN, 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24))
+
+
+def base(text):
+    out = []
+    for k, (kind, rule, group, least) in enumerate(PLAIN):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in rule.finditer(text or "") if len(m[group]) >= least]
+    return [s for _, _, s in sorted(out)]
+
+
+def test_secrets(docs, empty):
+    found = secret_scan.digest(secret_scan.scan(docs)).collect()
+    want = Counter()
+    for r in rows():
+        spans = base(r[1])
+        counts = [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+        want[r[0], *counts, hashlib.sha256(",".join(spans).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found) == want
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in found) >= 6
+    assert any(r["spans"] == "assign:7:21" for r in found)  # behind a short value
+    assert secret_scan.scan(empty).count() == 0
+
+
+SCANNER = secret_scan.Scanner()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "SECRET", "api_key", "=", ":", " ", '"', "abc", "deadbeef", "0123456789", "AKIA", "ABCDEFGH", "é", "-----BEGIN ", "RSA PRIVATE KEY-----", "passwd", "f", "/"]), max_size=25))
+def test_scanner_on_random_texts(parts):
+    text = "".join(parts)
+    spans = SCANNER.spans(text)
+    kinds = [r.kind for r in secret_scan.RULES]
+    assert [f"{kinds[k]}:{a}:{b}" for k, a, b, is_base in spans if is_base] == base(text)
+    bits = secret_scan.accepted_rules(text.encode(), SCANNER.dfa)
+    for k, rule in enumerate(secret_scan.RULES):
+        assert bool(bits >> k & 1) == (re.search(rule.strict.encode(), text.encode()) is not None)
+
+
+@pytest.mark.parametrize("pattern", ["a(b|cd)*e?", "x{3,}y", "[^]a-c]?z"[0:0] + "[a-c]+z", "(ab|a)b+", r"\x20[-.]+q"])
+def test_automaton(pattern):
+    dfa = secret_scan.automaton((pattern, "zz"))
+    import itertools
+
+    for n in range(6):
+        for letters in itertools.product("abxyz ", repeat=n):
+            data = "".join(letters).encode()
+            bits = secret_scan.accepted_rules(data, dfa)
+            rule = re.compile(pattern.encode())
+            assert bool(bits & 1) == any(rule.fullmatch(data, i, j) is not None for i in range(n + 1) for j in range(i + 1, n + 1))
+
+
+def brute_licenses(text):
+    words = (text or "").encode().lower().translate(None, license_scan._PUNCTUATION).split()
+    own = [b" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+    out = {}
+    for name, template in license_scan.TEMPLATES.items():
+        t = template.encode().lower().translate(None, license_scan._PUNCTUATION).split()
+        want = {b" ".join(t[i : i + 5]) for i in range(len(t) - 4)}
+        hits = [(i, s) for i, s in enumerate(own) if s in want]
+        best = max((len({s for j, s in hits if i <= j < i + len(t)}) / len(want) for i, _ in hits), default=0)
+        if best >= 0.8:
+            out[name] = best
+    return out
+
+
+def test_licenses(docs, empty):
+    found = Counter((r["doc_id"], tuple(sorted(x["template"] for x in r["licenses"]))) for r in license_scan.scan(docs).collect())
+    assert found == Counter((r[0], tuple(sorted(brute_licenses(r[1])))) for r in rows())
+    assert sum(bool(k[1]) for k in found) == 3
+    assert license_scan.scan(empty).count() == 0
+
+
+def test_every_template_is_found_in_the_middle():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, template in license_scan.TEMPLATES.items():
+        for before in range(0, 40, 3):
+            text = " ".join(f"w{i}" for i in range(before)) + " " + template + " " + " ".join(f"v{i}" for i in range(50))
+            (hit,) = [x for x in scanner.scan(text) if x[0] == name]
+            assert hit[1] == 1.0 and hit[2] == before and hit[3] == before + len(template.encode().translate(None, license_scan._PUNCTUATION).split())
+
+
+def test_templates_need_five_words():
+    with pytest.raises(ValueError):
+        license_scan.Scanner({"short": "four words are few"})
