@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import sweep
+from .groups import per_group
 from .interval_join import point_join
 
 POOL_MARGIN, CLOSE, SIZE_RATIO = 100, 500, 0.01
@@ -22,17 +22,16 @@ def leader_pools(candidates: DataFrame, margin: int = 0, keys: tuple[str, ...] =
     placed = point_join(points, islands, "_pos", keys, bucket=10_000).select(*keys, "_s", "_e", "sample", "id", F.col("start").alias("island"))
     kinds = ", ".join(f"{k} long" for k in keys) + ", start long, end long, sample long, id long, pool long"
 
-    def pool(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_s", "_e", "sample", "id"], ignore_index=True)
-        pools, leader = [], None
-        for s, e, name in zip(frame["_s"], frame["_e"], frame["id"]):
+    def pool(island: list[dict]) -> list[tuple]:
+        out, leader = [], None
+        for r in island:
+            s, e = r["_s"], r["_e"]
             if leader is None or not (leader[0] - margin < e and s < leader[1] + margin):
-                leader = (s, e, name)
-            pools.append(leader[2])
-        out = frame[[*keys]].copy()
-        return out.assign(start=frame["_s"], end=frame["_e"], sample=frame["sample"], id=frame["id"], pool=pools)
+                leader = (s, e, r["id"])
+            out.append((*[r[k] for k in keys], s, e, r["sample"], r["id"], leader[2]))
+        return out
 
-    return placed.groupBy(*keys, "island").applyInPandas(pool, kinds)
+    return per_group(placed, [*keys, "island"], ["_s", "_e", "sample", "id"], pool, kinds)
 
 
 def merge_equal(pooled: DataFrame, same: list[str]) -> DataFrame:
@@ -51,28 +50,27 @@ def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO
     later ones that are close to it and whose samples it doesn't have. One pool is one group.
     """
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start", "end", "sample", "id"], ignore_index=True)
-        rows = frame.to_dict("records")
+    def merge(rows: list[dict]) -> list[tuple]:
         owner, samples = list(range(len(rows))), [{r["sample"]} for r in rows]
         for i, a in enumerate(rows):
             if owner[i] != i:
                 continue
             for j in range(i + 1, len(rows)):
                 b = rows[j]
+                if b["start"] - a["start"] > close:
+                    break
                 if owner[j] != j or samples[i] & samples[j]:
                     continue
-                near = abs(a["start"] - b["start"]) <= close and abs(a["end"] - b["end"]) <= close
-                if near and 2 * abs(a["size"] - b["size"]) <= ratio * (a["size"] + b["size"]):
+                if abs(a["end"] - b["end"]) <= close and 2 * abs(a["size"] - b["size"]) <= ratio * (a["size"] + b["size"]):
                     owner[j] = i
                     samples[i] |= samples[j]
         best: dict[int, dict] = {}
         for r, o in zip(rows, owner):
             if o not in best or (r["reads"], r["contig_length"]) > (best[o]["reads"], best[o]["contig_length"]):
                 best[o] = r
-        return pd.DataFrame({"id": frame["id"], "merged_id": [best[o]["id"] for o in owner]})
+        return [(r["id"], best[o]["id"]) for r, o in zip(rows, owner)]
 
-    return pooled.groupBy("pool").applyInPandas(merge, "id long, merged_id long")
+    return per_group(pooled, ["pool"], ["start", "end", "sample", "id"], merge, "id long, merged_id long")
 
 
 def merge_stats(merged: DataFrame) -> DataFrame:

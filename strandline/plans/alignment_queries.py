@@ -111,7 +111,7 @@ def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def large_insertions(spark: SparkSession, d: str) -> DataFrame:
-    ends = view(spark, d, "v_bpo").select(F.col("obs").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), F.col("dir2").alias("dir"))
+    ends = view(spark, d, "v_bpo").select(F.col("obs").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), (F.col("obs") % 2).alias("dir"))
     return cluster.large_insertions(ends)
 
 

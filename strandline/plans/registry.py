@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment_queries, call_queries, interval_queries
+from . import alignment_queries, call_queries, interval_queries, pipeline_queries
 
-MODULES = (interval_queries, alignment_queries, call_queries)
+MODULES = (interval_queries, alignment_queries, call_queries, pipeline_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
