@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar, variants
@@ -65,14 +65,15 @@ def read_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return evidence.read_neighbours(view(spark, d, "v_bpo").select("qname", "obs", F.col("start1").alias("read_pos")))
 
 
-_ENDS = [[F.col(f"{c}{i}") for c in ("chrom", "start", "end", "dir")] for i in (1, 2)]
+def _ends() -> list[list[Column]]:
+    return [[F.col(f"{c}{i}") for c in ("chrom", "start", "end", "dir")] for i in (1, 2)]
 
 
 def breakpoint_distance(spark: SparkSession, d: str) -> DataFrame:
     """Each observation against the same one shifted."""
-    moved = [[e[0], e[1] + F.col("inserted") * 9 - 100, e[2] + F.col("inserted") * 9 - 100, e[3]] for e in _ENDS]
+    moved = [[e[0], e[1] + F.col("inserted") * 9 - 100, e[2] + F.col("inserted") * 9 - 100, e[3]] for e in _ends()]
     moved[1] = [moved[1][0], moved[1][1] + F.col("evidence") * 30, moved[1][2] + F.col("evidence") * 30, moved[1][3]]
-    return view(spark, d, "v_bpo").select("obs", variants.breakpoint_distance(*_ENDS, *moved).alias("distance"))
+    return view(spark, d, "v_bpo").select("obs", variants.breakpoint_distance(*_ends(), *moved).alias("distance"))
 
 
 def breakpoint_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +96,7 @@ def consolidated_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def standard_breakpoints(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "v_bpo").withColumn("start2", F.col("start2") - 800).withColumn("end2", F.col("end2") - 800)
-    return b.select("obs", variants.needs_swap(*_ENDS[0], *_ENDS[1]).alias("swapped"))
+    return b.select("obs", variants.needs_swap(*[c for e in _ends() for c in e]).alias("swapped"))
 
 
 def breakpoint_types(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, prob
@@ -31,7 +31,8 @@ def point_in_interval(spark: SparkSession, d: str) -> DataFrame:
     return interval_join.point_join(points, view(spark, d, "v_region")).select("qname", "seg", "region_id")
 
 
-_PAIR = [F.col(c) for c in ("start1", "end1", "start2", "end2")]
+def _pair() -> list[Column]:
+    return [F.col(c) for c in ("start1", "end1", "start2", "end2")]
 
 
 def _bpo_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -42,16 +43,16 @@ _RANGES_SQL = ', r AS (SELECT obs, start1, start1 + 200 + inserted * 40 AS end1,
 
 
 def range_distance(spark: SparkSession, d: str) -> DataFrame:
-    return _bpo_ranges(spark, d).select("obs", intervals.distance(*_PAIR).alias("distance"), intervals.is_before(*_PAIR).alias("is_before"))
+    return _bpo_ranges(spark, d).select("obs", intervals.distance(*_pair()).alias("distance"), intervals.is_before(*_pair()).alias("is_before"))
 
 
 def reciprocal_overlap(spark: SparkSession, d: str) -> DataFrame:
-    shared = intervals.shared_range(*_PAIR)
-    return _bpo_ranges(spark, d).select("obs", F.round(intervals.reciprocal_overlap(*_PAIR), 6).alias("overlap"), shared[0].alias("shared_start"), shared[1].alias("shared_end"))
+    shared = intervals.shared_range(*_pair())
+    return _bpo_ranges(spark, d).select("obs", F.round(intervals.reciprocal_overlap(*_pair()), 6).alias("overlap"), shared[0].alias("shared_start"), shared[1].alias("shared_end"))
 
 
 def merged_range(spark: SparkSession, d: str) -> DataFrame:
-    low, high = intervals.merged(*_PAIR)
+    low, high = intervals.merged(*_pair())
     back = intervals.reverse(F.col("start1"), F.col("end1"), F.lit(200_000))
     return _bpo_ranges(spark, d).select("obs", low.alias("low"), high.alias("high"), intervals.centre(low, high).alias("centre"), back[0].alias("rev_start"), back[1].alias("rev_end"))
 
