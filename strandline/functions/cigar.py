@@ -160,3 +160,34 @@ def sam_bin(start: Column, end: Column) -> Column:
 def sequencing_position(pos: Column, length: Column, reverse: Column) -> Column:
     """A read position in the order of sequencing."""
     return F.when(reverse, length - 1 - pos).otherwise(pos)
+
+
+def clip_read_edges(runs: Column, left: Column, right: Column) -> Column:
+    """The alignment without the read's first ``left`` and last ``right`` bases, as soft clips; runs of no read base at an edge go."""
+    total = read_length(runs)
+    low, high = left, total - right
+
+    def part(r: Column) -> Column:
+        taken = F.greatest(F.least(r["read"] + r["len"], high) - F.greatest(r["read"], low), F.lit(0).cast("long"))
+        inside = (r["read"] > low) & (r["read"] < high)
+        return F.struct(r["op"].alias("op"), F.when(r["op"].isin(*READ_OPS), taken).when(inside, r["len"]).otherwise(0).cast("long").alias("len"))
+
+    kept = F.filter(F.transform(placed(runs, F.lit(0)), part), lambda r: (r["len"] > 0) & ~r["op"].isin("S", "H"))
+    s = lambda n: F.array(F.struct(F.lit("S").alias("op"), n.cast("long").alias("len")))
+    first, last = leading_soft(runs), trailing_soft(runs)
+    return compress(F.concat(s(F.greatest(left, first)), kept, s(F.greatest(right, last))))
+
+
+def leading_soft(runs: Column) -> Column:
+    return F.coalesce(F.when(F.try_element_at(runs, F.lit(1))["op"] == "S", F.try_element_at(runs, F.lit(1))["len"]), F.lit(0).cast("long"))
+
+
+def trailing_soft(runs: Column) -> Column:
+    return leading_soft(F.reverse(runs))
+
+
+def homology(seq: Column, at: Column, length: Column) -> Column:
+    """How many bases after a gap of ``length`` at ``at`` (from 0) of ``seq`` repeat the gap's own first bases."""
+    after, own = F.substring(seq, at + length + 1, F.length(seq)), F.substring(seq, at + 1, F.length(seq))
+    same = F.zip_with(F.split(after, ""), F.split(own, ""), lambda a, b: (a == b) & (a != ""))
+    return F.coalesce(F.nullif(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False), F.lit(0)) - 1, F.size(same)).cast("long")

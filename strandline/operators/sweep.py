@@ -125,3 +125,26 @@ def sessions(df: DataFrame, keys: Sequence[str], pos: str, gap: int) -> DataFram
 
     found = point_join(df, spans.select(*keys, F.col("cluster").alias("start"), F.col("_last").alias("end")), pos, tuple(keys), bucket=max(1000, 10 * gap))
     return found.withColumnRenamed("start", "cluster").drop("end")
+
+
+def last_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int) -> DataFrame:
+    """Adds ``history``: the last ``n`` values up to each row."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
+    return df.withColumn("history", F.collect_list(value).over(window))
+
+
+def scoring_depth_limit(haploid: DataFrame, factor: float = 12.0, most: int = 1000) -> DataFrame:
+    """haploid (sample, haploid): the depth above which variants aren't scored: (sample, max_depth)."""
+    return haploid.select("sample", F.least(F.floor(F.col("haploid") * factor), F.lit(most)).cast("long").alias("max_depth"))
+
+
+def over_limit(svs: DataFrame, over: DataFrame, margin: int = 50, key: str = "sv") -> DataFrame:
+    """svs (sample, chrom, start, end, key) that come within ``margin`` of their sample's regions of too much depth."""
+    from .interval_join import interval_semi
+
+    return interval_semi(svs, over, ["sample", key], by=("sample", "chrom"), margin=margin)
+
+
+def select_chroms(df: DataFrame, pattern: str = r"^(chr)?\d{1,2}$", column: str = "chrom") -> DataFrame:
+    """Rows of the chromosomes that match."""
+    return df.filter(F.col(column).cast("string").rlike(pattern))
