@@ -44,9 +44,11 @@ def vcf_lines(records: DataFrame, samples: list[str], formats: dict[str, str]) -
 
 def copy_number_summary(bases: DataFrame) -> DataFrame:
     """(sample, chrom, state, bases, is_mode): one JSON line a sample, chromosomes in order."""
-    by_chrom = bases.groupBy("sample", "chrom").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("state").cast("string").alias("k"), F.col("bases").alias("v"))))).alias("bases"), F.max(F.when(F.col("is_mode"), F.col("state"))).alias("most_common"))
-    per_sample = by_chrom.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("chrom", "most_common", "bases"))).alias("chroms"))
-    return per_sample.select(F.to_json(F.struct("sample", "chroms")).alias("value"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("state").cast("string").alias("k"), F.col("bases").alias("v"))))
+    by_chrom = bases.groupBy("sample", "chrom").agg(F.max(F.when(F.col("is_mode"), F.col("state"))).alias("most_common"), entries.alias("bases"))
+    chroms = F.sort_array(F.collect_list(F.struct("chrom", "most_common", "bases")))
+    named = F.transform(chroms, lambda c: F.struct(c["chrom"].alias("chrom"), c["most_common"].alias("most_common"), F.map_from_entries(c["bases"]).alias("bases")))
+    return by_chrom.groupBy("sample").agg(named.alias("chroms")).select(F.to_json(F.struct("sample", "chroms")).alias("value"))
 
 
 def supporting_reads(support: DataFrame) -> DataFrame:
@@ -60,6 +62,7 @@ def write_stage(tables: dict[str, DataFrame], folder: str, overwrite: bool = Fal
     """Writes each table as Parquet, then the marker that says all are there."""
     for name, df in tables.items():
         df.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{folder}/{name}")
+    # the marker comes last
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(n,) for n in tables], "stage_table string").coalesce(1).write.mode("overwrite").json(f"{folder}/complete")
 
