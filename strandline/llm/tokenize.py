@@ -1,23 +1,40 @@
 """Token ids of whole texts from the public tokenizer files, with a bounded cache of word pieces.
 
-A text made only of the characters in PLAIN (printable ASCII and Latin letters, spaces, line feeds) falls into chunks whose ids
-don't depend on their neighbours: both vocabularies split at white space before merging. The ids of different chunks are kept,
-as bytes, for the texts that follow; any other text is given to the tokenizer whole. Either way the ids are the library's own.
+Both vocabularies cut a text into words by a fixed pattern before they merge, so a word's ids don't depend on its neighbours. For a
+text made only of the characters in PLAIN (ASCII and Latin letters, spaces, line feeds; there the pattern's classes are plain
+sets), words are cut here, looked up, and only new ones are given to the tokenizer, many at a time. Any other text is given to
+it whole. Either way the ids are the library's own; tests compare both ways.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
-PLAIN = re.compile(r"[ \n!-~¡-ɏ]*")
+PLAIN = re.compile(r"[ \n!-~¡-įı-ſ]*")
 #: Chunks kept per worker; then the cache starts anew. About 100 MB.
-CACHE = 300_000
+CACHE = 500_000
 _loaded: dict[tuple[str, bool], TextEncoder] = {}
 
 
+def _class(kind: str) -> str:
+    """The plain characters of a general category."""
+    return "".join(c for c in map(chr, range(0x30, 0x180)) if unicodedata.category(c)[0] == kind)
+
+
+_L, _N = _class("L"), _class("N")
+#: The vocabularies' own word patterns (fixed values) over the plain characters.
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+SPACED_WORDS = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+BARE_WORDS = re.compile(rf"{_ENDINGS}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+_SPACED, _BARE = re.compile(rf" [{_L}]+"), re.compile(rf"[{_L}]+")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -25,7 +42,11 @@ def tokenizer_path(name: str) -> str:
 
 
 class TextEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+
+    ``keeps_space``: white space is part of the ids, and a word's first id holds its leading space; otherwise texts are
+    lower-cased, white space is dropped, and a word's last id marks its end.
+    """
 
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,7 +55,11 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
+        self.words, self.simple = (SPACED_WORDS, _SPACED) if keeps_space else (BARE_WORDS, _BARE)
         self.cache: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(names.values()) + 1, bool)
+        self.edge[[i for name, i in names.items() if (name.startswith("Ġ") if keeps_space else name.endswith("</w>"))]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -42,7 +67,7 @@ class TextEncoder:
 
     def _chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
-            return text.split()
+            return text.lower().split()
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         if not parts[0]:
             del parts[0]
@@ -57,28 +82,61 @@ class TextEncoder:
                 run = ""
         return [*out, run] if run else out
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the chunks, none of which is known, and the words in them into the cache."""
+        match = self.simple.fullmatch
+        simple = [c for c in chunks if match(c)]
+        cut = {c: self.words.findall(c) for c in chunks.difference(simple)}
+        new = set().union(*cut.values()).difference(self.cache, simple)
+        simple += [w for w in new if match(w)]
+        if simple:  # as one text: the marks tell the words apart
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(simple) if self.keeps_space else " ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.edge[ids]) * 4
+            if len(at) != len(simple):
+                raise AssertionError("words and marks differ")
+            bounds = [*at.tolist(), 4 * len(ids)] if self.keeps_space else [0, *(at + 4).tolist()]
+            data = ids.tobytes()
+            self.cache.update(zip(simple, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
+        others = [w for w in new if w not in self.cache]
+        self.cache.update(zip(others, self._library(others) if others else []))
+        cache = self.cache
+        for c, words in cut.items():
+            if len(words) != 1:
+                cache[c] = b"".join([cache[w] for w in words])
+
+    def _plain(self, chunks: list[str]) -> bytes:
+        cache = self.cache
+        try:
+            return b"".join(map(cache.__getitem__, chunks))
+        except KeyError:
+            new = set(chunks).difference(cache)
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+                if len(new) > CACHE // 2:  # more than is kept: in stretches
+                    return b"".join([self._plain(chunks[i : i + CACHE // 2]) for i in range(0, len(chunks), CACHE // 2)])
+                new = set(chunks)
+            self._learn(new)
+            return b"".join([cache[c] for c in chunks])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [PLAIN.fullmatch(t) is not None for t in texts]
-        chunks = [self._chunks(t) if p else None for t, p in zip(texts, plain)]
-        out: list[bytes] = [b""] * len(texts)
+        chunks = [self._chunks(t) if p else [] for t, p in zip(texts, plain)]
+        get, missing = self.cache.get, set()
+        found = [list(map(get, own)) for own in chunks]  # one look at the large cache for each chunk
+        short = [None in ids for ids in found]
+        for own, ids in compress(zip(chunks, found), short):
+            missing.update(compress(own, map(is_, ids, repeat(None))))
         rest = [i for i, p in enumerate(plain) if not p]
-        for i, ids in zip(rest, self._library([texts[i] for i in rest]) if rest else []):
-            out[i] = ids
+        whole = dict(zip(rest, self._library([texts[i] for i in rest]) if rest else []))
+        if len(self.cache) + len(missing) > CACHE:
+            self.cache.clear()
+            return [self._plain(own) if p else whole[i] for i, (own, p) in enumerate(zip(chunks, plain))]
+        if missing:
+            self._learn(missing)
         cache = self.cache
-        for i, own in enumerate(chunks):
-            if own is None:
-                continue
-            try:
-                out[i] = b"".join([cache[c] for c in own])
-            except KeyError:
-                new = list(set(own).difference(cache))
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = list(set(own))
-                for at in range(0, len(new), CACHE):
-                    cache.update(zip(new[at : at + CACHE], self._library(new[at : at + CACHE])))
-                out[i] = b"".join([cache[c] for c in own])
-        return out
+        for i in compress(range(len(found)), short):
+            found[i] = [cache[c] if ids is None else ids for c, ids in zip(chunks[i], found[i])]
+        return [b"".join(ids) if p else whole[i] for i, (ids, p) in enumerate(zip(found, plain))]
 
 
 def encoder(path: str, keeps_space: bool) -> TextEncoder:
