@@ -56,7 +56,8 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """The letter words, none if no character is a letter (such as a lone fraction sign)."""
+    return WORDS.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
 
 
 def _spans(words: list[str], n: int, pieces: dict[str, int]) -> dict[tuple[int, int], np.ndarray]:

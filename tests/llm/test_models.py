@@ -188,6 +188,10 @@ def test_language_odd_cases(docs, empty, spark):
     assert {r["lang_pred"] for r in langid.predict_languages(unlabelled).collect()} == {"und"}
 
 
+def test_words_need_a_letter():
+    assert langid.words_of("½ ² 3") == [] == langid.words_of(None) and langid.words_of("½ É") == ["½", "é"]
+
+
 def test_forward_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba"])}
     r = np.random.default_rng(0)
