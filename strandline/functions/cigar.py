@@ -66,6 +66,14 @@ def gap_identity(runs: Column) -> Column:
     return F.when(matches + events > 0, matches / (matches + events))
 
 
+def text_identity(text: Column) -> Column:
+    """The same from the string itself, without building runs: for filters over many reads."""
+    total = lambda op: F.aggregate(F.regexp_extract_all(text, F.lit(rf"(\d+){op}"), F.lit(1)), F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    matches = total("=")
+    events = total("X") + F.regexp_count(text, F.lit("[ID]"))
+    return F.when(matches + events > 0, matches / (matches + events))
+
+
 def compress(runs: Column) -> Column:
     """Neighbouring runs of one op become one; empty runs go."""
     kind = "array<struct<op:string,len:bigint>>"

@@ -20,6 +20,10 @@ def cigar_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_identity(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "v_cigar").select("qname", F.round(cigar.text_identity(F.col("cigar")), 6).alias("identity"))
+
+
+def rendered_runs(spark: SparkSession, d: str) -> DataFrame:
     return _aligned(spark, d).select("qname", F.round(cigar.gap_identity(F.col("runs")), 6).alias("identity"), cigar.render(F.col("runs")).alias("rendered"))
 
 
@@ -170,7 +174,8 @@ _RUN_SQL = """, n AS (SELECT qname, chrom, pos, CAST(regexp_extract(cigar, '^(\\
 _CAND = ", r AS (SELECT region_id AS id, chrom, start, \"end\", value FROM v_region) "
 ORACLES = {
     "cigar_offsets": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, 3 * q + x + d AS ref_length, 3 * q + x + i + s AS read_length, CAST(0 AS BIGINT) AS left_clip, s AS right_clip, x + d + i AS edits, true AS has_matches FROM n"),
-    "gap_identity": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, round(3 * q / (3 * q + x + 2), 6) AS identity, cigar AS rendered FROM n"),
+    "gap_identity": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, round(3 * q / (3 * q + x + 2), 6) AS identity FROM n"),
+    "rendered_runs": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, round(3 * q / (3 * q + x + 2), 6) AS identity, cigar AS rendered FROM n"),
     "covered_segments": with_views("v_cigar", body=_RUN_SQL + ', f AS (SELECT qname, pos AS start, CASE WHEN d >= 30 THEN pos + q + x ELSE pos + 3 * q + x + d END AS "end" FROM n UNION ALL SELECT qname, pos + q + x + d, pos + 3 * q + x + d FROM n WHERE d >= 30) SELECT * FROM f'),
     "indel_evidence": with_views("v_cigar", body=_RUN_SQL + 'SELECT qname, chrom, pos + q + x - 1 AS start, pos + q + x + d AS "end", 0 AS inserted FROM n WHERE d >= 25 UNION ALL SELECT qname, chrom, pos + 2 * q + x + d - 1, pos + 2 * q + x + d, i FROM n WHERE i >= 25'),
     "clip_evidence": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, chrom, pos + 3 * q + x + d - 1 AS pos, 0 AS dir, s AS clipped FROM n WHERE s >= 500"),
@@ -194,7 +199,7 @@ ORACLES = {
     "cluster_groups": with_views("v_bpo", body="SELECT start1 AS cluster, count(DISTINCT evidence) AS haplotypes, string_agg(CAST(obs AS VARCHAR), ',' ORDER BY obs) AS members FROM v_bpo GROUP BY start1"),
 }
 QUERIES = {f.__name__: f for f in (
-    cigar_offsets, gap_identity, covered_segments, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, read_neighbours, breakpoint_distance,
+    cigar_offsets, gap_identity, rendered_runs, covered_segments, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, read_neighbours, breakpoint_distance,
     breakpoint_clusters, evidence_counts, assembly_regions, consolidated_regions, standard_breakpoints, breakpoint_types, neighbour_pairs, large_insertions, insertions_off_indels,
     redundant_duplications, candidate_pools, merged_duplicates, close_duplicates, merge_stats, remapped_links, cluster_groups,
 )}
