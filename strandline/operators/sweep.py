@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settle
+
 BLOCK = 1_000_000
 
 
@@ -45,10 +47,13 @@ def depth_bins(segments: DataFrame, size: int, keys: Sequence[str] = ("chrom",),
     return bins
 
 
-def runs_between(flips: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """From rows (keys, pos, opens) that open and close in turn: (keys, start, end)."""
-    turn = Window.partitionBy(*keys, "opens").orderBy("pos")
-    numbered = flips.withColumn("_n", F.row_number().over(turn))
+def runs_between(flips: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """From rows (keys, pos, opens) that open and close in turn: (keys, start, end).
+
+    The number of openings before a row pairs it with its partner; it comes from blocks, so a key's rows needn't meet in one task.
+    """
+    counted = running_total(flips.withColumn("_opens", F.col("opens").cast("int")), keys, "pos", "_opens", "_before", block)
+    numbered = counted.withColumn("_n", F.col("_before") - F.when(F.col("opens"), 0).otherwise(1))
     runs = numbered.groupBy(*keys, "_n").agg(F.min(F.when(F.col("opens"), F.col("pos"))).alias("start"), F.min(F.when(~F.col("opens"), F.col("pos"))).alias("end"))
     return runs.drop("_n")
 
@@ -60,7 +65,7 @@ def regions_where(changes: DataFrame, holds, keys: Sequence[str] = ("chrom",), b
     """
     level = running_total(changes, keys, "pos", "delta", "_before", block)
     was, now = holds(F.col("_before")), holds(F.col("_before") + F.col("delta"))
-    return runs_between(level.filter(was != now).select(*keys, "pos", now.alias("opens")), keys)
+    return runs_between(level.filter(was != now).select(*keys, "pos", now.alias("opens")), keys, block)
 
 
 def regions_over(segments: DataFrame, most: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -78,12 +83,13 @@ def subtract(regions: DataFrame, holes: DataFrame, keys: Sequence[str] = ("chrom
     """What the union of ``regions`` covers and ``holes`` don't."""
     weigh = lambda df, w: edges(union(df, 0, keys), keys).withColumn("delta", F.col("delta") * w)
     both = weigh(regions, 1).unionByName(weigh(holes, 2)).groupBy(*keys, "pos").agg(F.sum("delta").alias("delta"))
-    return regions_where(both.filter("delta <> 0"), lambda depth: depth == 1, keys)
+    both = settle(both.filter("delta <> 0"))  # a sweep reads its changes several times
+    return regions_where(both, lambda depth: depth == 1, keys)
 
 
 def filled_union(regions: DataFrame, gap: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """The merged regions and, labelled, the gaps between them that merging within ``gap`` fills."""
-    plain = union(regions, 0, keys)
+    plain = settle(union(regions, 0, keys))
     return plain.withColumn("label", F.lit("region")).unionByName(subtract(union(regions, gap, keys), plain, keys).withColumn("label", F.lit("excluded_gap_fill")))
 
 

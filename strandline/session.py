@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: spark.checkpoint.dir, a temporary one only where that is unset (tests)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once, kept in the checkpoint folder that driver and executors share (spark.checkpoint.dir; a temporary one only
-    where that is unset, as in tests), so that a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """df computed once and kept in the shared folder, so that a lost executor costs no recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

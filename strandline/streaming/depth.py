@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sweep
+from ..session import shared_folder
 
 
 def depth_bins(segments: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -24,3 +27,15 @@ def event_windows(events: DataFrame, time: str, keys: tuple[str, ...], width: st
     window = F.window(time, width, slide) if slide else F.window(time, width)
     counted = events.withWatermark(time, lateness).groupBy(*keys, window.alias("_w")).agg(F.count(F.lit(1)).alias("events"))
     return counted.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "events")
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Runs an aggregating stream over what is there now; its last full result is a Parquet table in the shared folder."""
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/table")
