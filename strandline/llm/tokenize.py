@@ -3,7 +3,7 @@
 Both vocabularies cut a text into words by a fixed pattern before they merge, so a word's ids don't depend on its neighbours. For a
 text made only of the characters in PLAIN (ASCII and Latin letters, spaces, line feeds; there the pattern's classes are plain
 sets), words are cut here, looked up, and only new ones are given to the tokenizer, many at a time. Any other text is given to
-it whole. Either way the ids are the library's own; tests compare both ways.
+it whole, and so is one that contains an added token, such as <|endoftext|>, which the library makes one id. Either way the ids are the library's own; tests compare both ways.
 """
 
 from __future__ import annotations
@@ -53,10 +53,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
         self.words, self.simple = (SPACED_WORDS, _SPACED) if keeps_space else (BARE_WORDS, _BARE)
         self.cache: dict[str, bytes] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: In any case of letters: the library may look for an added token after it has lower-cased the text.
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         names = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(names.values()) + 1, bool)
         self.edge[[i for name, i in names.items() if (name.startswith("Ġ") if keeps_space else name.endswith("</w>"))]] = True
@@ -119,7 +121,7 @@ class TextEncoder:
             return b"".join([cache[c] for c in chunks])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [PLAIN.fullmatch(t) is not None and self.added.search(t) is None for t in texts]
         chunks = [self._chunks(t) if p else [] for t, p in zip(texts, plain)]
         get, missing = self.cache.get, set()
         found = [list(map(get, own)) for own in chunks]  # one look at the large cache for each chunk
