@@ -4,7 +4,7 @@ Each language has a probability for every piece of the vocabulary (its lower-cas
 over all ways to cut it into pieces, of the product of their probabilities: a forward pass over its letters. A text's score is
 the product over its words; the language with the highest posterior (equal priors) is predicted. Piece probabilities are fitted
 by a few rounds of expectation maximisation, one group of rows per language, on a sample of about ``SAMPLE_DOCS`` labelled
-documents, chosen by a hash of the id; predictions read whole texts and nothing else.
+documents of each language (all, if it has no more), chosen by a hash of the id; predictions read whole texts and nothing else.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows without a label teach nothing; without any
 labelled row every text is `und`; repeated rows count as often as they occur; an empty table gives an empty table; extra columns
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Documents, on average, that the model is fitted on.
+#: Documents of each language, on average, that the model is fitted on; a language with no more than these gives all.
 SAMPLE_DOCS = 3000
 ROUNDS = 3
 SMOOTH = 0.1
@@ -34,6 +34,8 @@ UNKNOWN = 1e-7
 CACHE = 300_000
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 16
+#: Letters, mark included, of the stretches that long words are cut into, so that no product leaves the range of a double.
+STRETCH = 32
 _vocabularies: dict[str, dict[str, int]] = {}
 
 
@@ -80,17 +82,21 @@ def _forward(spans: dict, n: int, table: np.ndarray, count: int) -> list[np.ndar
     return alpha
 
 
+def stretches(word: str) -> list[str]:
+    """The word with its mark, cut into stretches."""
+    marked = "▁" + word
+    return [marked[at : at + STRETCH] for at in range(0, len(marked), STRETCH)]
+
+
 def word_scores(words: list[str], pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
     """ln P(word) for each word (rows) and language (columns). table: a row per piece, then one for unknown letters, then zeros.
 
-    A long word is cut into stretches of 32 letters, so that no product leaves the range of a double.
+    A long word's score is the sum over its stretches.
     """
     out = np.zeros((len(words), table.shape[1]))
     by_length: dict[int, list[tuple[int, str]]] = defaultdict(list)
     for k, word in enumerate(words):
-        marked = "▁" + word
-        for at in range(0, len(marked), 32):
-            some = marked[at : at + 32]
+        for some in stretches(word):
             by_length[len(some)].append((k, some))
     for n, found in by_length.items():
         for at in range(0, len(found), 4096):
@@ -107,17 +113,20 @@ def _table(probabilities: np.ndarray) -> np.ndarray:
 
 
 def fit_pieces(counts: Counter, pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language from its word counts."""
+    """Piece probabilities of one language from its word counts; long words teach by the stretches that scoring cuts them into."""
     chance = np.full(len(pieces), 1 / len(pieces))
     by_length: dict[int, list[str]] = defaultdict(list)
-    for word in counts:
-        if len(word) < 32:
-            by_length[len(word) + 1].append(word)
+    weights: Counter = Counter()
+    for word, n in counts.items():
+        for some in stretches(word):
+            weights[some] += n
+    for some in weights:
+        by_length[len(some)].append(some)
     groups = []
-    for n, words in sorted(by_length.items()):
-        for at in range(0, len(words), 8192):
-            some = words[at : at + 8192]
-            groups.append((n, _spans(["▁" + w for w in some], n, pieces), np.array([counts[w] for w in some], float)))
+    for n, found in sorted(by_length.items()):
+        for at in range(0, len(found), 8192):
+            some = found[at : at + 8192]
+            groups.append((n, _spans(some, n, pieces), np.array([weights[w] for w in some], float)))
     for _ in range(rounds):
         table, expected = _table(chance[:, None]), np.zeros(len(pieces) + 2)
         for n, spans, weight in groups:
@@ -141,10 +150,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, vocabulary_file: str, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages, and the table of word_scores. What comes to the driver is one number per language and piece."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = labelled.select(id_col, lang_col).count()
-    share = min(1.0, sample_docs / rows) if rows else 0.0
-    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = labelled.filter(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # one row per language
+    shares = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.least(F.lit(1.0), F.lit(sample_docs) / F.count(F.lit(1))).alias("_share"))
+    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < F.col("_share") * (1 << 30)
+    sample = labelled.select(F.col(id_col).alias(id_col), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(shares), "_lang")
+    sample = sample.filter(chosen).select(F.col("_lang").alias("lang"), F.col("_text").alias("text"))
 
     def fit_group(frame: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
