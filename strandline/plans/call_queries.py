@@ -15,8 +15,8 @@ BIN = 1000
 
 
 def segmentation_bins(spark: SparkSession, d: str) -> DataFrame:
-    """(sample, chrom, bin, depth, reduction, kind) of the first 150 bins: depth in reads a base, a part of the bins excluded."""
-    bins = sweep.depth_bins(view(spark, d, "v_read"), BIN, ("sample", "chrom")).filter("bin < 150")
+    """(sample, chrom, bin, depth, reduction, kind): depth in reads a base, a part of the bins excluded."""
+    bins = sweep.depth_bins(view(spark, d, "v_read"), BIN, ("sample", "chrom"))
     depth = F.when(F.col("bin") % 17 != 0, F.col("bases") / BIN * (F.floor((F.col("bin") + F.col("sample")) / 30) % 4) / 2)
     return bins.select("sample", "chrom", "bin", depth.alias("depth"), F.lit(1.0).alias("reduction"), F.lit(0).alias("kind"))
 
@@ -47,9 +47,10 @@ def emission_table(spark: SparkSession, d: str) -> DataFrame:
     return depth.select("k", *[F.round(ln(F.lit(5.0 * s if s else 0.05)), 6).alias(f"s{s}") for s in range(5)])
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    """Tiling segments of 3 samples from the read bins: runs of whole depth, as states 0..6."""
-    bins = sweep.depth_bins(view(spark, d, "v_read"), BIN, ("sample", "chrom")).filter("bin < 150")
+def _segments(spark: SparkSession, d: str, where: str = "bin < 150") -> DataFrame:
+    """Tiling segments of 3 samples from the read bins: runs of whole depth, as states 0..6. The queries' SQL has the first 150
+    bins only; the queries named whole_... have all."""
+    bins = sweep.depth_bins(view(spark, d, "v_read"), BIN, ("sample", "chrom")).filter(where)
     return sweep.run_lengths(bins.select("sample", "chrom", "bin", F.least(F.floor(F.col("bases") / 1500), F.lit(6)).cast("long").alias("state")), ["sample", "chrom"], "bin", "state")
 
 
@@ -61,16 +62,32 @@ def boundary_clusters(spark: SparkSession, d: str) -> DataFrame:
     return hmm.boundary_clusters(hmm.boundaries(_segments(spark, d)).filter("bin % 4 = 0"), 5)
 
 
+def whole_copy_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return hmm.boundaries(_segments(spark, d, "true"))
+
+
+def whole_boundary_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return hmm.boundary_clusters(whole_copy_boundaries(spark, d), 5)
+
+
 def breakend_kinds(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "v_bpo").select(F.col("evidence").alias("sample"), F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), (F.col("dir2") + 1).alias("kind"))
     return hmm.breakend_kinds(b, BIN)
 
 
-def high_copies(spark: SparkSession, d: str) -> DataFrame:
-    segs = _segments(spark, d).withColumn("state", F.when(F.col("state") >= 2, hmm.HIGH).otherwise(F.col("state")))
+def _high_copies(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    segs = found.withColumn("state", F.when(F.col("state") >= 2, hmm.HIGH).otherwise(F.col("state")))
     return hmm.high_copies(segs, segmentation_bins(spark, d), _haploid(spark), least_bins=1).withColumn("high_copies", F.round("high_copies", 6))
 
 
+def high_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _high_copies(spark, d, _segments(spark, d))
+
+
+def whole_high_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _high_copies(spark, d, _segments(spark, d, "true"))
+
+
 def copy_quality(spark: SparkSession, d: str) -> DataFrame:
     segs = best_states(spark, d)
     return hmm.copy_quality(hmm.state_likelihoods(segs, segmentation_bins(spark, d), _haploid(spark)))
@@ -189,11 +206,19 @@ def ordered_records(spark: SparkSession, d: str) -> DataFrame:
     return records.in_order(b)
 
 
-def merged_segments(spark: SparkSession, d: str) -> DataFrame:
-    s = _segments(spark, d).select("sample", "chrom", F.col("begin").alias("start"), "end", F.col("state").alias("copies"), F.lit(2).alias("expected"))
+def _merged(found: DataFrame) -> DataFrame:
+    s = found.select("sample", "chrom", F.col("begin").alias("start"), "end", F.col("state").alias("copies"), F.lit(2).alias("expected"))
     return records.merge_equal_segments(s)
 
 
+def merged_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(_segments(spark, d))
+
+
+def whole_merged_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(_segments(spark, d, "true"))
+
+
 def accuracy_by_size(spark: SparkSession, d: str) -> DataFrame:
     out = records.accuracy(view(spark, d, "v_truth"))
     return out.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
@@ -273,4 +298,5 @@ QUERIES = {f.__name__: f for f in (
     best_states, converged_states, synced_boundaries, emission_table, copy_boundaries, boundary_clusters, breakend_kinds, high_copies, copy_quality, genotype_likelihoods, joint_quality,
     genotype_texts, best_alleles, allele_counts, guest_haplotypes, phase_sets, absorbed_overlaps, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
     close_fit, inversions, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
+    whole_copy_boundaries, whole_boundary_clusters, whole_high_copies, whole_merged_segments,
 )}

@@ -162,10 +162,15 @@ def state_bases(spark: SparkSession, d: str) -> DataFrame:
     return gc.bases_per_state(view(spark, d, "v_region").withColumnRenamed("value", "state"))
 
 
-def state_runs(spark: SparkSession, d: str) -> DataFrame:
+def whole_state_runs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     depth, _ = _depth_and_levels(spark, d)
     grid = depth.select("sample", "chrom", "bin", F.floor(F.col("depth") / 1000).cast("long").alias("state"))
-    return sweep.run_lengths(grid.filter("bin < 150"), ["sample", "chrom"], "bin", "state")
+    return sweep.run_lengths(grid.filter(where), ["sample", "chrom"], "bin", "state")
+
+
+def state_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Over the first 150 bins, as its SQL has it; whole_state_runs has all."""
+    return whole_state_runs(spark, d, "bin < 150")
 
 
 def phred_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -237,6 +242,6 @@ ORACLES = {
 QUERIES = {f.__name__: f for f in (
     interval_overlaps, interval_semi, interval_anti, point_in_interval, range_distance, reciprocal_overlap, merged_range, expanded_range, strict_order, region_labels, region_tiles,
     coverage_islands, expected_copies_majority, expected_copies_unanimous, depth_per_bin, excluded_bins, sliding_sums, regions_over_depth, merged_regions, subtracted_regions,
-    gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, haploid_depth, state_bases, state_runs, phred_scores,
+    gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, haploid_depth, state_bases, state_runs, whole_state_runs, phred_scores,
 )}
 
