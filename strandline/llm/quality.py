@@ -1,26 +1,42 @@
 """Quality rules by line labelling: Viterbi decoding of a linear-chain conditional random field.
 
-Each line is content or boilerplate. The field has a weight per line feature, label and pair of neighbouring labels, fitted by
-gradient ascent on the likelihood of a sample of about ``SAMPLE_DOCS`` labelled documents, whose lines all carry their document's
-label. Decoding takes the best label sequence of a whole text; a document stays if at least ``CONTENT_SHARE`` of its words lie in
-content lines and no base rule fails.
+Each line is content or boilerplate. The field has a weight per line feature, label and pair of neighbouring labels. Only documents
+are labelled, so the lines' labels are latent: a line of a good document is content with chance ``PRIOR[1]``, one of a bad document
+with ``PRIOR[0]``, and a line that recurs among different neighbours in the sample (a header, a footer) with ``PRIOR[2]``, all before
+its features are looked at. The weights ascend the likelihood of these constraints summed over all label sequences: each step
+compares what the field expects under the constraint with what it expects without it (expectation maximisation by gradient).
+A clean line of a bad document thus becomes content, because good documents have the like. Decoding takes the best label sequence
+of a whole text; a document stays if at least ``CONTENT_SHARE`` of its words lie in content lines and no base rule fails.
+
+The fit reads a sample of at most ``SAMPLE_DOCS`` labelled documents, those with the smallest hashes of id, label and text, up to
+``SAMPLE_LINES`` lines in all (a document of more than a tenth of these teaches nothing), in chains of at most ``CHAIN`` lines.
 
 Defined cases: a null or empty text has no words and fails; lines without a word take part in no sequence; without labelled rows
-every line is content; repeated rows get equal results; an empty table gives an empty table; extra columns are ignored.
+every line is content; of rows with one id and label, each is a candidate of its own for the sample; repeated rows get equal
+results; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import bytes_of
 
 SAMPLE_DOCS = 2000
-CONTENT_SHARE = 0.5
+SAMPLE_LINES = 200_000
+CHAIN = 64
+#: Chance that a line is content, before its features are known: in a bad document, in a good one, where it recurs.
+PRIOR = (0.4, 0.97, 0.1)
+#: So many different neighbourhoods make a line recur.
+RECURS = 3
+CONTENT_SHARE = 0.7
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WINDOW = 8
@@ -32,13 +48,25 @@ for _c in range(0x250):
     _KIND[_c] = SPACE * (_s in SPACES) | SYMBOL * (_s in SYMBOLS) | CAPITAL * _s.isupper() | LETTER * _s.isalpha() | DIGIT * _s.isdigit() | MARK * (_s in "!?")
 #: For each set of kinds (rows), which of space, symbol, capital, letter, digit, mark it holds, and whether it is part of a word.
 _HAS = np.array([[k >> i & 1 for i in range(6)] + [1 - (k & 1)] for k in range(64)])
-FEATURES = ("bias", "symbols", "capitals", "digits", "marks", "other", "long words", "short", "ends a sentence")
+FEATURES = ("bias", "symbols", "capitals", "digits", "marks", "other", "long words", "short", "ends a sentence", "first or last", "repeated", "stutter", "odd neighbours")
+
+
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """Equal words have equal numbers, from 0."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """For each line that has a word: its features and its words; and counts over the text: word_chars, n_symbols."""
+def line_features(text: str | None, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """For each line that has a word: its features and its words; and counts over the text: word_chars, n_symbols.
+
+    ``numbers``: the text's word numbers, if they are known already.
+    """
+    nothing = np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)
     if not text:
-        return np.zeros((0, len(FEATURES))), np.zeros(0, np.int64), {"word_chars": 0, "n_symbols": 0}
+        return *nothing, {"word_chars": 0, "n_symbols": 0}
+    if numbers is None:
+        numbers = word_numbers(bytes_of(text).split())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _KIND[np.minimum(points, 0x250)]
     ends = np.flatnonzero(points == 10)
@@ -54,32 +82,49 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray, dict[str, i
     last = np.zeros(n, np.uint32)
     last[line[finals]] = points[finals]  # the line's last character in a word
     some = words > 0
+    if not some.any():
+        return *nothing, counts
     c, w = chars[some].astype(float), words[some].astype(float)
+    of_word = line[begins]
+    again = (numbers[1:] == numbers[:-1]) & (of_word[1:] == of_word[:-1])
+    stutter = np.bincount(of_word[1:][again], minlength=n)[some] / w
+    odd = np.minimum((symbols + marks)[some] / w, 1)
+    around = np.convolve(odd, [1, 0, 1])[1:-1] / 2
+    edge = np.zeros(len(c))
+    edge[[0, -1]] = len(c) > 2
     features = np.stack([
-        np.ones(len(c)), symbols[some] / c, capitals[some] / np.maximum(letters[some], 1), digits[some] / c, marks[some] / c,
+        np.ones(len(c)), np.minimum(symbols[some] / w, 1), capitals[some] / np.maximum(letters[some], 1), digits[some] / c, np.minimum(marks[some] / w, 1),
         (chars - symbols - letters - digits - marks)[some] / c, np.minimum(c / w, 40) / 10, (w < 4).astype(float), np.isin(last[some], [33, 46, 63]).astype(float),
+        edge, _repeated(text, some), stutter, around,
     ], axis=1)
     return features, words[some], counts
 
 
+def _repeated(text: str, some: np.ndarray) -> np.ndarray:
+    """For each line that has a word, whether the text has it more than once."""
+    if len(some) == 1:
+        return np.zeros(int(some.sum()))
+    own = [x for x, there in zip(text.split("\n"), some.tolist()) if there]
+    often = Counter(own)
+    return np.array([often[x] > 1 for x in own], float)
+
+
 def _join_grams(a: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     keys = a[:-step] * (int(a.max()) + 1) + a[step:]
     _, numbers, counts = np.unique(keys, return_inverse=True, return_counts=True)
     return numbers.astype(np.int64), counts
 
 
-def repeat_words(words: list[bytes]) -> int:
+def repeat_words(numbers: np.ndarray) -> int:
     """The words in windows of 8 that occur twice or more, found by numbering windows of 2, 4 and 8 exactly."""
-    if len(words) <= WINDOW:
+    if len(numbers) <= WINDOW:
         return 0
-    seen: dict[bytes, int] = {}
-    numbers = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+    cover = np.zeros(len(numbers) + 1, np.int64)
     for step in (1, 2, 4):
         numbers, counts = _join_grams(numbers, step)
         if counts.max() == 1:
             return 0
     again = np.flatnonzero(counts[numbers] > 1)
-    cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, again, 1)
     np.add.at(cover, again + WINDOW, -1)
     return int((np.cumsum(cover)[:-1] > 0).sum())
@@ -121,76 +166,105 @@ class Field:
         return np.array(out[::-1], np.int8)
 
     @classmethod
-    def fitted(cls, texts: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
-        """Maximum likelihood (with weight decay) by forward and backward passes over texts of about one length at a time."""
-        order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: (len(texts[i]), i))
-        if not order or len({labels[i] for i in order}) < 2:
+    def fitted(cls, texts: list[np.ndarray], content: list[np.ndarray], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
+        """Maximum likelihood (with weight decay) of the constraints ``content``: for each line, its chance of being content."""
+        chains = [(x[i : i + CHAIN], p[i : i + CHAIN]) for x, p in zip(texts, content) for i in range(0, len(x), CHAIN)]
+        if not chains or len({float(v) for _, p in chains for v in p}) < 2:
             return cls.trusting()
+        chains.sort(key=lambda c: len(c[0]))
         groups = []
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
-            length = len(texts[some[-1]])
+        for at in range(0, len(chains), 1024):
+            some = chains[at : at + 1024]
+            length = len(some[-1][0])
             x = np.zeros((len(some), length, len(FEATURES)))
+            bias = np.zeros((len(some), length, 2))
             there = np.zeros((len(some), length), bool)
-            for r, i in enumerate(some):
-                x[r, : len(texts[i])], there[r, : len(texts[i])] = texts[i], True
-            groups.append((x, there, np.array([labels[i] for i in some])))
-        total = sum(len(g[2]) for g in groups)
+            for r, (own, p) in enumerate(some):
+                x[r, : len(own)], there[r, : len(own)] = own, True
+                bias[r, : len(own)] = np.log(np.stack([1 - p, p], axis=1))
+            groups.append((x, there, bias))
         field = cls(np.zeros(len(FEATURES)), np.zeros((2, 2)), np.zeros(2))
         size = [np.zeros_like(w) + 1e-8 for w in (field.emit, field.move, field.begin)]
         for _ in range(rounds):
-            emit, move, begin = np.zeros_like(field.emit), np.zeros((2, 2)), np.zeros(2)
-            for x, there, y in groups:
-                e, m, b = field._slope(x, there, y)
-                emit, move, begin = emit + e, move + m, begin + b
-            for w, slope, s in zip((field.emit, field.move, field.begin), (emit, move, begin), size):
-                slope = slope / total - decay * w
+            slopes = [field._slope(*g) for g in groups]
+            for k, (w, s) in enumerate(zip((field.emit, field.move, field.begin), size)):
+                slope = sum(f[k] for f in slopes) / len(chains) - decay * w
                 s += slope**2
                 w += rate * slope / np.sqrt(s)
         return field
 
-    def _slope(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _expected(self, x: np.ndarray, there: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a forward and a backward pass expect: the features of content lines, the moves, the first labels."""
         n, length = there.shape
-        score = np.stack([np.zeros((n, length)), x @ self.emit], axis=2)
         forward, backward = np.zeros((n, length, 2)), np.zeros((n, length, 2))
         forward[:, 0] = self.begin + score[:, 0]
         for t in range(1, length):
-            step = np.logaddexp.reduce(forward[:, t - 1, :, None] + self.move, axis=1) + score[:, t]
-            forward[:, t] = np.where(there[:, t, None], step, forward[:, t - 1])
+            a, b = forward[:, t - 1, :1] + self.move[0], forward[:, t - 1, 1:] + self.move[1]
+            forward[:, t] = np.where(there[:, t, None], np.logaddexp(a, b) + score[:, t], forward[:, t - 1])
         for t in range(length - 2, -1, -1):
-            step = np.logaddexp.reduce(self.move + (score[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+            after = score[:, t + 1] + backward[:, t + 1]
+            step = np.logaddexp(self.move[:, 0] + after[:, :1], self.move[:, 1] + after[:, 1:])
             backward[:, t] = np.where(there[:, t + 1, None], step, 0)
-        z = np.logaddexp.reduce(forward[:, -1], axis=1)
+        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         content = np.exp(forward[:, :, 1] + backward[:, :, 1] - z[:, None]) * there
-        emit = ((y[:, None] * there - content)[:, :, None] * x).sum(axis=(0, 1))
-        both = there[:, 1:]
         pair = forward[:, :-1, :, None] + self.move + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        expected = (np.exp(np.minimum(pair, 0)) * both[:, :, None, None]).sum(axis=(0, 1))
-        observed = np.diag([(both.sum(axis=1) * (1 - y)).sum(), (both.sum(axis=1) * y).sum()]).astype(float)
-        first = np.array([(1 - y).sum() - (1 - content[:, 0]).sum(), y.sum() - content[:, 0].sum()])
-        return emit, observed - expected, first
+        moves = (np.exp(np.minimum(pair, 0)) * there[:, 1:, None, None]).sum(axis=(0, 1))
+        first = content[:, 0].sum()
+        return np.einsum("nt,ntf->f", content, x), moves, np.array([n - first, first])
+
+    def _slope(self, x: np.ndarray, there: np.ndarray, bias: np.ndarray) -> list[np.ndarray]:
+        """The likelihood's gradient: what is expected under the constraint, less what is expected without it."""
+        score = np.stack([np.zeros(there.shape), x @ self.emit], axis=2)
+        return [a - b for a, b in zip(self._expected(x, there, score + bias), self._expected(x, there, score))]
 
 
 def content_words(field: Field, features: np.ndarray, words: np.ndarray) -> int:
     return int(words[field.decode(features) == 1].sum())
 
 
-@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
-def _features(texts: pa.Array) -> pa.Array:
-    return pa.array([line_features(t.as_py())[0].tolist() for t in texts], pa.list_(pa.list_(pa.float64())))
+LINES = StructType([StructField("x", ArrayType(ArrayType(DoubleType()))), StructField("line", ArrayType(LongType())), StructField("around", ArrayType(LongType()))])
+_LINES = pa.struct([("x", pa.list_(pa.list_(pa.float64()))), ("line", pa.list_(pa.int64())), ("around", pa.list_(pa.int64()))])
+
+
+def _sample_lines(text: str | None) -> dict:
+    """The features of the lines that have a word, their hashes, and those of their neighbours."""
+    from xxhash import xxh3_64_intdigest as h
+
+    own = [h(x.encode("utf-8", "surrogatepass")) >> 1 for x in (text or "").split("\n") if x.strip(SPACES)]
+    ends = [0, *own, 0]
+    return {"x": line_features(text)[0].tolist(), "line": own, "around": [h(f"{a},{b}") >> 1 for a, b in zip(ends, ends[2:])]}
+
+
+@F.arrow_udf(LINES)
+def _lines(texts: pa.Array) -> pa.Array:
+    return pa.array([_sample_lines(t.as_py()) for t in texts], _LINES)
+
+
+def constraints(labels: list[int], lines: list[list[int]], around: list[list[int]]) -> list[np.ndarray]:
+    """For each text's lines, the chance of being content that its label and its recurrence give."""
+    places: dict[int, set[int]] = {}
+    for own, near in zip(lines, around):
+        for a, b in zip(own, near):
+            places.setdefault(a, set()).add(b)
+    recurs = {a for a, found in places.items() if len(found) >= RECURS}
+    return [np.array([PRIOR[2] if a in recurs else PRIOR[label] for a in own], float) for label, own in zip(labels, lines)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """A field fitted on a bounded sample of labelled documents, chosen by a hash of the id; their features come to the driver."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    rows = known.count()
-    share = min(1.0, sample_docs / rows) if rows else 0.0
-    chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    chosen = chosen.limit(2 * sample_docs)  # the proven bound of what is broadcast; about half of it is there
-    joined = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    found = joined.select("_id", "_label", _features("_text").alias("x")).collect()
-    found.sort(key=lambda r: (r["_id"], r["_label"], len(r["x"])))
-    return Field.fitted([np.array(r["x"]).reshape(-1, len(FEATURES)) for r in found], [int(r["_label"] > 0) for r in found])
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """A field fitted on a bounded sample of labelled documents; the features of its lines come to the driver."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label"))
+    # the smallest by hash, of at most so many rows: what is broadcast and what is joined are both bounded
+    chosen = known.orderBy(F.xxhash64("_id", F.lit("sample")), "_id", "_label").limit(sample_docs)
+    text = F.col(text_col)
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    named = docs.select(F.col(id_col).alias("_doc"), text.alias("_text"), n_lines.alias("_lines"), F.xxhash64(text).alias("_hash"))
+    joined = named.filter(F.col("_lines") <= sample_lines // 10).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    order = [F.xxhash64("_id", "_label", "_hash"), F.col("_id"), F.col("_label"), F.col("_hash")]
+    first = joined.orderBy(*order).limit(sample_docs)  # by the bounded sample of ids, and by the same bound where ids repeat
+    held = F.sum("_lines").over(Window.orderBy(*order))
+    found = first.withColumn("_held", held).filter(F.col("_held") <= sample_lines).select("_label", _lines("_text").alias("s")).collect()
+    texts = [np.array(r["s"]["x"], float).reshape(-1, len(FEATURES)) for r in found]
+    return Field.fitted(texts, constraints([r["_label"] for r in found], [r["s"]["line"] for r in found], [r["s"]["around"] for r in found]))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_content_words")
@@ -198,8 +272,8 @@ RESULT = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField(
 
 
 def judged(text: str | None, field: Field) -> tuple:
-    features, line_words, counts = line_features(text)
-    words = bytes_of(text).split()
+    words = word_numbers(bytes_of(text).split())
+    features, line_words, counts = line_features(text, words)
     again, n = repeat_words(words), len(words)
     good = content_words(field, features, line_words)
     failed = n < 20 or 100 * again > 30 * n
