@@ -1,8 +1,10 @@
 """The language model's sample: rare languages and long words."""
 
-from collections import Counter
+import math
+from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import langid
@@ -26,12 +28,58 @@ def test_sample_of_each_language_is_bounded(spark, monkeypatch):
     assert not np.array_equal(langid.fit(docs, path, sample_docs=400)[1][:, 0], langid.fit(docs, path, sample_docs=4000)[1][:, 0])
 
 
-def test_long_words_teach_by_their_stretches():
-    pieces = langid.vocabulary(langid.vocabulary_path())
-    word = "ab" * 40
-    got = langid.fit_pieces(Counter({word: 3}), pieces)
-    assert not np.allclose(got, 1 / len(pieces))
-    parts = Counter(langid.stretches(word))
-    assert [len(p) for p in langid.stretches(word)] == [32, 32, 17] and "".join(langid.stretches(word)) == "▁" + word
-    used = {p for p in pieces if any(p in s for s in parts)}
-    assert max(pieces, key=lambda p: got[pieces[p]]) in used
+def test_rows_of_one_id_are_sampled_by_their_texts(spark):
+    rows = [(None, f"text number {'abcdefghij'[i % 10]} {i}", "a") for i in range(3000)] + [(i, "other words", "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = langid.vocabulary_path()
+    languages, table = langid.fit(docs, path, sample_docs=300)
+    assert languages == ["a", "b"]
+    assert not np.array_equal(table[:, 0], langid.fit(docs, path, sample_docs=3000)[1][:, 0])
+
+
+def exact_log(word, pieces, chance):
+    """ln P(word) in whole numbers' fractions: every segmentation, at any length."""
+    marked, own = "▁" + word, [Fraction(float(c)) for c in chance]
+    unknown = Fraction(langid.UNKNOWN)
+    alpha = [Fraction(1)] + [Fraction(0)] * len(marked)
+    for j in range(1, len(marked) + 1):
+        for i in range(max(0, j - langid.LONGEST), j):
+            piece = marked[i:j]
+            if piece in pieces:
+                alpha[j] += alpha[i] * own[pieces[piece]]
+            elif j - i == 1:
+                alpha[j] += alpha[i] * unknown
+    return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 31, 32, 40, 200, 1000])
+def test_words_of_any_length(n):
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "abab", "abababababababab", "bb"])}
+    r = np.random.default_rng(n)
+    chance = r.random((len(pieces), 2)) / 50
+    word = "".join(r.choice(list("abx"), n, p=[0.55, 0.4, 0.05]))
+    got = langid.word_scores([word, "b" * n], pieces, langid._table(chance))
+    want = [[exact_log(w, pieces, chance[:, k]) for k in range(2)] for w in (word, "b" * n)]
+    assert got == pytest.approx(np.array(want), rel=1e-10)
+
+
+@pytest.mark.parametrize("n", [5, 16, 33, 70])
+def test_expected_pieces_are_the_gradient(n):
+    """d ln P / d ln p(piece) is how often the piece is expected, at any length."""
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "abab"])}
+    r = np.random.default_rng(n)
+    chance = r.random((len(pieces), 1))
+    words, weights = ["".join(r.choice(list("ab"), n)), "ab" * (n // 2) + "x"], np.array([2.0, 3.0])
+    got = langid.expected_pieces(words, weights, pieces, langid._table(chance))
+    for k in range(len(pieces)):
+        up, down = chance.copy(), chance.copy()
+        up[k] *= math.exp(1e-5)
+        down[k] *= math.exp(-1e-5)
+        slope = (langid.word_scores(words, pieces, langid._table(up)) - langid.word_scores(words, pieces, langid._table(down)))[:, 0] / 2e-5
+        assert got[k] == pytest.approx(weights @ slope, rel=1e-4, abs=1e-4)
+
+
+def test_long_words_teach_and_tell(spark):
+    rows = [(i, "abcd" * 50 if i % 2 else "dcba" * 50, "x" if i % 2 else "y") for i in range(40)]
+    found = langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {(r["doc_id"] % 2, r["lang_pred"]) for r in found} == {(1, "x"), (0, "y")}
