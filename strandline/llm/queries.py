@@ -66,7 +66,8 @@ def oracle_sql() -> dict[str, str]:
     """The others have no SQL: hashes that DuckDB lacks, tokenizers, fitted models, random rounding. Their tests have brute force."""
     return {
         "op10_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+            SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+                   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     }

@@ -9,7 +9,7 @@ from strandline.llm import exact_dedup, queries, sharding
 from tests.llm.conftest import rows
 
 
-@pytest.mark.parametrize(("runs", "fan_in", "keep"), [(64, 8, "largest"), (1, 2, "largest"), (5, 2, "smallest")])
+@pytest.mark.parametrize(("runs", "fan_in", "keep"), [(None, 2, "largest"), (64, 8, "largest"), (1, 2, "largest"), (5, 2, "smallest"), (7, 3, "largest")])
 def test_exact_groups(docs, runs, fan_in, keep):
     groups = defaultdict(list)
     for r in rows():
@@ -29,6 +29,42 @@ def test_exact_groups(docs, runs, fan_in, keep):
     assert kept == Counter(dict.fromkeys(by_hash, 1))
 
 
+def test_exact_sql_on_repeated_rows(spark):
+    """Rows that repeat whole, rows of one id with different texts, null ids and texts: the SQL agrees on every row."""
+    some = [(i % 7 if i % 5 else None, None if i % 11 == 0 else f"text {i % 3}") for i in range(200)] + [(3, "alone")] * 4 + [(9, "")] * 3
+    table = spark.createDataFrame(some, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    want = con.sql(queries.oracle_sql()["op10_exact_dedup"])
+    got = exact_dedup.exact_groups(table).select(want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+
+
+def test_runs_are_sorted_and_merged(spark, monkeypatch):
+    """Each level is in digest order within its range and run, one entry per digest; the plans sort, and group nothing by hash."""
+    table = spark.range(3000).selectExpr("id AS doc_id", "concat('t', if(id % 3 = 0, 0, id % 700)) AS text")
+    rows = exact_dedup.settled(exact_dedup.digest_rows(table, "doc_id", "text"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    runs = exact_dedup.sorted_runs(rows, 8, 4, "largest")
+    assert "Sort [" in plan(runs) and "HashAggregate" not in plan(runs)
+    level, n = exact_dedup.settled(runs).filter("_n IS NOT NULL").select("_part", "_run", *exact_dedup.DIGEST, "_id", "_n"), 8
+    sizes = []
+    while True:
+        found = level.collect()
+        sizes.append(len(found))
+        assert sum(r["_n"] for r in found) == 3000
+        runs_seen = defaultdict(list)
+        for r in found:
+            runs_seen[r["_part"], r["_run"]].append(bytes(r["_sha"]))
+        assert all(x == sorted(set(x)) for x in runs_seen.values()) and len({r for _, r in runs_seen}) <= n
+        if n == 1:
+            break
+        merged = exact_dedup.merge_round(level, 2, "largest")
+        assert "Sort [" in plan(merged) and "HashAggregate" not in plan(merged)
+        level, n = exact_dedup.settled(merged), n // 2
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) == 4 and sizes[-1] == len({0 if i % 3 == 0 else i % 700 for i in range(3000)})
+
+
 def test_exact_dedup_keeps_columns(docs, empty):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
