@@ -2,15 +2,19 @@
 
 Texts and templates become shingles of five words (lower case, without punctuation). For each size class m = 4, 8, 16 ... the
 shingles of a text fall into blocks of m; every two neighbouring blocks are a window, so that any place of a template of at most
-m shingles lies within a window. A template with at least 0.8 of its shingles in a window of 2 m has a Jaccard similarity of
-1/8 or more with it; with one row a band and 64 bands, a band agrees with a probability of at least 1 - (7/8)^64 = 0.9998 for the
-shortest templates (1 shingle), and 1 - 0.8^64 = 0.9999994 for those of 5 and more. A template that a band retrieves is verified:
-the share of its shingles found in the window, widened by the template's length on both sides, must be 0.8 or more.
+m shingles lies within a window. With one row a band and 64 bands, a window with Jaccard similarity s agrees in a band with a
+probability of 1 - (1 - s)^64. A template (n shingles, m below 2 n) with at least 0.8 of its shingles in a window has s of 1/8 or
+more there: 0.9998. One that inserted text has torn in two has at least half of them in a window, s of 1/9 and more: 0.9995;
+torn in four, s of 1/17 in each of four windows: 0.98 for each, 0.999 for one of them.
+
+A template that any window retrieves is verified exactly: where a window, widened by the template's length on both sides, has 0.8
+or more of its shingles, that place is reported; where none has, the whole text is looked at, and the template is reported from
+its first shingle to its last if 0.8 or more of its shingles are in the text.
 
 Templates are a parameter: name to text, at least five words each, a bounded set sent to the workers.
 
 Defined cases: a null or empty text, and one of under five words, has no license; a template is reported once per text, at its
-best place (the first on a tie); repeated rows get equal results; an empty table gives an empty table; extra columns are ignored.
+best unbroken place (the first on a tie) if it has one; repeated rows get equal results; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,20 @@ from .common import bytes_of
 
 SHINGLE, LEAST, BANDS, SMALLEST = 5, 0.8, 64, 4
 #: Public license notices (fixed values).
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0",
     "MIT line": "Released under the MIT License",
@@ -44,6 +62,32 @@ TEMPLATES = {
     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+    "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+    "available at https://www.eclipse.org/legal/epl-2.0/",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+    "above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+    "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+    "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+    "SOFTWARE.",
+    "BSD-2-Clause": _BSD + _BSD_WARRANTY,
+    "BSD-3-Clause": _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. " + _BSD_WARRANTY,
+    "MIT warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+    "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+    "any means.",
+    "CC0-1.0 notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+    "software to the public domain worldwide. This software is distributed without any warranty.",
 }
 _PUNCTUATION = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -129,13 +173,20 @@ class Scanner:
         if not len(hashes):
             return []
         best: dict[int, tuple[float, int, int]] = {}
-        for t, a, b in self.retrieved(hashes):
+        found = self.retrieved(hashes)
+        for t, a, b in found:
             own = self.sets[t]
             a, b = max(0, a - len(own)), min(len(hashes), b + len(own))
             at = np.flatnonzero(np.isin(hashes[a:b], own))
             share = len(np.unique(hashes[a + at])) / len(own)
             if share >= LEAST and share > best.get(t, (0.0,))[0]:
                 best[t] = (share, int(a + at[0]), int(a + at[-1]) + SHINGLE)
+        for t in {t for t, _, _ in found}.difference(best):  # no unbroken place
+            own = self.sets[t]
+            at = np.flatnonzero(np.isin(hashes, own))
+            share = len(np.unique(hashes[at])) / len(own)
+            if share >= LEAST:
+                best[t] = (share, int(at[0]), int(at[-1]) + SHINGLE)
         return [(self.names[t], *best[t]) for t in sorted(best)]
 
 

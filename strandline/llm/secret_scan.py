@@ -3,11 +3,13 @@
 The rules' regular expressions (bytes; literals, classes, groups, |, ?, *, +, {m,}) become one nondeterministic automaton that may
 start anywhere; subset construction makes it deterministic over classes of bytes, and partition refinement minimises it. Its
 transition array and the rules that each state accepts are built once and sent to the workers. A text is read once, byte by
-byte, for all rules together; only where the automaton accepts is the rule itself matched, for exact spans.
+byte, for all rules together. The automaton is a prefilter: a rule that it accepts somewhere in a text is matched there by ``re``
+over the whole text, for exact spans; for all other rules (and nearly all texts) the one pass is all.
 
 Two kinds of spans are returned. Base spans are the leftmost matches, not overlapping within a rule, of its plain form, without
 those that are too short; the spans that the automaton adds are matches of the strict form elsewhere (such as a secret behind
-a short value that the plain form had swallowed) and of the rules that have no plain form.
+a short value that the plain form had swallowed) and of the rules that have no plain form: public token formats, and private
+keys from the first line to the last (the first line alone where the last is missing). All steps are linear in the text.
 
 Defined cases: a null text counts as empty; repeated rows get equal results; an empty table gives an empty table; extra columns
 are ignored. Spans are in code points, end exclusive.
@@ -30,13 +32,17 @@ from .common import bytes_of
 
 @dataclass(frozen=True)
 class Rule:
-    """``strict`` is what the automaton looks for. With ``plain``, base spans are its matches with ``least`` characters in ``group``."""
+    """``strict`` is what added spans match. With ``plain``, base spans are its matches with ``least`` characters in ``group``.
+
+    The automaton looks for ``seek``, which each strict match begins with, or else for ``strict`` itself.
+    """
 
     kind: str
     strict: str
     plain: str | None = None
     group: int = 0
     least: int = 0
+    seek: str | None = None
 
 
 def either_case(word: str) -> str:
@@ -45,11 +51,19 @@ def either_case(word: str) -> str:
 
 _KEYWORD = "(" + "|".join([*map(either_case, ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")]) + ")"
 _ASSIGN = _KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
+_PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
 RULES = (
     Rule("assign", _ASSIGN + "{6,})", _ASSIGN + "+)", group=2, least=6),
     Rule("access", "AKIA[A-Z0-9]{16,}", "AKIA[A-Z0-9]+", least=20),
     Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]+", least=24),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM + r"(?:(?:[\x09-\x0D\x20A-Za-z0-9+/=:,]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----)?", seek=_PEM),
+    # public formats of service tokens (fixed values)
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", seek="gh[pousr]_[A-Za-z0-9]"),
+    Rule("github_fine", "github_pat_[A-Za-z0-9_]{22,}", seek="github_pat_"),
+    Rule("slack", "xox[abeoprs]-[A-Za-z0-9-]{10,}", seek="xox[abeoprs]-"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35}", seek="AIza"),
+    Rule("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", seek="[rs]k_(live|test)_"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", seek=r"eyJ[A-Za-z0-9_-]+\.eyJ"),
 )
 
 
@@ -251,10 +265,14 @@ def accepted_rules(data: bytes, dfa: Automaton) -> int:
     return found
 
 
+def sought(rules: tuple[Rule, ...]) -> tuple[str, ...]:
+    return tuple(r.seek or r.strict for r in rules)
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES, dfa: Automaton | None = None):
         self.rules = rules
-        self.dfa = dfa or automaton(tuple(r.strict for r in rules))
+        self.dfa = dfa or automaton(sought(rules))
         self.strict = [re.compile(r.strict.encode()) for r in rules]
         self.plain = [r.plain and re.compile(r.plain.encode()) for r in rules]
 
@@ -270,12 +288,16 @@ class Scanner:
                 continue
             base = [m.span() for m in self.plain[k].finditer(data) if m.end(rule.group) - m.start(rule.group) >= rule.least] if self.plain[k] else []
             out += [(k, a, b, True) for a, b in base]
+            at = 0  # both lists ascend and neither overlaps itself: they are merged
             for m in self.strict[k].finditer(data):
                 a, b = m.span()
-                if not any(a < y and x < b for x, y in base):
+                while at < len(base) and base[at][1] <= a:
+                    at += 1
+                if at == len(base) or base[at][0] >= b:
                     out.append((k, a, b, False))
-        if len(data) != len(text or ""):  # bytes to code points
-            out = [(k, len(data[:a].decode("utf-8", "surrogatepass")), len(data[:b].decode("utf-8", "surrogatepass")), base) for k, a, b, base in out]
+        if len(data) != len(text or ""):  # bytes to code points: how many begin before
+            before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            out = [(k, int(before[a]), int(before[b]), base) for k, a, b, base in out]
         return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
@@ -285,7 +307,7 @@ _SPAN = pa.struct([("rule", pa.int32()), ("start", pa.int64()), ("end", pa.int64
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and secrets, an array of struct<rule, start, end, base> with rule numbers from 0."""
-    dfa = docs.sparkSession.sparkContext.broadcast(automaton(tuple(r.strict for r in rules)))  # as large as the rules make it
+    dfa = docs.sparkSession.sparkContext.broadcast(automaton(sought(rules)))  # as large as the rules make it
 
     def find(texts: pa.Array) -> pa.Array:
         scanner = Scanner(rules, dfa.value)
