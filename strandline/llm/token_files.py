@@ -1,14 +1,15 @@
 """Token ids in binary files: one concatenated id array per file, document boundaries in Elias-Fano form.
 
 A file holds documents in ascending id order. Both of its ascending sequences, the boundaries in the id array and the document
-ids, are Elias-Fano coded: about 2 + log2(range / n) bits each, with a sampled select structure, so that offset number i is
-read without a table of 64-bit numbers. Layout, little-endian: the header (see HEADER), the boundaries, the document ids, the
+ids, are Elias-Fano coded: about 2 + log2(range / n) bits each, with a sampled select structure, so that offsets number a to b are
+read from the bits between two samples, without a table of all numbers. Layout, little-endian: the header (see HEADER), the boundaries, the document ids, the
 token ids (16 bits each where all ids fit, else 32).
 
 Files are written by Spark tasks, into the shared folder or one given, through pyarrow's file systems: under a temporary name
 first, then moved, so that a repeated or doubled task leaves one whole file. A manifest has each file's documents and ids;
 running totals of it give each file's first id number. One task holds one file's documents at a time, at most about
-``IDS_PER_FILE`` ids and one text more.
+``IDS_PER_FILE`` ids and one text more. Rows are dealt by ranges of (id, text's hash, place), so that an id with a third of all
+rows is spread over tasks and files, still in ascending order.
 
 Defined cases: a null text counts as empty (only the end id); null document ids come first (their number is in the header);
 repeated ids keep their rows, ordered by the text's hash; an empty table writes no file; extra columns are ignored.
@@ -33,6 +34,8 @@ MAGIC = b"EFTK0001"
 HEADER = struct.Struct("<8sIIqQQ")
 PART = struct.Struct("<QQI")
 IDS_PER_FILE = 1 << 22
+#: The most files that one reading task opens, one after the other.
+FILES_PER_TASK = 16
 #: A select sample for each so many values.
 SAMPLE = 256
 
@@ -72,26 +75,29 @@ class EliasFano:
         out = cls(n, top, low_bits, bytes(data[at : at + a]), bytes(data[at + a : at + a + b]), np.frombuffer(data[at + a + b : at + a + b + 4 * c], "<u4"))
         return out, at + a + b + 4 * c
 
-    def values(self) -> np.ndarray:
-        at = np.flatnonzero(_bits(self.high, 8 * len(self.high)))[: self.n].astype(np.uint64)
-        out = (at - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
+    def selects(self, a: int, b: int) -> np.ndarray:
+        """Values number a to b (exclusive), from the sample before a on; only the bits up to the sample after b are looked at."""
+        a, b = max(a, 0), min(b, self.n)
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first, after = a // SAMPLE, -(-b // SAMPLE)
+        begin = int(self.samples[first])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        window = _bits(self.high[begin >> 3 : -(-end >> 3)], 8 * len(self.high))
+        window[: begin & 7] = 0
+        at = np.flatnonzero(window)[a - first * SAMPLE : b - first * SAMPLE] + (begin >> 3 << 3)
+        out = (at - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            wide = _bits(self.low, self.n * self.low_bits).reshape(self.n, self.low_bits).astype(np.uint64)
-            out |= (wide << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            begin, end = a * self.low_bits, b * self.low_bits
+            wide = _bits(self.low[begin >> 3 : -(-end >> 3)], end - (begin >> 3 << 3))[begin & 7 :]
+            out |= (wide.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return out
 
     def select(self, i: int) -> int:
-        """Value number i, from the nearest sample on."""
+        """Value number i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        while left:
-            at += 1
-            left -= self.high[at >> 3] >> (at & 7) & 1
-        low, first = 0, i * self.low_bits
-        for k in range(self.low_bits):
-            low |= (self.low[first + k >> 3] >> (first + k & 7) & 1) << k
-        return (at - i) << self.low_bits | low
+        return int(self.selects(i, i + 1)[0])
 
 
 def pack_file(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -115,16 +121,22 @@ class TokenFile:
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.ends, at = EliasFano.from_bytes(view, HEADER.size)
-        names, at = EliasFano.from_bytes(view, at)
-        self.doc_ids = [None] * nulls + [int(x) + least for x in names.values()]
+        self.names, at = EliasFano.from_bytes(view, at)
+        self.nulls, self.least = nulls, least
         self.ids = np.frombuffer(view[at:], "<u2" if width == 2 else "<u4")
 
-    def span(self, i: int) -> tuple[int, int]:
-        return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
+    def spans(self, a: int, b: int) -> np.ndarray:
+        """The offsets of documents a to b (exclusive): where each begins, and where the last ends."""
+        before = self.ends.selects(a - 1, b).astype(np.int64)
+        return before if a else np.concatenate([[0], before])
+
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        named = self.names.selects(a - self.nulls, b - self.nulls)
+        return [None] * (b - a - len(named)) + [int(x) + self.least for x in named]
 
     def document(self, i: int) -> np.ndarray:
-        a, b = self.span(i)
-        return self.ids[a:b]
+        begin, end = self.spans(i, i + 1).tolist()
+        return self.ids[begin:end]
 
 
 def _files(uri: str):
@@ -183,9 +195,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, id_c
         files, numbers, n_docs, n_ids = zip(*made) if made else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), *[pa.array(x, pa.int64()) for x in (numbers, n_docs, n_ids)]], names=["file", "part", "docs", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # by ranges of the id alone: rows of one id stay together, and only the narrow id is sampled
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange("id", "hash", "place").sortWithinPartitions("id", "hash").select("id", "text")
     return settled(dealt.mapInArrow(write_part, MANIFEST))
 
 
@@ -198,14 +209,16 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_file(file) as source:
                     held = TokenFile(source.read())
-                ends = held.ends.values().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 for at in range(0, held.n_docs, 512):
-                    some = range(at, min(at + 512, held.n_docs))
-                    ids = [held.ids[begins[i] : ends[i]].astype("<u4").tobytes() for i in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(held.doc_ids[at : at + 512], pa.int64()), pa.array(begins[at : at + 512] + base), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
-
-    return _with_base(manifest).select("file", "base").repartition("file").mapInArrow(read_files, "doc_id long, start long, ids binary")
+                    after = min(at + 512, held.n_docs)
+                    offsets = held.spans(at, after)
+                    ids = [held.ids[x:y].astype("<u4").tobytes() for x, y in zip(offsets, offsets[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(held.doc_ids(at, after), pa.int64()), pa.array(offsets[:-1] + base), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+
+    based = settled(_with_base(manifest).select("file", "base"))
+    files, cores = based.count(), manifest.sparkSession.sparkContext.defaultParallelism
+    # a number of partitions that is asked for isn't coalesced: names are small, files aren't
+    return based.repartition(max(1, min(files, max(4 * cores, -(-files // FILES_PER_TASK))))).mapInArrow(read_files, "doc_id long, start long, ids binary")
 
 
 def _with_base(manifest: DataFrame) -> DataFrame:

@@ -43,7 +43,10 @@ def test_elias_fano(steps, scale):
     made = token_files.EliasFano.of(values)
     read, end = token_files.EliasFano.from_bytes(memoryview(made.to_bytes()), 0)
     assert end == len(made.to_bytes())
-    assert read.values().tolist() == values.tolist() == [read.select(i) for i in range(len(values))]
+    n = len(values)
+    assert read.selects(0, n).tolist() == values.tolist() == [read.select(i) for i in range(n)]
+    for a, b in [(0, 1), (n // 3, n // 2), (255, 258), (256, 512), (n - 1, n), (-1, 5), (n // 2, n + 9), (5, 5)]:
+        assert read.selects(a, b).tolist() == values[max(a, 0) : max(b, 0)].tolist()
     if len(values) > 100:
         assert len(made.low) + len(made.high) <= len(values) * (2 + max(0, np.log2(max(values[-1], 1) / len(values)) + 1)) / 8 + 3
 
@@ -63,9 +66,26 @@ def test_token_files(docs, empty, monkeypatch, tmp_path):
     assert len(files) > 1
     one = token_files.TokenFile(files[0].read_bytes())
     assert sum(len(one.document(i)) for i in range(one.n_docs)) == one.n_ids
+    for a, b in [(0, one.n_docs), (1, 3), (one.n_docs - 2, one.n_docs)]:
+        assert one.doc_ids(a, b) == [one.doc_ids(i, i + 1)[0] for i in range(a, b)]
     assert token_files.round_trip(empty).count() == 0
 
 
+def test_reading_uses_many_tasks_and_a_hot_id_many_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "IDS_PER_FILE", 500)
+    table = spark.range(400).selectExpr("if(id % 2 = 0, 7L, id) AS doc_id", "repeat(concat('word', id, ' '), 20) AS text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would join so small a table's partitions
+    try:
+        manifest = token_files.write(table, str(tmp_path), tokenizer_path("byte_bpe_50k.json"), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.select((manifest["part"] / (1 << 20)).cast("int")).distinct().count() > 2  # tasks that wrote
+    read = token_files.read(manifest, str(tmp_path))
+    assert read.rdd.getNumPartitions() >= min(manifest.count(), 4)
+    found = sorted(read.collect(), key=lambda r: r["start"])
+    assert len(found) == 400 and [r["doc_id"] for r in found] == sorted(r["doc_id"] for r in found)
+
+
 def test_cuts():
     for n in [*range(1, 300), 4095, 4096, 4097, 9000]:
         own = packing.cuts(n, 4096, 1 / 64)
