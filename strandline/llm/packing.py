@@ -7,7 +7,8 @@ more than ``waste`` of its class's sequence empty. So sequences of every class a
 
 Numbers within a class come from counts of (class, bucket) and their running totals, buckets being hashes of the piece, about
 ``BUCKET_ROWS`` rows each. Only the last, unfilled sequence of each class is left: fewer than k pieces for each class, whatever
-the input, at most ``LEFT`` together; one task packs those by first fit in descending order.
+the input: the sum of k - 1 over the classes that whole lengths have, 21,297 at a capacity of 4,096; one task packs those by first
+fit in descending order.
 
 Defined cases: a null text counts as empty (a piece of the end id alone); repeated rows are packed once each; null ids sort as
 any other value; an empty table gives an empty table; extra columns are ignored.
