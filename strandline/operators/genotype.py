@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import prob
+from .groups import per_group
 
 
 def genotypes(counts: DataFrame, most: int = 999) -> DataFrame:
@@ -30,16 +33,44 @@ def joint_quality(scored: DataFrame, key: str, most: int = 999) -> DataFrame:
     return scored.groupBy(key).agg(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), prob.phred(product))).alias("qual"))
 
 
+REF, ALT, OVERLAP = 0, 1, 2
+NATIVE, GUEST, BLOCKED = 0, 1, 2
+
+
 def best_alleles(scores: DataFrame) -> DataFrame:
-    """scores (read, condition, allele, score; allele 0 is the reference): the allele a read supports.
+    """scores (read, condition, allele, score; alleles REF, ALT, OVERLAP): what each read supports: (read, condition, allele, score, tie).
 
-    Within a condition the best score wins; across conditions, others before the reference, then the score; nulls last, then
-    condition and allele.
+    Optional columns, one value a read: ``reserved``, the allele of the haplotype that an earlier variant has given the read (null:
+    none), and ``alt_on_top``, whether ALT lies on the sample's first haplotype (so by default).
+
+    Within a condition the best score wins, nulls last, then the lower allele. Equal first and second scores (two nulls are equal) are
+    a tie; one of ALT and OVERLAP goes to the reserved allele or, without one, to OVERLAP if ALT isn't on top. Scores below 0 are
+    null from here on. Conditions are in order: other alleles before the reference, whatever their scores, then the score, nulls
+    last, then the number. If the first is a tie, the first later one without a tie takes its place if it has a score and the allele that the
+    first's winner tied with. A read whose winner has no score is left out.
     """
-    in_condition = Window.partitionBy("read", "condition").orderBy(F.col("score").desc_nulls_last(), "allele")
-    first = scores.withColumn("_r", F.row_number().over(in_condition)).filter("_r = 1")
-    across = Window.partitionBy("read").orderBy(F.when(F.col("allele") > 0, 0).otherwise(1), F.col("score").desc_nulls_last(), "condition", "allele")
-    return first.withColumn("_r", F.row_number().over(across)).filter("_r = 1").select("read", "condition", "allele", "score")
+    extra = {"reserved": F.lit(None).cast("long"), "alt_on_top": F.lit(True)}
+    for name, value in extra.items():
+        if name not in scores.columns:
+            scores = scores.withColumn(name, value)
+    of = lambda a: F.max(F.when(F.col("allele") == a, F.col("score")))
+    each = scores.groupBy("read", "condition").agg(of(REF).alias("r"), of(ALT).alias("a"), of(OVERLAP).alias("o"), F.bool_or(F.col("allele") == OVERLAP).alias("_o"), F.max("reserved").alias("reserved"), F.bool_and("alt_on_top").alias("alt_on_top"))
+    entry = lambda allele, c: F.struct((-F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))).alias("down"), F.lit(allele).alias("allele"), F.col(c).alias("score"))
+    ranked = F.sort_array(F.when(F.col("_o"), F.array(entry(REF, "r"), entry(ALT, "a"), entry(OVERLAP, "o"))).otherwise(F.array(entry(REF, "r"), entry(ALT, "a"))))
+    each = each.withColumn("_s", ranked).withColumn("_1", F.col("_s")[0]).withColumn("_2", F.col("_s")[1])
+    tied = F.col("_1.down") == F.col("_2.down")
+    others = tied & (F.col("_1.allele") != REF) & (F.col("_2.allele") != REF)
+    second = others & F.when(F.col("reserved").isNotNull(), F.col("_2.allele") == F.col("reserved")).otherwise(~F.col("alt_on_top") & (F.col("_1.allele") == ALT))
+    pick = lambda field: F.when(second, F.col(f"_2.{field}")).otherwise(F.col(f"_1.{field}"))
+    won = F.when(pick("score") >= 0, pick("score"))
+    each = each.select("read", "condition", pick("allele").alias("allele"), won.alias("score"), F.when(tied, F.when(second, F.col("_1.allele")).otherwise(F.col("_2.allele"))).alias("with"))
+    order = F.struct((F.col("allele") == REF).alias("is_ref"), (-F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))).alias("down"), "condition", "allele", "score", "with")
+    listed = each.groupBy("read").agg(F.sort_array(F.collect_list(order)).alias("all"))  # four conditions at most
+    first = F.col("all")[0]
+    untied = F.try_element_at(F.filter(F.slice("all", 2, 1 << 30), lambda c: c["with"].isNull()), F.lit(1))
+    instead = first["with"].isNotNull() & untied["score"].isNotNull() & (untied["allele"] == first["with"])
+    chosen = listed.select("read", F.when(F.coalesce(instead, F.lit(False)), untied).otherwise(first).alias("c"))
+    return chosen.filter("c.score is not null").select("read", "c.condition", F.col("c.allele").cast("long").alias("allele"), "c.score", F.col("c.with").isNotNull().alias("tie"))
 
 
 def allele_counts(assigned: DataFrame) -> DataFrame:
@@ -48,6 +79,55 @@ def allele_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("sv", "sample").agg(count(0).alias("ref"), count(1).alias("alt"), count(2).alias("overlap"))
 
 
+def sample_sv_order(svs: DataFrame, native: DataFrame, ploidies: DataFrame) -> DataFrame:
+    """In which order a sample's variants are evaluated: (group, sample, sv, relation, place).
+
+    svs (group, sv, haplotype; sv in the group's order), native (group, sample, haplotype, rank: the sample's own haplotypes in
+    order), ploidies (group, sample, ploidy). Variants of the sample's own haplotypes come first, by haplotype, then sv, as NATIVE; all
+    others follow by sv, as BLOCKED if the sample has as many haplotypes as its ploidy, else as GUEST.
+    """
+    own = native.join(svs, ["group", "haplotype"]).groupBy("group", "sample", "sv").agg(F.min("rank").alias("rank"))
+    full = native.groupBy("group", "sample").agg(F.countDistinct("rank").alias("_n"))
+    every = ploidies.join(svs.select("group", "sv").distinct(), "group").join(full, ["group", "sample"], "left").join(own, ["group", "sample", "sv"], "left")
+    relation = F.when(F.col("rank").isNotNull(), NATIVE).when(F.coalesce("_n", F.lit(0)) >= F.col("ploidy"), BLOCKED).otherwise(GUEST)
+    order = Window.partitionBy("group", "sample").orderBy(F.col("rank").asc_nulls_last(), "sv")
+    return every.select("group", "sample", "sv", relation.cast("long").alias("relation"), (F.row_number().over(order) - 1).cast("long").alias("place"))
+
+
+def reserved_counts(assigned: DataFrame, passes: int = 1) -> DataFrame:
+    """Allele counts in which a read supports one haplotype only: (sv, sample, ref, alt, overlap).
+
+    assigned (group, sample, place, sv, haplotype, other, shared, qname, allele, tie, relation): reads' alleles in the order of
+    ``sample_sv_order``; ``other`` is the overlapping allele's haplotype, ``shared`` says that the variant is on both of the
+    sample's haplotypes. Reference reads, ties and those of shared variants always count and reserve nothing. An ALT (OVERLAP) read
+    must agree with the haplotype that its qname has, or gets the variant's (the other's). OVERLAP counts as ALT where shared.
+    With two passes, as for samples of several haplotypes, the second counts with all that the first reserved. A BLOCKED variant has
+    as many reference reads as the sample's best native one has reads.
+    """
+    kinds = "group long, sample long, sv long, relation long, ref long, alt long, overlap long"
+
+    def count(rows: Iterable[dict]) -> Iterator[tuple]:
+        rows = list(rows)  # the reads at one group of variants in one sample
+        held: dict[str, int] = {}
+        for _ in range(passes):
+            counts: dict[tuple, list[int]] = {}
+            for r in rows:
+                own = counts.setdefault((r["group"], r["sample"], r["sv"], r["relation"]), [0, 0, 0])
+                if r["relation"] == BLOCKED or r["allele"] is None:
+                    continue
+                if not (r["tie"] or r["shared"] or r["allele"] == REF):
+                    mine = r["haplotype"] if r["allele"] == ALT else r["other"]
+                    if mine is None or held.setdefault(r["qname"], mine) != mine:
+                        continue
+                own[ALT if r["allele"] == OVERLAP and r["shared"] else r["allele"]] += 1
+        most = max((sum(c) for k, c in counts.items() if k[3] == NATIVE), default=0)
+        for key, own in counts.items():
+            yield (*key, *([most, 0, 0] if key[3] == BLOCKED else own))
+
+    typed = assigned.select(*[F.col(c).cast("long").alias(c) for c in ("group", "sample", "place", "sv", "haplotype", "other", "allele", "relation")], "shared", "tie", "qname")
+    return per_group(typed, ["group", "sample"], ["place", "sv", "qname"], count, kinds).select("sv", "sample", "ref", "alt", "overlap")
+
+
 def guest_haplotypes(scores: DataFrame, least: int = 2) -> DataFrame:
     """scores (group, sample, haplotype, score): the haplotype with the highest mean (to nine decimals), count, lowest index."""
     means = scores.groupBy("group", "sample", "haplotype").agg(F.floor(F.avg("score") * 1_000_000_000).cast("long").alias("mean"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)

@@ -1,33 +1,30 @@
-"""Sequential recurrences over many small groups: sorted partitions are read as streams, one group's rows in memory at a time."""
+"""Sequential recurrences over many groups: sorted partitions are read as streams, row by row, with only a group's state in memory."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Rows of a batch that is handed back.
+BATCH = 4096
 
-def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], visit: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
-    """``visit`` gets each key's rows (as dicts, in ``order``, which should be total) and returns rows of ``schema``.
 
-    Spark deals and sorts; unlike one pandas call per group, thousands of small groups share a batch.
+def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], visit: Callable[[Iterator[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``visit`` gets each key's rows (an iterator of dicts, in ``order``, which should be total) and gives rows of ``schema``.
+
+    Spark deals and sorts; thousands of small groups share a batch, and a large one is never held whole. Null keys are keys.
     """
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def run(frames):
-        key, held = None, []
-        for frame in frames:
-            out: list[tuple] = []
-            for row in frame.to_dict("records"):
-                own = tuple(row[k] for k in keys)
-                if own != key and held:
-                    out += visit(held)
-                    held = []
-                key = own
-                held.append(row)
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(visit(held), columns=names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(batch.to_pylist() for batch in batches)
+        found = chain.from_iterable(visit(own) for _, own in groupby(rows, key=lambda r: tuple(r[k] for k in keys)))
+        while some := list(islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*some), arrow)], schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

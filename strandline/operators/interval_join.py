@@ -1,7 +1,10 @@
 """Joins of intervals: Spark has no range join, so both sides are dealt over buckets of the axis and meet by equality.
 
-Each interval is written once for each bucket it touches, so ``bucket`` should be about the length of most intervals. A pair that
-meets in several buckets is kept in the first that both touch. No side is collected; Spark chooses how the equality is joined.
+Buckets come in levels, each STEP times as wide as the one below. An interval's own level is the first whose buckets are as wide as
+the interval, so it touches two of them at most; it is also dealt over the wider levels that the other side's intervals have as
+their own, which one row about each side tells. A pair meets at the wider of its two levels, in the first bucket that both
+touch there: it is found once, and an interval of any length writes a few rows. No side is collected; Spark chooses how the
+equality is joined.
 """
 
 from __future__ import annotations
@@ -10,19 +13,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import intervals
 
 LEFT, RIGHT = "_l_", "_r_"
+STEP, LEVELS = 32, 6
 
 
-def _bucketed(df: DataFrame, mark: str, start: str, end: str, margin: int, bucket: int) -> DataFrame:
-    """Empty intervals touch no bucket."""
-    first = F.floor((F.col(start) - margin) / bucket).cast("long")
-    last = F.floor((F.col(end) + margin - 1) / bucket).cast("long")
-    named = df.withColumn(f"{mark}first", first)
-    return named.filter(F.col(start) - margin < F.col(end) + margin).withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _level(length: Column, bucket: int) -> Column:
+    """The first level with buckets of at least this length; the last one takes all beyond."""
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(length <= bucket * STEP**k, F.lit(k)).otherwise(out)
+    return out
+
+
+def _width(level: Column, bucket: int) -> Column:
+    return F.element_at(F.array(*[F.lit(bucket * STEP**k).cast("long") for k in range(LEVELS)]), (level + 1).cast("int"))
+
+
+def _bounded(df: DataFrame, start: str, end: str, margin: int) -> DataFrame:
+    """Adds _a, _b: the widened interval. Empty ones meet nothing."""
+    return df.withColumn("_a", F.col(start) - margin).withColumn("_b", F.col(end) + margin).filter("_a < _b")
+
+
+def _own_levels(df: DataFrame, start: str, end: str, margin: int, bucket: int) -> Column:
+    """One row: the levels that the intervals have as their own."""
+    spans = _bounded(df.select(start, end), start, end, margin)
+    return spans.agg(F.collect_set(_level(F.col("_b") - F.col("_a"), bucket))).scalar()
+
+
+def _bucketed(df: DataFrame, mark: str, start: str, end: str, margin: int, bucket: int, others: Column) -> DataFrame:
+    """The intervals at their own level and at the wider ones in ``others``: adds _level, _bucket and the mark's own level."""
+    named = _bounded(df, start, end, margin).withColumn(f"{mark}own", _level(F.col("_b") - F.col("_a"), bucket)).withColumn("_others", others)
+    wider = F.filter("_others", lambda k: k > F.col(f"{mark}own"))
+    each = named.withColumn("_level", F.explode(F.concat(F.array(F.col(f"{mark}own")), wider))).drop("_others")
+    width = _width(F.col("_level"), bucket)
+    each = each.withColumn(f"{mark}first", F.floor(F.col("_a") / width).cast("long"))
+    return each.withColumn("_bucket", F.explode(F.sequence(F.col(f"{mark}first"), F.floor((F.col("_b") - 1) / width).cast("long")))).drop("_a", "_b")
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("chrom",), bucket: int = 1000, margin: int = 0) -> DataFrame:
@@ -32,12 +60,13 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("chrom
     which come as start, end and right_start, right_end.
     """
     right = right.withColumnsRenamed({"start": "right_start", "end": "right_end"})
-    a = _bucketed(left, LEFT, "start", "end", margin, bucket)
-    b = _bucketed(right, RIGHT, "right_start", "right_end", 0, bucket)
-    met = a.join(b, [*by, "_bucket"])
+    a = _bucketed(left, LEFT, "start", "end", margin, bucket, _own_levels(right, "right_start", "right_end", 0, bucket))
+    b = _bucketed(right, RIGHT, "right_start", "right_end", 0, bucket, _own_levels(left, "start", "end", margin, bucket))
+    met = a.join(b, [*by, "_level", "_bucket"])
     meet = intervals.overlaps(F.col("start") - margin, F.col("end") + margin, F.col("right_start"), F.col("right_end"))
-    met = met.filter(meet & (F.col("_bucket") == F.greatest(f"{LEFT}first", f"{RIGHT}first")))
-    return met.drop("_bucket", f"{LEFT}first", f"{RIGHT}first")
+    widest = F.col("_level") == F.greatest(f"{LEFT}own", f"{RIGHT}own")
+    met = met.filter(meet & widest & (F.col("_bucket") == F.greatest(f"{LEFT}first", f"{RIGHT}first")))
+    return met.drop("_level", "_bucket", *[f"{m}{c}" for m in (LEFT, RIGHT) for c in ("own", "first")])
 
 
 def _touching(left: DataFrame, right: DataFrame, by: Sequence[str], bucket: int, margin: int, key: Sequence[str]) -> DataFrame:
@@ -56,10 +85,11 @@ def interval_anti(left: DataFrame, right: DataFrame, key: Sequence[str], by: Seq
 
 
 def point_join(points: DataFrame, right: DataFrame, pos: str = "pos", by: Sequence[str] = ("chrom",), bucket: int = 1000) -> DataFrame:
-    """All pairs of a point and an interval that holds it. A point has one bucket, so no pair is met twice."""
-    a = points.withColumn("_bucket", F.floor(F.col(pos) / bucket).cast("long"))
-    b = _bucketed(right, RIGHT, "start", "end", 0, bucket).drop(f"{RIGHT}first")
-    return a.join(b, [*by, "_bucket"]).filter(intervals.contains(F.col("start"), F.col("end"), F.col(pos))).drop("_bucket")
+    """All pairs of a point and an interval that holds it. A point is in one bucket of each level, so no pair is met twice."""
+    levels = _own_levels(right, "start", "end", 0, bucket)
+    a = points.withColumn("_level", F.explode(levels)).withColumn("_bucket", F.floor(F.col(pos) / _width(F.col("_level"), bucket)).cast("long"))
+    b = _bucketed(right, RIGHT, "start", "end", 0, bucket, F.array().cast("array<int>")).drop(f"{RIGHT}first", f"{RIGHT}own")
+    return a.join(b, [*by, "_level", "_bucket"]).filter(intervals.contains(F.col("start"), F.col("end"), F.col(pos))).drop("_level", "_bucket")
 
 
 DEFAULT_COPIES, HIGH = 2, 5
@@ -84,9 +114,3 @@ def unanimous_value(targets: DataFrame, regions: DataFrame, group: str, key: str
     agreed = all_of.agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.bool_and(F.col("_low").isNotNull()).alias("_all"))
     same = F.col("_all") & (F.col("_low") == F.col("_high"))
     return agreed.select(group, F.when(same, F.col("_low")).otherwise(F.lit(DEFAULT_COPIES)).cast("long").alias(value))
-
-
-def best_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of each key in a total order."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,14 +24,13 @@ def leader_pools(candidates: DataFrame, margin: int = 0, keys: tuple[str, ...] =
     placed = point_join(points, islands, "_pos", keys, bucket=10_000).select(*keys, "_s", "_e", "sample", "id", F.col("start").alias("island"))
     kinds = ", ".join(f"{k} long" for k in keys) + ", start long, end long, sample long, id long, pool long"
 
-    def pool(island: list[dict]) -> list[tuple]:
-        out, leader = [], None
+    def pool(island: Iterable[dict]) -> Iterator[tuple]:
+        leader = None
         for r in island:
             s, e = r["_s"], r["_e"]
             if leader is None or not (leader[0] - margin < e and s < leader[1] + margin):
                 leader = (s, e, r["id"])
-            out.append((*[r[k] for k in keys], s, e, r["sample"], r["id"], leader[2]))
-        return out
+            yield *[r[k] for k in keys], s, e, r["sample"], r["id"], leader[2]
 
     return per_group(placed, [*keys, "island"], ["_s", "_e", "sample", "id"], pool, kinds)
 
@@ -50,7 +51,8 @@ def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO
     later ones that are close to it and whose samples it doesn't have. One pool is one group.
     """
 
-    def merge(rows: list[dict]) -> list[tuple]:
+    def merge(pool: Iterable[dict]) -> list[tuple]:
+        rows = list(pool)
         owner, samples = list(range(len(rows))), [{r["sample"]} for r in rows]
         for i, a in enumerate(rows):
             if owner[i] != i:

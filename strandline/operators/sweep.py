@@ -61,11 +61,12 @@ def runs_between(flips: DataFrame, keys: Sequence[str], block: int = BLOCK) -> D
 def regions_where(changes: DataFrame, holds, keys: Sequence[str] = ("chrom",), block: int = BLOCK) -> DataFrame:
     """Maximal regions in which ``holds(depth)`` is true; changes: (keys, pos, delta), one row a position; it must not hold at 0.
 
-    The depth before and after a position tells whether a region opens or closes there, so no row looks at its neighbour.
+    The depth before and after a position tells whether a region opens or closes there, so no row looks at its neighbour. The
+    changes, and then the flips, are read twice (for blocks and within them): both narrow tables are settled.
     """
-    level = running_total(changes, keys, "pos", "delta", "_before", block)
+    level = running_total(settle(changes), keys, "pos", "delta", "_before", block)
     was, now = holds(F.col("_before")), holds(F.col("_before") + F.col("delta"))
-    return runs_between(level.filter(was != now).select(*keys, "pos", now.alias("opens")), keys, block)
+    return runs_between(settle(level.filter(was != now).select(*keys, "pos", now.alias("opens"))), keys, block)
 
 
 def regions_over(segments: DataFrame, most: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -83,8 +84,7 @@ def subtract(regions: DataFrame, holes: DataFrame, keys: Sequence[str] = ("chrom
     """What the union of ``regions`` covers and ``holes`` don't."""
     weigh = lambda df, w: edges(union(df, 0, keys), keys).withColumn("delta", F.col("delta") * w)
     both = weigh(regions, 1).unionByName(weigh(holes, 2)).groupBy(*keys, "pos").agg(F.sum("delta").alias("delta"))
-    both = settle(both.filter("delta <> 0"))  # a sweep reads its changes several times
-    return regions_where(both, lambda depth: depth == 1, keys)
+    return regions_where(both.filter("delta <> 0"), lambda depth: depth == 1, keys)
 
 
 def filled_union(regions: DataFrame, gap: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, variants
 from ..operators import cluster, evidence, pools
-from .views import view, with_views
+from .views import view, with_recursive, with_views
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -111,8 +111,12 @@ def breakpoint_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
-    ends = view(spark, d, "v_bpo").groupBy(F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), F.col("dir2").alias("dir")).agg(F.min("obs").alias("id"), F.count(F.lit(1)).alias("observations"))
-    return cluster.neighbour_pairs(ends, 5000)
+    """Ends of observations that share a position; their neighbours are the second ends of these."""
+    b = view(spark, d, "v_bpo").filter("obs % 3 <> 0")
+    ends = b.groupBy(F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), F.col("dir2").alias("dir")).agg(F.min("obs").alias("id"))
+    seen = b.join(ends.select("id", F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("dir").alias("dir2")), ["chrom1", "start1", "dir2"])
+    seen = seen.select("id", F.col("chrom2").alias("chrom"), F.col("start2").alias("start"), F.col("end2").alias("end"))
+    return cluster.neighbour_pairs(ends.withColumn("is_indel", F.col("id") % 4 == 1), seen, 5000)
 
 
 def large_insertions(spark: SparkSession, d: str) -> DataFrame:
@@ -190,9 +194,29 @@ ORACLES = {
     "assembly_regions": with_views("v_bpo", body="SELECT obs, CAST(CASE WHEN near THEN 1 ELSE 2 END AS BIGINT) AS region_count, CASE WHEN near THEN least(start1, start2) ELSE start1 END AS first_start, CASE WHEN near THEN greatest(end1, end2) ELSE end2 END AS last_end FROM (SELECT *, dir1 = 0 AND dir2 = 1 AND start2 - end1 <= 600 AS near FROM v_bpo)"),
     "standard_breakpoints": with_views("v_bpo", body="SELECT obs, start1 > start2 - 800 OR (start1 = start2 - 800 AND end1 > end2 - 800) OR (start1 = start2 - 800 AND end1 = end2 - 800 AND dir1 = 1 AND dir2 = 0) AS swapped FROM v_bpo"),
     "breakpoint_types": with_views("v_bpo", body=", t AS (SELECT *, start2 - start1 AS deleted, CASE WHEN obs % 50 = 0 THEN 'SBND' WHEN obs % 9 = 0 OR dir1 = dir2 THEN 'BND' WHEN dir1 = 1 THEN 'DUP' WHEN inserted > (start2 - start1) % 30 THEN 'INS' ELSE 'DEL' END AS type FROM v_bpo) SELECT obs, type, CASE WHEN obs % 2 = 0 AND ((type = 'DEL' AND deleted > 1000) OR type = 'DUP') THEN 'BND' ELSE type END AS record_type FROM t"),
-    "neighbour_pairs": with_views("v_bpo", body=", b AS (SELECT chrom1 AS chrom, start1 AS pos, dir2 AS dir, min(obs) AS id, count(*) AS n FROM v_bpo GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT l.id, n.id AS next_id, n.pos - l.pos AS gap, row_number() OVER (PARTITION BY l.id ORDER BY n.pos - l.pos, n.pos, n.id) AS k FROM b l JOIN b n ON l.dir = 1 AND n.dir = 0 AND l.chrom = n.chrom AND n.pos >= l.pos AND n.pos - l.pos <= 5000), g AS (SELECT id, next_id, gap, row_number() OVER (PARTITION BY next_id ORDER BY gap, id) AS k FROM f WHERE k = 1) SELECT id, next_id, gap FROM g WHERE k = 1"),
+    "neighbour_pairs": with_views("v_bpo", body=""", b AS (SELECT * FROM v_bpo WHERE obs % 3 <> 0), o AS (SELECT *, min(obs) OVER (PARTITION BY chrom1, start1, end1, dir2) AS id, count(*) OVER (PARTITION BY chrom1, start1, end1, dir2) AS n FROM b),
+        e AS (SELECT DISTINCT id, chrom1 AS chrom, start1 AS s, end1 AS e, dir2 AS dir FROM o WHERE n >= 2),
+        p AS (SELECT l.id, l.s AS ls, l.e AS le, n.id AS next_id, n.s AS ns, n.e AS ne FROM e l JOIN e n ON l.dir = 1 AND n.dir = 0 AND l.chrom = n.chrom AND (n.s > l.s OR (n.s = l.s AND n.e > l.e)) AND n.s - l.e <= 5000 AND NOT (l.id % 4 = 1 AND n.id % 4 = 1)),
+        f AS (SELECT p.id, ls, le, next_id, ns, ne, avg(greatest(ns - o.end2, o.start2 - ne, 0)) AS fit FROM p JOIN o ON o.id = p.id GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fit, ns, ne, next_id) AS k FROM f), g AS (SELECT *, row_number() OVER (PARTITION BY next_id ORDER BY fit, ls, le, id) AS m FROM k WHERE k = 1)
+        SELECT id, next_id, fit FROM g WHERE m = 1"""),
+    "large_insertions": with_recursive("v_bpo", body=""", o AS (SELECT obs AS id, chrom1 AS chrom, start1 AS pos, obs % 2 AS dir, row_number() OVER (PARTITION BY chrom1 ORDER BY start1, obs % 2, obs) AS i FROM v_bpo),
+        j AS (SELECT chrom, i, false AS emits, NULL::BIGINT AS root, id AS other, NULL::BIGINT AS start, pos AS "end", CASE WHEN dir = 0 THEN id END AS i0, CASE WHEN dir = 0 THEN pos END AS p0, CASE WHEN dir = 1 THEN id END AS i1, CASE WHEN dir = 1 THEN pos END AS p1 FROM o WHERE i = 1
+          UNION ALL SELECT chrom, i, near, oi, id, op, pos, CASE WHEN dir = 0 AND NOT near THEN id END, CASE WHEN dir = 0 AND NOT near THEN pos END, CASE WHEN dir = 1 AND NOT near THEN id END, CASE WHEN dir = 1 AND NOT near THEN pos END
+          FROM (SELECT *, coalesce(pos < op + CASE WHEN dir = 1 THEN 200 ELSE 500 END, false) AS near FROM (SELECT o.*, CASE WHEN o.dir = 1 THEN j.i0 ELSE j.i1 END AS oi, CASE WHEN o.dir = 1 THEN j.p0 ELSE j.p1 END AS op FROM j JOIN o ON o.chrom = j.chrom AND o.i = j.i + 1)))
+        SELECT chrom, root, other, start, "end" FROM j WHERE emits"""),
+    "consolidated_regions": with_recursive("v_region", body=""", o AS (SELECT chrom, start AS s, "end" AS e, region_id AS id, row_number() OVER (PARTITION BY chrom ORDER BY start, "end", region_id) AS i FROM v_region),
+        j AS (SELECT chrom, i, s, e, id, s AS first, e + 300 AS reach, id AS root FROM o WHERE i = 1
+          UNION ALL SELECT chrom, i, s, e, id, CASE WHEN opens THEN s ELSE first END, CASE WHEN opens THEN e + 300 ELSE greatest(reach, e + 300) END, CASE WHEN opens THEN id ELSE root END
+          FROM (SELECT o.*, j.first, j.reach, j.root, o.s - 300 >= j.reach OR o.e - j.first > 8000 AS opens FROM j JOIN o ON o.chrom = j.chrom AND o.i = j.i + 1))
+        SELECT chrom, s AS start, e AS "end", id, root FROM j"""),
+    "candidate_pools": with_recursive("v_region", body=""", o AS (SELECT chrom, start AS s, "end" AS e, region_id AS id, row_number() OVER (PARTITION BY chrom ORDER BY start, "end", region_id % 3, region_id) AS i FROM v_region),
+        j AS (SELECT chrom, i, id, s AS ls, e AS le, id AS pool FROM o WHERE i = 1
+          UNION ALL SELECT chrom, i, id, CASE WHEN joins THEN ls ELSE s END, CASE WHEN joins THEN le ELSE e END, CASE WHEN joins THEN pool ELSE id END
+          FROM (SELECT o.*, j.ls, j.le, j.pool, j.ls - 100 < o.e AND o.s < j.le + 100 AS joins FROM j JOIN o ON o.chrom = j.chrom AND o.i = j.i + 1))
+        SELECT id, pool FROM j"""),
     "insertions_off_indels": with_views("v_region", body=_CAND + 'SELECT id FROM r a WHERE value = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.value = 2 AND a.chrom = b.chrom AND a.start - 300 < b."end" AND b.start < a."end" + 300)'),
-    "redundant_duplications": with_views("v_region", body=_CAND + 'SELECT DISTINCT a.id FROM r a JOIN r b ON a.value < 2 AND b.value IN (2, 3) AND a.chrom = b.chrom AND a.start - 100 < b.start + 1 AND b.start < a."end" + 100 AND (b."end" - b.start) * 1.1 >= a."end" - a.start WHERE a."end" - a.start <= 50000'),
+    "redundant_duplications": with_views("v_region", body=_CAND + ', m AS (SELECT a.id, a."end" - a.start AS span, b."end" - b.start AS size, row_number() OVER (PARTITION BY a.id ORDER BY b.start, b."end" - b.start) AS k FROM r a JOIN r b ON a.value < 2 AND b.value IN (2, 3) AND a.chrom = b.chrom AND a.start - 100 < b.start + 1 AND b.start < a."end" + 100 WHERE a."end" - a.start <= 50000) SELECT id FROM m WHERE k = 1 AND size * 1.1 >= span'),
     "merged_duplicates": with_views("v_region", body="SELECT region_id AS id, first_value(region_id) OVER (PARTITION BY chrom, value ORDER BY region_id % 7 DESC, \"end\" - start DESC, region_id) AS merged_id FROM v_region"),
     "merge_stats": with_views("v_region", body="SELECT count(*) AS before, count(DISTINCT m) AS after FROM (SELECT first_value(region_id) OVER (PARTITION BY chrom, value ORDER BY region_id % 7 DESC, \"end\" - start DESC, region_id) AS m FROM v_region)"),
     "remapped_links": with_views("v_region", "v_bpo", body=", m AS (SELECT region_id AS id, first_value(region_id) OVER (PARTITION BY chrom, value ORDER BY region_id % 7 DESC, \"end\" - start DESC, region_id) AS m FROM v_region) SELECT obs, coalesce(m.m, obs % 3000) AS link FROM v_bpo LEFT JOIN (SELECT * FROM m WHERE id % 4 <> 0) m ON m.id = obs % 3000"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants
 from ..operators import genotype, hmm, matching, records, sweep
-from .views import view, with_views
+from .views import view, with_recursive, with_views
 
 BIN = 1000
 
@@ -41,16 +41,15 @@ def synced_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def emission_table(spark: SparkSession, d: str) -> DataFrame:
-    """ln P(depth | state) for whole depths, by closed form: the states' Poisson means at haploid depth 5."""
-    depth = view(spark, d, "v_region").select(F.col("value").alias("k")).distinct()
-    ln = lambda mean: F.col("k") * F.log(mean) - mean - F.log(F.factorial(F.col("k").cast("int")).cast("double"))
-    return depth.select("k", *[F.round(ln(F.lit(5.0 * s if s else 0.05)), 6).alias(f"s{s}") for s in range(5)])
+    """ln P(depth | state) of the depths that the regions' sizes give, between whole numbers too, at haploid depth 1.5."""
+    cells = view(spark, d, "v_region").select(F.col("region_id").alias("bin"), ((F.col("end") - F.col("start")) % 970 / F.lit(37.0)).alias("depth"), F.lit(1.0).alias("reduction"), F.lit(1.5).alias("haploid"))
+    found = hmm.cell_emissions(cells, ["bin"])
+    return found.select("bin", *[F.round(f"e{s}", 6).alias(f"s{s}") for s in range(hmm.UNKNOWN)])
 
 
-def _segments(spark: SparkSession, d: str, where: str = "bin < 150") -> DataFrame:
-    """Tiling segments of 3 samples from the read bins: runs of whole depth, as states 0..6. The queries' SQL has the first 150
-    bins only; the queries named whole_... have all."""
-    bins = sweep.depth_bins(view(spark, d, "v_read"), BIN, ("sample", "chrom")).filter(where)
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Tiling segments of 3 samples from the read bins: runs of whole depth, as states 0..6."""
+    bins = sweep.depth_bins(view(spark, d, "v_read"), BIN, ("sample", "chrom"))
     return sweep.run_lengths(bins.select("sample", "chrom", "bin", F.least(F.floor(F.col("bases") / 1500), F.lit(6)).cast("long").alias("state")), ["sample", "chrom"], "bin", "state")
 
 
@@ -59,15 +58,7 @@ def copy_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boundary_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return hmm.boundary_clusters(hmm.boundaries(_segments(spark, d)).filter("bin % 4 = 0"), 5)
-
-
-def whole_copy_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    return hmm.boundaries(_segments(spark, d, "true"))
-
-
-def whole_boundary_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return hmm.boundary_clusters(whole_copy_boundaries(spark, d), 5)
+    return hmm.boundary_clusters(copy_boundaries(spark, d), 5)
 
 
 def breakend_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -75,17 +66,9 @@ def breakend_kinds(spark: SparkSession, d: str) -> DataFrame:
     return hmm.breakend_kinds(b, BIN)
 
 
-def _high_copies(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
-    segs = found.withColumn("state", F.when(F.col("state") >= 2, hmm.HIGH).otherwise(F.col("state")))
-    return hmm.high_copies(segs, segmentation_bins(spark, d), _haploid(spark), least_bins=1).withColumn("high_copies", F.round("high_copies", 6))
-
-
 def high_copies(spark: SparkSession, d: str) -> DataFrame:
-    return _high_copies(spark, d, _segments(spark, d))
-
-
-def whole_high_copies(spark: SparkSession, d: str) -> DataFrame:
-    return _high_copies(spark, d, _segments(spark, d, "true"))
+    segs = _segments(spark, d).withColumn("state", F.when(F.col("state") >= 2, hmm.HIGH).otherwise(F.col("state")))
+    return hmm.high_copies(segs, segmentation_bins(spark, d), _haploid(spark), least_bins=1).withColumn("high_copies", F.round("high_copies", 6))
 
 
 def copy_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +99,10 @@ def genotype_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_alleles(spark: SparkSession, d: str) -> DataFrame:
-    scores = view(spark, d, "v_read").select(F.col("qname").alias("read"), (F.col("seg") % 4).alias("condition"), (F.col("start") % 3).alias("allele"), F.when(F.col("mapq") > 5, F.col("mapq") % 20).alias("score"))
-    return genotype.best_alleles(scores.distinct())
+    read = view(spark, d, "v_read")
+    reserved = F.when(F.col("qname") % 5 == 0, 1).when(F.col("qname") % 5 == 1, 2).cast("long")
+    scores = read.select(F.col("qname").alias("read"), (F.col("seg") % 4).alias("condition"), (F.col("start") % 3).alias("allele"), F.when(F.col("mapq") > 9, F.col("mapq") % 4 - 1).alias("score"), reserved.alias("reserved"), (F.col("qname") % 3 != 0).alias("alt_on_top"))
+    return genotype.best_alleles(scores)
 
 
 def allele_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +110,24 @@ def allele_counts(spark: SparkSession, d: str) -> DataFrame:
     return genotype.allele_counts(best.select((F.col("read") % 300).alias("sv"), (F.col("read") % 3).alias("sample"), "allele"))
 
 
+def sample_sv_order(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of four orders as variants on two haplotypes; samples that have some, all or none of these."""
+    orders = view(spark, d, "v_order")
+    svs = orders.select(F.floor(F.col("key") / 16).alias("group"), F.col("key").alias("sv"), (F.col("key") % 2).alias("haplotype"))
+    sample = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("sample")
+    each = svs.select("group").distinct().select("group", sample)
+    native = each.withColumn("haplotype", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long")))).filter((F.col("group") + F.col("sample") + F.col("haplotype")) % 3 != 0)
+    ranked = native.withColumn("rank", F.when(F.col("group") % 2 == 0, F.col("haplotype")).otherwise(1 - F.col("haplotype")))
+    return genotype.sample_sv_order(svs, ranked, each.withColumn("ploidy", F.when((F.col("group") + F.col("sample")) % 4 == 0, 1).otherwise(2)))
+
+
+def reserved_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Reads named by their part and order, at groups of variants that share them."""
+    read = view(spark, d, "v_read")
+    assigned = read.select((F.col("qname") % 400).alias("group"), "sample", (F.col("seg") % 3).alias("place"), (F.col("qname") % 400 * 3 + F.col("seg") % 3).alias("sv"), (F.col("seg") % 2).alias("haplotype"), F.when(F.col("mapq") % 4 != 0, 1 - F.col("seg") % 2).alias("other"), (F.col("seg") % 3 == 2).alias("shared"), F.concat(F.lit("r"), (F.col("start") % 7).cast("string")).alias("qname"), (F.col("mapq") % 3).alias("allele"), (F.col("mapq") % 5 == 0).alias("tie"), F.when(F.col("qname") % 400 % 9 == F.col("seg") % 3, genotype.BLOCKED).otherwise(genotype.NATIVE).alias("relation"))
+    return genotype.reserved_counts(assigned, passes=2)
+
+
 def guest_haplotypes(spark: SparkSession, d: str) -> DataFrame:
     r = view(spark, d, "v_read")
     return genotype.guest_haplotypes(r.select((F.col("qname") % 200).alias("group"), "sample", (F.col("start") % 3).alias("haplotype"), (F.col("mapq") / 64.0).alias("score")))
@@ -206,17 +209,9 @@ def ordered_records(spark: SparkSession, d: str) -> DataFrame:
     return records.in_order(b)
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    s = found.select("sample", "chrom", F.col("begin").alias("start"), "end", F.col("state").alias("copies"), F.lit(2).alias("expected"))
-    return records.merge_equal_segments(s)
-
-
 def merged_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(_segments(spark, d))
-
-
-def whole_merged_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(_segments(spark, d, "true"))
+    s = _segments(spark, d).select("sample", "chrom", F.col("begin").alias("start"), "end", F.col("state").alias("copies"), F.lit(2).alias("expected"))
+    return records.merge_equal_segments(s)
 
 
 def accuracy_by_size(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +240,7 @@ def minor_fractions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BINS_SQL = """, bins AS (SELECT sample, chrom, bin, CAST(sum(least("end", (bin + 1) * 1000) - greatest(start, bin * 1000)) AS BIGINT) AS bases
-  FROM (SELECT sample, chrom, start, "end", unnest(generate_series(start // 1000, ("end" - 1) // 1000)) AS bin FROM v_read) WHERE bin < 150 GROUP BY ALL) """
+  FROM (SELECT sample, chrom, start, "end", unnest(generate_series(start // 1000, ("end" - 1) // 1000)) AS bin FROM v_read) GROUP BY ALL) """
 _SEGS_SQL = _BINS_SQL + """, s AS (SELECT sample, chrom, bin, least(bases // 1500, 6) AS state FROM bins), f AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY sample, chrom ORDER BY bin)),
   g AS (SELECT *, sum(n) OVER (PARTITION BY sample, chrom ORDER BY bin) AS k FROM f), segs AS (SELECT sample, chrom, min(bin) AS b, max(bin) + 1 AS e, min(state) AS state FROM g GROUP BY sample, chrom, k) """
 _EDGES_SQL = _SEGS_SQL + ", p AS (SELECT *, lag(state) OVER (PARTITION BY sample, chrom ORDER BY b) AS was FROM segs), edges AS (SELECT sample, chrom, b AS bin, CAST(CASE WHEN was > state THEN 2 ELSE 1 END AS BIGINT) AS kind FROM p WHERE was <> 6 AND state <> 6) "
@@ -255,19 +250,45 @@ _GT_SQL = _COUNTS_SQL + f""", l AS (SELECT *, sample = 4 AS hap, ref + overlap A
   t AS (SELECT *, l0 + CASE WHEN hap THEN ln(1 - 5e-4) ELSE ln(1 - 7.5e-4) END AS p0, l1 + CASE WHEN hap THEN 0 ELSE ln(5e-4) END AS p1, l2 + CASE WHEN hap THEN ln(5e-4) ELSE ln(2.5e-4) END AS p2, greatest(l0, l1, l2) AS m FROM l),
   pl AS (SELECT *, CAST(least(999, round(greatest((l0 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl0, CAST(least(999, round(greatest((l1 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl1, CAST(least(999, round(greatest((l2 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl2 FROM t),
   gt AS (SELECT *, CASE WHEN r + alt > 0 THEN CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) END AS gt, CASE WHEN r + alt > 0 THEN list_sort([pl0, pl1, pl2])[2] END AS gq FROM pl) """
-_ALLELE_SQL = ", s AS (SELECT DISTINCT qname AS read, seg % 4 AS condition, start % 3 AS allele, CASE WHEN mapq > 5 THEN mapq % 20 END AS score FROM v_read), a AS (SELECT *, row_number() OVER (PARTITION BY read, condition ORDER BY score DESC NULLS LAST, allele) AS k FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY CASE WHEN allele > 0 THEN 0 ELSE 1 END, score DESC NULLS LAST, condition, allele) AS j FROM a WHERE k = 1), best AS (SELECT read, condition, allele, score FROM b WHERE j = 1) "
-_MATCH_SQL = """, n AS (SELECT sv, kind, cnv, abs(v.start - c.start) + abs(v."end" - c."end") AS shift FROM v_sv v JOIN v_cnv c ON v.chrom = c.chrom AND abs(v.start - c.start) <= 8000 AND abs(v."end" - c."end") <= 8000 AND v.start < c."end" AND c.start < v."end"
+_ALLELE_SQL = """, s AS (SELECT qname AS read, seg % 4 AS condition, start % 3 AS allele, CASE WHEN mapq > 9 THEN mapq % 4 - 1 END AS score FROM v_read),
+  c AS (SELECT read, condition, max(score) FILTER (allele = 0) AS r, max(score) FILTER (allele = 1) AS a, max(score) FILTER (allele = 2) AS o, bool_or(allele = 2) AS has_o FROM s GROUP BY ALL),
+  u AS (SELECT read, condition, 0 AS allele, r AS score FROM c UNION ALL SELECT read, condition, 1, a FROM c UNION ALL SELECT read, condition, 2, o FROM c WHERE has_o),
+  k AS (SELECT *, row_number() OVER (PARTITION BY read, condition ORDER BY score DESC NULLS LAST, allele) AS k FROM u),
+  p AS (SELECT x.read, x.condition, x.allele AS a1, x.score AS s1, y.allele AS a2, y.score AS s2, x.score IS NOT DISTINCT FROM y.score AS tied, CASE WHEN x.read % 5 = 0 THEN 1 WHEN x.read % 5 = 1 THEN 2 END AS reserved, x.read % 3 <> 0 AS on_top
+    FROM k x JOIN k y ON x.read = y.read AND x.condition = y.condition AND x.k = 1 AND y.k = 2),
+  q AS (SELECT *, tied AND a1 <> 0 AND a2 <> 0 AND CASE WHEN reserved IS NOT NULL THEN a2 = reserved ELSE NOT on_top AND a1 = 1 END AS swap FROM p),
+  w AS (SELECT read, condition, CASE WHEN swap THEN a2 ELSE a1 END AS allele, CASE WHEN s1 >= 0 THEN s1 END AS score, CASE WHEN tied THEN CASE WHEN swap THEN a1 ELSE a2 END END AS other FROM q),
+  j AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY allele = 0, score DESC NULLS LAST, condition) AS j FROM w),
+  n AS (SELECT read, min(j) FILTER (j > 1 AND other IS NULL) AS j FROM j GROUP BY read),
+  z AS (SELECT f.*, t.condition AS tc, t.allele AS ta, t.score AS ts FROM j f LEFT JOIN n ON n.read = f.read LEFT JOIN j t ON t.read = n.read AND t.j = n.j WHERE f.j = 1),
+  v AS (SELECT *, coalesce(other IS NOT NULL AND ts IS NOT NULL AND ta = other, false) AS later FROM z),
+  best AS (SELECT read, CASE WHEN later THEN tc ELSE condition END AS condition, CAST(CASE WHEN later THEN ta ELSE allele END AS BIGINT) AS allele, CASE WHEN later THEN ts ELSE score END AS score, NOT later AND other IS NOT NULL AS tie FROM v WHERE later OR score IS NOT NULL) """
+_MATCH_SQL = """, n AS (SELECT sv, kind, cnv, c.chrom, c.start AS cs, c."end" AS ce, abs(v.start - c.start) + abs(v."end" - c."end") AS shift FROM v_sv v JOIN v_cnv c ON v.chrom = c.chrom AND abs(v.start - c.start) <= 8000 AND abs(v."end" - c."end") <= 8000 AND v.start < c."end" AND c.start < v."end"
     WHERE (least(v."end", c."end") - greatest(v.start, c.start)) / greatest(v."end" - v.start, c."end" - c.start, 100) >= 0.9),
   g AS (SELECT *, CASE WHEN sv % 13 <> 0 THEN (sv + sample) % 3 END AS gt, (cnv * 5 + sample) % 4 AS copies FROM n, range(0, 3) t(sample)),
   f AS (SELECT *, CASE WHEN gt IS NULL THEN NULL WHEN gt = 0 THEN CASE WHEN copies = 2 THEN NULL ELSE false END WHEN kind = 'DEL' THEN CASE WHEN gt = 1 THEN copies = 1 ELSE copies = 0 END ELSE copies > 2 END AS fit FROM g),
-  s AS (SELECT sv, cnv, shift, count(*) FILTER (fit) AS fits, count(*) FILTER (NOT fit) AS misfits FROM f GROUP BY ALL), q AS (SELECT * FROM s WHERE fits > 0 AND fits >= 0.5 * (fits + misfits)),
-  a AS (SELECT *, row_number() OVER (PARTITION BY cnv ORDER BY fits DESC, shift, sv) AS i FROM q), b AS (SELECT *, row_number() OVER (PARTITION BY sv ORDER BY fits DESC, shift, cnv) AS j FROM a WHERE i = 1), matched AS (SELECT sv, cnv, fits, misfits, shift FROM b WHERE j = 1) """
-_LN = ", ".join(f"round(k * ln({5.0 * s if s else 0.05}) - {5.0 * s if s else 0.05} - ln(factorial(CAST(k AS INTEGER))), 6) AS s{s}" for s in range(5))
+  t AS (SELECT sv, count(*) FILTER (fit) AS t, count(*) AS n, sum(CASE WHEN fit THEN shift ELSE 0 END) AS d FROM f WHERE fit IS NOT NULL GROUP BY sv),
+  pairs AS (SELECT f.sv, cnv, chrom, cs, ce, shift, any_value(t) AS t, any_value(d) AS d, count(*) FILTER (fit) AS fits, count(*) FILTER (NOT fit) AS misfits FROM f JOIN t ON f.sv = t.sv WHERE fit IS NOT NULL AND t >= 0.5 * n GROUP BY f.sv, cnv, chrom, cs, ce, shift),
+  c AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY cs, ce, cnv) AS i, list(sv ORDER BY t DESC, d, sv) AS svs FROM pairs GROUP BY chrom, cs, ce, cnv),
+  step(chrom, i, lost) AS (SELECT DISTINCT chrom, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM c
+    UNION ALL SELECT c.chrom, c.i, list_concat(step.lost, list_filter(c.svs, lambda x: NOT list_contains(step.lost, x))[2:]) FROM step JOIN c ON c.chrom = step.chrom AND c.i = step.i + 1),
+  gone AS (SELECT unnest(arg_max(lost, i)) AS sv FROM step GROUP BY chrom),
+  matched AS (SELECT sv, cnv, fits, misfits, shift FROM pairs WHERE fits > 0 AND sv NOT IN (SELECT sv FROM gone)) """
+_ORDER_SQL = """, svs AS (SELECT DISTINCT key // 16 AS g, key AS sv, key % 2 AS h FROM v_order), each AS (SELECT g, sample FROM (SELECT DISTINCT g FROM svs), range(0, 3) t(sample)),
+  native AS (SELECT g, sample, h, CASE WHEN g % 2 = 0 THEN h ELSE 1 - h END AS rank FROM each, range(0, 2) t(h) WHERE (g + sample + h) % 3 <> 0),
+  a AS (SELECT e.g, e.sample, s.sv, n.rank, (SELECT count(*) FROM native m WHERE m.g = e.g AND m.sample = e.sample) AS have, CASE WHEN (e.g + e.sample) % 4 = 0 THEN 1 ELSE 2 END AS ploidy FROM each e JOIN svs s ON s.g = e.g LEFT JOIN native n ON n.g = e.g AND n.sample = e.sample AND n.h = s.h)
+  SELECT g AS "group", sample, sv, CAST(CASE WHEN rank IS NOT NULL THEN 0 WHEN have >= ploidy THEN 2 ELSE 1 END AS BIGINT) AS relation, row_number() OVER (PARTITION BY g, sample ORDER BY rank NULLS LAST, sv) - 1 AS place FROM a"""
+# the rule of emissions: capped at 20 haploid depths; between whole depths, interpolated; the highest state's mean follows the depth
+_EMISSION_SQL = """, c AS (SELECT region_id AS bin, least(("end" - start) % 970 / 37.0::DOUBLE, 30.0) AS depth FROM v_region), k AS (SELECT *, floor(depth) AS lo, depth - floor(depth) AS f FROM c),
+  m AS (SELECT *, s, CASE WHEN s = 0 THEN 0.015 WHEN s = 5 THEN greatest(7.5, round(depth)) ELSE 1.5 * s END AS mean FROM k, range(0, 6) t(s)),
+  q AS (SELECT *, lo * ln(mean) - mean - lgamma(lo + 1) AS a, (lo + 1) * ln(mean) - mean - lgamma(lo + 2) AS b FROM m),
+  e AS (SELECT bin, s, CASE WHEN f < 0.001 THEN a ELSE ln(f * exp(b) + (1 - f) * exp(a)) END AS v FROM q)
+  SELECT bin, """ + ", ".join(f"round(max(v) FILTER (s = {i}), 6) AS s{i}" for i in range(6)) + " FROM e GROUP BY bin"
 
 ORACLES = {
-    "emission_table": with_views("v_region", body=f"SELECT k, {_LN} FROM (SELECT DISTINCT value AS k FROM v_region)"),
+    "emission_table": with_views("v_region", body=_EMISSION_SQL),
     "copy_boundaries": with_views("v_read", body=_EDGES_SQL + "SELECT * FROM edges"),
-    "boundary_clusters": with_views("v_read", body=_EDGES_SQL + ", d AS (SELECT DISTINCT chrom, kind, bin FROM edges WHERE bin % 4 = 0), z AS (SELECT *, CASE WHEN bin - lag(bin) OVER w <= 5 THEN 0 ELSE 1 END AS n FROM d WINDOW w AS (PARTITION BY chrom, kind ORDER BY bin)), y AS (SELECT *, sum(n) OVER (PARTITION BY chrom, kind ORDER BY bin) AS k FROM z), x AS (SELECT chrom, kind, bin, min(bin) OVER w AS cluster, count(*) OVER w AS m FROM y WINDOW w AS (PARTITION BY chrom, kind, k)) SELECT chrom, kind, cluster, bin FROM x WHERE m > 1"),
+    "boundary_clusters": with_views("v_read", body=_EDGES_SQL + ", d AS (SELECT DISTINCT chrom, kind, bin FROM edges), z AS (SELECT *, CASE WHEN bin - lag(bin) OVER w <= 5 THEN 0 ELSE 1 END AS n FROM d WINDOW w AS (PARTITION BY chrom, kind ORDER BY bin)), y AS (SELECT *, sum(n) OVER (PARTITION BY chrom, kind ORDER BY bin) AS k FROM z), x AS (SELECT chrom, kind, bin, min(bin) OVER w AS cluster, count(*) OVER w AS m FROM y WINDOW w AS (PARTITION BY chrom, kind, k)) SELECT chrom, kind, cluster, bin FROM x WHERE m > 1"),
     "breakend_kinds": with_views("v_bpo", body="SELECT evidence AS sample, chrom1 AS chrom, (start1 + 500) // 1000 AS bin, CAST(CASE WHEN min(dir2) = max(dir2) THEN min(dir2) + 1 ELSE 0 END AS BIGINT) AS kind FROM v_bpo GROUP BY ALL"),
     "high_copies": with_views("v_read", body=_SEGS_SQL + ", h AS (SELECT * FROM segs WHERE state >= 2 AND state <> 6 UNION ALL SELECT * FROM segs WHERE state = 6), x AS (SELECT h.sample, h.chrom, h.b, h.e, count(*) FILTER (bin % 17 <> 0) AS used, avg(CASE WHEN bin % 17 <> 0 THEN bases / 1000 * ((bin + sample) // 30 % 4) / 2 END) AS mean FROM h JOIN bins USING (sample, chrom) WHERE bins.bin >= b AND bins.bin < e GROUP BY ALL) SELECT sample, chrom, b AS \"begin\", e AS \"end\", used, round(CASE WHEN used >= 1 AND used >= 0.8 * (e - b) THEN greatest(5.0, mean / 1.25) END, 6) AS high_copies FROM x"),
     "genotype_likelihoods": with_views("v_order", body=_GT_SQL + "SELECT sv, sample, pl0, pl1, pl2, gt, gq FROM gt"),
@@ -275,16 +296,24 @@ ORACLES = {
     "genotype_texts": with_views("v_order", body=_GT_SQL + ", x AS (SELECT *, CASE WHEN sv % 4 <> 0 THEN sv % 3 END AS copies FROM gt) SELECT sv, sample, CASE WHEN gt IS NULL THEN CASE WHEN hap THEN '.' ELSE './.' END WHEN hap THEN CASE WHEN gt = 2 THEN '1' ELSE '0' END WHEN gt = 0 THEN '0/0' WHEN gt = 1 THEN '0/1' ELSE '1/1' END AS text, CASE WHEN copies IS NULL THEN CASE WHEN hap THEN '.' ELSE './.' END WHEN hap THEN CASE WHEN copies = 1 THEN '0' ELSE '1' END WHEN copies = 0 THEN '1/1' WHEN copies = 1 THEN '0/1' ELSE './1' END AS cnv_text, CASE WHEN copies = 1 THEN 1 ELSE 2 END AS ploidy FROM x"),
     "best_alleles": with_views("v_read", body=_ALLELE_SQL + "SELECT * FROM best"),
     "allele_counts": with_views("v_read", body=_ALLELE_SQL + "SELECT read % 300 AS sv, read % 3 AS sample, count(*) FILTER (allele = 0) AS ref, count(*) FILTER (allele = 1) AS alt, count(*) FILTER (allele = 2) AS overlap FROM best GROUP BY ALL"),
+    "sample_sv_order": with_views("v_order", body=_ORDER_SQL),
     "guest_haplotypes": with_views("v_read", body=', m AS (SELECT qname % 200 AS "group", sample, start % 3 AS haplotype, CAST(floor(sum(mapq / 64) / count(*) * 1000000000) AS BIGINT) AS mean, count(*) AS n FROM v_read GROUP BY ALL HAVING count(*) >= 2) SELECT "group", sample, haplotype, mean, n FROM (SELECT *, row_number() OVER (PARTITION BY "group", sample ORDER BY mean DESC, n DESC, haplotype) AS k FROM m) WHERE k = 1'),
     "phase_sets": with_views("v_region", body=", c AS (SELECT region_id, region_id // 4 AS g, region_id % 2 AS s, region_id % 3 % 2 AS h, start, value % 3 = 1 AS het FROM v_region), w AS (SELECT *, count(*) FILTER (het) OVER (PARTITION BY g, s) AS n, min(CASE WHEN het THEN start END) OVER (PARTITION BY g, s) + 1 AS p FROM c) SELECT region_id, CASE WHEN het AND n > 1 THEN p END AS phase_set, CASE WHEN het AND n > 1 THEN h = 0 END AS is_first FROM w"),
     "absorbed_overlaps": with_views("v_order", body=_GT_SQL + ", w AS (SELECT *, coalesce(max(CASE WHEN sv % 2 = 0 AND gt = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY sv // 2, sample), 0) = 1 AS hom FROM gt) SELECT sv, sample, CASE WHEN hom AND sv % 2 = 0 THEN alt + overlap WHEN hom THEN 0 ELSE alt END AS alt, CASE WHEN hom THEN 0 ELSE overlap END AS overlap FROM w"),
     "top_supported": with_views("v_bpo", body=", c AS (SELECT start1 AS cluster, inserted AS assembly, count(*) AS reads FROM v_bpo GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY reads DESC, assembly) AS rank FROM c) WHERE rank <= 2"),
     "downsampled": with_views("v_bpo", body=", w AS (SELECT obs, start1 AS cluster, row_number() OVER (PARTITION BY start1 ORDER BY obs) AS i, count(*) OVER (PARTITION BY start1) AS n FROM v_bpo) SELECT obs, cluster FROM w WHERE n <= 2 OR i * 2 // n > (i - 1) * 2 // n"),
     "one_per_read": with_views("v_read", body=', r AS (SELECT qname, seg, start AS pos, "end" - start AS length, strand = 0 AS is_primary FROM v_read) SELECT qname, seg, pos, length, is_primary FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY length DESC, is_primary DESC, pos, seg) AS k FROM r) WHERE k = 1'),
-    "sv_cnv_match": with_views("v_sv", "v_cnv", body=_MATCH_SQL + "SELECT * FROM matched"),
-    "forced_breakends": with_views("v_sv", "v_cnv", body=_MATCH_SQL + 'SELECT sv, "end" - start >= 50000 AND sv NOT IN (SELECT sv FROM matched) AS forced_bnd FROM v_sv'),
+    "sv_cnv_match": with_recursive("v_sv", "v_cnv", body=_MATCH_SQL + "SELECT * FROM matched"),
+    "forced_breakends": with_recursive("v_sv", "v_cnv", body=_MATCH_SQL + 'SELECT sv, "end" - start >= 50000 AND sv NOT IN (SELECT sv FROM matched) AS forced_bnd FROM v_sv'),
     "power_boost": with_views("v_sv", "v_region", body='SELECT sv, region_id AS segment FROM v_sv v JOIN v_region r ON v.chrom = r.chrom AND r.start - r.start % 1000 + 5000 <= v.start AND v."end" + 5000 <= r.start + 200000 WHERE v."end" - v.start >= 50000'),
     "close_fit": with_views("v_sv", "v_cnv", body=', s AS (SELECT cnv AS segment, chrom, start, "end", cnv % 5 >= 2 AS usual FROM v_cnv), w AS (SELECT *, lag(usual) OVER w AS before, lead(usual) OVER w AS after FROM s WINDOW w AS (PARTITION BY chrom ORDER BY start, segment)), m AS (SELECT segment, sv FROM w JOIN v_sv v ON v.chrom = w.chrom AND v.start < w."end" AND w.start < v."end" WHERE before AND after AND NOT usual AND (least(v."end", w."end") - greatest(v.start, w.start)) / greatest(v."end" - v.start, w."end" - w.start, 100) >= 0.8) SELECT min(sv) AS sv, segment FROM m GROUP BY segment HAVING count(*) = 1'),
+    "inversions": with_recursive("v_bpo", body=""", o AS (SELECT obs AS id, chrom1 AS chrom, start1 AS s, start2 + 1 AS e, obs % 2 AS dir, row_number() OVER (PARTITION BY chrom1 ORDER BY start1, obs % 2, CAST(obs AS VARCHAR)) AS i FROM v_bpo WHERE dir1 = dir2),
+        j AS (SELECT w.chrom, w.i, NULL::BIGINT AS id1, NULL::BIGINT AS id2, NULL::BIGINT AS start, NULL::BIGINT AS "end", w.id AS hid, w.s AS hs, w.e AS he, w.dir AS hd FROM o w WHERE i = 1
+          UNION ALL SELECT chrom, i, CASE WHEN pairs THEN hid END, CASE WHEN pairs THEN id END, CASE WHEN pairs THEN hs END, CASE WHEN pairs THEN greatest(e, he) END,
+            CASE WHEN pairs THEN NULL WHEN same THEN hid ELSE id END, CASE WHEN pairs THEN NULL WHEN same THEN hs ELSE s END, CASE WHEN pairs THEN NULL WHEN same THEN he ELSE e END, CASE WHEN pairs THEN NULL WHEN same THEN hd ELSE dir END
+          FROM (SELECT o.chrom, o.i, o.id, o.s, o.e, o.dir, j.hid, j.hs, j.he, j.hd, coalesce(o.dir <> j.hd AND abs(o.s - j.hs) <= 10000 AND abs(o.e - j.he) <= 10000 AND least(o.e, j.he) - greatest(o.s, j.hs) >= 0.6 * greatest(o.e - o.s, j.he - j.hs, 100), false) AS pairs,
+            coalesce(o.s = j.hs AND o.e = j.he AND o.dir = j.hd, false) AS same FROM j JOIN o ON o.chrom = j.chrom AND o.i = j.i + 1))
+        SELECT chrom, id1, id2, start, "end" FROM j WHERE id1 IS NOT NULL"""),
     "eligible_svs": with_views("v_sv", body="SELECT sv FROM v_sv WHERE sv % 10 <> 0 AND sv % 9 <> 0 AND quality >= 10 AND \"end\" - start >= 10000"),
     "deduped_records": with_views("v_bpo", body=", r AS (SELECT CAST(obs AS VARCHAR) AS id, chrom1 AS chrom, start1 AS pos, CASE WHEN inserted % 4 <> 0 THEN inserted END AS size, obs % 11 = 0 AS is_inversion FROM v_bpo) SELECT id, chrom, pos, size, is_inversion FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, size ORDER BY is_inversion DESC, id) AS k FROM r) WHERE k = 1"),
     "ordered_records": with_views("v_bpo", body="SELECT CAST(obs AS VARCHAR) AS id, chrom1 AS chrom, start1 AS pos, obs % 11 = 0 AS is_inversion FROM v_bpo"),
@@ -296,7 +325,6 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     best_states, converged_states, synced_boundaries, emission_table, copy_boundaries, boundary_clusters, breakend_kinds, high_copies, copy_quality, genotype_likelihoods, joint_quality,
-    genotype_texts, best_alleles, allele_counts, guest_haplotypes, phase_sets, absorbed_overlaps, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
+    genotype_texts, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
     close_fit, inversions, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
-    whole_copy_boundaries, whole_boundary_clusters, whole_high_copies, whole_merged_segments,
 )}

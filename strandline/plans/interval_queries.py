@@ -162,15 +162,10 @@ def state_bases(spark: SparkSession, d: str) -> DataFrame:
     return gc.bases_per_state(view(spark, d, "v_region").withColumnRenamed("value", "state"))
 
 
-def whole_state_runs(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+def state_runs(spark: SparkSession, d: str) -> DataFrame:
     depth, _ = _depth_and_levels(spark, d)
     grid = depth.select("sample", "chrom", "bin", F.floor(F.col("depth") / 1000).cast("long").alias("state"))
-    return sweep.run_lengths(grid.filter(where), ["sample", "chrom"], "bin", "state")
-
-
-def state_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Over the first 150 bins, as its SQL has it; whole_state_runs has all."""
-    return whole_state_runs(spark, d, "bin < 150")
+    return sweep.run_lengths(grid, ["sample", "chrom"], "bin", "state")
 
 
 def phred_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -236,12 +231,12 @@ ORACLES = {
         SELECT f.sample, CAST(f.level AS BIGINT) AS gc_level, round(CASE WHEN f.most > 0 THEN q.mean / f.most ELSE 1 END, 6) AS reduction FROM f JOIN m q ON q.sample = f.sample AND q.level = f.src"""),
     "haploid_depth": with_views("v_read", body=_BINS_SQL + "SELECT sample, round(sum(bases) / sum(bin % 4 + 1), 6) AS haploid FROM bins WHERE bases > 0 AND bin % 11 <> 0 GROUP BY sample"),
     "state_bases": with_views("v_region", body=', s AS (SELECT chrom, value AS state, CAST(sum("end" - start) AS BIGINT) AS bases FROM v_region GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY bases DESC, state DESC) = 1 AS is_mode FROM s'),
-    "state_runs": with_views("v_read", body=_BINS_SQL + ', s AS (SELECT sample, chrom, bin, bases // 1000 AS state FROM bins WHERE bin < 150), f AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY sample, chrom ORDER BY bin)), g AS (SELECT *, sum(n) OVER (PARTITION BY sample, chrom ORDER BY bin) AS k FROM f) SELECT sample, chrom, min(bin) AS "begin", max(bin) + 1 AS "end", min(state) AS state FROM g GROUP BY sample, chrom, k'),
+    "state_runs": with_views("v_read", body=_BINS_SQL + ', s AS (SELECT sample, chrom, bin, bases // 1000 AS state FROM bins), f AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY sample, chrom ORDER BY bin)), g AS (SELECT *, sum(n) OVER (PARTITION BY sample, chrom ORDER BY bin) AS k FROM f) SELECT sample, chrom, min(bin) AS "begin", max(bin) + 1 AS "end", min(state) AS state FROM g GROUP BY sample, chrom, k'),
     "phred_scores": with_views("v_region", body="SELECT region_id, round(-10 * CASE WHEN region_id % 1000 = 0 THEN -307 ELSE log10((region_id % 1000) / 1000) END, 4) AS phred, round((2 * value + 3) / 20, 6) AS total, round((value + 3) / (3 * value + 6), 6) AS third, 2 AS best, round((2 * value + 3) / (3 * value + 6), 6) AS rest FROM v_region"),
 }
 QUERIES = {f.__name__: f for f in (
     interval_overlaps, interval_semi, interval_anti, point_in_interval, range_distance, reciprocal_overlap, merged_range, expanded_range, strict_order, region_labels, region_tiles,
     coverage_islands, expected_copies_majority, expected_copies_unanimous, depth_per_bin, excluded_bins, sliding_sums, regions_over_depth, merged_regions, subtracted_regions,
-    gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, haploid_depth, state_bases, state_runs, whole_state_runs, phred_scores,
+    gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, haploid_depth, state_bases, state_runs, phred_scores,
 )}
 

@@ -67,6 +67,10 @@ def with_views(*names: str, body: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({view_sql(n)})" for n in names) + " " + body
 
 
+def with_recursive(*names: str, body: str) -> str:
+    return with_views(*names, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 #: Letters of the documents as bases, in both dialects.
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', 'N')"

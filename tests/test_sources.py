@@ -44,7 +44,7 @@ def test_fasta(spark, tmp_path, chunk):
 
 def test_manifest(spark, tmp_path):
     path = put(tmp_path / "m.csv", "# samples\n one , a.bam\ntwo\n")
-    assert sorted((r["discover_dir"], r["alignments"]) for r in text.read_manifest(spark, path).collect()) == [("one", "a.bam"), ("two", None)]
+    assert sorted((r["sample"], r["discover_dir"], r["alignments"]) for r in text.read_manifest(spark, path).collect()) == [(0, "one", "a.bam"), (1, "two", None)]
 
 
 def test_allele_counts(spark, tmp_path):
@@ -67,6 +67,57 @@ def test_methylation(spark):
     assert sorted(map(tuple, text.methylation(reads).collect())) == [("r", 1, 0.5 + 1 / 512), ("r", 4, 255 / 256 + 1 / 512)]
 
 
+def test_methylation_of_reverse_reads_and_later_entries(spark):
+    """The same molecule read from either strand has the same CpG places; probabilities follow those of earlier entries."""
+    seq = "ACGCCGTCGA"
+    back = "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(seq))
+    rows = [("f", seq, "A+a,0,0;C+m,0,1,0;", "9,9,128,255,7", False), ("r", seq, "C+m?,0,0;", "1,2", True), ("none", seq, "A+a,0;", "9", False), ("r2", back, "C+m,0;", "64", True)]
+    found = sorted(map(tuple, text.methylation(spark.createDataFrame(rows, "qname string, seq string, mm string, ml string, is_reverse boolean")).collect()))
+    want = []
+    for name, s, mm, ml, reverse in rows:
+        read = "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(s)) if reverse else s
+        entries, probabilities, at = [e.split(",") for e in mm.split(";") if e], [int(x) for x in ml.split(",")], 0
+        for e in entries:
+            if e[0].startswith("C+m"):
+                cs, k = [i for i, c in enumerate(read) if c == "C"], -1
+                for skip, p in zip(map(int, e[1:]), probabilities[at:]):
+                    k += skip + 1
+                    i = cs[k]
+                    if read[i + 1 : i + 2] == "G":
+                        want.append((name, len(read) - i - 2 if reverse else i, p / 256 + 1 / 512))
+            at += len(e) - 1
+    assert found == sorted(want) and {x[0] for x in found} == {"f", "r", "r2"}
+
+
+def test_tags(spark):
+    (row,) = spark.sql("select map('NM', '2', 'rq', '0.5', 'SA', 'x') as t").select(text.int_tag(F.col("t"), "NM"), text.float_tag(F.col("t"), "rq"), text.string_tag(F.col("t"), "SA"), text.int_tag(F.col("t"), "XX"), text.has_tag(F.col("t"), "NM"), text.has_tag(F.col("t"), "XX"), F.size(text.without_tag(F.col("t"), "SA"))).collect()
+    assert tuple(row) == (2, 0.5, "x", None, True, False, 2)
+    with pytest.raises(Exception):
+        spark.sql("select map('NM', 'two') as t").select(text.int_tag(F.col("t"), "NM")).collect()
+
+
+def test_info_and_format_keys(spark):
+    rows = [("SVTYPE=DEL;SVLEN=-90", "GT:AD", "0/1:3,4", "A", "<DEL>"), ("XSVTYPE=DEL", "GT", "0/1", "A", "ACC"), ("SVTYPE=BND", ".", ".", "AT", "A")]
+    f = spark.createDataFrame(rows, "info string, format string, sample string, ref string, alt string")
+    found = f.select(text.info_value(F.col("info"), "SVTYPE"), text.sample_value(F.col("format"), F.col("sample"), "AD"), text.sv_size(F.col("info"), F.col("ref"), F.col("alt")), text.sv_kind(F.col("info"), F.col("ref"), F.col("alt"))).collect()
+    assert [tuple(r) for r in found] == [("DEL", "3,4", 90, "DEL"), (None, None, 2, "INS"), ("BND", None, 1, None)]
+
+
+def test_counts_of_several_files(spark, tmp_path):
+    put(tmp_path / "a.vcf", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\n1\t10\t.\tA\tC\t9\tlow\t.\tAD\t3,4\n")
+    put(tmp_path / "b.vcf", "##FILTER=<ID=PASS>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts2\n1\t10\t.\tA\tC\t9\tPASS\t.\tAD\t5,6\n1\t20\t.\tA\tC\t9\tlow\t.\tAD\t5,6\n")
+    assert sorted(map(tuple, text.read_allele_counts(spark, str(tmp_path)).collect())) == [("s1", "1", 9, 3, 4), ("s2", "1", 9, 5, 6)]
+
+
+def test_typed_variants_and_regions(spark, tmp_path):
+    lines = ["##fileformat=VCFv4.4", "chr1\t101\ta\tA\t<DEL>\t30\tPASS\tSVTYPE=DEL;END=200;SVLEN=99;HOMLEN=3\tGT\t0/1", "chr1\t5\tb\tT\tTCT]chr2:500]\t.\tMinQUAL\tSVTYPE=BND\tGT\t0/1"]
+    found = {r["id"]: r for r in text.read_svs(spark, put(tmp_path / "v.vcf", "\n".join(lines))).collect()}
+    assert (found["a"]["pos"], found["a"]["end"], found["a"]["size"], found["a"]["homology"], found["a"]["kind"], found["a"]["dir1"]) == (100, 200, 99, 3, "DEL", None)
+    assert (found["b"]["kind"], found["b"]["mate_chrom"], found["b"]["dir1"], found["b"]["dir2"], found["b"]["qual"]) == ("BND", "chr2", 0, 0, None)
+    regions = text.read_assembly_regions(spark, put(tmp_path / "r.bed", "chr1\t5\t9\t3\nchr2\t1\t4\t3\nchr1\t7\t8\t4\n")).orderBy("cluster").collect()
+    assert [(r["cluster"], r["region_count"], [tuple(x) for x in r["regions"]]) for r in regions] == [(3, 2, [("chr1", 5, 9), ("chr2", 1, 4)]), (4, 1, [("chr1", 7, 8)])]
+
+
 def test_exclusions(spark):
     gaps = spark.createDataFrame([("chr1", 5, 9)], "chrom string, start long, end long")
     repeats = spark.createDataFrame([("chr2", 1, 4, "Satellite/centr"), ("chr2", 5, 6, "LINE")], "chrom string, start long, end long, class string")

@@ -64,3 +64,9 @@ def test_junction(spark):
     s = spark.range(1).select(trim.derived_sequence(F.lit("AAC"), F.lit("GGT"), F.lit(0), F.lit(0))).first()[0]
     assert s == "AAC" + "N" * 100 + "ACC"
     assert spark.range(1).select(variants.rev_comp(F.lit("GGT"))).first()[0] == "ACC"
+
+
+def test_insertion_read_order(spark):
+    rows = [(1, 0, 1, "AC"), (1, 1, 0, "ACGT"), (1, 2, -1, "A"), (1, 3, 1, "ACG"), (1, 4, -1, "ACC"), (1, 5, 0, "A"), (1, 6, 1, "AG")]
+    found = trim.insertion_read_order(spark.createDataFrame(rows, "cluster long, place long, clip long, seq string"))
+    assert [r["place"] for r in found.orderBy("rank").collect()] == [4, 2, 1, 5, 3, 0, 6]

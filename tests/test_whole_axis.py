@@ -67,7 +67,7 @@ def test_whole_boundaries(spark, wide):
     for (sample, chrom), own in wide[1].items():
         own = runs({b: min(n // 1500, 6) for b, n in own.items()})
         edges += [(sample, chrom, b[0], 2 if a[2] > b[2] else 1) for a, b in zip(own, own[1:]) if 6 not in (a[2], b[2])]
-    assert rows(spark, wide, "whole_copy_boundaries", "sample", "chrom", "bin", "kind") == sorted(edges)
+    assert rows(spark, wide, "copy_boundaries", "sample", "chrom", "bin", "kind") == sorted(edges)
     want = []
     for kind in (1, 2):
         groups = []
@@ -78,7 +78,7 @@ def test_whole_boundaries(spark, wide):
                 groups.append([b])
         want += [(0, kind, b) for g in groups if len(g) > 1 for b in g]
     assert any(b % 4 and b >= 150 for _, _, b in want)
-    assert rows(spark, wide, "whole_boundary_clusters", "chrom", "kind", "bin") == sorted(want)
+    assert rows(spark, wide, "boundary_clusters", "chrom", "kind", "bin") == sorted(want)
 
 
 def test_alignment_over_whole_texts(spark, wide):
