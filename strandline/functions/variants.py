@@ -58,9 +58,9 @@ def cnv_type(below: Column, above: Column) -> Column:
     return F.when((below > 0) & (above > 0), "CNV").when(below > 0, "DEL").when(above > 0, "DUP")
 
 
-def filters(over_depth: Column, quality: Column, in_inversion: Column, conflicting: Column) -> Column:
+def filters(over_depth: Column, quality: Column, in_inversion: Column, conflicting: Column, least_quality: int = LEAST_QUALITY) -> Column:
     """The filter tags of a record, or PASS."""
-    tags = F.array_compact(F.array(F.when(over_depth, "MaxScoringDepth"), F.when(quality < LEAST_QUALITY, "MinQUAL"), F.when(in_inversion, "InvBreakpoint"), F.when(conflicting, "ConflictingBreakpointGT")))
+    tags = F.array_compact(F.array(F.when(over_depth, "MaxScoringDepth"), F.when(quality < least_quality, "MinQUAL"), F.when(in_inversion, "InvBreakpoint"), F.when(conflicting, "ConflictingBreakpointGT")))
     return F.when(F.size(tags) == 0, "PASS").otherwise(F.array_join(tags, ";"))
 
 

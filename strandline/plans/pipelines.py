@@ -1,75 +1,77 @@
 """The two pipelines as compositions of operators: ``discover`` per set of samples, ``joint_call`` over all of them.
 
-Each returns named DataFrames; ``sources.sinks.write_stage`` keeps them as Parquet between the two.
+Each returns named DataFrames; ``sources.sinks.write_stage`` keeps them as Parquet between the two (``run_discover``,
+``run_joint_call``). Tables that several steps read are settled, so calling a pipeline runs Spark jobs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import asdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import variants
-from ..operators import cluster, evidence, gc, genotype, hmm, interval_join, matching, pools, records, sweep
+from ..functions import cigar, variants
+from ..operators import align, cluster, evidence, gc, genotype, hmm, interval_join, matching, pools, records, sweep, trim
 from ..session import settle
-from ..settings import DiscoverSettings, JointCallSettings
+from ..settings import DiscoverSettings, JointCallSettings, SharedSettings
+from ..sources import sinks, text
 
 OBSERVATION = ["sample", "chrom1", "start1", "end1", "dir1", "chrom2", "start2", "end2", "dir2", "evidence", "qname"]
+#: Chromosome numbers of different samples are kept apart by this step, and places on a read's segments by that one.
+SAMPLE_STEP, SEGMENT_STEP = 1 << 32, 1 << 40
+#: Bases that a read has on both sides of an end that it spans.
+BOTH_SIDES = 50
+#: Bases of reference on both sides of a region that contigs are aligned to.
+REFERENCE_FLANK = 3500
+
+
+def usable_reads(reads: DataFrame, settings: SharedSettings) -> DataFrame:
+    """Reads that pass the flags, the mapping quality and, where they have a CIGAR, the identity."""
+    identity = F.when(F.col("cigar").isNotNull(), cigar.text_identity(F.col("cigar")))
+    return reads.filter(evidence.usable(F.col("flag"), F.col("mapq"), identity, settings.min_mapq, settings.min_identity))
 
 
 def observations(reads: DataFrame, settings: DiscoverSettings) -> DataFrame:
-    """Breakpoints that single reads propose: indels (0), split reads (1); with an id from their columns."""
-    least = evidence.least_evidence_size(settings.min_indel)
-    indels = reads.filter("cigar is not null").select(F.struct("sample", "qname").alias("qname"), "chrom", F.col("start").alias("pos"), "cigar")
+    """Breakpoints that single reads propose: indels (evidence 0), split reads (1); with an id from their columns, the inserted
+    bases, the place on the read, and whether the ends are in the read's order (swapped: not)."""
+    least = evidence.least_evidence_size(settings.min_indel, settings.noise_margin)
+    indels = reads.filter("cigar is not null").select(F.struct("sample", "qname", "seg", "strand").alias("qname"), "chrom", F.col("start").alias("pos"), "cigar")
     rows = evidence.indel_evidence(indels, least)
+    along = lambda seg, strand, pos: seg * SEGMENT_STEP + F.when(strand == 0, pos).otherwise(SEGMENT_STEP - 2 - pos)
     one = rows.select(
         F.col("qname.sample").alias("sample"), F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), (F.col("start") + 1).alias("end1"), F.lit(0).alias("dir1"),
         F.col("chrom").alias("chrom2"), (F.col("end") - 1).alias("start2"), F.col("end").alias("end2"), F.lit(1).alias("dir2"), F.lit(0).alias("evidence"), F.col("qname.qname").alias("qname"),
+        F.col("inserted").cast("long").alias("inserted"), along(F.col("qname.seg"), F.col("qname.strand"), F.col("start")).alias("read_pos"), (F.col("qname.strand") != 0).alias("swapped"),
     )
-    split = evidence.junctions(reads.select(F.struct("sample", "qname").alias("qname"), "seg", "chrom", "start", "end", "strand", "mapq"))
+    split = evidence.junctions(reads.select(F.struct("sample", "qname").alias("qname"), "seg", "chrom", "start", "end", "strand", "mapq"), settings.min_mapq)
     swap = variants.needs_swap(*[F.col(c) for c in ("chrom1", "pos1", "pos1", "dir1", "chrom2", "pos2", "pos2", "dir2")])
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     two = split.select(
         F.col("qname.sample").alias("sample"), pick("chrom1", "chrom2").alias("chrom1"), pick("pos1", "pos2").alias("start1"), (pick("pos1", "pos2") + 1).alias("end1"), pick("dir1", "dir2").alias("dir1"),
         pick("chrom2", "chrom1").alias("chrom2"), pick("pos2", "pos1").alias("start2"), (pick("pos2", "pos1") + 1).alias("end2"), pick("dir2", "dir1").alias("dir2"), F.lit(1).alias("evidence"), F.col("qname.qname").alias("qname"),
+        F.lit(None).cast("long").alias("inserted"), ((F.col("seg") + 1) * SEGMENT_STEP - 1).alias("read_pos"), swap.alias("swapped"),
     )
     return one.unionByName(two).withColumn("obs", F.xxhash64(*OBSERVATION))
 
 
-def discover(reads: DataFrame, content: DataFrame | None = None, excluded: DataFrame | None = None, settings: DiscoverSettings = DiscoverSettings()) -> dict[str, DataFrame]:
-    """reads (sample, qname, seg, chrom, start, end, strand, mapq, flag, cigar or null); content (chrom, bin, gc, at); excluded
-    (chrom, start, end): depth, segments, max_depth, clusters, assembly_regions."""
-    used = reads.filter(evidence.usable(F.col("flag"), F.col("mapq")))
-    bins = sweep.depth_bins(used, settings.bin_size, ("sample", "chrom"))
-    size = settings.bin_size
-    depth = bins.select("sample", "chrom", "bin", (F.col("bases") / size).alias("depth"))
-    if excluded is not None:
-        spans = depth.select("chrom", "bin").distinct().withColumns({"start": F.col("bin") * size, "end": (F.col("bin") + 1) * size})
-        masked = interval_join.interval_semi(spans, excluded, ["chrom", "bin"]).select("chrom", "bin", F.lit(True).alias("_masked"))
-        depth = depth.join(masked, ["chrom", "bin"], "left").withColumn("depth", F.when(F.col("_masked").isNull(), F.col("depth"))).select("sample", "chrom", "bin", "depth")
-    out = {"depth": depth, "max_depth": sweep.regions_over(used, settings.max_depth, ("sample", "chrom"))}
-    if not settings.disable_cnv:  # these iterate: they run here, not when read
-        if content is not None:
-            levels = gc.content_levels(content, settings.gc_levels)
-            table = gc.correction(gc.level_depth(depth, levels), size, settings.gc_levels)
-            corrected = depth.join(levels, ["chrom", "bin"]).join(table, ["sample", "gc_level"])
-        else:
-            corrected = depth.withColumn("reduction", F.lit(1.0))
-        cells = corrected.select("sample", "chrom", "bin", "depth", "reduction", F.lit(hmm.SAME).alias("kind"))
-        states, haploid = hmm.converge(cells)
-        out |= {"cells": cells, "segments": hmm.segments(states), "haploid": haploid}
-    seen = observations(used, settings)
-    clusters = settle(_unpacked(cluster.breakpoint_clusters(_per_sample(seen), settings.cluster_distance, settings.min_evidence)))
-    out["clusters"] = clusters
-    out["assembly_regions"] = cluster.assembly_regions(clusters).select("sample", "cluster", "region_count", "regions")
-    return out
+def clip_observations(reads: DataFrame) -> DataFrame:
+    """One-sided breakpoints (evidence 2) of long soft clips, with a second end that is the same for all."""
+    clips = evidence.clip_evidence(reads.filter("cigar is not null").select(F.struct("sample", "qname").alias("qname"), "chrom", F.col("start").alias("pos"), "cigar"))
+    rows = clips.select(
+        F.col("qname.sample").alias("sample"), F.col("chrom").alias("chrom1"), F.col("pos").alias("start1"), (F.col("pos") + 1).alias("end1"), F.col("dir").alias("dir1"), F.col("chrom").alias("chrom2"),
+        F.lit(0).cast("long").alias("start2"), F.lit(1).cast("long").alias("end2"), F.col("dir").alias("dir2"), F.lit(2).alias("evidence"), F.col("qname.qname").alias("qname"), F.lit(None).cast("long").alias("inserted"),
+    )
+    return rows.withColumn("obs", F.xxhash64(*OBSERVATION))
 
 
-#: Chromosome numbers of different samples are kept apart by this step.
-SAMPLE_STEP = 1 << 32
+def _coded(sample: str, chrom: str) -> Column:
+    return F.col(sample) * SAMPLE_STEP + F.col(chrom)
 
 
 def _per_sample(seen: DataFrame) -> DataFrame:
-    return seen.withColumns({c: F.col("sample") * SAMPLE_STEP + F.col(c) for c in ("chrom1", "chrom2")} | {"qname": F.xxhash64("qname")})
+    return seen.withColumns({c: _coded("sample", c) for c in ("chrom1", "chrom2")} | {"qname": F.xxhash64("qname")})
 
 
 def _unpacked(clusters: DataFrame) -> DataFrame:
@@ -78,9 +80,132 @@ def _unpacked(clusters: DataFrame) -> DataFrame:
     return plain.withColumn("cluster", F.xxhash64("sample", "chrom1", "start1", "end1", "dir1", "chrom2", "start2", "end2", "dir2", "first_obs"))
 
 
+def cluster_neighbours(seen: DataFrame, clusters: DataFrame, distance: int) -> DataFrame:
+    """Breakends of two-region clusters that reads see follow each other: (sample, cluster, end, next_cluster, next_end, fit).
+
+    Where two observations follow each other on a read, the end at which the read leaves the first and the end at which it enters the second
+    are observed neighbours. An observation belongs to the cluster of its kind that has its read and encloses it.
+    """
+    near = evidence.read_neighbours(seen.select(F.struct("sample", "qname").alias("qname"), "obs", "read_pos"))
+    place = lambda i: F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end"))
+    ends = seen.select(
+        "obs", F.when(F.col("swapped"), 1).otherwise(2).alias("leave_end"), F.when(F.col("swapped"), place(1)).otherwise(place(2)).alias("leave"),
+        F.when(F.col("swapped"), 2).otherwise(1).alias("enter_end"), F.when(F.col("swapped"), place(2)).otherwise(place(1)).alias("enter"),
+    ).dropDuplicates(["obs"])
+    follow = near.filter("after is not null").select("obs", "after").join(ends, "obs").join(ends.select(F.col("obs").alias("after"), F.col("enter_end").alias("_e"), F.col("enter").alias("_to")), "after")
+    both = F.explode(F.array(F.struct(F.col("obs").alias("obs"), F.col("leave_end").alias("end"), F.col("_to").alias("at")), F.struct(F.col("after").alias("obs"), F.col("_e").alias("end"), F.col("leave").alias("at"))))
+    seen_at = follow.select(both.alias("x")).select("x.obs", F.col("x.end").alias("side"), "x.at")
+    named = clusters.filter("region_count = 2").select("sample", "cluster", "chrom1", "chrom2", "dir1", "dir2", *[F.col(f"{c}{i}").alias(f"_{c}{i}") for c in ("start", "end") for i in (1, 2)], F.explode("qnames").alias("_qname"))
+    own = seen.withColumn("_qname", F.xxhash64("qname")).join(named, ["sample", "chrom1", "chrom2", "dir1", "dir2", "_qname"])
+    own = own.filter("start1 >= _start1 and end1 <= _end1 and start2 >= _start2 and end2 <= _end2").groupBy("obs").agg(F.min("cluster").alias("cluster"))
+    observed = seen_at.join(own, "obs").join(clusters.select("cluster", F.col("sample").alias("_sample")), "cluster")
+    observed = observed.select(F.struct("cluster", "side").alias("id"), (F.col("_sample") * SAMPLE_STEP + F.col("at.chrom")).alias("chrom"), "at.start", "at.end")
+    is_indel = (F.col("chrom1") == F.col("chrom2")) & (F.col("dir1") == 0) & (F.col("dir2") == 1)
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), _coded("sample", f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end"), F.col(f"dir{i}").alias("dir")) for i in (1, 2)]))
+    breakends = clusters.filter("region_count = 2").select("cluster", is_indel.alias("is_indel"), sides.alias("s")).select(F.struct("cluster", F.col("s.side").alias("side")).alias("id"), "s.chrom", "s.start", "s.end", F.col("s.dir").alias("dir"), "is_indel")
+    pairs = cluster.neighbour_pairs(breakends, observed, distance)
+    found = pairs.select(F.col("id.cluster").alias("cluster"), F.col("id.side").alias("end"), F.col("next_id.cluster").alias("next_cluster"), F.col("next_id.side").alias("next_end"), "fit")
+    return found.join(clusters.select("cluster", "sample"), "cluster").select("sample", "cluster", "end", "next_cluster", "next_end", "fit")
+
+
+def large_insertion_candidates(clips: DataFrame, clusters: DataFrame, settings: DiscoverSettings) -> DataFrame:
+    """Insertions whose sides only soft clips show, off all indel regions: (sample, id, chrom, start, end)."""
+    groups = _unpacked(cluster.breakpoint_clusters(_per_sample(clips), settings.cluster_distance, settings.min_evidence))
+    ends = groups.select(F.col("cluster").alias("id"), _coded("sample", "chrom1").alias("chrom"), F.col("start1").alias("pos"), F.col("dir1").alias("dir"))
+    found = cluster.large_insertions(ends).select(F.col("root").alias("id"), "chrom", F.least("start", "end").alias("start"), (F.greatest("start", "end") + 1).alias("end"))
+    indels = clusters.filter("region_count = 1").select(_coded("sample", "chrom1").alias("chrom"), F.col("regions")[0]["start"].alias("start"), F.col("regions")[0]["end"].alias("end"))
+    kept = cluster.insertions_off_indels(settle(found), indels)
+    return kept.select(F.floor(F.col("chrom") / SAMPLE_STEP).cast("long").alias("sample"), "id", (F.col("chrom") % SAMPLE_STEP).alias("chrom"), "start", "end")
+
+
+def consolidated(clusters: DataFrame) -> DataFrame:
+    """One-region clusters by the region that is assembled for them: (sample, cluster, root, chrom, start, end)."""
+    regions = clusters.filter("region_count = 1").select(_coded("sample", "chrom1").alias("chrom"), F.col("regions")[0]["start"].alias("start"), F.col("regions")[0]["end"].alias("end"), F.col("cluster").alias("id"))
+    joined = cluster.consolidate(regions)
+    whole = Window.partitionBy("chrom", "root")
+    return joined.select(F.floor(F.col("chrom") / SAMPLE_STEP).cast("long").alias("sample"), F.col("id").alias("cluster"), "root", (F.col("chrom") % SAMPLE_STEP).alias("chrom"), F.min("start").over(whole).alias("start"), F.max("end").over(whole).alias("end"))
+
+
+def refine(reads: DataFrame, clusters: DataFrame, regions: DataFrame, reference: DataFrame, settings: DiscoverSettings) -> dict[str, DataFrame]:
+    """Contigs and precise indels of the consolidated regions, and the duplications that an insertion among these explains.
+
+    reads need seq; reference has chunks (chrom, start, seq).
+    """
+    roots = regions.select("sample", F.col("root").alias("cluster"), "chrom", "start", "end").distinct()
+    pieces = reads.filter("cigar is not null and seq is not null").select(F.col("qname").cast("string").alias("qname"), _coded("sample", "chrom").alias("chrom"), "start", "end", "cigar", "seq", F.lit(True).alias("is_primary"))
+    least = evidence.least_evidence_size(settings.min_indel, settings.noise_margin)
+    trimmed = settle(trim.trimmed_reads(pieces, roots.withColumn("chrom", _coded("sample", "chrom")), least_evidence=least))
+    contigs = settle(trim.extend_contigs(align.assemble(trimmed.select("cluster", "qname", "seq")), trimmed))
+    spans = roots.select(F.col("cluster").alias("id"), "chrom", F.greatest(F.lit(0), F.col("start") - REFERENCE_FLANK).alias("start"), (F.col("end") + REFERENCE_FLANK).alias("end"))
+    refs = text.sequence_of(reference, spans).join(spans.select("id", F.col("start").alias("ref_start")), "id").select(F.col("id").alias("cluster"), F.col("seq").alias("ref"), "ref_start")
+    found = align.contig_indels(contigs.join(refs, "cluster"), settings.min_indel).join(roots.select("cluster", "sample", "chrom"), "cluster")
+    candidates = settle(found.select("sample", "cluster", "assembly", "chrom", "start", "end", "inserted", "homology"))
+    inserted = candidates.filter("inserted <> ''").select(_coded("sample", "chrom").alias("chrom"), "start", (F.col("start") + 1).alias("end"), F.length("inserted").cast("long").alias("size"))
+    dups = clusters.filter("chrom1 = chrom2 and dir1 = 1 and dir2 = 0 and start2 > start1").select(F.col("cluster").alias("id"), _coded("sample", "chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("start2").alias("end"))
+    return {"contigs": contigs, "candidates": candidates, "redundant": cluster.redundant_duplications(dups, inserted).withColumnRenamed("id", "cluster")}
+
+
+def discover(reads: DataFrame, content: DataFrame | None = None, excluded: DataFrame | None = None, settings: DiscoverSettings = DiscoverSettings(), expected: DataFrame | None = None, sequences: DataFrame | None = None, reference: DataFrame | None = None) -> dict[str, DataFrame]:
+    """reads (sample, qname, seg, chrom, start, end, strand, mapq, flag, cigar or null, and seq, if they are to be assembled); content
+    (chrom, bin, gc, at), or sequences (chrom, seq) that it is counted from; excluded and expected (chrom, start, end; value)
+    regions; reference chunks (chrom, start, seq).
+
+    Tables: settings, depth, max_depth, clusters, regions, neighbours, insertions; with copy numbers cells, segments, haploid; with
+    reference and seq contigs, candidates.
+    """
+    used = usable_reads(reads, settings)
+    size = settings.bin_size
+    bins = sweep.depth_bins(used, size, ("sample", "chrom"))
+    depth = bins.select("sample", "chrom", "bin", (F.col("bases") / size).alias("depth"))
+    if excluded is not None:
+        spans = depth.select("chrom", "bin").distinct().withColumns({"start": F.col("bin") * size, "end": (F.col("bin") + 1) * size})
+        masked = interval_join.interval_semi(spans, excluded, ["chrom", "bin"]).select("chrom", "bin", F.lit(True).alias("_masked"))
+        depth = depth.join(masked, ["chrom", "bin"], "left").withColumn("depth", F.when(F.col("_masked").isNull(), F.col("depth"))).select("sample", "chrom", "bin", "depth")
+    depth = settle(depth)
+    out = {"settings": reads.sparkSession.createDataFrame([(k, str(v)) for k, v in asdict(settings).items()], "name string, value string"), "depth": depth}
+    if settings.disable_cnv:
+        out["max_depth"] = sweep.regions_over(used, settings.max_depth, ("sample", "chrom"))
+    else:
+        out |= copy_numbers(sweep.select_chroms(depth, settings.chrom_regex), content if sequences is None else gc.window_content(sequences, size, settings.gc_window), expected, settings)
+        limits = sweep.scoring_depth_limit(out["haploid"], settings.max_depth_factor, settings.max_depth)
+        changes = sweep.edges(used, ("sample", "chrom")).join(limits, "sample")  # a row for each sample
+        out["max_depth"] = sweep.regions_where(changes, lambda depth: depth > F.col("max_depth"), ("sample", "chrom"))
+    seen = settle(observations(used, settings))
+    found = _unpacked(cluster.breakpoint_clusters(_per_sample(seen), settings.cluster_distance, settings.min_evidence))
+    clusters = settle(cluster.assembly_regions(found))
+    out["regions"] = consolidated(clusters)
+    out["neighbours"] = cluster_neighbours(seen, clusters, settings.close_breakends)
+    if not settings.disable_large_insertions:
+        out["insertions"] = large_insertion_candidates(settle(clip_observations(used)), clusters, settings)
+    if reference is not None and "seq" in reads.columns:
+        refined = refine(used, clusters, out["regions"], reference, settings)
+        clusters = settle(clusters.join(refined.pop("redundant"), "cluster", "left_anti"))
+        out |= refined
+    return out | {"clusters": clusters}
+
+
+def copy_numbers(depth: DataFrame, content: DataFrame | None, expected: DataFrame | None, settings: DiscoverSettings) -> dict[str, DataFrame]:
+    """cells (sample, chrom, bin, depth, reduction, kind, expected), segments and haploid depths. The rounds run here, not when read."""
+    if content is not None:
+        levels = gc.content_levels(content, settings.gc_levels)
+        table = gc.correction(gc.level_depth(depth, levels), settings.bin_size, settings.gc_levels)
+        corrected = depth.join(levels, ["chrom", "bin"]).join(table, ["sample", "gc_level"])
+    else:
+        corrected = depth.withColumn("reduction", F.lit(1.0))
+    if expected is not None:
+        places = depth.select("chrom", "bin").distinct().withColumns({"start": F.col("bin") * settings.bin_size, "end": (F.col("bin") + 1) * settings.bin_size, "place": F.struct("chrom", "bin")})
+        usual = interval_join.majority_value(places, expected, "place").select("place.chrom", "place.bin", F.col("value").alias("expected"))
+        corrected = corrected.join(usual, ["chrom", "bin"])
+    else:
+        corrected = corrected.withColumn("expected", F.lit(interval_join.DEFAULT_COPIES).cast("long"))
+    cells = settle(corrected.select("sample", "chrom", "bin", "depth", "reduction", F.lit(hmm.SAME).alias("kind"), "expected"))
+    states, haploid = hmm.converge(cells)
+    return {"cells": cells, "segments": hmm.segments(states), "haploid": haploid}
+
+
 def merged_variants(clusters: DataFrame, settings: JointCallSettings) -> DataFrame:
-    """Clusters of all samples whose first ends pool and whose types agree: one row per variant, with each member's evidence."""
-    kind = variants.sv_type(F.col("chrom1"), F.col("chrom2"), F.col("dir1"), F.col("dir2"), F.col("start2") - F.col("start1"), F.lit(0))
+    """Clusters of all samples whose first ends pool and whose types agree: one row per member, with its variant (sv), pool and evidence."""
+    kind = variants.sv_type(F.col("chrom1"), F.col("chrom2"), F.col("dir1"), F.col("dir2"), F.col("start2") - F.col("start1"), F.coalesce("insert_high", F.lit(0)))
     rows = clusters.withColumn("kind", kind).withColumn("class", F.xxhash64("kind", "dir1", "dir2", "chrom1", "chrom2"))
     pooled = pools.leader_pools(rows.select(F.col("class").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), "sample", F.col("cluster").alias("id")), settings.pool_margin)
     members = pooled.select(F.col("id").alias("cluster"), "pool").join(rows, "cluster")
@@ -88,35 +213,159 @@ def merged_variants(clusters: DataFrame, settings: JointCallSettings) -> DataFra
     return members.join(close.withColumnRenamed("id", "cluster"), "cluster").withColumnRenamed("merged_id", "sv")
 
 
-def joint_call(reads: DataFrame, stage: dict[str, DataFrame], settings: JointCallSettings = JointCallSettings()) -> dict[str, DataFrame]:
-    """Variants over all samples, genotyped by the reads that support them and those that span their first end."""
-    members = settle(merged_variants(stage["clusters"], settings))  # read by several steps below
-    best = members.filter("cluster = sv").select("sv", "kind", "chrom1", "start1", "end1", "dir1", "chrom2", "start2", "end2", "dir2")
-    alt = members.groupBy("sv", "sample").agg(F.sum("evidence").alias("alt"))
-    used = reads.filter(evidence.usable(F.col("flag"), F.col("mapq")))
-    spanning = interval_join.point_join(best.select("sv", F.col("chrom1").alias("chrom"), F.col("start1").alias("pos")), used.select("chrom", "start", "end", "sample")).groupBy("sv", "sample").agg(F.count(F.lit(1)).alias("depth"))
-    samples = used.select("sample").distinct()
-    # a genotype for each variant and sample is the result itself
-    names = samples.agg(F.sort_array(F.collect_set("sample")).alias("_samples"))
-    grid = best.select("sv").join(F.broadcast(names)).select("sv", F.explode("_samples").alias("sample"))
-    counts = grid.join(alt, ["sv", "sample"], "left").join(spanning, ["sv", "sample"], "left")
-    counts = counts.select("sv", "sample", F.coalesce("alt", F.lit(0)).alias("alt"), F.greatest(F.lit(0), F.coalesce("depth", F.lit(0)) - F.coalesce("alt", F.lit(0))).alias("ref"), F.lit(0).alias("overlap"), F.lit(False).alias("haploid"))
-    calls = genotype.genotypes(counts, settings.max_qscore)
-    quality = genotype.joint_quality(calls, "sv")
-    svs = best.join(quality, "sv")
-    out = {"calls": calls.select("sv", "sample", "ref", "alt", "gt", "gq", "pl0", "pl1", "pl2")}
-    inverted = svs.filter("chrom1 = chrom2 and dir1 = dir2").select(F.col("sv").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), (F.col("start2") + 1).alias("end"), F.col("dir1").alias("dir"))
-    out["inversions"] = matching.inversions(inverted.filter("end > start"))
-    rows = svs.select(F.col("sv").cast("string").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), F.col("start2").alias("end"), "kind", "qual", F.lit(False).alias("is_inversion"), variants.filters(F.lit(False), F.col("qual"), F.lit(False), F.lit(False)).alias("filter"))
-    if settings.dedup:
-        rows = records.dedup(rows, ["chrom", "pos", "end", "kind"])
-    if settings.merge_sv_cnv and "segments" in stage:
-        size = DiscoverSettings().bin_size
-        cnv = stage["segments"].filter("state not in (2, 6)").select("sample", "chrom", (F.col("begin") * size).alias("start"), (F.col("end") * size).alias("end"), F.col("state").alias("copies"), F.lit(2).alias("expected"))
-        cnvs = records.merge_equal_segments(cnv).withColumn("cnv", F.xxhash64("chrom", "start", "end"))
-        out["cnvs"] = cnvs
-        spans = svs.filter("chrom1 = chrom2 and kind in ('DEL', 'DUP') and start2 > start1").select("sv", "kind", F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("start2").alias("end"))
-        states = cnv.withColumn("cnv", F.xxhash64("chrom", "start", "end")).select("cnv", "sample", "copies", F.col("expected").cast("long").alias("expected"))
-        out["matches"] = matching.sv_cnv_match(spans, cnvs, calls.select("sv", "sample", "gt"), states)
-    out["records"] = rows
+def allele_scores(best: DataFrame, members: DataFrame, used: DataFrame) -> DataFrame:
+    """What each read says about each variant that it supports or spans: (sv, sample, qname, condition, allele, score).
+
+    The two ends are the conditions. A read that supports the variant scores 1 for it and 0.5 for the reference, one that spans an end
+    without support the other way round; one that supports another variant of the pool scores 1.5 for the overlapping allele, or
+    0.75 if it supports this one as well.
+    """
+    support = members.select("pool", "sv", "sample", F.explode("qnames").alias("qname")).distinct()
+    ends = best.select("pool", "sv", F.explode(F.array(*[F.struct(F.lit(i - 1).alias("condition"), F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("pos")) for i in (1, 2)])).alias("e")).select("pool", "sv", "e.*")
+    spans = used.select("chrom", (F.col("start") + BOTH_SIDES).alias("start"), (F.col("end") - BOTH_SIDES).alias("end"), "sample", F.xxhash64("qname").alias("qname"))
+    spanning = interval_join.point_join(ends, spans).select("pool", "sv", "sample", "qname", "condition").distinct()
+    told = spanning.unionByName(support.withColumn("condition", F.lit(0))).distinct()
+    mine = support.select("sv", "sample", "qname", F.lit(True).alias("_mine"))
+    other = support.select("pool", F.col("sv").alias("_sv"), "sample", "qname")
+    overlap = told.select("pool", "sv", "sample", "qname").distinct().join(other, ["pool", "sample", "qname"]).filter("sv <> _sv").select("sv", "sample", "qname", F.lit(True).alias("_other")).distinct()
+    rows = told.join(mine, ["sv", "sample", "qname"], "left").join(overlap, ["sv", "sample", "qname"], "left")
+    yes = F.col("_mine").isNotNull()
+    entry = lambda allele, score: F.struct(F.lit(allele).alias("allele"), score.alias("score"))
+    both = [entry(genotype.REF, F.when(yes, 0.5).otherwise(1.0)), entry(genotype.ALT, F.when(yes, 1.0).otherwise(0.5))]
+    third = entry(genotype.OVERLAP, F.when(yes, 0.75).otherwise(1.5))
+    entries = F.when(F.col("_other").isNotNull(), F.array(*both, third)).otherwise(F.array(*both))
+    return rows.select("sv", "sample", "qname", "condition", F.explode(entries).alias("e")).select("sv", "sample", "qname", "condition", "e.allele", "e.score")
+
+
+def expected_ploidies(best: DataFrame, expected: DataFrame | None, settings: JointCallSettings) -> DataFrame:
+    """(sv, copies, haploid): the expected copies at both ends if they agree, and whether one copy means one haplotype."""
+    if expected is None:
+        copies = best.select("sv", F.lit(interval_join.DEFAULT_COPIES).cast("long").alias("copies"))
+    else:
+        ends = best.select("sv", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end")) for i in (1, 2)])).alias("e")).select("sv", "e.*")
+        copies = interval_join.unanimous_value(ends, expected, "sv", "side").withColumnRenamed("value", "copies")
+    return copies.withColumn("haploid", genotype.ploidy(F.col("copies"), settings.treat_single_copy_as_haploid) == 1)
+
+
+def joint_call(reads: DataFrame, stage: dict[str, DataFrame], settings: JointCallSettings = JointCallSettings(), expected: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Variants over all samples, genotyped by what each read supports: calls, records, inversions; supporting_reads if asked for; with
+    copy numbers cnvs, copy_segments, matches.
+    """
+    members = settle(merged_variants(stage["clusters"], settings))
+    best = settle(members.filter("cluster = sv").select("sv", "pool", "kind", "chrom1", "start1", "end1", "dir1", "chrom2", "start2", "end2", "dir2", "insert_high"))
+    used = settle(usable_reads(reads, settings).select("sample", "qname", "chrom", "start", "end"))
+    # a sample's regions of too much depth leave its variants there unscored
+    ends = best.select("sv", F.explode(F.array(*[F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end")) for i in (1, 2)])).alias("e")).select("sv", "e.*")
+    samples = F.explode(used.agg(F.sort_array(F.collect_set("sample"))).scalar()).alias("sample")  # one row names all samples
+    deep = settle(sweep.over_limit(ends.select("*", samples), stage["max_depth"]).select("sv", "sample").distinct())
+    # haplotypes of a pool are its variants in order
+    in_pool = Window.partitionBy("pool").orderBy("start1", "start2", "sv")
+    numbered = settle(best.select("pool", "sv", (F.row_number().over(in_pool) - 1).alias("haplotype")))
+    ploidies = settle(expected_ploidies(best, expected, settings))
+    native = members.select("pool", "sample", "sv").distinct().join(numbered, ["pool", "sv"]).select(F.col("pool").alias("group"), "sample", "haplotype", F.col("haplotype").alias("rank"))
+    allowed = numbered.join(ploidies, "sv").groupBy(F.col("pool").alias("group")).agg(F.max(F.when(F.col("haploid"), 1).otherwise(2)).alias("ploidy"))
+    order = settle(genotype.sample_sv_order(numbered.select(F.col("pool").alias("group"), "sv", "haplotype"), native, allowed.select("group", samples, "ploidy")))
+    scores = allele_scores(best, members, used).join(deep, ["sv", "sample"], "left_anti")
+    alleles = genotype.best_alleles(scores.select(F.struct("sv", "sample", "qname").alias("read"), "condition", "allele", "score"))
+    told = settle(alleles.select("read.*", "allele", "tie"))
+    # a read of an overlapping allele is on the pool's other haplotype
+    placed = order.join(numbered.select("sv", "haplotype"), "sv").join(told, ["sv", "sample"], "left")
+    assigned = placed.select("group", "sample", "place", "sv", "haplotype", (F.lit(1) - F.least(F.col("haplotype"), F.lit(1))).alias("other"), F.lit(False).alias("shared"), F.coalesce(F.col("qname").cast("string"), F.lit("")).alias("qname"), "allele", F.coalesce("tie", F.lit(False)).alias("tie"), "relation")
+    counts = genotype.reserved_counts(assigned, passes=2).join(ploidies.select("sv", "haploid"), "sv")
+    calls = genotype.genotypes(counts, settings.max_qscore).join(numbered.withColumnRenamed("pool", "group"), "sv").join(best.select("sv", F.col("start1").alias("start")), "sv")
+    calls = genotype.phase_sets(genotype.absorb_overlaps(calls))
+    calls = settle(calls.join(deep.withColumn("over_depth", F.lit(True)), ["sv", "sample"], "left").withColumn("over_depth", F.coalesce("over_depth", F.lit(False))))
+    quality = genotype.joint_quality(calls, "sv", settings.max_qscore).join(calls.groupBy("sv").agg(F.bool_or("over_depth").alias("over_depth"), F.coalesce(F.max("gt"), F.lit(0)).alias("most")), "sv")
+    svs = settle(best.join(quality, "sv").withColumn("replicated", F.lit(False)))
+    marked = pools.replicates(svs, ["chrom1", "start1", "dir1", "chrom2", "start2", "dir2", "insert_high"], "sv")
+    svs = settle(marked.withColumn("replicated", F.col("is_replicate")))
+    inverted = svs.filter("chrom1 = chrom2 and dir1 = dir2 and most > 0 and not over_depth and start2 >= start1").select(F.col("sv").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), (F.col("start2") + 1).alias("end"), F.col("dir1").alias("dir"))
+    out = {"calls": calls.select("sv", "sample", "ref", "alt", "overlap", "gt", "gq", "pl0", "pl1", "pl2", "phase_set", "is_first", "haploid"), "inversions": settle(matching.inversions(inverted))}
+    if settings.report_supporting_reads:
+        out["supporting_reads"] = told.filter(F.col("allele") == genotype.ALT).select(F.col("sv").alias("variant"), "sample", "qname")
+    matches = None
+    if not settings.disable_cnv and "cells" in stage:
+        out |= joint_copy_numbers(svs, calls, stage, settings, expected)
+        matches = out.get("matches")
+    return out | {"records": joint_records(svs, out["inversions"], matches, settings)}
+
+
+def joint_copy_numbers(svs: DataFrame, calls: DataFrame, stage: dict[str, DataFrame], settings: JointCallSettings, expected: DataFrame | None) -> dict[str, DataFrame]:
+    """Segments of all samples, with changes likelier where variants end, moved onto common bins: copy_segments (with their quality and, for
+    the highest state, the copies by depth), cnvs, matches."""
+    size = int(stage["settings"].filter("name = 'bin_size'").first()["value"])
+    spans = svs.filter("chrom1 = chrom2 and kind in ('DEL', 'DUP') and start2 > start1").select("sv", "kind", "over_depth", "qual", "replicated", F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("start2").alias("end"))
+    carried = spans.join(calls.filter("gt > 0").select("sv", "sample"), "sv")
+    own = carried.select(F.struct("sv", "sample", "kind", "chrom", "start", "end").alias("sv"), _coded("sample", "chrom").alias("chrom"), "start", "end")
+    usual = stage["cells"].groupBy("sample", "chrom", "bin").agg(F.max("expected").alias("expected"))
+    named = stage["segments"].join(usual.withColumnRenamed("bin", "begin"), ["sample", "chrom", "begin"])
+    parts = named.select(F.xxhash64("sample", "chrom", "begin").alias("segment"), _coded("sample", "chrom").alias("chrom"), (F.col("begin") * size).alias("start"), (F.col("end") * size).alias("end"), F.col("state").alias("copies"), "expected")
+    known = settle(parts.filter(F.col("copies") != hmm.UNKNOWN))
+    boosted = matching.power_boost(own, known.select("segment", "chrom", "start", "end")).select("sv").unionByName(matching.close_fit(own, known).select("sv")).distinct().select("sv.*")
+    edge = lambda pos, first: F.struct(F.col(pos).alias("pos"), F.when((F.col("kind") == "DEL") == F.lit(first), hmm.LOSS).otherwise(hmm.GAIN).alias("kind"))
+    breakends = boosted.select("sample", "chrom", F.explode(F.array(edge("start", True), edge("end", False))).alias("e")).select("sample", "chrom", "e.pos", "e.kind")
+    kinds = hmm.breakend_kinds(breakends, size)
+    cells = settle(stage["cells"].drop("kind").join(kinds, ["sample", "chrom", "bin"], "left").withColumn("kind", F.coalesce("kind", F.lit(hmm.SAME))))
+    segs = settle(hmm.joint_segments(cells, stage["haploid"], settings.boundary_shift // size))
+    quality = hmm.copy_quality(hmm.state_likelihoods(segs, cells, stage["haploid"]), settings.max_qscore)
+    high = hmm.high_copies(segs, cells, stage["haploid"]).select("sample", "chrom", "begin", "high_copies")
+    table = segs.join(quality.select("sample", "chrom", "begin", "cnq"), ["sample", "chrom", "begin"]).join(high, ["sample", "chrom", "begin"], "left").join(usual.withColumnRenamed("bin", "begin"), ["sample", "chrom", "begin"], "left")
+    table = settle(table.select("sample", "chrom", (F.col("begin") * size).alias("start"), (F.col("end") * size).alias("end"), F.col("state").alias("copies"), F.coalesce("expected", F.lit(2)).alias("expected"), "cnq", "high_copies"))
+    cnv = table.filter((F.col("copies") != F.col("expected")) & (F.col("copies") != hmm.UNKNOWN))
+    cnvs = settle(records.merge_equal_segments(cnv).withColumn("cnv", F.xxhash64("chrom", "start", "end")))
+    out = {"copy_segments": table, "cnvs": cnvs}
+    if settings.merge_sv_cnv:
+        good = spans.filter(matching.eligible(F.col("kind"), F.col("end") - F.col("start"), F.col("over_depth"), F.col("qual"), F.col("replicated"), settings.min_qual))
+        states = cnv.select(F.xxhash64("chrom", "start", "end").alias("cnv"), "sample", "copies", "expected")
+        out["matches"] = settle(matching.sv_cnv_match(good, cnvs, calls.select("sv", "sample", "gt"), states))
+        out["cnvs"] = cnvs.join(out["matches"].select("cnv").distinct(), "cnv", "left_anti")
     return out
+
+
+def joint_records(svs: DataFrame, inversions: DataFrame, matches: DataFrame | None, settings: JointCallSettings) -> DataFrame:
+    """One row per variant and one per inversion, with type, quality, filters and the inversion (event) that a breakpoint is part of."""
+    in_inversion = inversions.select(F.explode(F.array("id1", "id2")).alias("sv"), F.concat_ws(":", F.lit("INV"), "id1", "id2").alias("event"))
+    rows = svs.join(in_inversion, "sv", "left")
+    if matches is not None:
+        spans = svs.filter("chrom1 = chrom2").select("sv", "kind", F.col("start1").alias("start"), F.col("start2").alias("end"))
+        forced = matching.to_breakend_pairs(spans, matches).select("sv", "forced_bnd")
+        claimed = matches.select("sv").distinct().withColumn("has_cnv", F.lit(True))
+        rows = rows.join(forced, "sv", "left").join(claimed, "sv", "left")
+    else:
+        rows = rows.withColumn("forced_bnd", F.lit(False)).withColumn("has_cnv", F.lit(None).cast("boolean"))
+    kind = variants.record_type(F.col("kind"), F.col("start2") - F.col("start1"), F.lit(False), F.coalesce("forced_bnd", F.lit(False)))
+    tags = variants.filters(F.col("over_depth"), F.col("qual"), F.col("event").isNotNull(), F.lit(False), settings.min_qual)
+    claim = F.when(F.coalesce("has_cnv", F.lit(False)), "DJ").otherwise("J")
+    one = rows.filter("not replicated").select(F.col("sv").cast("string").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), F.col("chrom2").alias("mate_chrom"), F.col("start2").alias("end"), "dir1", "dir2", kind.alias("kind"), "qual", F.lit(False).alias("is_inversion"), tags.alias("filter"), "event", claim.alias("claim"))
+    two = inversions.join(svs.select(F.col("sv").alias("id1"), "qual"), "id1").select(
+        F.concat_ws(":", F.lit("INV"), "id1", "id2").alias("id"), "chrom", F.col("start").alias("pos"), F.col("chrom").alias("mate_chrom"), (F.col("end") - 1).alias("end"), F.lit(None).cast("long").alias("dir1"), F.lit(None).cast("long").alias("dir2"),
+        F.lit("INV").alias("kind"), "qual", F.lit(True).alias("is_inversion"), variants.filters(F.lit(False), F.col("qual"), F.lit(False), F.lit(False), settings.min_qual).alias("filter"), F.concat_ws(":", F.lit("INV"), "id1", "id2").alias("event"), F.lit("J").alias("claim"),
+    )
+    found = one.unionByName(two)
+    return records.dedup(found, ["chrom", "pos", "mate_chrom", "end", "kind", "dir1", "dir2"]) if settings.dedup else found
+
+
+def run_discover(reads: DataFrame, folder: str, settings: DiscoverSettings = DiscoverSettings(), **inputs: DataFrame | None) -> None:
+    """``discover`` into a stage folder; run statistics and the marker come last."""
+    sinks.check_folder(reads.sparkSession, folder, settings.overwrite)
+    found = discover(reads, settings=settings, **inputs)
+    sinks.write_stage(found, folder, settings.overwrite)
+    sinks.write_run_stats(reads.sparkSession, folder, asdict(settings), found)
+
+
+def run_joint_call(reads: DataFrame, folders: str, output: str, contigs: DataFrame, settings: JointCallSettings = JointCallSettings(), expected: DataFrame | None = None) -> None:
+    """``joint_call`` of a finished stage into Parquet tables, VCF text and, if asked for, supporting reads as JSON lines.
+
+    contigs (chrom, name, length) name the chromosomes, one row each.
+    """
+    spark = reads.sparkSession
+    sinks.check_folder(spark, output, settings.overwrite)
+    stage = {name: sinks.read_stage(spark, folders, name) for name in sinks.stage_tables(spark, folders)}
+    found = joint_call(reads, stage, settings, expected)
+    sinks.write_stage(found, output, settings.overwrite)
+    tables = {name: sinks.read_stage(spark, output, name) for name in found}
+    mode = "overwrite" if settings.overwrite else "errorifexists"
+    sinks.joint_vcf(tables, contigs, settings.min_qual).write.mode(mode).option("compression", "gzip").text(f"{output}/vcf")
+    if settings.report_supporting_reads:
+        sinks.supporting_reads(tables["supporting_reads"]).write.mode(mode).option("compression", "gzip").text(f"{output}/supporting_reads_json")
+    sinks.write_run_stats(spark, output, asdict(settings), tables)

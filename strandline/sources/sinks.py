@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,18 +31,104 @@ def track_runs(bins: DataFrame, value: str = "depth") -> DataFrame:
 
 
 VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
-
-
-def vcf_lines(records: DataFrame, samples: list[str], formats: dict[str, str]) -> DataFrame:
-    """records (VCF_FIELDS and an array column per format, one value a sample): text lines, in order, behind two header lines."""
-    head = ["##fileformat=VCFv4.4", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
-    values = [F.concat_ws(":", *[F.coalesce(F.col(c)[i].cast("string"), F.lit(".")) for c in formats.values()]) for i in range(len(samples))]
+#: Header lines (fixed values).
+VCF_ALT = ("DEL,Deletion", "INS,Insertion", "DUP:TANDEM,Tandem duplication", "INV,Inversion", "CNV,Copy number variable region")
+VCF_INFO = (
+    "END,1,Integer,End position of the variant", "EVENT,A,String,ID of associated event", "EVENTTYPE,A,String,Type of associated event", "MATEID,A,String,ID of mate breakend",
+    "SVCLAIM,A,String,Claim made by the call: D (abundance) or J (adjacency) or DJ", "SVLEN,A,Integer,Length of structural variant", "SVTYPE,1,String,Type of structural variant",
+)
+VCF_FORMAT = (
+    "GT,1,String,Genotype", "GQ,1,Integer,Genotype quality", "PL,G,Integer,Phred-scaled genotype likelihoods", "AD,R,Integer,Read depth for each allele", "PS,1,Integer,Phase set", "CN,1,Float,Copy number",
+    "CNQ,1,Float,Copy number quality",
+)
+
+
+def vcf_header(contigs: list[tuple[str, int]], least_quality: int = 10) -> list[str]:
+    """The lines before the column names: contigs, alleles, filters, INFO and FORMAT keys."""
+    filters = ("PASS,All filters passed", f"MinQUAL,QUAL is less than {least_quality}", "MaxScoringDepth,Depth exceeds the scoring limit in a sample", "InvBreakpoint,Part of an inversion record with the same EVENT", "ConflictingBreakpointGT,Genotypes of an event's breakpoints conflict")
+    out = ["##fileformat=VCFv4.4", *[f"##contig=<ID={name},length={length}>" for name, length in contigs]]
+    for kind, rows in (("ALT", VCF_ALT), ("FILTER", filters)):
+        out += [f'##{kind}=<ID={key},Description="{text}">' for key, text in (r.split(",", 1) for r in rows)]
+    for kind, rows in (("INFO", VCF_INFO), ("FORMAT", VCF_FORMAT)):
+        out += [f'##{kind}=<ID={key},Number={n},Type={of},Description="{text}">' for key, n, of, text in (r.split(",", 3) for r in rows)]
+    return out
+
+
+def vcf_lines(records: DataFrame, samples: list[str], formats: dict[str, str], header: list[str] | None = None, order: str = "chrom") -> DataFrame:
+    """records (VCF_FIELDS and an array column per format, one value a sample): text lines, in order of the column ``order``, then
+    pos and id, behind the header and the line of column names."""
+    head = [*(header or ["##fileformat=VCFv4.4"]), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    zipped = F.arrays_zip(*[F.col(c).alias(f"f{i}") for i, c in enumerate(formats.values())])
+    fields = F.transform(zipped, lambda s: F.concat_ws(":", *[F.coalesce(s[f"f{i}"].cast("string"), F.lit(".")) for i in range(len(formats))]))
     fixed = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in VCF_FIELDS]
-    body = records.select("chrom", "pos", "id", F.concat_ws("\t", *fixed, F.lit(":".join(formats)), *values).alias("value"))
+    body = records.select(F.col(order).alias("_order"), "pos", "id", F.concat_ws("\t", *fixed, F.lit(":".join(formats)), F.array_join(fields, "\t")).alias("value"))
     spark = records.sparkSession
+    kind = dict(body.dtypes)["_order"]
     lines = spark.createDataFrame([(i, h) for i, h in enumerate(head)], "n int, value string")
-    top = lines.select(F.lit(0).alias("_part"), F.lit(None).cast("string").alias("chrom"), F.col("n").cast("long").alias("pos"), F.lit("").alias("id"), "value")
-    return top.unionByName(body.select(F.lit(1).alias("_part"), F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), "id", "value")).orderBy("_part", "chrom", "pos", "id").select("value")
+    top = lines.select(F.lit(0).alias("_part"), F.lit(None).cast(kind).alias("_order"), F.col("n").cast("long").alias("pos"), F.lit("").alias("id"), "value")
+    return top.unionByName(body.select(F.lit(1).alias("_part"), "_order", F.col("pos").cast("long").alias("pos"), "id", "value")).orderBy("_part", "_order", "pos", "id").select("value")
+
+
+def joint_vcf(tables: dict[str, DataFrame], contigs: DataFrame, least_quality: int = 10) -> DataFrame:
+    """The lines of a joint call's records, calls and copy-number variants. contigs (chrom, name, length), one row each.
+
+    A breakend pair is two lines that name each other. Without a reference at hand, REF is N. The columns are the samples in order.
+    """
+    from ..functions import variants
+
+    names = [(r["name"], r["length"]) for r in contigs.orderBy("chrom").collect()]
+    calls = tables["calls"]
+    samples = [r["sample"] for r in calls.select("sample").distinct().orderBy("sample").collect()]  # the header's columns
+    gt = variants.genotype_text(F.col("gt"), F.col("haploid"), F.col("phase_set"), F.col("is_first"))
+    entry = F.struct("sample", gt.alias("gt"), "gq", F.concat_ws(",", "pl0", "pl1", "pl2").alias("pl"), F.concat_ws(",", F.col("ref") + F.col("overlap"), "alt").alias("ad"), F.col("phase_set").alias("ps"))
+    listed = F.sort_array(F.collect_list(entry))
+    formats = ("gt", "gq", "pl", "ad", "ps")
+    by_sv = calls.groupBy(F.col("sv").cast("string").alias("call")).agg(*[_field(listed, c).alias(c) for c in formats])
+    rows = tables["records"].withColumn("call", F.when(F.col("is_inversion"), F.element_at(F.split("id", ":"), 2)).otherwise(F.col("id"))).join(by_sv, "call")
+    place = contigs.select(F.col("chrom"), F.col("name"))
+    rows = rows.join(place, "chrom").join(place.select(F.col("chrom").alias("mate_chrom"), F.col("name").alias("mate_name")), "mate_chrom")
+    pair = F.col("kind") == "BND"
+    sides = F.when(pair, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    each = rows.withColumn("side", F.explode(sides))
+    first = F.col("side") == 0
+    here, there = F.when(first, F.col("dir1")).otherwise(F.col("dir2")), F.when(first, F.col("dir2")).otherwise(F.col("dir1"))
+    mate_pos = F.when(first, F.col("end")).otherwise(F.col("pos")) + 1 + F.when(there == variants.RIGHT, 1).otherwise(0)
+    symbol = F.concat(F.lit("<"), F.when(F.col("kind") == "DUP", "DUP:TANDEM").otherwise(F.col("kind")), F.lit(">"))
+    alt = F.when(pair, variants.bnd_alt(here, there, F.lit("N"), F.lit(""), F.when(first, F.col("mate_name")).otherwise(F.col("name")), mate_pos)).otherwise(symbol)
+    ident = F.when(pair, F.concat_ws(":", "id", F.col("side"))).otherwise(F.col("id"))
+    pos = F.when(first, F.col("pos")).otherwise(F.col("end")) + 1 + F.when(pair & (here == variants.RIGHT), 1).otherwise(0)
+    info = F.concat_ws(
+        ";", F.concat(F.lit("SVTYPE="), "kind"), F.when(~pair, F.concat(F.lit("END="), (F.col("end") + 1).cast("string"))), F.when(~pair, F.concat(F.lit("SVLEN="), (F.col("end") - F.col("pos")).cast("string"))),
+        F.when(pair, F.concat(F.lit("MATEID="), F.concat_ws(":", "id", F.lit(1) - F.col("side")))), F.when(F.col("event").isNotNull(), F.concat(F.lit("EVENT="), F.col("event"), F.lit(";EVENTTYPE=INV"))), F.concat(F.lit("SVCLAIM="), "claim"),
+    )
+    number = F.when(first, F.col("chrom")).otherwise(F.col("mate_chrom"))
+    lines = each.select(number.alias("_number"), F.when(first, F.col("name")).otherwise(F.col("mate_name")).alias("chrom"), pos.alias("pos"), ident.alias("id"), F.lit("N").alias("ref"), alt.alias("alt"), F.round("qual").cast("long").alias("qual"), "filter", info.alias("info"), *formats, F.array_repeat(F.lit(None).cast("string"), len(samples)).alias("cn"), F.array_repeat(F.lit(None).cast("string"), len(samples)).alias("cnq"))
+    if "cnvs" in tables:
+        lines = lines.unionByName(_cnv_lines(tables, place, samples))
+    return vcf_lines(lines, [str(s) for s in samples], {f.upper(): f for f in (*formats, "cn", "cnq")}, vcf_header(names, least_quality), order="_number")
+
+
+def _field(entries: Column, name: str) -> Column:
+    return F.transform(entries, lambda s: s[name].cast("string"))
+
+
+def _cnv_lines(tables: dict[str, DataFrame], place: DataFrame, samples: list) -> DataFrame:
+    """Copy-number variants: a sample without the segment has no values."""
+    from ..functions import variants
+
+    own = tables["copy_segments"].join(tables["cnvs"].select("chrom", "start", "end", "cnv"), ["chrom", "start", "end"])
+    entries = own.groupBy("cnv").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct("copies", "expected", "cnq", "high_copies").alias("v")))).alias("m"))
+    names = F.array(*[F.lit(s) for s in samples])
+    at = lambda f: F.transform(names, lambda s: f(F.try_element_at("m", s)))
+    rows = tables["cnvs"].join(entries, "cnv").join(place, "chrom")
+    none = F.transform(names, lambda s: F.lit(None).cast("string"))
+    kind = F.concat(F.lit("<"), F.when(F.col("type") == "DUP", "DUP:TANDEM").otherwise(F.col("type")), F.lit(">"))
+    quality = F.array_max(at(lambda v: v["cnq"]))
+    return rows.select(
+        F.col("chrom").alias("_number"), F.col("name").alias("chrom"), (F.col("start") + 1).alias("pos"), F.concat_ws(":", F.lit("CNV"), "cnv").alias("id"), F.lit("N").alias("ref"), kind.alias("alt"), quality.cast("long").alias("qual"), F.lit("PASS").alias("filter"),
+        F.concat(F.lit("SVTYPE=CNV;END="), F.col("end").cast("string"), F.lit(";SVLEN="), (F.col("end") - F.col("start")).cast("string"), F.lit(";SVCLAIM=D")).alias("info"),
+        at(lambda v: variants.cnv_genotype(v["copies"], v["expected"] == 1)).alias("gt"), none.alias("gq"), none.alias("pl"), none.alias("ad"), none.alias("ps"), at(lambda v: F.coalesce(F.round(v["high_copies"], 1).cast("string"), v["copies"].cast("string"))).alias("cn"), at(lambda v: v["cnq"].cast("string")).alias("cnq"),
+    )
 
 
 def copy_number_summary(bases: DataFrame) -> DataFrame:
@@ -67,9 +156,30 @@ def write_stage(tables: dict[str, DataFrame], folder: str, overwrite: bool = Fal
     spark.createDataFrame([(n,) for n in tables], "stage_table string").coalesce(1).write.mode("overwrite").json(f"{folder}/complete")
 
 
+def check_folder(spark: SparkSession, folder: str, overwrite: bool) -> None:
+    """Raises, before any work, if the folder has a finished stage that may not be overwritten."""
+    try:
+        done = stage_tables(spark, folder)
+    except AnalysisException:  # no marker
+        return
+    if done and not overwrite:
+        raise ValueError(f"{folder} has a finished stage: {', '.join(done)}")
+
+
+def stage_tables(spark: SparkSession, folder: str) -> list[str]:
+    """The tables of a finished stage; without the marker, reading fails."""
+    return sorted(r["stage_table"] for r in spark.read.json(f"{folder}/complete").collect())
+
+
 def read_stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a finished stage; without the marker, reading fails."""
-    done = {r["stage_table"] for r in spark.read.json(f"{folder}/complete").collect()}
-    if name not in done:
+    if name not in stage_tables(spark, folder):
         raise ValueError(f"{name} is not a finished table of {folder}")
     return spark.read.parquet(f"{folder}/{name}")
+
+
+def write_run_stats(spark: SparkSession, folder: str, settings: dict, tables: dict[str, DataFrame]) -> None:
+    """The settings and the number of rows of each table, as one JSON line below ``run_stats``."""
+    counts = {name: read_stage(spark, folder, name).count() for name in tables}
+    line = json.dumps({"settings": settings, "rows": counts}, sort_keys=True)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_stats")
