@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import starts
+from .common import settled, starts
 
 #: Two to the power of 53, so that the hash becomes a double exactly.
 STEPS = float(1 << 53)
@@ -38,7 +38,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def shard(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (its shard if one more shard joined)."""
     key = F.col(id_col)
-    rows = docs.select(
+    named = docs.select(
         key.alias(id_col),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -47,6 +47,7 @@ def shard(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0,
         rendezvous(key, [*weights, grown_weight]).alias("grown_shard"),
         F.pmod(F.when(key.isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(key, F.lit("slot"))), F.lit(buckets)).alias("_bucket"),
     )
+    rows = settled(named)  # narrow, and read three times: the texts are read once
     counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # one row for each shard and bucket: as many as the parameters say, whatever the input
     first = starts(counts, ["shard"], "_bucket", "_n", "_first").select(F.col("shard").alias("_s"), F.col("_bucket").alias("_b"), "_first")
