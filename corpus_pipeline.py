@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each one's documents are written as Parquet and read again as the next one's."""
+"""A corpus pipeline of five stages; each one's documents are written as Parquet and read again as the next one's.
+
+Defined cases, beyond those of each stage's operator: columns beside doc_id, text, lang and source pass through all stages but the
+last; a null text has no language and goes in the first stage, as does an empty one; null ids and sources are kept and are equal to
+each other; repeated rows are copies, of which the second stage keeps one; an empty table gives empty tables.
+"""
 
 from __future__ import annotations
 
