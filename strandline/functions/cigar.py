@@ -199,3 +199,11 @@ def homology(seq: Column, at: Column, length: Column) -> Column:
     after, own = F.substring(seq, at + length + 1, F.length(seq)), F.substring(seq, at + 1, F.length(seq))
     same = F.zip_with(F.split(after, ""), F.split(own, ""), lambda a, b: (a == b) & (a != ""))
     return F.coalesce(F.nullif(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False), F.lit(0)) - 1, F.size(same)).cast("long")
+
+
+def hard_clipped_read_range(runs: Column, pos: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """Where a range of the reference lies on a read as stored, without its hard clips: from the first read base at or after the start
+    to behind the last one before the end; nulls if none is there."""
+    first, last = closest_read_position(runs, pos, start, False), closest_read_position(runs, pos, end - 1)
+    there = first.isNotNull() & last.isNotNull() & (first <= last)
+    return F.when(there, first), F.when(there, last + 1)

@@ -47,6 +47,48 @@ def sv_type(chrom1: Column, chrom2: Column, dir1: Column, dir2: Column, deleted:
     )
 
 
+def is_indel(chrom1: Column, chrom2: Column, dir1: Column, dir2: Column) -> Column:
+    """Both ends on one chromosome, turned as around a deletion or insertion; false without a second end."""
+    return F.coalesce((chrom1 == chrom2) & (dir1 == LEFT) & (dir2 == RIGHT), F.lit(False))
+
+
+def is_indel_or_dup(chrom1: Column, chrom2: Column, dir1: Column, dir2: Column) -> Column:
+    return F.coalesce((chrom1 == chrom2) & (dir1 != dir2), F.lit(False))
+
+
+def same_orientation(dir1: Column, dir2: Column) -> Column:
+    return F.coalesce(dir1 == dir2, F.lit(False))
+
+
+def breakpoint_span(chrom1: Column, start1: Column, chrom2: Column, start2: Column) -> Column:
+    """From the first to the second end; null across chromosomes and without a second end."""
+    return F.when(chrom1 == chrom2, F.greatest(start2 - start1, F.lit(0)))
+
+
+def deletion_size(chrom1: Column, start1: Column, dir1: Column, chrom2: Column, start2: Column, dir2: Column) -> Column:
+    return F.when(is_indel(chrom1, chrom2, dir1, dir2), breakpoint_span(chrom1, start1, chrom2, start2))
+
+
+def deldup_size(chrom1: Column, start1: Column, dir1: Column, chrom2: Column, start2: Column, dir2: Column) -> Column:
+    return F.when(is_indel_or_dup(chrom1, chrom2, dir1, dir2), breakpoint_span(chrom1, start1, chrom2, start2))
+
+
+def homology_length(start: Column, end: Column) -> Column:
+    """An end's range is one base longer than its homology."""
+    return end - start - 1
+
+
+def is_valid_end(start: Column, end: Column, dir_: Column, length: Column) -> Column:
+    """Whether an end lies on its chromosome; a right-anchored one may lie a base before it, and not on the last base."""
+    before = F.when(dir_ == RIGHT, 1).otherwise(0)
+    return (start < end) & (start >= -before) & (end <= length - before)
+
+
+def insert_size(low: Column, high: Column, seq: Column) -> Column:
+    """The middle of a size range, the length of a known sequence, or none."""
+    return F.when(seq.isNotNull(), F.length(seq)).when(low.isNotNull(), F.floor((low + high) / 2)).otherwise(0).cast("long")
+
+
 def record_type(kind: Column, deleted: Column, is_candidate: Column, forced_bnd: Column) -> Column:
     """The type as written: large candidate deletions and all candidate duplications go as breakend pairs."""
     large = is_candidate & (((kind == "DEL") & (deleted > CANDIDATE_DELETION)) | (kind == "DUP"))

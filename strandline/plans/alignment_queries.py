@@ -110,6 +110,19 @@ def breakpoint_types(spark: SparkSession, d: str) -> DataFrame:
     return b.select("obs", kind.alias("type"), variants.record_type(kind, F.col("deleted"), F.col("obs") % 2 == 0, F.lit(False)).alias("record_type"))
 
 
+def breakpoint_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and checks of breakpoints, some across chromosomes and some without a second end."""
+    b = view(spark, d, "v_bpo")
+    chrom2 = F.when(F.col("obs") % 50 != 0, F.col("chrom2") + (F.col("obs") % 9 == 0).cast("long"))
+    start2, dir2 = F.when(chrom2.isNotNull(), F.col("start2") - F.col("inserted") * 200), F.when(chrom2.isNotNull(), F.col("dir2"))
+    one, two = (F.col("chrom1"), F.col("start1"), F.col("dir1")), (chrom2, start2, dir2)
+    return b.select(
+        "obs", variants.breakpoint_span(one[0], one[1], two[0], two[1]).alias("span"), variants.deletion_size(*one, *two).alias("deletion"), variants.deldup_size(*one, *two).alias("deldup"), variants.same_orientation(one[2], two[2]).alias("same"),
+        variants.homology_length(F.col("start1"), F.col("end1") + F.col("evidence")).alias("homology"), variants.is_valid_end(F.col("start1") - F.col("inserted") * 4000, F.col("end1"), F.col("dir1"), F.lit(90_000)).alias("valid"),
+        variants.insert_size(F.when(F.col("obs") % 3 == 0, F.col("inserted")), F.col("inserted") + 7, F.when(F.col("obs") % 5 == 0, F.lit("ACGT"))).alias("inserted"),
+    )
+
+
 def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Ends of observations that share a position; their neighbours are the second ends of these."""
     b = view(spark, d, "v_bpo").filter("obs % 3 <> 0")
@@ -194,6 +207,11 @@ ORACLES = {
     "assembly_regions": with_views("v_bpo", body="SELECT obs, CAST(CASE WHEN near THEN 1 ELSE 2 END AS BIGINT) AS region_count, CASE WHEN near THEN least(start1, start2) ELSE start1 END AS first_start, CASE WHEN near THEN greatest(end1, end2) ELSE end2 END AS last_end FROM (SELECT *, dir1 = 0 AND dir2 = 1 AND start2 - end1 <= 600 AS near FROM v_bpo)"),
     "standard_breakpoints": with_views("v_bpo", body="SELECT obs, start1 > start2 - 800 OR (start1 = start2 - 800 AND end1 > end2 - 800) OR (start1 = start2 - 800 AND end1 = end2 - 800 AND dir1 = 1 AND dir2 = 0) AS swapped FROM v_bpo"),
     "breakpoint_types": with_views("v_bpo", body=", t AS (SELECT *, start2 - start1 AS deleted, CASE WHEN obs % 50 = 0 THEN 'SBND' WHEN obs % 9 = 0 OR dir1 = dir2 THEN 'BND' WHEN dir1 = 1 THEN 'DUP' WHEN inserted > (start2 - start1) % 30 THEN 'INS' ELSE 'DEL' END AS type FROM v_bpo) SELECT obs, type, CASE WHEN obs % 2 = 0 AND ((type = 'DEL' AND deleted > 1000) OR type = 'DUP') THEN 'BND' ELSE type END AS record_type FROM t"),
+    "breakpoint_sizes": with_views("v_bpo", body=""", b AS (SELECT *, CASE WHEN obs % 50 <> 0 THEN chrom2 + CASE WHEN obs % 9 = 0 THEN 1 ELSE 0 END END AS c2, CASE WHEN obs % 50 <> 0 THEN start2 - inserted * 200 END AS s2, CASE WHEN obs % 50 <> 0 THEN dir2 END AS d2 FROM v_bpo),
+        p AS (SELECT *, CASE WHEN chrom1 = c2 THEN greatest(s2 - start1, 0) END AS span FROM b)
+        SELECT obs, span, CASE WHEN dir1 = 0 AND d2 = 1 THEN span END AS deletion, CASE WHEN dir1 <> d2 THEN span END AS deldup, coalesce(dir1 = d2, false) AS same, end1 + evidence - start1 - 1 AS homology,
+          start1 - inserted * 4000 < end1 AND start1 - inserted * 4000 >= CASE WHEN dir1 = 1 THEN -1 ELSE 0 END AND end1 <= 90000 - CASE WHEN dir1 = 1 THEN 1 ELSE 0 END AS valid,
+          CASE WHEN obs % 5 = 0 THEN 4 WHEN obs % 3 = 0 THEN (2 * inserted + 7) // 2 ELSE 0 END AS inserted FROM p"""),
     "neighbour_pairs": with_views("v_bpo", body=""", b AS (SELECT * FROM v_bpo WHERE obs % 3 <> 0), o AS (SELECT *, min(obs) OVER (PARTITION BY chrom1, start1, end1, dir2) AS id, count(*) OVER (PARTITION BY chrom1, start1, end1, dir2) AS n FROM b),
         e AS (SELECT DISTINCT id, chrom1 AS chrom, start1 AS s, end1 AS e, dir2 AS dir FROM o WHERE n >= 2),
         p AS (SELECT l.id, l.s AS ls, l.e AS le, n.id AS next_id, n.s AS ns, n.e AS ne FROM e l JOIN e n ON l.dir = 1 AND n.dir = 0 AND l.chrom = n.chrom AND (n.s > l.s OR (n.s = l.s AND n.e > l.e)) AND n.s - l.e <= 5000 AND NOT (l.id % 4 = 1 AND n.id % 4 = 1)),
@@ -224,6 +242,6 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     cigar_offsets, gap_identity, rendered_runs, covered_segments, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, read_neighbours, breakpoint_distance,
-    breakpoint_clusters, evidence_counts, assembly_regions, consolidated_regions, standard_breakpoints, breakpoint_types, neighbour_pairs, large_insertions, insertions_off_indels,
+    breakpoint_clusters, evidence_counts, assembly_regions, consolidated_regions, standard_breakpoints, breakpoint_types, breakpoint_sizes, neighbour_pairs, large_insertions, insertions_off_indels,
     redundant_duplications, candidate_pools, merged_duplicates, close_duplicates, merge_stats, remapped_links, cluster_groups,
 )}

@@ -328,3 +328,6 @@ QUERIES = {f.__name__: f for f in (
     genotype_texts, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
     close_fit, inversions, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
 )}
+#: The same queries by the names they had when those without "whole" had a part of the axis.
+for _name in ("copy_boundaries", "boundary_clusters", "high_copies", "merged_segments"):
+    QUERIES[f"whole_{_name}"], ORACLES[f"whole_{_name}"] = QUERIES[_name], ORACLES[_name]

@@ -152,6 +152,13 @@ def gc_correction(spark: SparkSession, d: str) -> DataFrame:
     return table.select("sample", "gc_level", F.round("reduction", 6).alias("reduction"))
 
 
+def scaled_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Depth over a reduction that follows from the level."""
+    depth, levels = _depth_and_levels(spark, d)
+    reductions = levels.select("gc_level").distinct().withColumn("sample", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))).withColumn("reduction", (F.col("gc_level") % 8 + 1) / F.lit(8.0))
+    return gc.scaled_depth(depth, levels, reductions).withColumn("scaled_depth", F.round("scaled_depth", 6))
+
+
 def haploid_depth(spark: SparkSession, d: str) -> DataFrame:
     depth, _ = _depth_and_levels(spark, d)
     copies = F.when(F.col("bin") % 11 != 0, F.col("bin") % 4 + 1)
@@ -229,6 +236,7 @@ ORACLES = {
         e AS (SELECT *, min(CASE WHEN mean = 0 AND level > top THEN level END) OVER (PARTITION BY sample) AS up, max(CASE WHEN mean = 0 AND level < top THEN level END) OVER (PARTITION BY sample) AS down FROM p),
         f AS (SELECT *, CASE WHEN level >= up THEN up - 1 WHEN level <= down THEN down + 1 ELSE level END AS src FROM e)
         SELECT f.sample, CAST(f.level AS BIGINT) AS gc_level, round(CASE WHEN f.most > 0 THEN q.mean / f.most ELSE 1 END, 6) AS reduction FROM f JOIN m q ON q.sample = f.sample AND q.level = f.src"""),
+    "scaled_depths": with_views("v_read", body=_BINS_SQL + "SELECT sample, chrom, bin, round(bases / (((bin * 7 + chrom) % 40 % 8 + 1) / 8.0::DOUBLE), 6) AS scaled_depth FROM bins"),
     "haploid_depth": with_views("v_read", body=_BINS_SQL + "SELECT sample, round(sum(bases) / sum(bin % 4 + 1), 6) AS haploid FROM bins WHERE bases > 0 AND bin % 11 <> 0 GROUP BY sample"),
     "state_bases": with_views("v_region", body=', s AS (SELECT chrom, value AS state, CAST(sum("end" - start) AS BIGINT) AS bases FROM v_region GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY bases DESC, state DESC) = 1 AS is_mode FROM s'),
     "state_runs": with_views("v_read", body=_BINS_SQL + ', s AS (SELECT sample, chrom, bin, bases // 1000 AS state FROM bins), f AS (SELECT *, CASE WHEN lag(state) OVER w = state THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY sample, chrom ORDER BY bin)), g AS (SELECT *, sum(n) OVER (PARTITION BY sample, chrom ORDER BY bin) AS k FROM f) SELECT sample, chrom, min(bin) AS "begin", max(bin) + 1 AS "end", min(state) AS state FROM g GROUP BY sample, chrom, k'),
@@ -237,6 +245,7 @@ ORACLES = {
 QUERIES = {f.__name__: f for f in (
     interval_overlaps, interval_semi, interval_anti, point_in_interval, range_distance, reciprocal_overlap, merged_range, expanded_range, strict_order, region_labels, region_tiles,
     coverage_islands, expected_copies_majority, expected_copies_unanimous, depth_per_bin, excluded_bins, sliding_sums, regions_over_depth, merged_regions, subtracted_regions,
-    gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, haploid_depth, state_bases, state_runs, phred_scores,
+    gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, scaled_depths, haploid_depth, state_bases, state_runs, phred_scores,
 )}
-
+#: The same query by the name it had when state_runs had a part of the axis.
+QUERIES["whole_state_runs"], ORACLES["whole_state_runs"] = state_runs, ORACLES["state_runs"]

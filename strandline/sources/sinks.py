@@ -30,6 +30,19 @@ def track_runs(bins: DataFrame, value: str = "depth") -> DataFrame:
     return runs.groupBy("sample", "chrom", "_run").agg(F.min("bin").alias("first"), F.transform(pairs, lambda p: p[value]).alias("values")).drop("_run")
 
 
+def track_lines(bins: DataFrame, bin_size: int, value: str = "depth") -> DataFrame:
+    """Each sample's runs as fixed-step track text, a row per run: (sample, chrom, first, value), the head line and then the values."""
+    runs = track_runs(bins, value)
+    head = F.concat(F.lit("fixedStep chrom="), F.col("chrom").cast("string"), F.lit(" start="), (F.col("first") * bin_size + 1).cast("string"), F.lit(f" step={bin_size} span={bin_size}\n"))
+    return runs.select("sample", "chrom", "first", F.concat(head, F.array_join(F.transform("values", lambda v: v.cast("string")), "\n")).alias("value"))
+
+
+def write_tracks(bins: DataFrame, bin_size: int, path: str, value: str = "depth") -> None:
+    """A folder for each sample, its runs in order of place."""
+    lines = track_lines(bins, bin_size, value)
+    lines.repartitionByRange("sample", "chrom", "first").sortWithinPartitions("sample", "chrom", "first").select("sample", "value").write.partitionBy("sample").text(path)
+
+
 VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 #: Header lines (fixed values).
 VCF_ALT = ("DEL,Deletion", "INS,Insertion", "DUP:TANDEM,Tandem duplication", "INV,Inversion", "CNV,Copy number variable region")

@@ -96,6 +96,12 @@ def test_cigar(spark):
     assert one(spark, s=cigar.closest_read_position(cigar.parse(F.lit("5=3D5=")), F.lit(100), F.lit(106), False)) == 5
 
 
+def test_hard_clipped_ranges(spark):
+    runs = cigar.parse(F.lit("5H3S10=4D10=2H"))
+    of = lambda a, b: tuple(one(spark, a=x, b=y) for x, y in [cigar.hard_clipped_read_range(runs, F.lit(100), F.lit(a), F.lit(b))])[0]
+    assert tuple(of(102, 108)) == (5, 11) and tuple(of(108, 116)) == (11, 15) and tuple(of(111, 113)) == (None, None)
+
+
 def test_indels_fuse_neighbours(spark):
     found = one(spark, s=cigar.indels(cigar.parse(F.lit("9I10=20D30I10=50I")), F.lit(100), 25))
     assert [tuple(x) for x in found] == [(109, 130, 30)]

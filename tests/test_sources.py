@@ -128,6 +128,8 @@ def test_exclusions(spark):
 def test_sinks(spark, tmp_path):
     bins = spark.createDataFrame([(0, 1, b, None if b == 3 else float(b)) for b in range(6)], "sample long, chrom long, bin long, depth double")
     assert sorted((r["first"], r["values"]) for r in sinks.track_runs(bins).collect()) == [(0, [0.0, 1.0, 2.0]), (4, [4.0, 5.0])]
+    sinks.write_tracks(bins, 10, str(tmp_path / "tracks"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "tracks" / "sample=0")).collect()] == ["fixedStep chrom=1 start=1 step=10 span=10", "0.0", "1.0", "2.0", "fixedStep chrom=1 start=41 step=10 span=10", "4.0", "5.0"]
     segments = spark.createDataFrame([(1, 0, 5, 2), (1, 5, 7, 6), (1, 7, 9, 3)], "chrom long, begin long, end long, state long")
     sinks.write_copy_numbers(segments, 10, str(tmp_path / "cn"))
     assert sorted(map(tuple, spark.read.csv(str(tmp_path / "cn"), sep="\t").collect())) == [("1", "0", "50", "2"), ("1", "70", "90", "3")]
