@@ -207,3 +207,30 @@ def test_expected_copies(spark, reads):
     found = pipelines.joint_call(reads, stage, JointCallSettings(treat_single_copy_as_haploid=True), expected)
     assert {(r["chrom"], r["haploid"]) for r in found["calls"].join(found["records"].filter("not is_inversion").select(F.col("id").cast("long").alias("sv"), "chrom"), "sv").collect()} == {(1, True), (2, False)}
     assert not [c for c in found["cnvs"].collect() if c["start"] == DELETED[0] and c["end"] == DELETED[1]]
+
+
+def test_refined_contigs(spark):
+    """Reads with one deletion are assembled to a contig that shows it to the base; an insertion of a stretch explains its duplication."""
+    r = random.Random(11)
+    ref = "".join(r.choice("ACGT") for _ in range(9000))
+    new = "".join(r.choice("ACGT") for _ in range(150))
+    rows = []
+    for i in range(4):
+        a = 3600 + 20 * i
+        rows.append((0, f"d{i}", 0, 1, a, a + 1120, 0, 60, 0, f"{4000 - a}=120D{a + 1000 - 4000}=", ref[a:4000] + ref[4120 : a + 1120]))
+        b = 6600 + 20 * i
+        rows.append((0, f"i{i}", 0, 1, b, b + 900, 0, 60, 0, f"{7000 - b}=150I{b + 900 - 7000}=", ref[b:7000] + new + ref[7000 : b + 900]))
+        rows += [(0, f"t{i}", k, 1, s, e, 0, 60, 0, None, None) for k, (s, e) in enumerate([(6500, 7100), (6960, 7900)])]
+    reads = spark.createDataFrame(rows, READS + ", seq string")
+    reference = spark.createDataFrame([(1, 0, ref)], "chrom long, start long, seq string")
+    found = pipelines.discover(reads, settings=replace(QUICK, cluster_distance=100), reference=reference)
+    kinds = {(c["dir1"], c["dir2"], c["start2"] - c["start1"]) for c in found["clusters"].collect()}
+    assert (0, 1, 120) in kinds
+    candidates = found["candidates"].collect()
+    (gone,) = [c for c in candidates if c["inserted"] == ""]
+    assert gone["end"] - gone["start"] - 1 == 120 and gone["start"] <= 3999 <= gone["start"] + gone["homology"]
+    (more,) = [c for c in candidates if c["inserted"]]
+    assert len(more["inserted"]) == 150 and abs(more["start"] - 6999) <= more["homology"]
+    assert not [k for k in kinds if k[:2] == (1, 0)]  # the duplication went
+    plain = pipelines.discover(reads.drop("seq"), settings=replace(QUICK, cluster_distance=100))
+    assert "candidates" not in plain and [c for c in plain["clusters"].collect() if (c["dir1"], c["dir2"]) == (1, 0)]
