@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +12,9 @@ from . import sweep
 from .groups import per_group
 from .interval_join import point_join
 
-POOL_MARGIN, CLOSE, SIZE_RATIO = 100, 500, 0.01
+POOL_MARGIN, CLOSE, SIZE_RATIO = 100, 10, 0.01
+#: What a deletion counts for in a variant's size, at most, and what stands in for it in other variants.
+MOST_DELETED, NO_DELETION = 500, 100
 
 
 def leader_pools(candidates: DataFrame, margin: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -44,6 +46,11 @@ def merge_equal(pooled: DataFrame, same: list[str]) -> DataFrame:
     return pooled.withColumn("merged_id", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
+def merge_size(inserted: Column, deleted: Column) -> Column:
+    """The size by which merging compares variants: inserted bases and a bounded number of deleted ones (null: no indel)."""
+    return F.coalesce(inserted, F.lit(0)) + F.least(F.coalesce(deleted, F.lit(NO_DELETION)), F.lit(MOST_DELETED))
+
+
 def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO) -> DataFrame:
     """Members of a pool with close ends and nearly equal sizes merge greedily; members of one sample never do.
 

@@ -209,7 +209,13 @@ def merged_variants(clusters: DataFrame, settings: JointCallSettings) -> DataFra
     rows = clusters.withColumn("kind", kind).withColumn("class", F.xxhash64("kind", "dir1", "dir2", "chrom1", "chrom2"))
     pooled = pools.leader_pools(rows.select(F.col("class").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), "sample", F.col("cluster").alias("id")), settings.pool_margin)
     members = pooled.select(F.col("id").alias("cluster"), "pool").join(rows, "cluster")
-    close = pools.merge_close(members.select("pool", F.col("cluster").alias("id"), "sample", F.col("start1").alias("start"), F.col("end2").alias("end"), (F.col("end2") - F.col("start1") + 1000).alias("size"), F.col("evidence").alias("reads"), (F.col("end1") - F.col("start1")).alias("contig_length")))
+    deleted = variants.deletion_size(*[F.col(c) for c in ("chrom1", "start1", "dir1", "chrom2", "start2", "dir2")])
+    size = pools.merge_size(F.floor((F.col("insert_low") + F.col("insert_high")) / 2), deleted)
+    # clusters aren't exact to the base as contigs are: their ends may differ by as much as pooling allows
+    close = pools.merge_close(
+        members.select("pool", F.col("cluster").alias("id"), "sample", F.col("start1").alias("start"), F.col("end2").alias("end"), size.alias("size"), F.col("evidence").alias("reads"), (F.col("end1") - F.col("start1")).alias("contig_length")),
+        max(settings.pool_margin, pools.CLOSE),
+    )
     return members.join(close.withColumnRenamed("id", "cluster"), "cluster").withColumnRenamed("merged_id", "sv")
 
 
