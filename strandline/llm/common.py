@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,6 +68,29 @@ def starts(df: DataFrame, keys: Sequence[str], index: str, value: str, out: str,
     return joined.drop("_block", "_b", "_base", *[f"_k{i}" for i in range(len(keys))])
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, total: str | None = None) -> DataFrame:
+    """Settled ``rows`` with each row's number from 0 within its keys (null keys are keys), and the number of the keys' rows as ``total``.
+
+    Rows are dealt by ranges of keys and order, so that a key's rows spread over tasks; the counts of its ranges give each range its
+    first number. Rows that ``order`` doesn't tell apart stay in one range: end it with a column that does.
+    """
+    placed = settled(rows.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(own).alias("_all"),
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    found = placed.join(first, same).withColumn(out, F.col("_first") + F.row_number().over(inside) - 1)
+    found = found.withColumn(total, F.col("_all")) if total else found
+    return found.drop("_range", "_r", "_first", "_all", *[f"_k{i}" for i in range(len(keys))])
+
+
 def bounded(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """``df``, marked for broadcasting only if it has at most ``most_rows`` (narrow) rows; otherwise Spark shuffles it.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, license_scan, mixing, packing, quality, secret_scan, sharding, simhash, token_files
+from . import classifier, exact_dedup, langid, license_scan, manifest, mixing, oracles, packing, quality, secret_scan, sharding, simhash, token_files, trie
 from .common import documents
 
 SHARDS = 24
@@ -57,17 +57,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
+def op12_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(documents(spark, sf_dir, *manifest.FIELDS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_source_mixing, op3_rendezvous_sharding, op4_license_scan, op5_token_files, op6_harmonic_packing, op7_simhash_groups, op8_line_quality, op9_language_id, op10_exact_dedup)
+    own = (op1_secret_scan, op2_source_mixing, op3_rendezvous_sharding, op4_license_scan, op5_token_files, op6_harmonic_packing, op7_simhash_groups, op8_line_quality, op9_language_id, op10_exact_dedup, op11_conversation_trie, op12_rule_quality, op13_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL: hashes that DuckDB lacks, tokenizers, fitted models, random rounding. Their tests have brute force."""
-    return {
-        "op10_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-                   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
-                   sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    }
+    return {"op10_exact_dedup": oracles.EXACT_DEDUP, "op11_conversation_trie": oracles.CONVERSATION_TRIE, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
