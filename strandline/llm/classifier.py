@@ -33,44 +33,48 @@ SAMPLE_EACH = 3000
 TREES, DEPTH, SEED = 24, 4, 7
 #: Penalty of the lasso.
 PENALTY = 0.002
+#: Steps of the lasso at most.
+ROUNDS = 60
 HELD_OUT_OF, HELD_OUT = 4, 2
 KEPT_FROM = 0.7
 _IN, _OUT = rf"[^{SPACE}]", rf"[{SPACE}]"
-#: What is counted in a text: each pattern matches one character.
-COUNTED = {
-    "words": rf"(?<!{_IN}){_IN}",
-    "inside": _IN,
-    "symbols": r"[#*$%&|<>]",
-    "capitals": r"\p{Lu}",
-    "letters": r"\p{L}",
-    "digits": r"\p{Nd}",
-    "marks": r"[!?]",
-    "stops": rf"[.!?](?!{_IN})",
-    "commas": r"[,;:]",
-    "shouted": rf"(?<!{_IN})\p{{Lu}}(?=\p{{Lu}})",
-    "stutters": rf"(?<!{_IN})(?=({_IN}++){_OUT}++\1(?!{_IN})){_IN}",
-    "lines": r"\n",
-    "echoes": r"(?m)^(?=([^\n]++)\n\1$)[^\n]",
-}
 STATISTICS = ("log_words", "word_length", "symbols", "capitals", "digits", "marks", "stops", "commas", "shouted", "stutters", "line_words", "echoes", "other")
+#: A word (a line) and its copies that follow at once; all quantifiers are possessive, so no text makes them go back.
+_STUTTER = rf"(?<!{_IN})({_IN}++)(?:{_OUT}++\1(?!{_IN}))++"
+_ECHO = r"(?m)^([^\n]++)(?:\n\1$)++"
 
 
-def counted(text: Column) -> list[Column]:
-    """One count per entry of COUNTED: what the text loses in length. No list of matches is made, so memory is a text's own size."""
-    return [(F.char_length(text) - F.char_length(F.regexp_replace(text, F.lit(p), F.lit("")))).cast("double").alias(f"_{n}") for n, p in COUNTED.items()]
+def _without(text: Column, pattern: str, put: str = "") -> Column:
+    return F.regexp_replace(text, F.lit(pattern), F.lit(put))
+
+
+def _lost(text: Column, pattern: str, put: str = "") -> Column:
+    """The characters that the pattern's matches take; no list of matches is made, so memory is a text's own size."""
+    return (F.char_length(text) - F.char_length(_without(text, pattern, put))).cast("double")
 
 
 def statistics(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and the statistics of each text."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *counted(F.coalesce(F.col(text_col), F.lit(""))))
-    words, chars = F.greatest("_words", F.lit(1.0)), F.greatest("_inside", F.lit(1.0))
-    lines = F.col("_lines") + 1
-    other = (F.col("_inside") - F.col("_letters") - F.col("_digits") - F.col("_symbols") - F.col("_marks") - F.col("_stops") - F.col("_commas")) / chars
+    text, named = F.col("_text"), [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*named, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    marked = F.char_length(_without(text, rf"{_IN}++", "x"))  # white space, and one character a word
+    rows = rows.select(
+        *named, F.char_length(text).cast("double").alias("_total"), marked.cast("double").alias("_marked"), _without(text, rf"{_OUT}++").alias("_solid"),
+        _lost(text, rf"[.!?](?!{_IN})").alias("_stops"), _lost(text, r"\p{Lu}++").alias("_capitals"), _lost(text, r"\p{Lu}{2,}+").alias("_shouted"),
+        _lost(text, _STUTTER, "$1").alias("_stutters"), _lost(text, _ECHO, "$1").alias("_echoes"), (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("_lines"),
+    )
+    rows = rows.withColumn("_rest", _without(F.col("_solid"), r"\p{L}++")).withColumn("_inside", F.char_length("_solid").cast("double")).drop("_solid")
+    rest = F.col("_rest")
+    rows = rows.select("*", F.char_length(rest).cast("double").alias("_odd"), *[_lost(rest, p).alias(n) for n, p in (("_symbols", r"[#*$%&|<>]++"), ("_digits", r"\p{Nd}++"), ("_marks", r"[!?]++"), ("_commas", r"[,;:]++"), ("_periods", r"[.]++"))])
+    words = F.greatest(F.col("_marked") - (F.col("_total") - F.col("_inside")), F.lit(0.0))
+    each, chars, total = F.greatest(words, F.lit(1.0)), F.greatest("_inside", F.lit(1.0)), F.greatest("_total", F.lit(1.0))
+    letters = F.greatest(F.col("_inside") - F.col("_odd"), F.lit(1.0))
+    other = (F.col("_odd") - F.col("_symbols") - F.col("_digits") - F.col("_marks") - F.col("_commas") - F.col("_periods")) / chars
     made = [
-        F.log1p("_words"), F.col("_inside") / words, F.col("_symbols") / words, F.col("_capitals") / F.greatest("_letters", F.lit(1.0)), F.col("_digits") / chars, F.col("_marks") / words,
-        F.col("_stops") / words, F.col("_commas") / words, F.col("_shouted") / words, F.col("_stutters") / words, F.log1p(F.col("_words") / lines), F.col("_echoes") / lines, other,
+        F.log1p(words), F.col("_inside") / each, F.col("_symbols") / each, F.col("_capitals") / letters, F.col("_digits") / chars, F.col("_marks") / each, F.col("_stops") / each,
+        F.col("_commas") / each, F.col("_shouted") / letters, F.col("_stutters") / total, F.log1p(words / F.col("_lines")), F.col("_echoes") / total, other,
     ]
-    return rows.select(*[F.col(f"`{c}`") for c in keep], *[m.alias(n) for n, m in zip(STATISTICS, made)])
+    return rows.select(*named, *[m.alias(n) for n, m in zip(STATISTICS, made)])
 
 
 @dataclass(frozen=True)
@@ -144,14 +148,14 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", each: int =
     chosen, counts = sample(met, "_label", each)
     if len(counts) < 2:
         return Ensemble({0: -30.0, 1: 30.0}[next(iter(counts))] if counts else 0.0, ())
-    chosen = settled(chosen.repartition(8, F.xxhash64("doc_id")))
+    chosen = settled(chosen.coalesce(2))  # bounded by ``each``
     vectors = chosen.select(array_to_vector(F.array(*STATISTICS)).alias("features"), "_label", "_weight")
     forest = RandomForestClassifier(labelCol="_label", weightCol="_weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED).fit(vectors)
     rules = sorted({r for t in forest.trees for r in rules_of(t.toDebugString, STATISTICS)}, key=str)
     if not rules:
         return Ensemble(math.log(counts[1] / counts[0]), ())
     held = settled(chosen.select(array_to_vector(F.array(*[r.column().cast("double") for r in rules])).alias("features"), "_label", "_weight"))
-    lasso = LogisticRegression(labelCol="_label", weightCol="_weight", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=200, tol=1e-6).fit(held)
+    lasso = LogisticRegression(labelCol="_label", weightCol="_weight", regParam=penalty, elasticNetParam=1.0, standardization=False, maxIter=ROUNDS, tol=1e-5).fit(held)
     weights = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if w != 0.0]
     return Ensemble(float(lasso.intercept), tuple(weights))
 
