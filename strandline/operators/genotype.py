@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import prob
+from ..session import settle
 from .groups import per_group
+from .interval_join import interval_semi
 
 
 def genotypes(counts: DataFrame, most: int = 999) -> DataFrame:
@@ -171,13 +173,32 @@ def one_per_read(reads: DataFrame) -> DataFrame:
     return reads.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-def absorb_overlaps(calls: DataFrame) -> DataFrame:
-    """calls (group, sample, haplotype, ref, alt, overlap, gt): where haplotype 0 is hom alt, its overlap reads count for it and
-    variants of haplotype 1 lose theirs."""
-    every = Window.partitionBy("group", "sample")
-    hom = F.max(F.when((F.col("haplotype") == 0) & (F.col("gt") == 2), 1).otherwise(0)).over(every) == 1
-    top = F.col("haplotype") == 0
-    return calls.withColumns({
-        "alt": F.when(hom & top, F.col("alt") + F.col("overlap")).when(hom, 0).otherwise(F.col("alt")),
-        "overlap": F.when(hom, 0).otherwise(F.col("overlap")),
+def absorb_overlaps(calls: DataFrame, most: int = 999) -> DataFrame:
+    """calls (group, sample, sv, rank, start, end, ref, alt, overlap, haploid, with their genotypes): one variant on both haplotypes rules
+    out others at its place.
+
+    ``rank`` is the place of the variant's haplotype among the sample's own (null: not its own); a column ``replicated``, if there, keeps
+    replicates from ruling out others. A homozygous variant of the sample's first haplotype takes its overlap reads as its own. A variant of
+    the second haplotype whose range intersects that of such a one in the same sample gives all its reads to the reference and is
+    ``gt_excluded``. Genotypes are then computed anew. The ranges meet through their buckets, so a group of any size has no pairs to try.
+    """
+    if "replicated" not in calls.columns:
+        calls = calls.withColumn("replicated", F.lit(False))
+    calls = settle(calls)  # read for the ranges of both haplotypes and for the counts
+    top = F.coalesce((F.col("rank") == 0) & (F.col("gt") == 2) & ~F.col("replicated"), F.lit(False))
+    spans = calls.select("group", "sample", "sv", "rank", F.col("start"), F.col("end"), top.alias("_top"))
+    key = ["group", "sample", "sv"]
+    out = interval_semi(spans.filter("rank = 1"), spans.filter("_top"), key, ("group", "sample")).select(*key, F.lit(True).alias("gt_excluded"))
+    met = calls.withColumn("_top", top).join(out, key, "left").withColumn("gt_excluded", F.coalesce("gt_excluded", F.lit(False)))
+    lost = F.col("gt_excluded")
+    met = met.withColumns({
+        "ref": F.when(lost, F.col("ref") + F.col("alt") + F.col("overlap")).otherwise(F.col("ref")),
+        "alt": F.when(lost, 0).when(F.col("_top"), F.col("alt") + F.col("overlap")).otherwise(F.col("alt")),
+        "overlap": F.when(lost | F.col("_top"), 0).otherwise(F.col("overlap")),
     })
+    return genotypes(met.drop("_top"), most)
+
+
+def gt_excluded(calls: DataFrame) -> DataFrame:
+    """calls (sv, sample, carried, gt_excluded): sv and all_excluded, whether every sample that carries it, and at least one, is excluded."""
+    return calls.groupBy("sv").agg(F.coalesce(F.bool_and(F.when(F.col("carried"), F.col("gt_excluded"))), F.lit(False)).alias("all_excluded"))

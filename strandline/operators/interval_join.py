@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from ..functions import intervals
 
 LEFT, RIGHT = "_l_", "_r_"
-STEP, LEVELS = 32, 6
+#: A small step: an interval meets few others that its buckets, at most STEP times as wide as itself, hold but it doesn't touch.
+STEP_BITS, LEVELS = 2, 12
+STEP = 1 << STEP_BITS
 
 
 def _level(length: Column, bucket: int) -> Column:
-    """The first level with buckets of at least this length; the last one takes all beyond."""
-    out = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        out = F.when(length <= bucket * STEP**k, F.lit(k)).otherwise(out)
-    return out
+    """The first level with buckets of at least this length, from the bits of its number of buckets; the last one takes all beyond."""
+    buckets = F.floor((length - 1) / bucket)
+    return F.when(buckets == 0, 0).otherwise(F.least(F.lit(LEVELS - 1), F.floor((F.length(F.bin(buckets)) + STEP_BITS - 1) / STEP_BITS).cast("int")))
 
 
 def _width(level: Column, bucket: int) -> Column:

@@ -97,7 +97,23 @@ def groups_by_cluster(svs: DataFrame) -> DataFrame:
     return svs.groupBy("cluster").agg(F.size(haplotypes).cast("long").alias("haplotypes"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string"))).alias("members"))
 
 
-def replicates(svs: DataFrame, key: list[str], *order) -> DataFrame:
-    """Equal breakpoints: adds copies and is_replicate (all but the first in order)."""
-    every, first = Window.partitionBy(*key), Window.partitionBy(*key).orderBy(*order)
-    return svs.withColumn("copies", F.count(F.lit(1)).over(every)).withColumn("is_replicate", F.row_number().over(first) > 1)
+def resolve_replicates(calls: DataFrame, key: list[str]) -> DataFrame:
+    """calls (group, sv, place, sample, carried, haplotypes, ref, alt, overlap, and the columns ``key`` that equal variants share): one row
+    per variant and sample of a group; place is the variant's in the group.
+
+    Of a group's equal variants the first by place stands for all; the others are ``replicated``. In a sample of two haplotypes or more
+    that carries several of them, each is ``on_several`` and all but the first are ``within_replicate``. The one that stays has, in each
+    sample, the counts of the last other one that the sample carries without being a replicate there, if there is such a one.
+    """
+    alike = ["group", *key]
+    carried = F.col("carried") & (F.col("haplotypes") >= 2)
+    in_sample = Window.partitionBy(*alike, "sample")
+    so_far = in_sample.orderBy("place", "sv").rowsBetween(Window.unboundedPreceding, -1)
+    marked = calls.withColumn("_first", F.first("sv").over(in_sample.orderBy("place", "sv").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    marked = marked.withColumn("on_several", carried & (F.count_if(carried).over(in_sample) > 1)).withColumn("within_replicate", carried & (F.coalesce(F.count_if(carried).over(so_far), F.lit(0)) > 0))
+    marked = marked.withColumn("replicated", F.col("sv") != F.col("_first"))
+    gives = F.col("replicated") & F.col("carried") & ~F.col("within_replicate")
+    counts = ("ref", "alt", "overlap")
+    moved = F.max_by(F.struct(*counts), F.when(gives, F.struct("place", "sv"))).over(in_sample)
+    marked = marked.withColumn("_moved", moved)
+    return marked.withColumns({c: F.when(F.col("replicated"), F.col(c)).otherwise(F.coalesce(F.col(f"_moved.{c}"), F.col(c))) for c in counts}).drop("_first", "_moved")

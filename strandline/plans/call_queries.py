@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..operators import genotype, hmm, matching, records, sweep
+from ..operators import genotype, hmm, matching, pools, records, sweep
 from .views import view, with_recursive, with_views
 
 BIN = 1000
@@ -140,8 +140,29 @@ def phase_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def absorbed_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    c = genotype.genotypes(_counts(spark, d)).select((F.col("sv") / 2).cast("long").alias("group"), "sample", "sv", (F.col("sv") % 2).alias("haplotype"), "ref", "alt", "overlap", "gt")
-    return genotype.absorb_overlaps(c).select("sv", "sample", "alt", "overlap")
+    """Groups of eight variants in three samples; of three haplotypes the first two are the sample's own."""
+    sample = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("sample")
+    count = lambda a, m: ((F.col("sv") * a + F.col("sample")) % m).cast("long")
+    v = view(spark, d, "v_sv").select("sv", sample).withColumns({"ref": F.when((F.col("sv") + F.col("sample")) % 3 == 0, 0).otherwise(count(3, 11)), "alt": count(5, 13), "overlap": F.when(F.col("sv") % 4 > 1, count(1, 4)).otherwise(0), "haploid": F.lit(False)})
+    scored = genotype.genotypes(v)
+    c = scored.select("*", F.floor(F.col("sv") / 8).cast("long").alias("group"), F.when(F.col("sv") % 3 < 2, F.col("sv") % 3).alias("rank"), (F.col("sv") * 37 % 100).alias("start"), (F.col("sv") * 37 % 100 + 30).alias("end"), (F.col("sv") % 10 == 0).alias("replicated"))
+    return genotype.absorb_overlaps(c).select("sv", "sample", "ref", "alt", "overlap", "gt_excluded", "pl0", "pl1", "pl2", "gt", "gq")
+
+
+def excluded_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """Variants that all of their samples rule out, and the filter that follows."""
+    c = view(spark, d, "v_read").select((F.col("qname") % 2000).alias("sv"), "sample", (F.col("mapq") > 30).alias("carried"), (F.col("start") % 5 > 0).alias("gt_excluded"))
+    found = genotype.gt_excluded(c)
+    return found.select("sv", "all_excluded", variants.sv_filter(F.col("sv") % 6 == 0, F.col("all_excluded")).alias("filter"))
+
+
+def resolved_replicates(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen variants a group at five spots, in three samples."""
+    sample = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("sample")
+    v = view(spark, d, "v_sv").select("sv", sample)
+    count = lambda a, m: ((F.col("sv") * a + F.col("sample")) % m).cast("long")
+    calls = v.select("sv", "sample", F.floor(F.col("sv") / 16).cast("long").alias("group"), F.col("sv").alias("place"), (F.col("sv") * 7 % 5).alias("spot"), ((F.col("sv") + F.col("sample")) % 3 != 0).alias("carried"), F.when(F.col("sample") == 0, 1).otherwise(2).alias("haplotypes"), count(3, 11).alias("ref"), count(5, 13).alias("alt"), count(1, 4).alias("overlap"))
+    return pools.resolve_replicates(calls, ["spot"]).select("sv", "sample", "ref", "alt", "overlap", "on_several", "within_replicate", "replicated")
 
 
 def top_supported(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +215,16 @@ def inversions(spark: SparkSession, d: str) -> DataFrame:
     return matching.inversions(b)
 
 
+def inversion_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Some breakpoints have a neighbour on their haplotype; genotypes of three samples vote."""
+    b = view(spark, d, "v_bpo").filter("dir1 = dir2").select(F.col("obs").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), (F.col("start2") + 1).alias("end"), (F.col("obs") % 2).alias("dir"))
+    beside = F.when(F.col("id") % 3 == 0, F.col("id") + F.col("id") % 7 * 25)
+    named = b.withColumns({"next1": beside, "side1": F.col("id") % 2 + 1, "next2": beside, "side2": F.col("id") % 5 % 2 + 1})
+    sample = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("sample")
+    calls = b.select("id", sample).filter((F.col("id") + F.col("sample")) % 4 != 0).select("id", "sample", F.when(F.col("id") % 9 != 0, (F.col("id") + F.col("sample") * F.col("id")) % 3).alias("gt"))
+    return matching.genotype_conflicts(matching.inversions(named), calls)
+
+
 def eligible_svs(spark: SparkSession, d: str) -> DataFrame:
     s = view(spark, d, "v_sv")
     return s.filter(matching.eligible(F.col("kind"), F.col("end") - F.col("start"), F.col("sv") % 9 == 0, F.col("quality"), F.col("sv") % 10 == 0)).select("sv")
@@ -246,10 +277,15 @@ _SEGS_SQL = _BINS_SQL + """, s AS (SELECT sample, chrom, bin, least(bases // 150
 _EDGES_SQL = _SEGS_SQL + ", p AS (SELECT *, lag(state) OVER (PARTITION BY sample, chrom ORDER BY b) AS was FROM segs), edges AS (SELECT sample, chrom, b AS bin, CAST(CASE WHEN was > state THEN 2 ELSE 1 END AS BIGINT) AS kind FROM p WHERE was <> 6 AND state <> 6) "
 _COUNTS_SQL = ", c AS (SELECT sv, cust % 5 AS sample, greatest(0, count(*) FILTER (status = 'F') - 2) AS ref, CASE WHEN sv % 3 = 0 THEN 0 ELSE count(*) FILTER (status = 'O') END AS alt, count(*) FILTER (status = 'P') AS overlap FROM v_order GROUP BY sv, cust % 5) "
 _R, _W, _H = repr(math.log(1 - 1e-5)), repr(math.log(1e-5)), repr(math.log(0.5))
-_GT_SQL = _COUNTS_SQL + f""", l AS (SELECT *, sample = 4 AS hap, ref + overlap AS r, (ref + overlap) * ({_R}) + alt * ({_W}) AS l0, CASE WHEN sample = 4 THEN '-inf'::DOUBLE ELSE (ref + overlap + alt) * ({_H}) END AS l1, (ref + overlap) * ({_W}) + alt * ({_R}) AS l2 FROM c),
-  t AS (SELECT *, l0 + CASE WHEN hap THEN ln(1 - 5e-4) ELSE ln(1 - 7.5e-4) END AS p0, l1 + CASE WHEN hap THEN 0 ELSE ln(5e-4) END AS p1, l2 + CASE WHEN hap THEN ln(5e-4) ELSE ln(2.5e-4) END AS p2, greatest(l0, l1, l2) AS m FROM l),
-  pl AS (SELECT *, CAST(least(999, round(greatest((l0 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl0, CAST(least(999, round(greatest((l1 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl1, CAST(least(999, round(greatest((l2 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl2 FROM t),
-  gt AS (SELECT *, CASE WHEN r + alt > 0 THEN CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) END AS gt, CASE WHEN r + alt > 0 THEN list_sort([pl0, pl1, pl2])[2] END AS gq FROM pl) """
+def _scored_sql(counts: str, n: str = "") -> str:
+    """Common table expressions up to gt: the genotypes of the table ``counts``, with names ending in ``n``."""
+    return f""", l{n} AS (SELECT *, sample = 4 AS hap, ref + overlap AS r, (ref + overlap) * ({_R}) + alt * ({_W}) AS l0, CASE WHEN sample = 4 THEN '-inf'::DOUBLE ELSE (ref + overlap + alt) * ({_H}) END AS l1, (ref + overlap) * ({_W}) + alt * ({_R}) AS l2 FROM {counts}),
+  t{n} AS (SELECT *, l0 + CASE WHEN hap THEN ln(1 - 5e-4) ELSE ln(1 - 7.5e-4) END AS p0, l1 + CASE WHEN hap THEN 0 ELSE ln(5e-4) END AS p1, l2 + CASE WHEN hap THEN ln(5e-4) ELSE ln(2.5e-4) END AS p2, greatest(l0, l1, l2) AS m FROM l{n}),
+  pl{n} AS (SELECT *, CAST(least(999, round(greatest((l0 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl0, CAST(least(999, round(greatest((l1 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl1, CAST(least(999, round(greatest((l2 - m) / ln(10), -307) * -10)) AS BIGINT) AS pl2 FROM t{n}),
+  gt{n} AS (SELECT *, CASE WHEN r + alt > 0 THEN CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS BIGINT) END AS gt, CASE WHEN r + alt > 0 THEN list_sort([pl0, pl1, pl2])[2] END AS gq FROM pl{n}) """
+
+
+_GT_SQL = _COUNTS_SQL + _scored_sql("c")
 _ALLELE_SQL = """, s AS (SELECT qname AS read, seg % 4 AS condition, start % 3 AS allele, CASE WHEN mapq > 9 THEN mapq % 4 - 1 END AS score FROM v_read),
   c AS (SELECT read, condition, max(score) FILTER (allele = 0) AS r, max(score) FILTER (allele = 1) AS a, max(score) FILTER (allele = 2) AS o, bool_or(allele = 2) AS has_o FROM s GROUP BY ALL),
   u AS (SELECT read, condition, 0 AS allele, r AS score FROM c UNION ALL SELECT read, condition, 1, a FROM c UNION ALL SELECT read, condition, 2, o FROM c WHERE has_o),
@@ -299,7 +335,19 @@ ORACLES = {
     "sample_sv_order": with_views("v_order", body=_ORDER_SQL),
     "guest_haplotypes": with_views("v_read", body=', m AS (SELECT qname % 200 AS "group", sample, start % 3 AS haplotype, CAST(floor(sum(mapq / 64) / count(*) * 1000000000) AS BIGINT) AS mean, count(*) AS n FROM v_read GROUP BY ALL HAVING count(*) >= 2) SELECT "group", sample, haplotype, mean, n FROM (SELECT *, row_number() OVER (PARTITION BY "group", sample ORDER BY mean DESC, n DESC, haplotype) AS k FROM m) WHERE k = 1'),
     "phase_sets": with_views("v_region", body=", c AS (SELECT region_id, region_id // 4 AS g, region_id % 2 AS s, region_id % 3 % 2 AS h, start, value % 3 = 1 AS het FROM v_region), w AS (SELECT *, count(*) FILTER (het) OVER (PARTITION BY g, s) AS n, min(CASE WHEN het THEN start END) OVER (PARTITION BY g, s) + 1 AS p FROM c) SELECT region_id, CASE WHEN het AND n > 1 THEN p END AS phase_set, CASE WHEN het AND n > 1 THEN h = 0 END AS is_first FROM w"),
-    "absorbed_overlaps": with_views("v_order", body=_GT_SQL + ", w AS (SELECT *, coalesce(max(CASE WHEN sv % 2 = 0 AND gt = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY sv // 2, sample), 0) = 1 AS hom FROM gt) SELECT sv, sample, CASE WHEN hom AND sv % 2 = 0 THEN alt + overlap WHEN hom THEN 0 ELSE alt END AS alt, CASE WHEN hom THEN 0 ELSE overlap END AS overlap FROM w"),
+    "absorbed_overlaps": with_views("v_sv", body=""", c AS (SELECT sv, sample, CASE WHEN (sv + sample) % 3 = 0 THEN 0 ELSE (sv * 3 + sample) % 11 END AS ref, (sv * 5 + sample) % 13 AS alt, CASE WHEN sv % 4 > 1 THEN (sv + sample) % 4 ELSE 0 END AS overlap FROM v_sv, range(3) AS t(sample))""" + _scored_sql("c") + """,
+        p AS (SELECT sv, sample, ref, alt, overlap, gt, sv // 8 AS g, sv % 3 AS rank, sv * 37 % 100 AS s, sv * 37 % 100 + 30 AS e, coalesce(sv % 3 = 0 AND gt = 2 AND sv % 10 <> 0, false) AS top FROM gt),
+        x AS (SELECT DISTINCT b.sv, b.sample FROM p b JOIN p t ON t.top AND b.rank = 1 AND t.g = b.g AND t.sample = b.sample AND b.s < t.e AND t.s < b.e),
+        c2 AS (SELECT p.sv, p.sample, x.sv IS NOT NULL AS gt_excluded, CASE WHEN x.sv IS NULL THEN ref ELSE ref + alt + overlap END AS ref, CASE WHEN x.sv IS NOT NULL THEN 0 WHEN top THEN alt + overlap ELSE alt END AS alt,
+            CASE WHEN x.sv IS NOT NULL OR top THEN 0 ELSE overlap END AS overlap FROM p LEFT JOIN x ON x.sv = p.sv AND x.sample = p.sample)""" + _scored_sql("c2", "2") + "SELECT sv, sample, ref, alt, overlap, gt_excluded, pl0, pl1, pl2, gt, gq FROM gt2"),
+    "excluded_everywhere": with_views("v_read", body=", c AS (SELECT qname % 2000 AS sv, coalesce(bool_and(start % 5 > 0) FILTER (mapq > 30), false) AS all_excluded FROM v_read GROUP BY ALL) SELECT *, CASE WHEN sv % 6 = 0 THEN 'Replicated' WHEN all_excluded THEN 'GTExcluded' ELSE 'NoFilter' END AS filter FROM c"),
+    "resolved_replicates": with_views("v_sv", body=""", r AS (SELECT sv, sample, sv // 16 AS g, sv * 7 % 5 AS spot, (sv + sample) % 3 <> 0 AS carried, sample > 0 AS several, (sv * 3 + sample) % 11 AS ref, (sv * 5 + sample) % 13 AS alt, (sv + sample) % 4 AS overlap FROM v_sv, range(3) AS t(sample)),
+        w AS (SELECT *, carried AND several AND count(*) FILTER (carried AND several) OVER (PARTITION BY g, spot, sample) > 1 AS on_several, sv <> min(sv) OVER (PARTITION BY g, spot) AS replicated,
+            carried AND several AND coalesce(count(*) FILTER (carried AND several) OVER (PARTITION BY g, spot, sample ORDER BY sv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS within_replicate FROM r),
+        m AS (SELECT g, spot, sample, max(sv) AS sv FROM w WHERE replicated AND carried AND NOT within_replicate GROUP BY ALL),
+        n AS (SELECT m.g, m.spot, m.sample, w.ref, w.alt, w.overlap FROM m JOIN w USING (sv, sample))
+        SELECT w.sv, w.sample, CASE WHEN w.replicated THEN w.ref ELSE coalesce(n.ref, w.ref) END AS ref, CASE WHEN w.replicated THEN w.alt ELSE coalesce(n.alt, w.alt) END AS alt, CASE WHEN w.replicated THEN w.overlap ELSE coalesce(n.overlap, w.overlap) END AS overlap,
+            w.on_several, w.within_replicate, w.replicated FROM w LEFT JOIN n ON n.g = w.g AND n.spot = w.spot AND n.sample = w.sample"""),
     "top_supported": with_views("v_bpo", body=", c AS (SELECT start1 AS cluster, inserted AS assembly, count(*) AS reads FROM v_bpo GROUP BY ALL HAVING count(*) >= 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY reads DESC, assembly) AS rank FROM c) WHERE rank <= 2"),
     "downsampled": with_views("v_bpo", body=", w AS (SELECT obs, start1 AS cluster, row_number() OVER (PARTITION BY start1 ORDER BY obs) AS i, count(*) OVER (PARTITION BY start1) AS n FROM v_bpo) SELECT obs, cluster FROM w WHERE n <= 2 OR i * 2 // n > (i - 1) * 2 // n"),
     "one_per_read": with_views("v_read", body=', r AS (SELECT qname, seg, start AS pos, "end" - start AS length, strand = 0 AS is_primary FROM v_read) SELECT qname, seg, pos, length, is_primary FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY length DESC, is_primary DESC, pos, seg) AS k FROM r) WHERE k = 1'),
@@ -314,6 +362,17 @@ ORACLES = {
           FROM (SELECT o.chrom, o.i, o.id, o.s, o.e, o.dir, j.hid, j.hs, j.he, j.hd, coalesce(o.dir <> j.hd AND abs(o.s - j.hs) <= 10000 AND abs(o.e - j.he) <= 10000 AND least(o.e, j.he) - greatest(o.s, j.hs) >= 0.6 * greatest(o.e - o.s, j.he - j.hs, 100), false) AS pairs,
             coalesce(o.s = j.hs AND o.e = j.he AND o.dir = j.hd, false) AS same FROM j JOIN o ON o.chrom = j.chrom AND o.i = j.i + 1))
         SELECT chrom, id1, id2, start, "end" FROM j WHERE id1 IS NOT NULL"""),
+    "inversion_conflicts": with_recursive("v_bpo", body=""", o AS (SELECT obs AS id, chrom1 AS chrom, start1 AS s, start2 + 1 AS e, obs % 2 AS dir, CASE WHEN obs % 3 = 0 THEN obs + obs % 7 * 25 END AS near, obs % 2 + 1 AS side1, obs % 5 % 2 + 1 AS side2,
+            row_number() OVER (PARTITION BY chrom1 ORDER BY start1, obs % 2, CAST(obs AS VARCHAR)) AS i FROM v_bpo WHERE dir1 = dir2),
+        j AS (SELECT chrom, i, NULL::BIGINT AS id1, NULL::BIGINT AS id2, NULL::BIGINT AS start, NULL::BIGINT AS "end", i AS h FROM o WHERE i = 1
+          UNION ALL SELECT chrom, i, CASE WHEN pairs THEN hid END, CASE WHEN pairs THEN id END, CASE WHEN pairs THEN hs END, CASE WHEN pairs THEN greatest(e, he) END, CASE WHEN pairs THEN NULL WHEN same THEN h ELSE i END
+          FROM (SELECT o.chrom, o.i, o.id, o.e, p.id AS hid, p.s AS hs, p.e AS he, p.i AS h, coalesce(o.dir <> p.dir AND abs(o.s - p.s) <= 10000 AND abs(o.e - p.e) <= 10000 AND least(o.e, p.e) - greatest(o.s, p.s) >= 0.6 * greatest(o.e - o.s, p.e - p.s, 100)
+                AND NOT coalesce(p.near = o.id AND (p.side1 = 1 OR p.side2 = 2), false), false) AS pairs, coalesce(o.s = p.s AND o.e = p.e AND o.dir = p.dir, false) AS same
+            FROM j JOIN o ON o.chrom = j.chrom AND o.i = j.i + 1 LEFT JOIN o p ON p.chrom = j.chrom AND p.i = j.h)),
+        gts AS (SELECT obs AS id, sample, (obs + sample * obs) % 3 AS gt FROM v_bpo, range(3) AS t(sample) WHERE dir1 = dir2 AND obs % 9 <> 0 AND (obs + sample) % 4 <> 0),
+        v AS (SELECT id1, id2, sample, max(gt) FILTER (g.id = id1) AS g1, max(gt) FILTER (g.id = id2) AS g2 FROM j JOIN gts g ON g.id IN (j.id1, j.id2) WHERE id1 IS NOT NULL GROUP BY id1, id2, sample),
+        w AS (SELECT id1, id2, 2 * count(*) FILTER (g1 IS NOT DISTINCT FROM g2) < count(*) AS conflicting FROM v GROUP BY id1, id2)
+        SELECT j.chrom, j.id1, j.id2, j.start, j."end", coalesce(w.conflicting, false) AS conflicting FROM j LEFT JOIN w ON w.id1 = j.id1 AND w.id2 = j.id2 WHERE j.id1 IS NOT NULL"""),
     "eligible_svs": with_views("v_sv", body="SELECT sv FROM v_sv WHERE sv % 10 <> 0 AND sv % 9 <> 0 AND quality >= 10 AND \"end\" - start >= 10000"),
     "deduped_records": with_views("v_bpo", body=", r AS (SELECT CAST(obs AS VARCHAR) AS id, chrom1 AS chrom, start1 AS pos, CASE WHEN inserted % 4 <> 0 THEN inserted END AS size, obs % 11 = 0 AS is_inversion FROM v_bpo) SELECT id, chrom, pos, size, is_inversion FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, size ORDER BY is_inversion DESC, id) AS k FROM r) WHERE k = 1"),
     "ordered_records": with_views("v_bpo", body="SELECT CAST(obs AS VARCHAR) AS id, chrom1 AS chrom, start1 AS pos, obs % 11 = 0 AS is_inversion FROM v_bpo"),
@@ -325,9 +384,6 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     best_states, converged_states, synced_boundaries, emission_table, copy_boundaries, boundary_clusters, breakend_kinds, high_copies, copy_quality, genotype_likelihoods, joint_quality,
-    genotype_texts, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
-    close_fit, inversions, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
+    genotype_texts, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
+    close_fit, inversions, inversion_conflicts, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
 )}
-#: The same queries by the names they had when those without "whole" had a part of the axis.
-for _name in ("copy_boundaries", "boundary_clusters", "high_copies", "merged_segments"):
-    QUERIES[f"whole_{_name}"], ORACLES[f"whole_{_name}"] = QUERIES[_name], ORACLES[_name]

@@ -248,4 +248,3 @@ QUERIES = {f.__name__: f for f in (
     gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, scaled_depths, haploid_depth, state_bases, state_runs, phred_scores,
 )}
 #: The same query by the name it had when state_runs had a part of the axis.
-QUERIES["whole_state_runs"], ORACLES["whole_state_runs"] = state_runs, ORACLES["state_runs"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import cigar, variants
+from ..functions import cigar, intervals, variants
 from ..operators import align, cluster, evidence, gc, genotype, hmm, interval_join, matching, pools, records, sweep, trim
 from ..session import settle
 from ..settings import DiscoverSettings, JointCallSettings, SharedSettings
@@ -150,7 +150,7 @@ def discover(reads: DataFrame, content: DataFrame | None = None, excluded: DataF
     (chrom, bin, gc, at), or sequences (chrom, seq) that it is counted from; excluded and expected (chrom, start, end; value)
     regions; reference chunks (chrom, start, seq).
 
-    Tables: settings, depth, max_depth, clusters, regions, neighbours, insertions; with copy numbers cells, segments, haploid; with
+    Tables: settings, depth, max_depth, clusters, regions, neighbours, evidence, insertions; with copy numbers cells, segments, haploid; with
     reference and seq contigs, candidates.
     """
     used = usable_reads(reads, settings)
@@ -181,6 +181,8 @@ def discover(reads: DataFrame, content: DataFrame | None = None, excluded: DataF
         refined = refine(used, clusters, out["regions"], reference, settings)
         clusters = settle(clusters.join(refined.pop("redundant"), "cluster", "left_anti"))
         out |= refined
+    # a read may show what its sample has too little evidence of for a cluster
+    out["evidence"] = seen.withColumn("qname", F.xxhash64("qname")).select(*[c for c in OBSERVATION if c != "evidence"])
     return out | {"clusters": clusters}
 
 
@@ -219,28 +221,58 @@ def merged_variants(clusters: DataFrame, settings: JointCallSettings) -> DataFra
     return members.join(close.withColumnRenamed("id", "cluster"), "cluster").withColumnRenamed("merged_id", "sv")
 
 
-def allele_scores(best: DataFrame, members: DataFrame, used: DataFrame) -> DataFrame:
-    """What each read says about each variant that it supports or spans: (sv, sample, qname, condition, allele, score).
+def supporting(best: DataFrame, members: DataFrame, seen: DataFrame | None, margin: int) -> DataFrame:
+    """The reads that show each variant: (pool, sv, sample, qname).
+
+    Those of its clusters; and, of the reads that support no variant of its pool so, the ones whose breakpoint lies within ``margin`` of
+    it at both ends and nearer than to the pool's others (the lower number on a tie). These speak for samples that have no cluster of their own.
+    """
+    own = members.select("pool", "sv", "sample", F.explode("qnames").alias("qname")).distinct()
+    if seen is None:
+        return own
+    place = ["chrom1", "dir1", "chrom2", "dir2"]
+    spans = best.select("pool", "sv", *place, F.col("start1").alias("start"), F.col("end1").alias("end"), F.col("start2").alias("_vs"), F.col("end2").alias("_ve"))
+    shown = seen.select(*place, F.col("start1").alias("start"), F.col("end1").alias("end"), "start2", "end2", "sample", "qname")
+    met = interval_join.interval_join(shown, spans, place, margin=margin)
+    second = intervals.distance(F.col("start2"), F.col("end2"), F.col("_vs"), F.col("_ve"))
+    first = intervals.distance(F.col("start"), F.col("end"), F.col("right_start"), F.col("right_end"))
+    near = met.filter(second <= margin).groupBy("pool", "sample", "qname").agg(F.min(F.struct((first + second).alias("gap"), "sv")).alias("_b"))
+    more = near.join(own.select("pool", "sample", "qname").distinct(), ["pool", "sample", "qname"], "left_anti")
+    return own.unionByName(more.select("pool", F.col("_b.sv").alias("sv"), "sample", "qname"))
+
+
+def allele_scores(best: DataFrame, support: DataFrame, used: DataFrame, numbered: DataFrame) -> DataFrame:
+    """What each read says about each variant that it supports or spans: (sv, sample, qname, condition, allele, score, other).
 
     The two ends are the conditions. A read that supports the variant scores 1 for it and 0.5 for the reference, one that spans an end
-    without support the other way round; one that supports another variant of the pool scores 1.5 for the overlapping allele, or
-    0.75 if it supports this one as well.
+    without support the other way round; one that supports another variant of the pool scores 1.5 for that one's allele, which
+    overlaps, on the haplotype ``other``, or 0.75 if it supports this one as well.
     """
-    support = members.select("pool", "sv", "sample", F.explode("qnames").alias("qname")).distinct()
     ends = best.select("pool", "sv", F.explode(F.array(*[F.struct(F.lit(i - 1).alias("condition"), F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("pos")) for i in (1, 2)])).alias("e")).select("pool", "sv", "e.*")
     spans = used.select("chrom", (F.col("start") + BOTH_SIDES).alias("start"), (F.col("end") - BOTH_SIDES).alias("end"), "sample", F.xxhash64("qname").alias("qname"))
-    spanning = interval_join.point_join(ends, spans).select("pool", "sv", "sample", "qname", "condition").distinct()
-    told = spanning.unionByName(support.withColumn("condition", F.lit(0))).distinct()
-    mine = support.select("sv", "sample", "qname", F.lit(True).alias("_mine"))
-    other = support.select("pool", F.col("sv").alias("_sv"), "sample", "qname")
-    overlap = told.select("pool", "sv", "sample", "qname").distinct().join(other, ["pool", "sample", "qname"]).filter("sv <> _sv").select("sv", "sample", "qname", F.lit(True).alias("_other")).distinct()
-    rows = told.join(mine, ["sv", "sample", "qname"], "left").join(overlap, ["sv", "sample", "qname"], "left")
-    yes = F.col("_mine").isNotNull()
-    entry = lambda allele, score: F.struct(F.lit(allele).alias("allele"), score.alias("score"))
-    both = [entry(genotype.REF, F.when(yes, 0.5).otherwise(1.0)), entry(genotype.ALT, F.when(yes, 1.0).otherwise(0.5))]
-    third = entry(genotype.OVERLAP, F.when(yes, 0.75).otherwise(1.5))
-    entries = F.when(F.col("_other").isNotNull(), F.array(*both, third)).otherwise(F.array(*both))
-    return rows.select("sv", "sample", "qname", "condition", F.explode(entries).alias("e")).select("sv", "sample", "qname", "condition", "e.allele", "e.score")
+    spanning = interval_join.point_join(ends, spans).select("pool", "sv", "sample", "qname", "condition", F.lit(False).alias("mine"))
+    told = spanning.unionByName(support.withColumn("condition", F.lit(0)).withColumn("mine", F.lit(True)))
+    # one row a read and variant: the ends it tells of, and whether it supports it
+    each = told.groupBy("pool", "sv", "sample", "qname").agg(F.collect_set("condition").alias("conditions"), F.bool_or("mine").alias("mine"))
+    shown = support.join(numbered.select("sv", "haplotype"), "sv").groupBy("pool", "sample", "qname").agg(F.collect_set(F.struct("sv", "haplotype")).alias("_all"))
+    rows = each.join(shown, ["pool", "sample", "qname"], "left").withColumn("_others", F.filter(F.coalesce("_all", F.array()), lambda x: x["sv"] != F.col("sv")))
+    entry = lambda allele, score, other: F.struct(F.lit(allele).alias("allele"), score.cast("double").alias("score"), other.cast("long").alias("other"))
+    none, kind = F.lit(None), "array<struct<allele:int,score:double,other:bigint>>"
+    both = F.array(entry(genotype.REF, F.when(F.col("mine"), 0.5).otherwise(1.0), none), entry(genotype.ALT, F.when(F.col("mine"), 1.0).otherwise(0.5), none))
+    third = F.transform("_others", lambda x: entry(genotype.OVERLAP, F.when(F.col("mine"), 0.75).otherwise(1.5), x["haplotype"]))
+    found = rows.select("sv", "sample", "qname", F.explode("conditions").alias("condition"), F.concat(both.cast(kind), third.cast(kind)).alias("_e"))
+    return found.select("sv", "sample", "qname", "condition", F.explode("_e").alias("e")).select("sv", "sample", "qname", "condition", "e.allele", "e.score", "e.other")
+
+
+def with_guests(native: DataFrame, order: DataFrame, scores: DataFrame, allowed: DataFrame) -> DataFrame:
+    """native (group, sample, haplotype, rank) with a second haplotype for the samples that have one and may have two: the one that their reads at
+    the first of their own variants score highest, on average."""
+    lone = native.groupBy("group", "sample").agg(F.count(F.lit(1)).alias("_n"), F.min("haplotype").alias("_own")).filter("_n = 1")
+    lone = lone.join(allowed.filter("ploidy > 1"), ["group", "sample"]).select("group", "sample", "_own")
+    first = order.filter(F.col("relation") == genotype.NATIVE).groupBy("group", "sample").agg(F.min_by("sv", "place").alias("sv"))
+    told = scores.filter(F.col("allele") == genotype.OVERLAP).join(first, ["sv", "sample"]).join(lone, ["group", "sample"]).filter("other <> _own")
+    guests = genotype.guest_haplotypes(told.select("group", "sample", F.col("other").alias("haplotype"), "score"))
+    return native.unionByName(guests.select("group", "sample", "haplotype", F.lit(1).cast("long").alias("rank")))
 
 
 def expected_ploidies(best: DataFrame, expected: DataFrame | None, settings: JointCallSettings) -> DataFrame:
@@ -266,27 +298,44 @@ def joint_call(reads: DataFrame, stage: dict[str, DataFrame], settings: JointCal
     deep = settle(sweep.over_limit(ends.select("*", samples), stage["max_depth"]).select("sv", "sample").distinct())
     # haplotypes of a pool are its variants in order
     in_pool = Window.partitionBy("pool").orderBy("start1", "start2", "sv")
-    numbered = settle(best.select("pool", "sv", (F.row_number().over(in_pool) - 1).alias("haplotype")))
+    numbered = settle(best.select("pool", "sv", (F.row_number().over(in_pool) - 1).cast("long").alias("haplotype")))
     ploidies = settle(expected_ploidies(best, expected, settings))
-    native = members.select("pool", "sample", "sv").distinct().join(numbered, ["pool", "sv"]).select(F.col("pool").alias("group"), "sample", "haplotype", F.col("haplotype").alias("rank"))
+    of_sample = Window.partitionBy("group", "sample").orderBy("haplotype")
+    native = members.select("pool", "sample", "sv").distinct().join(numbered, ["pool", "sv"]).select(F.col("pool").alias("group"), "sample", "haplotype").withColumn("rank", (F.row_number().over(of_sample) - 1).cast("long"))
     allowed = numbered.join(ploidies, "sv").groupBy(F.col("pool").alias("group")).agg(F.max(F.when(F.col("haploid"), 1).otherwise(2)).alias("ploidy"))
-    order = settle(genotype.sample_sv_order(numbered.select(F.col("pool").alias("group"), "sv", "haplotype"), native, allowed.select("group", samples, "ploidy")))
-    scores = allele_scores(best, members, used).join(deep, ["sv", "sample"], "left_anti")
+    allowed = settle(allowed.select("group", samples, "ploidy"))
+    placed_svs = numbered.select(F.col("pool").alias("group"), "sv", "haplotype")
+    support = settle(supporting(best, members, stage.get("evidence"), settings.pool_margin))
+    scores = settle(allele_scores(best, support, used, numbered).join(deep, ["sv", "sample"], "left_anti"))
+    # variants in order, then a second haplotype where one is missing, then the order anew
+    native = settle(with_guests(native, genotype.sample_sv_order(placed_svs, native, allowed), scores, allowed))
+    order = settle(genotype.sample_sv_order(placed_svs, native, allowed))
     alleles = genotype.best_alleles(scores.select(F.struct("sv", "sample", "qname").alias("read"), "condition", "allele", "score"))
     told = settle(alleles.select("read.*", "allele", "tie"))
-    # a read of an overlapping allele is on the pool's other haplotype
-    placed = order.join(numbered.select("sv", "haplotype"), "sv").join(told, ["sv", "sample"], "left")
-    assigned = placed.select("group", "sample", "place", "sv", "haplotype", (F.lit(1) - F.least(F.col("haplotype"), F.lit(1))).alias("other"), F.lit(False).alias("shared"), F.coalesce(F.col("qname").cast("string"), F.lit("")).alias("qname"), "allele", F.coalesce("tie", F.lit(False)).alias("tie"), "relation")
+    # a read of an overlapping allele is on the sample's other haplotype
+    pair = native.groupBy("group", "sample").agg(*[F.max(F.when(F.col("rank") == i, F.col("haplotype"))).alias(f"_h{i}") for i in (0, 1)], F.count(F.lit(1)).alias("haplotypes"))
+    other = F.when(F.col("haplotype") == F.col("_h0"), F.col("_h1")).when(F.col("haplotype") == F.col("_h1"), F.col("_h0"))
+    placed = order.join(numbered.select("sv", "haplotype"), "sv").join(told, ["sv", "sample"], "left").join(pair, ["group", "sample"], "left")
+    assigned = placed.select("group", "sample", "place", "sv", "haplotype", F.coalesce(other, F.lit(1) - F.least(F.col("haplotype"), F.lit(1))).alias("other"), F.lit(False).alias("shared"), F.coalesce(F.col("qname").cast("string"), F.lit("")).alias("qname"), "allele", F.coalesce("tie", F.lit(False)).alias("tie"), "relation")
     counts = genotype.reserved_counts(assigned, passes=2).join(ploidies.select("sv", "haploid"), "sv")
-    calls = genotype.genotypes(counts, settings.max_qscore).join(numbered.withColumnRenamed("pool", "group"), "sv").join(best.select("sv", F.col("start1").alias("start")), "sv")
-    calls = genotype.phase_sets(genotype.absorb_overlaps(calls))
+    equal = ["chrom1", "start1", "dir1", "chrom2", "start2", "dir2", "insert_high"]
+    rows = counts.join(numbered.withColumnRenamed("pool", "group"), "sv").join(native.select("group", "sample", "haplotype", "rank"), ["group", "sample", "haplotype"], "left").join(pair.select("group", "sample", "haplotypes"), ["group", "sample"], "left")
+    rows = rows.join(best.select("sv", *equal), "sv").withColumns({"carried": F.col("rank").isNotNull(), "haplotypes": F.coalesce("haplotypes", F.lit(0)), "place": F.col("haplotype")})
+    rows = pools.resolve_replicates(rows, equal).withColumns({"start": F.col("start1"), "end": F.when(F.col("chrom1") == F.col("chrom2"), F.greatest("start1", "start2") + 1).otherwise(F.col("start1") + 1)}).drop(*equal)
+    calls = genotype.phase_sets(genotype.absorb_overlaps(genotype.genotypes(rows, settings.max_qscore), settings.max_qscore))
     calls = settle(calls.join(deep.withColumn("over_depth", F.lit(True)), ["sv", "sample"], "left").withColumn("over_depth", F.coalesce("over_depth", F.lit(False))))
-    quality = genotype.joint_quality(calls, "sv", settings.max_qscore).join(calls.groupBy("sv").agg(F.bool_or("over_depth").alias("over_depth"), F.coalesce(F.max("gt"), F.lit(0)).alias("most")), "sv")
-    svs = settle(best.join(quality, "sv").withColumn("replicated", F.lit(False)))
-    marked = pools.replicates(svs, ["chrom1", "start1", "dir1", "chrom2", "start2", "dir2", "insert_high"], "sv")
-    svs = settle(marked.withColumn("replicated", F.col("is_replicate")))
-    inverted = svs.filter("chrom1 = chrom2 and dir1 = dir2 and most > 0 and not over_depth and start2 >= start1").select(F.col("sv").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), (F.col("start2") + 1).alias("end"), F.col("dir1").alias("dir"))
-    out = {"calls": calls.select("sv", "sample", "ref", "alt", "overlap", "gt", "gq", "pl0", "pl1", "pl2", "phase_set", "is_first", "haploid"), "inversions": settle(matching.inversions(inverted))}
+    quality = genotype.joint_quality(calls, "sv", settings.max_qscore).join(calls.groupBy("sv").agg(F.bool_or("over_depth").alias("over_depth"), F.coalesce(F.max("gt"), F.lit(0)).alias("most"), F.bool_or("replicated").alias("_replicate")), "sv")
+    kind_of = variants.sv_filter(F.col("_replicate"), F.col("all_excluded"))
+    svs = settle(best.join(quality, "sv").join(genotype.gt_excluded(calls), "sv").withColumn("sv_filter", kind_of).withColumn("replicated", F.col("sv_filter") != "NoFilter").drop("_replicate", "all_excluded"))
+    inverted = svs.filter("not replicated and chrom1 = chrom2 and dir1 = dir2 and most > 0 and not over_depth and start2 >= start1").select(F.col("sv").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), (F.col("start2") + 1).alias("end"), F.col("dir1").alias("dir"))
+    if "neighbours" in stage:
+        pick = lambda c, i: F.max(F.when(F.col("end") == i, F.col(c)))
+        links = pools.remap(stage["neighbours"], members.select(F.col("cluster").alias("id"), F.col("sv").alias("merged_id")), "next_cluster")
+        beside = links.groupBy(F.col("cluster").alias("id")).agg(*[pick(c, i).cast("long").alias(f"{n}{i}") for i in (1, 2) for c, n in (("next_cluster", "next"), ("next_end", "side"))])
+        inverted = inverted.join(beside, "id", "left")
+    carried = calls.filter("carried").select(F.col("sv").alias("id"), "sample", "gt")
+    inversions = settle(matching.genotype_conflicts(settle(matching.inversions(inverted)), carried))
+    out = {"calls": calls.select("sv", "sample", "ref", "alt", "overlap", "gt", "gq", "pl0", "pl1", "pl2", "phase_set", "is_first", "haploid", "carried", "gt_excluded"), "inversions": inversions}
     if settings.report_supporting_reads:
         out["supporting_reads"] = told.filter(F.col("allele") == genotype.ALT).select(F.col("sv").alias("variant"), "sample", "qname")
     matches = None
@@ -345,7 +394,7 @@ def joint_records(svs: DataFrame, inversions: DataFrame, matches: DataFrame | No
     one = rows.filter("not replicated").select(F.col("sv").cast("string").alias("id"), F.col("chrom1").alias("chrom"), F.col("start1").alias("pos"), F.col("chrom2").alias("mate_chrom"), F.col("start2").alias("end"), "dir1", "dir2", kind.alias("kind"), "qual", F.lit(False).alias("is_inversion"), tags.alias("filter"), "event", claim.alias("claim"))
     two = inversions.join(svs.select(F.col("sv").alias("id1"), "qual"), "id1").select(
         F.concat_ws(":", F.lit("INV"), "id1", "id2").alias("id"), "chrom", F.col("start").alias("pos"), F.col("chrom").alias("mate_chrom"), (F.col("end") - 1).alias("end"), F.lit(None).cast("long").alias("dir1"), F.lit(None).cast("long").alias("dir2"),
-        F.lit("INV").alias("kind"), "qual", F.lit(True).alias("is_inversion"), variants.filters(F.lit(False), F.col("qual"), F.lit(False), F.lit(False), settings.min_qual).alias("filter"), F.concat_ws(":", F.lit("INV"), "id1", "id2").alias("event"), F.lit("J").alias("claim"),
+        F.lit("INV").alias("kind"), "qual", F.lit(True).alias("is_inversion"), variants.filters(F.lit(False), F.col("qual"), F.lit(False), F.col("conflicting"), settings.min_qual).alias("filter"), F.concat_ws(":", F.lit("INV"), "id1", "id2").alias("event"), F.lit("J").alias("claim"),
     )
     found = one.unionByName(two)
     return records.dedup(found, ["chrom", "pos", "mate_chrom", "end", "kind", "dir1", "dir2"]) if settings.dedup else found

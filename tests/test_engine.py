@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import cigar, intervals, prob, variants
 from strandline.operators import align, cluster, evidence, genotype, hmm, interval_join, matching, pools, records, sweep
-from strandline.plans import registry
-from strandline.settings import DiscoverSettings
+from strandline.plans import pipelines, registry
+from strandline.settings import DiscoverSettings, JointCallSettings
 
 
 def one(spark, **columns):
@@ -290,7 +290,7 @@ def plain(value):
     return str(int(value)) if isinstance(value, float) and value == int(value) else f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.oracle_sql() if not n.startswith("whole_")))  # these repeat others
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
@@ -302,11 +302,27 @@ def test_oracle(spark, sf_dir, name):
     assert rows(got.select(want.columns).collect()) == rows(want.fetchall())
 
 
-#: Run over smaller tables in test_pipelines.py and test_whole_axis.py, with expected results.
-ELSEWHERE = {"discovered_neighbours", "discovered_segments", "joint_records", "joint_genotypes", "joint_cnvs", "assembled_reads", "alignment_scores", "best_states", "converged_states", "copy_quality"}
+@pytest.fixture(scope="module")
+def once():
+    """Whole pipelines by their arguments: queries that ask one pipeline for different tables share a run of it here."""
+    done = {}
 
+    def shared(name, function):
+        def run(*args, **named):
+            key = (name, repr([x for x in (*args, *sorted(named.items())) if isinstance(x, JointCallSettings | DiscoverSettings | str)]), "excluded" in named)
+            if key not in done:
+                done[key] = function(*args, **named)
+            return done[key]
 
-@pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys() - ELSEWHERE))
-def test_runs(spark, sf_dir, name):
+        return run
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("discover", "joint_call"):
+            patch.setattr(pipelines, name, shared(name, getattr(pipelines, name)))
+        yield
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys()))
+def test_runs(spark, sf_dir, once, name):
     found = registry.queries()[name](spark, sf_dir)
     assert found.count() >= 0 and found.columns

@@ -1,6 +1,5 @@
 """Both pipelines over reads of known chromosomes: what is planted is found, and each setting changes what it names."""
 
-import os
 import random
 from collections import Counter
 from dataclasses import replace
@@ -12,8 +11,6 @@ from strandline.plans import pipelines
 from strandline.settings import DiscoverSettings, JointCallSettings
 from strandline.sources import sinks
 
-#: Each of these runs whole pipelines again, in about a minute: with RUN_SLOW=1 only.
-slow = pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="set RUN_SLOW=1")
 READS = "sample long, qname string, seg long, chrom long, start long, end long, strand long, mapq long, flag long, cigar string"
 LENGTH, READ, STEP = 400_000, 6000, 300
 DELETED, TURNED = (100_000, 240_000), (200_000, 230_000)
@@ -124,7 +121,6 @@ def test_supporting_reads(joint, reads):
     assert {r["sample"] for r in names} == {0, 1, 2}
 
 
-@slow
 def test_written_and_read_again(spark, reads, stage, tmp_path):
     folder, output = str(tmp_path / "stage"), str(tmp_path / "joint")
     pipelines.run_discover(reads.filter("sample = 2 and chrom = 2"), str(tmp_path / "small"), QUICK)
@@ -159,7 +155,6 @@ def test_read_settings_act(reads):
     assert proposed(reads, replace(BIN, min_identity=0.9, min_indel=120, noise_margin=30)) == {gap}
 
 
-@slow
 def test_cluster_settings_act(reads):
     found = pipelines.discover(reads, settings=replace(QUICK, min_evidence=1000))
     assert found["clusters"].count() == 0 and "insertions" not in found
@@ -172,7 +167,6 @@ def known_haploid(spark, monkeypatch):
     monkeypatch.setattr(pipelines.hmm, "converge", lambda cells: (cells.select("sample", "chrom", "bin", F.lit(2).cast("long").alias("state")), haploid))
 
 
-@slow
 def test_depth_settings_act(reads, stage, known_haploid):
     assert stage["max_depth"].count() == 0
     assert pipelines.discover(reads, settings=replace(QUICK, max_depth=25))["max_depth"].count() > 0
@@ -183,7 +177,6 @@ def test_depth_settings_act(reads, stage, known_haploid):
     assert max(r["pl0"] for r in called["calls"].collect()) <= 20
 
 
-@slow
 def test_bin_size_and_shift_reach_the_joint_stage(reads, stage, monkeypatch):
     seen = []
     monkeypatch.setattr(pipelines.hmm, "joint_segments", lambda cells, haploid, shift: seen.append(shift) or pipelines.hmm.segments(pipelines.hmm.segment_states(cells, haploid)))
@@ -206,7 +199,6 @@ def test_content_settings_act(spark, reads):
     assert all(len(f) == LENGTH // 1000 for f in found) and found[0] != found[1] and found[0] != found[2] and found[1] != found[2]
 
 
-@slow
 def test_expected_copies(spark, reads):
     """One copy of chromosome 1 everywhere: by it, the deleted stretch isn't a loss; told so, calls there are haploid."""
     expected = spark.createDataFrame([(1, 0, LENGTH, 1)], "chrom long, start long, end long, value long")
@@ -217,7 +209,6 @@ def test_expected_copies(spark, reads):
     assert not [c for c in found["cnvs"].collect() if c["start"] == DELETED[0] and c["end"] == DELETED[1]]
 
 
-@slow
 def test_refined_contigs(spark):
     """Reads with one deletion are assembled to a contig that shows it to the base; an insertion of a stretch explains its duplication."""
     r = random.Random(11)

@@ -1,4 +1,4 @@
-"""The segmentation and alignment queries over an axis of more than 150 bins and texts of more than 400 letters, by brute force."""
+"""The segmentation queries over an axis of more than 150 bins, by brute force."""
 
 import random
 from collections import defaultdict
@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strandline.operators import align, hmm
+from strandline.operators import hmm
 from strandline.plans import registry
 
 
@@ -79,12 +79,3 @@ def test_whole_boundaries(spark, wide):
         want += [(0, kind, b) for g in groups if len(g) > 1 for b in g]
     assert any(b % 4 and b >= 150 for _, _, b in want)
     assert rows(spark, wide, "boundary_clusters", "chrom", "kind", "bin") == sorted(want)
-
-
-def test_alignment_over_whole_texts(spark, wide):
-    assert rows(spark, wide, "alignment_scores", "chrom", "score", "start", "cigar") == sorted((i, *align.align(t[100:180], t)) for i, t in wide[2].items())
-
-
-def test_assemblies_of_whole_texts(spark, wide):
-    want = [(i << 24 | k, t[300 * k : 300 * k + 300]) for i, t in wide[2].items() for k in range((len(t) + 299) // 300) if len(t) - 300 * k > 10]
-    assert rows(spark, wide, "assembled_reads", "cluster", "contig") == sorted(want)
