@@ -18,7 +18,7 @@ results; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
+from xxhash import xxh3_64_intdigest
 
 from .common import bytes_of
 
@@ -51,88 +52,142 @@ _HAS = np.array([[k >> i & 1 for i in range(6)] + [1 - (k & 1)] for k in range(6
 FEATURES = ("bias", "symbols", "capitals", "digits", "marks", "other", "long words", "short", "ends a sentence", "first or last", "repeated", "stutter", "odd neighbours")
 
 
-def word_numbers(words: list[bytes]) -> np.ndarray:
-    """Equal words have equal numbers, from 0."""
-    seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+#: Characters of a block of lines (a longer line is a block by itself), and keys that are sorted at a time.
+BLOCK, KEYS = 1 << 18, 1 << 20
 
 
-def line_features(text: str | None, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """For each line that has a word: its features and its words; and counts over the text: word_chars, n_symbols.
+def _blocks(text: str) -> Iterator[str]:
+    """The text in blocks of whole lines."""
+    begin = 0
+    while begin <= len(text):
+        end = text.find("\n", begin + BLOCK)
+        end = len(text) if end < 0 else end
+        yield text[begin:end]
+        begin = end + 1
 
-    ``numbers``: the text's word numbers, if they are known already.
-    """
-    nothing = np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)
-    if not text:
-        return *nothing, {"word_chars": 0, "n_symbols": 0}
-    if numbers is None:
-        numbers = word_numbers(bytes_of(text).split())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys have equal numbers, from 0; and which keys occur more than once. The different keys are gathered from pieces, then looked up."""
+    pieces = range(0, len(keys), KEYS)
+    distinct = np.concatenate([keys[:0], *[np.unique(keys[i : i + KEYS]) for i in pieces]])
+    distinct = np.unique(distinct) if len(pieces) > 1 else distinct
+    numbers, counts = np.empty(len(keys), np.int32), np.zeros(len(distinct), np.int32)
+    for i in pieces:
+        numbers[i : i + KEYS] = np.searchsorted(distinct, keys[i : i + KEYS])
+        found, n = np.unique(numbers[i : i + KEYS], return_counts=True)
+        counts[found] += n.astype(np.int32)
+    again = np.empty(len(keys), bool)
+    for i in pieces:
+        again[i : i + KEYS] = counts[numbers[i : i + KEYS]] > 1
+    return numbers, again
+
+
+def _hashes(parts: Iterator[list[bytes]]) -> np.ndarray:
+    """64-bit hashes of all parts in order: 8 bytes each is what is held of them."""
+    found = [np.fromiter(map(xxh3_64_intdigest, own), np.uint64, len(own)) for own in parts]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def word_numbers(text: str | None) -> np.ndarray:
+    """Equal words have equal numbers, from 0."""
+    return _numbered(_hashes(bytes_of(block).split() for block in _blocks(text or "")))[0]
+
+
+class Lines:
+    """The lines of a text that have a word: words (of each), odd (marks and symbols per word), repeated; counts over the text; and the
+    features, a block at a time, so that a text of millions of short lines takes a few dozen bytes a line."""
+
+    def __init__(self, text: str | None, numbers: np.ndarray | None = None):
+        self.text, self.numbers = text or "", numbers
+        words, odd = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        self.counts = {"word_chars": 0, "n_symbols": 0}
+        for block in _blocks(self.text) if self.text else ():
+            held = _line_counts(block)
+            some = held["words"] > 0
+            words.append(held["words"][some].astype(np.int32))
+            odd.append(np.minimum((held["symbols"] + held["marks"])[some] / held["words"][some], 1).astype(np.float32))
+            self.counts["word_chars"] += int(held["chars"].sum())
+            self.counts["n_symbols"] += int(held["symbols"].sum())
+        self.words, self.odd = np.concatenate(words), np.concatenate(odd)
+        lines = _hashes([bytes_of(x) for x in block.split("\n") if x.strip(SPACES)] for block in _blocks(self.text))
+        distinct, self.repeated = _numbered(lines) if len(lines) else (np.zeros(0, np.int32), np.zeros(0, bool))
+        self.dup_lines = len(lines) - (int(distinct.max()) + 1 if len(lines) else 0)
+
+    def features(self) -> Iterator[np.ndarray]:
+        if self.numbers is None:
+            self.numbers = word_numbers(self.text)
+        n, at, word_at = len(self.words), 0, 0
+        for block in _blocks(self.text) if n else ():
+            held = _line_counts(block)
+            some = held["words"] > 0
+            own, rows = int(some.sum()), slice(at, at + int(some.sum()))
+            c, w = held["chars"][some].astype(float), held["words"][some].astype(float)
+            numbers = self.numbers[word_at : word_at + int(held["words"].sum())]
+            again = (numbers[1:] == numbers[:-1]) & (held["of_word"][1:] == held["of_word"][:-1])
+            stutter = np.bincount(held["of_word"][1:][again], minlength=len(some))[some] / w
+            near = np.concatenate([[self.odd[at - 1] if at else 0], self.odd[at : at + own + 1]])
+            around = (near[:own] + np.append(near, 0)[2 : own + 2]) / 2
+            edge = np.zeros(own)
+            if n > 2 and own:
+                edge[0] = at == 0
+                edge[-1] = max(edge[-1], at + own == n)
+            symbols, capitals, letters, digits, marks = (held[k][some] for k in ("symbols", "capitals", "letters", "digits", "marks"))
+            yield np.stack([
+                np.ones(own), np.minimum(symbols / w, 1), capitals / np.maximum(letters, 1), digits / c, np.minimum(marks / w, 1),
+                (c - symbols - letters - digits - marks) / c, np.minimum(c / w, 40) / 10, (w < 4).astype(float), np.isin(held["last"][some], [33, 46, 63]).astype(float),
+                edge, self.repeated[rows].astype(float), stutter, around,
+            ], axis=1)
+            at, word_at = at + own, word_at + len(numbers)
+
+
+def _line_counts(block: str) -> dict[str, np.ndarray]:
+    """For each line of a block: words, chars in words, symbols, capitals, letters, digits, marks, last (character in a word); and
+    of_word, the line of each word."""
+    points = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _KIND[np.minimum(points, 0x250)]
     ends = np.flatnonzero(points == 10)
     n = len(ends) + 1
     line = np.repeat(np.arange(n), np.diff(ends, prepend=-1, append=len(points) - 1))
     held = np.bincount(line * 64 + kind, minlength=64 * n).reshape(n, 64) @ _HAS
-    symbols, capitals, letters, digits, marks, chars = held.T[1:]
+    names = ("symbols", "capitals", "letters", "digits", "marks", "chars")
+    out = dict(zip(names, held.T[1:]))
     space = kind & SPACE
-    begins = np.flatnonzero(space < np.concatenate([[SPACE], space[:-1]]))
-    words = np.bincount(line[begins], minlength=n)
-    counts = {"word_chars": int(chars.sum()), "n_symbols": int(symbols.sum())}
-    finals = np.flatnonzero(space < np.concatenate([space[1:], [SPACE]]))
+    begins = np.flatnonzero(space < np.concatenate([[SPACE], space[:-1]])) if len(points) else np.zeros(0, int)
+    finals = np.flatnonzero(space < np.concatenate([space[1:], [SPACE]])) if len(points) else np.zeros(0, int)
     last = np.zeros(n, np.uint32)
-    last[line[finals]] = points[finals]  # the line's last character in a word
-    some = words > 0
-    if not some.any():
-        return *nothing, counts
-    c, w = chars[some].astype(float), words[some].astype(float)
-    of_word = line[begins]
-    again = (numbers[1:] == numbers[:-1]) & (of_word[1:] == of_word[:-1])
-    stutter = np.bincount(of_word[1:][again], minlength=n)[some] / w
-    odd = np.minimum((symbols + marks)[some] / w, 1)
-    around = np.convolve(odd, [1, 0, 1])[1:-1] / 2
-    edge = np.zeros(len(c))
-    edge[[0, -1]] = len(c) > 2
-    features = np.stack([
-        np.ones(len(c)), np.minimum(symbols[some] / w, 1), capitals[some] / np.maximum(letters[some], 1), digits[some] / c, np.minimum(marks[some] / w, 1),
-        (chars - symbols - letters - digits - marks)[some] / c, np.minimum(c / w, 40) / 10, (w < 4).astype(float), np.isin(last[some], [33, 46, 63]).astype(float),
-        edge, _repeated(text, some), stutter, around,
-    ], axis=1)
-    return features, words[some], counts
-
-
-def _repeated(text: str, some: np.ndarray) -> np.ndarray:
-    """For each line that has a word, whether the text has it more than once."""
-    if len(some) == 1:
-        return np.zeros(int(some.sum()))
-    own = [x for x, there in zip(text.split("\n"), some.tolist()) if there]
-    often = Counter(own)
-    return np.array([often[x] > 1 for x in own], float)
-
-
-def _join_grams(a: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = a[:-step] * (int(a.max()) + 1) + a[step:]
-    _, numbers, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return numbers.astype(np.int64), counts
+    last[line[finals]] = points[finals]
+    return out | {"words": np.bincount(line[begins], minlength=n), "last": last, "of_word": line[begins]}
+
+
+def line_features(text: str | None, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """For each line that has a word: its features and its words; and counts over the text: word_chars, n_symbols. For texts of bounded size.
+
+    ``numbers``: the text's word numbers, if they are known already.
+    """
+    lines = Lines(text, numbers)
+    return np.concatenate([np.zeros((0, len(FEATURES))), *lines.features()]), lines.words.astype(np.int64), lines.counts
 
 
 def repeat_words(numbers: np.ndarray) -> int:
-    """The words in windows of 8 that occur twice or more, found by numbering windows of 2, 4 and 8 exactly."""
+    """The words in windows of 8 that occur twice or more, found by numbering windows of 2, 4 and 8."""
     if len(numbers) <= WINDOW:
         return 0
-    cover = np.zeros(len(numbers) + 1, np.int64)
     for step in (1, 2, 4):
-        numbers, counts = _join_grams(numbers, step)
-        if counts.max() == 1:
+        keys = numbers[:-step].astype(np.int64)
+        keys *= int(numbers.max()) + 1
+        keys += numbers[step:]
+        numbers, again = _numbered(keys)
+        del keys
+        if not again.any():
             return 0
-    again = np.flatnonzero(counts[numbers] > 1)
-    np.add.at(cover, again, 1)
-    np.add.at(cover, again + WINDOW, -1)
-    return int((np.cumsum(cover)[:-1] > 0).sum())
+    cover = np.zeros(len(again) + WINDOW - 1, bool)
+    for k in range(WINDOW):
+        cover[k : k + len(again)] |= again
+    return int(cover.sum())
 
 
 def dup_lines(text: str | None) -> int:
-    lines = [x for x in (text or "").split("\n") if x.strip(SPACES)]
-    return len(lines) - len(set(lines))
+    return Lines(text).dup_lines
 
 
 class Field:
@@ -145,25 +200,28 @@ class Field:
     def trusting(cls) -> Field:
         return cls(np.eye(1, len(FEATURES))[0], np.zeros((2, 2)), np.zeros(2))
 
-    def decode(self, features: np.ndarray) -> np.ndarray:
-        """The best label sequence (Viterbi); content on a tie."""
-        if not len(features):
-            return np.zeros(0, np.int8)
+    def decode(self, features: np.ndarray | Iterator[np.ndarray]) -> np.ndarray:
+        """The best label sequence (Viterbi) of rows that may come in blocks; content on a tie. A byte a line is held for the way back."""
         (aa, ab), (ba, bb) = self.move.tolist()
-        a, b = self.begin.tolist()
-        scores = (features @ self.emit).tolist()
-        b += scores[0]
-        back = []
-        for s in scores[1:]:
-            to_a, to_b = (b + ba >= a + aa), (b + bb >= a + ab)
-            back.append((to_a, to_b))
-            a, b = max(a + aa, b + ba), max(a + ab, b + bb) + s
+        a, b = None, None
+        back = bytearray()
+        for block in [features] if isinstance(features, np.ndarray) else features:
+            for s in (block @ self.emit).tolist():
+                if a is None:
+                    a, b = self.begin.tolist()
+                    b += s
+                    continue
+                to_a, to_b = (b + ba >= a + aa), (b + bb >= a + ab)
+                back.append(to_a | to_b << 1)
+                a, b = max(a + aa, b + ba), max(a + ab, b + bb) + s
+        if a is None:
+            return np.zeros(0, np.int8)
         label = int(b >= a)
-        out = [label]
+        out = bytearray([label])
         for step in reversed(back):
-            label = int(step[label])
+            label = step >> label & 1
             out.append(label)
-        return np.array(out[::-1], np.int8)
+        return np.frombuffer(out, np.int8)[::-1]
 
     @classmethod
     def fitted(cls, texts: list[np.ndarray], content: list[np.ndarray], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
@@ -218,7 +276,7 @@ class Field:
         return [a - b for a, b in zip(self._expected(x, there, score + bias), self._expected(x, there, score))]
 
 
-def content_words(field: Field, features: np.ndarray, words: np.ndarray) -> int:
+def content_words(field: Field, features: np.ndarray | Iterator[np.ndarray], words: np.ndarray) -> int:
     return int(words[field.decode(features) == 1].sum())
 
 
@@ -228,8 +286,7 @@ _LINES = pa.struct([("x", pa.list_(pa.list_(pa.float64()))), ("line", pa.list_(p
 
 def _sample_lines(text: str | None) -> dict:
     """The features of the lines that have a word, their hashes, and those of their neighbours."""
-    from xxhash import xxh3_64_intdigest as h
-
+    h = xxh3_64_intdigest
     own = [h(x.encode("utf-8", "surrogatepass")) >> 1 for x in (text or "").split("\n") if x.strip(SPACES)]
     ends = [0, *own, 0]
     return {"x": line_features(text)[0].tolist(), "line": own, "around": [h(f"{a},{b}") >> 1 for a, b in zip(ends, ends[2:])]}
@@ -272,12 +329,12 @@ RESULT = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField(
 
 
 def judged(text: str | None, field: Field) -> tuple:
-    words = word_numbers(bytes_of(text).split())
-    features, line_words, counts = line_features(text, words)
+    words = word_numbers(text)
     again, n = repeat_words(words), len(words)
-    good = content_words(field, features, line_words)
+    lines = Lines(text, words)
+    good = content_words(field, lines.features(), lines.words)
     failed = n < 20 or 100 * again > 30 * n
-    return n, counts["word_chars"], counts["n_symbols"], dup_lines(text), again, len(line_words), good, failed, not failed and good >= CONTENT_SHARE * n
+    return n, lines.counts["word_chars"], lines.counts["n_symbols"], lines.dup_lines, again, len(lines.words), good, failed, not failed and good >= CONTENT_SHARE * n
 
 
 def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

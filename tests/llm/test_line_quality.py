@@ -1,5 +1,9 @@
 """The field labels lines: planted headers and footers, held-out labels, the bounds of the sample."""
 
+import random
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +89,30 @@ def test_the_sample_is_bounded_and_repeats(spark):
     found = {r["doc_id"]: r["kept"] for r in quality.judge(docs.filter("length(text) > 0"), fields[0]).collect()}
     assert quality.fit(docs, known, sample_docs=0).emit.tolist() == quality.Field.trusting().emit.tolist()
     assert found[0] and not found[100]
+
+
+def test_blocks_change_nothing(monkeypatch):
+    """Blocks of a few letters and pieces of a few keys give what one block gives."""
+    r = random.Random(6)
+    texts = ["", " ", "\n", "a\n\n b \n", "x\n" * 50, "é ü\r\nB! ?\n" * 5, "one", None, "a b " * 100, *["\n".join(" ".join(r.choice("abc") for _ in range(r.randint(0, 5))) for _ in range(60)) for _ in range(20)]]
+    rng = np.random.default_rng(1)
+    field = quality.Field(rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    whole = [(quality.judged(t, field), quality.line_features(t)[0].round(6).tolist()) for t in texts]
+    for block, keys in ((1, 7), (13, 5), (40, 1000)):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        monkeypatch.setattr(quality, "KEYS", keys)
+        assert [(quality.judged(t, field), quality.line_features(t)[0].round(6).tolist()) for t in texts] == whole
+
+
+def test_millions_of_lines_take_little_memory():
+    """Five million one-letter lines, in a process of their own: under 100 bytes a line."""
+    code = """
+import random, resource
+from strandline.llm import quality
+text = "\\n".join(random.Random(1).choice("abcdefgh") for _ in range(5_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = quality.judged(text, quality.Field.trusting())
+print(found[0], found[5], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    words, lines, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert words == lines == 5_000_000 and mb < 500
