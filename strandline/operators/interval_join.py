@@ -18,7 +18,7 @@ from ..functions import intervals
 
 LEFT, RIGHT = "_l_", "_r_"
 #: A small step: an interval meets few others that its buckets, at most STEP times as wide as itself, hold but it doesn't touch.
-STEP_BITS, LEVELS = 2, 12
+STEP_BITS, LEVELS = 1, 22
 STEP = 1 << STEP_BITS
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -54,30 +55,42 @@ def merge_size(inserted: Column, deleted: Column) -> Column:
 def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO) -> DataFrame:
     """Members of a pool with close ends and nearly equal sizes merge greedily; members of one sample never do.
 
-    pooled (pool, id, sample, start, end, size, reads, contig_length): (id, merged_id). In order, each remaining member takes in
-    later ones that are close to it and whose samples it doesn't have. One pool is one group.
+    pooled (pool, id, sample, start, end, size, reads, contig_length): (id, merged_id). In order, each member joins the first of those
+    before it that head a group, are close to it and whose group lacks its sample; else it heads one. A pool is read as a stream: only heads
+    that a later member can still join are held, by their ends, with the names of their members.
     """
 
-    def merge(pool: Iterable[dict]) -> list[tuple]:
-        rows = list(pool)
-        owner, samples = list(range(len(rows))), [{r["sample"]} for r in rows]
-        for i, a in enumerate(rows):
-            if owner[i] != i:
-                continue
-            for j in range(i + 1, len(rows)):
-                b = rows[j]
-                if b["start"] - a["start"] > close:
-                    break
-                if owner[j] != j or samples[i] & samples[j]:
-                    continue
-                if abs(a["end"] - b["end"]) <= close and 2 * abs(a["size"] - b["size"]) <= ratio * (a["size"] + b["size"]):
-                    owner[j] = i
-                    samples[i] |= samples[j]
-        best: dict[int, dict] = {}
-        for r, o in zip(rows, owner):
-            if o not in best or (r["reads"], r["contig_length"]) > (best[o]["reads"], best[o]["contig_length"]):
-                best[o] = r
-        return [(r["id"], best[o]["id"]) for r, o in zip(rows, owner)]
+    def merge(pool: Iterable[dict]) -> Iterator[tuple]:
+        heads: dict[int, list[dict]] = {}  # by stretch of the end, each in order
+        waiting: deque[dict] = deque()
+        number = 0
+
+        def leave(head: dict) -> Iterator[tuple]:
+            own = heads[head["at"]]
+            own.remove(head)
+            if not own:
+                del heads[head["at"]]
+            yield from ((i, head["best"][2]) for i in head["members"])
+
+        for r in pool:
+            while waiting and r["start"] - waiting[0]["start"] > close:
+                yield from leave(waiting.popleft())
+            at = r["end"] // (close + 1)
+            near = (h for k in (at - 1, at, at + 1) for h in heads.get(k, ()))
+            fits = [h for h in near if r["sample"] not in h["samples"] and abs(h["end"] - r["end"]) <= close and 2 * abs(h["size"] - r["size"]) <= ratio * (h["size"] + r["size"])]
+            if fits:
+                head = min(fits, key=lambda h: h["number"])
+                head["samples"].add(r["sample"])
+                head["members"].append(r["id"])
+                if (r["reads"], r["contig_length"]) > head["best"][:2]:
+                    head["best"] = (r["reads"], r["contig_length"], r["id"])
+            else:
+                head = {"start": r["start"], "end": r["end"], "size": r["size"], "samples": {r["sample"]}, "members": [r["id"]], "best": (r["reads"], r["contig_length"], r["id"]), "number": number, "at": at}
+                number += 1
+                heads.setdefault(at, []).append(head)
+                waiting.append(head)
+        for head in waiting:
+            yield from ((i, head["best"][2]) for i in head["members"])
 
     return per_group(pooled, ["pool"], ["start", "end", "sample", "id"], merge, "id long, merged_id long")
 

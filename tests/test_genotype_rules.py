@@ -134,3 +134,35 @@ def test_second_haplotype_from_one_read(spark):
     assert calls[0, 300]["gt"] == calls[0, 600]["gt"] == 1
     alone = pipelines.joint_call(reads, {k: v for k, v in stage.items() if k != "evidence"}, JointCallSettings(disable_cnv=True))
     assert {c["alt"] for c in alone["calls"].filter(F.col("sample") == 1).collect() if ends[c["sv"]] == 600} == {0}
+
+
+def test_close_members_merge_by_brute_force(spark):
+    """Each remaining member in turn takes in later ones: the same groups as the stream's."""
+    r = random.Random(8)
+    rows = [(i % 5, i, r.randrange(6), r.randrange(120), 500 + r.randrange(60), 100 + r.randrange(4), r.randrange(9), r.randrange(5)) for i in range(600)]
+    want = {}
+    for pool in range(5):
+        own = sorted((x for x in rows if x[0] == pool), key=lambda x: (x[3], x[4], x[2], x[1]))
+        taken = set()
+        for k, a in enumerate(own):
+            if a[1] in taken:
+                continue
+            group, samples = [a], {a[2]}
+            for b in own[k + 1 :]:
+                if b[1] not in taken and b[2] not in samples and b[3] - a[3] <= 10 and abs(b[4] - a[4]) <= 10 and 2 * abs(a[5] - b[5]) <= 0.01 * (a[5] + b[5]):
+                    group.append(b)
+                    samples.add(b[2])
+                    taken.add(b[1])
+            best = group[0]
+            for b in group[1:]:
+                best = b if (b[6], b[7]) > (best[6], best[7]) else best
+            want |= {b[1]: best[1] for b in group}
+    df = spark.createDataFrame(rows, "pool long, id long, sample long, start long, end long, size long, reads long, contig_length long")
+    assert {x["id"]: x["merged_id"] for x in pools.merge_close(df).collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_a_pool_of_many_members_streams(spark):
+    """30,000 members of one pool, all at one place, of as many samples: one group."""
+    df = spark.range(30_000).selectExpr("0L AS pool", "id", "id AS sample", "id % 3 AS start", "500L AS end", "100L AS size", "id % 7 AS reads", "0L AS contig_length")
+    assert pools.merge_close(df).select("merged_id").distinct().count() == 1
