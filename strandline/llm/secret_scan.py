@@ -1,14 +1,16 @@
 """Secret scans with one deterministic automaton for all rules.
 
-The rules' regular expressions (bytes; literals, classes, groups, |, ?, *, +, {m,}) become one nondeterministic automaton that may
-start anywhere; subset construction makes it deterministic over classes of bytes, and partition refinement minimises it. Its
-transition array and the rules that each state accepts are built once and sent to the workers. A text is read once, byte by
-byte, for all rules together. The automaton is a prefilter: a rule that it accepts somewhere in a text is matched there by ``re``
-over the whole text, for exact spans; for all other rules (and nearly all texts) the one pass is all.
-
-Two kinds of spans are returned. Base spans are the leftmost matches, not overlapping within a rule, of its plain form, without
+A rule is a short ``seek`` (which tells it from other text) and a ``rest``, both regular expressions over bytes (literals, classes,
+groups, |, ?, *, +, {m}, {m,}). The seeks of all rules become one nondeterministic automaton that may start anywhere; subset
+construction makes it deterministic over classes of bytes, and partition refinement minimises it. A text is read once, byte by byte,
+for all rules together. Where the automaton accepts, a rule's reversed seek, made deterministic in the same way, leads back to
+the start, and its rest leads on to the end of the longest match: all spans come from transition arrays. Long repetitions stand
+in the rests, so that the counters of different rules don't multiply in the one automaton. Seeks of one rule must not nest: those that
+end first start first. All arrays are built once and sent to the workers.
+
+Two kinds of spans are returned. Base spans are the leftmost matches, not overlapping within a rule, of its loose form, without
 those that are too short; the spans that the automaton adds are matches of the strict form elsewhere (such as a secret behind
-a short value that the plain form had swallowed) and of the rules that have no plain form: public token formats, and private
+a short value that the loose form had swallowed) and of the rules that have no base spans: public token formats, and private
 keys from the first line to the last (the first line alone where the last is missing). All steps are linear in the text.
 
 Defined cases: a null text counts as empty; repeated rows get equal results; an empty table gives an empty table; extra columns
@@ -32,17 +34,22 @@ from .common import bytes_of
 
 @dataclass(frozen=True)
 class Rule:
-    """``strict`` is what added spans match. With ``plain``, base spans are its matches with ``least`` characters in ``group``.
+    """A match is ``seek`` followed by ``rest``, not behind a byte of the class ``behind``.
 
-    The automaton looks for ``seek``, which each strict match begins with, or else for ``strict`` itself.
+    Only a ``base`` rule has base spans: matches of ``seek`` and ``loose`` (``rest``, where there is none) that ``rest`` matches as well.
     """
 
     kind: str
-    strict: str
-    plain: str | None = None
-    group: int = 0
-    least: int = 0
-    seek: str | None = None
+    seek: str
+    rest: str
+    base: bool = False
+    loose: str | None = None
+    behind: str = ""
+
+    @property
+    def strict(self) -> str:
+        """The whole rule as one expression."""
+        return (f"(?<![{self.behind}])" if self.behind else "") + f"(?:{self.seek})(?:{self.rest})"
 
 
 def either_case(word: str) -> str:
@@ -50,20 +57,21 @@ def either_case(word: str) -> str:
 
 
 _KEYWORD = "(" + "|".join([*map(either_case, ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")]) + ")"
-_ASSIGN = _KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]"""
-_PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_VALUE = "[A-Za-z0-9+/_.=-]"
+_URL64 = "[A-Za-z0-9_-]"
+_INSIDE = r"[\x09-\x0D\x20A-Za-z0-9+/=:,]"
 RULES = (
-    Rule("assign", _ASSIGN + "{6,})", _ASSIGN + "+)", group=2, least=6),
-    Rule("access", "AKIA[A-Z0-9]{16,}", "AKIA[A-Z0-9]+", least=20),
-    Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]+", least=24),
-    Rule("pem", _PEM + r"(?:(?:[\x09-\x0D\x20A-Za-z0-9+/=:,]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----)?", seek=_PEM),
+    Rule("assign", _KEYWORD + r"""["']?\x20*[:=]\x20*["']?""" + _VALUE, _VALUE + "{5,}", base=True, loose=_VALUE + "*"),
+    Rule("access", "AKIA", "[A-Z0-9]{16,}", base=True),
+    Rule("hex", "[0-9a-f]{24}", "[0-9a-f]*", base=True),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", f"((-?-?-?-?{_INSIDE})*-----END [A-Z ]*PRIVATE KEY-----)?"),
     # public formats of service tokens (fixed values)
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", seek="gh[pousr]_[A-Za-z0-9]"),
-    Rule("github_fine", "github_pat_[A-Za-z0-9_]{22,}", seek="github_pat_"),
-    Rule("slack", "xox[abeoprs]-[A-Za-z0-9-]{10,}", seek="xox[abeoprs]-"),
-    Rule("google", "AIza[A-Za-z0-9_-]{35}", seek="AIza"),
-    Rule("stripe", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", seek="[rs]k_(live|test)_"),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", seek=r"eyJ[A-Za-z0-9_-]+\.eyJ"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]", "[A-Za-z0-9]{35,}"),
+    Rule("github_fine", "github_pat_", "[A-Za-z0-9_]{22,}"),
+    Rule("slack", "xox[abeoprs]-", "[A-Za-z0-9-]{10,}"),
+    Rule("google", "AIza", _URL64 + "{35}"),
+    Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]{16,}"),
+    Rule("jwt", "eyJ", rf"{_URL64}+\.eyJ{_URL64}+\.{_URL64}+", behind=_URL64[1:-1]),
 )
 
 
@@ -129,9 +137,9 @@ class _Nfa:
         if c and c in "?*+":
             self.at += 1
             return {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
-        if m := re.compile(r"\{(\d+),\}").match(self.left, self.at):
+        if m := re.compile(r"\{(\d+)(,?)\}").match(self.left, self.at):
             self.at = m.end()
-            return int(m[1]), None
+            return int(m[1]), None if m[2] else int(m[1])
         return 1, 1
 
     def _atom(self) -> tuple[int, int]:
@@ -169,6 +177,18 @@ class _Nfa:
         self.at += 1
         return frozenset(found)
 
+    def reversed(self) -> _Nfa:
+        """The same states, all moves turned round (each state is the target of one move at most)."""
+        out = _Nfa()
+        for _ in self.free:
+            out.state()
+        for a, (free, move) in enumerate(zip(self.free, self.moves)):
+            for b in free:
+                out.free[b].append(a)
+            if move:
+                out.moves[move[1]] = (move[0], a)
+        return out
+
     def closure(self, states: frozenset[int]) -> frozenset[int]:
         found, left = set(states), list(states)
         while left:
@@ -181,13 +201,18 @@ class _Nfa:
 
 @dataclass(frozen=True)
 class Automaton:
-    """next[state * classes + class_of[byte]] is the next state times ``classes``; states from ``accepting`` on accept."""
+    """next[state * classes + class_of[byte]] is the next state times ``classes``; states from ``accepting`` on accept.
+
+    ``start`` and ``dead`` are states times ``classes``; nothing that goes through ``dead`` is accepted (-1: there is no such state).
+    """
 
     class_of: bytes
     classes: int
     next: tuple[int, ...]
     accepting: int
     accepts: tuple[int, ...]
+    start: int
+    dead: int
 
 
 def _minimal(table: np.ndarray, accepts: np.ndarray) -> np.ndarray:
@@ -203,11 +228,16 @@ def _minimal(table: np.ndarray, accepts: np.ndarray) -> np.ndarray:
         count = block.max() + 1
 
 
-@lru_cache(maxsize=4)
-def automaton(patterns: tuple[str, ...]) -> Automaton:
-    """One minimal deterministic automaton; state s accepts pattern i if a match of it ends here."""
+@lru_cache(maxsize=64)
+def automaton(patterns: tuple[str, ...], anywhere: bool = True, back: bool = False) -> Automaton:
+    """One minimal deterministic automaton; state s accepts pattern i if a match of it ends here.
+
+    Matches start ``anywhere`` or only at the first byte; with ``back`` it reads bytes from the last of a match to the first.
+    """
     nfa = _Nfa()
     ends = [nfa.compile(p) for p in patterns]
+    if back:
+        nfa, ends = nfa.reversed(), [(b, a) for a, b in ends]
     sets = {m[0] for m in nfa.moves if m}
     member = np.array([[b in s for s in sets] for b in range(256)])
     _, first, class_of = np.unique(member, axis=0, return_index=True, return_inverse=True)
@@ -228,7 +258,7 @@ def automaton(patterns: tuple[str, ...]) -> Automaton:
     start = bits(begin)
     number, todo, rows, accepts = {start: 0}, [start], [], []
     while len(rows) < len(todo):
-        states, row, accepted = todo[len(rows)], [start] * len(first), 0
+        states, row, accepted = todo[len(rows)], [start if anywhere else 0] * len(first), 0
         while states:
             s = (states & -states).bit_length() - 1
             states &= states - 1
@@ -244,20 +274,22 @@ def automaton(patterns: tuple[str, ...]) -> Automaton:
     table, accepted = np.array(rows), np.array(accepts)
     block = _minimal(table, accepted)
     _, pick = np.unique(block, return_index=True)
-    order = np.lexsort((pick, accepted[pick] > 0))  # accepting states last, otherwise as found: the first state stays 0
+    order = np.lexsort((pick, accepted[pick] > 0))  # accepting states last, otherwise as found
     place = np.empty(len(pick), np.int64)
     place[order] = np.arange(len(pick))
     small = place[block[table[pick[order]]]]
-    if place[block[0]] != 0:
-        raise AssertionError("the start state is not the first")
     classes = len(first)
     rules = accepted[pick[order]]
-    return Automaton(bytes(class_of.astype(np.uint8)), classes, tuple((small * classes).ravel().tolist()), int((rules == 0).sum()), tuple(rules.tolist()))
+    dead = np.flatnonzero((small == np.arange(len(small))[:, None]).all(axis=1) & (rules == 0))
+    return Automaton(
+        bytes(class_of.astype(np.uint8)), classes, tuple((small * classes).ravel().tolist()), int((rules == 0).sum()), tuple(rules.tolist()),
+        int(place[block[0]]) * classes, int(dead[0]) * classes if len(dead) else -1,
+    )
 
 
 def accepted_rules(data: bytes, dfa: Automaton) -> int:
-    """The rules (as bits) that match somewhere, from one pass over the bytes."""
-    found, state, step, least = 0, 0, dfa.next, dfa.accepting * dfa.classes
+    """The rules (as bits) whose seeks match somewhere, from one pass over the bytes."""
+    found, state, step, least = 0, dfa.start, dfa.next, dfa.accepting * dfa.classes
     for c in data.translate(dfa.class_of):
         state = step[state + c]
         if state >= least:
@@ -265,39 +297,103 @@ def accepted_rules(data: bytes, dfa: Automaton) -> int:
     return found
 
 
-def sought(rules: tuple[Rule, ...]) -> tuple[str, ...]:
-    return tuple(r.seek or r.strict for r in rules)
+def longest(data: bytes, at: int, dfa: Automaton) -> int:
+    """Where the longest match that starts at ``at`` ends; -1 without one."""
+    state, step, class_of, dead, least = dfa.start, dfa.next, dfa.class_of, dfa.dead, dfa.accepting * dfa.classes
+    end = at if state >= least else -1
+    for at in range(at, len(data)):
+        state = step[state + class_of[data[at]]]
+        if state == dead:
+            break
+        if state >= least:
+            end = at + 1
+    return end
+
+
+def leftmost(data: bytes, end: int, dfa: Automaton, behind: frozenset[int]) -> int:
+    """Where the first match that ends at ``end`` starts, not behind a byte of ``behind``; -1 without one. ``dfa`` reads backwards."""
+    state, step, class_of, dead, least = dfa.start, dfa.next, dfa.class_of, dfa.dead, dfa.accepting * dfa.classes
+    start = -1
+    for at in range(end - 1, -1, -1):
+        state = step[state + class_of[data[at]]]
+        if state == dead:
+            break
+        if state >= least and not (at and data[at - 1] in behind):
+            start = at
+    return start
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The one automaton of all seeks; by rule, the reversed seek, the rest, the loose rest and the bytes of ``behind``."""
+
+    dfa: Automaton
+    back: tuple[Automaton, ...]
+    rest: tuple[Automaton, ...]
+    loose: tuple[Automaton | None, ...]
+    behind: tuple[frozenset[int], ...]
+
+
+@lru_cache(maxsize=4)
+def tables(rules: tuple[Rule, ...]) -> Tables:
+    def ahead(pattern: str) -> Automaton:
+        return automaton((pattern,), anywhere=False)
+
+    def members(inside: str) -> frozenset[int]:
+        nfa = _Nfa()
+        nfa.compile(f"[{inside}]" if inside else "")
+        return frozenset().union(*(m[0] for m in nfa.moves if m))
+
+    return Tables(
+        automaton(tuple(r.seek for r in rules)), tuple(automaton((r.seek,), anywhere=False, back=True) for r in rules), tuple(ahead(r.rest) for r in rules),
+        tuple(ahead(r.loose or r.rest) if r.base else None for r in rules), tuple(members(r.behind) for r in rules),
+    )
 
 
 class Scanner:
-    def __init__(self, rules: tuple[Rule, ...] = RULES, dfa: Automaton | None = None):
+    def __init__(self, rules: tuple[Rule, ...] = RULES, made: Tables | None = None):
         self.rules = rules
-        self.dfa = dfa or automaton(sought(rules))
-        self.strict = [re.compile(r.strict.encode()) for r in rules]
-        self.plain = [r.plain and re.compile(r.plain.encode()) for r in rules]
+        self.made = made or tables(rules)
+        self.dfa = self.made.dfa
+        self.at = {s * self.dfa.classes: [k for k in range(len(rules)) if bits >> k & 1] for s, bits in enumerate(self.dfa.accepts) if bits}
 
     def spans(self, text: str | None) -> list[tuple[int, int, int, bool]]:
         """(rule number, start, end, base), by start, then rule."""
         data = bytes_of(text)
-        bits = accepted_rules(data, self.dfa)
-        if not bits:
-            return []
-        out = []
-        for k, rule in enumerate(self.rules):
-            if not bits >> k & 1:
+        base: list[list[tuple[int, int]]] = [[] for _ in self.rules]
+        strict: list[list[tuple[int, int]]] = [[] for _ in self.rules]
+        base_done, done = [0 if m else len(data) for m in self.made.loose], [0] * len(self.rules)  # no match starts before
+        state, step, least = self.dfa.start, self.dfa.next, self.dfa.accepting * self.dfa.classes
+        for here, c in enumerate(data.translate(self.dfa.class_of), 1):
+            state = step[state + c]
+            if state < least:
                 continue
-            base = [m.span() for m in self.plain[k].finditer(data) if m.end(rule.group) - m.start(rule.group) >= rule.least] if self.plain[k] else []
-            out += [(k, a, b, True) for a, b in base]
-            at = 0  # both lists ascend and neither overlaps itself: they are merged
-            for m in self.strict[k].finditer(data):
-                a, b = m.span()
-                while at < len(base) and base[at][1] <= a:
+            for k in self.at[state]:
+                if here <= done[k] and here <= base_done[k]:
+                    continue
+                start = leftmost(data, here, self.made.back[k], self.made.behind[k])
+                if start < 0 or (start < done[k] and start < base_done[k]):
+                    continue
+                end = longest(data, here, self.made.rest[k])
+                if start >= base_done[k] and (loose := longest(data, here, self.made.loose[k])) >= 0:
+                    base_done[k] = loose
+                    if end >= 0:
+                        base[k].append((start, loose))
+                if start >= done[k] and end >= 0:
+                    done[k] = end
+                    strict[k].append((start, end))
+        out = []
+        for k, found in enumerate(strict):
+            own, at = base[k], 0
+            out += [(k, a, b, True) for a, b in own]
+            for a, b in found:  # both lists ascend and neither overlaps itself: they are merged
+                while at < len(own) and own[at][1] <= a:
                     at += 1
-                if at == len(base) or base[at][0] >= b:
+                if at == len(own) or own[at][0] >= b:
                     out.append((k, a, b, False))
-        if len(data) != len(text or ""):  # bytes to code points: how many begin before
+        if out and len(data) != len(text or ""):  # bytes to code points: how many begin before
             before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-            out = [(k, int(before[a]), int(before[b]), base) for k, a, b, base in out]
+            out = [(k, int(before[a]), int(before[b]), is_base) for k, a, b, is_base in out]
         return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
@@ -307,10 +403,10 @@ _SPAN = pa.struct([("rule", pa.int32()), ("start", pa.int64()), ("end", pa.int64
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and secrets, an array of struct<rule, start, end, base> with rule numbers from 0."""
-    dfa = docs.sparkSession.sparkContext.broadcast(automaton(sought(rules)))  # as large as the rules make it
+    made = docs.sparkSession.sparkContext.broadcast(tables(rules))  # as large as the rules make it
 
     def find(texts: pa.Array) -> pa.Array:
-        scanner = Scanner(rules, dfa.value)
+        scanner = Scanner(rules, made.value)
         found = [[dict(zip(("rule", "start", "end", "base"), s)) for s in scanner.spans(t.as_py())] for t in texts]
         return pa.array(found, pa.list_(_SPAN))
 
@@ -329,5 +425,5 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     def count(k: int):
         return F.size(F.filter(base, lambda s: s["rule"] == k)).cast("long").alias(f"n_{rules[k].kind}")
 
-    counts = [count(k) for k, r in enumerate(rules) if r.plain]
+    counts = [count(k) for k, r in enumerate(rules) if r.base]
     return found.select(id_col, *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))
