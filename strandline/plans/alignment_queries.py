@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar, variants
-from ..operators import cluster, evidence, pools
+from ..operators import cluster, evidence, pools, trim
 from .views import view, with_recursive, with_views
 
 
@@ -65,6 +65,24 @@ def split_segments(spark: SparkSession, d: str) -> DataFrame:
     return evidence.split_segments(tags)
 
 
+def breakpoint_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of reads around the breakpoints that the reads themselves show: each junction and each deletion, off by a few bases."""
+    segments = view(spark, d, "v_segment")
+    off = F.col("qname") % 23 - 11
+    kept = [F.col(c) for c in ("chrom1", "start1", "end1", "dir1", "chrom2", "start2", "end2", "dir2")]
+    split = evidence.junctions(segments.withColumn("mapq", F.lit(60)))
+    for i in (1, 2):
+        split = split.withColumns({f"start{i}": F.col(f"pos{i}") + off * i, f"end{i}": F.col(f"pos{i}") + off * i + 3})
+    split = split.select((F.col("qname") * 16 + F.col("seg")).alias("cluster"), *kept)
+    before = F.col("start") + F.col("until") - 1 + off
+    gaps = segments.select(
+        (F.col("qname") * 16 + F.col("seg") + 8).alias("cluster"), F.col("chrom").alias("chrom1"), before.alias("start1"), (before + 1).alias("end1"), F.lit(0).alias("dir1"),
+        F.col("chrom").alias("chrom2"), (before + F.col("gone")).alias("start2"), (before + F.col("gone") + 1).alias("end2"), F.lit(1).alias("dir2"),
+    )
+    found = trim.ordered_breakpoint_reads(trim.breakpoint_ranges(segments, split.unionByName(gaps)))
+    return found.select("cluster", "qname", "seg", "first", "last", F.col("clip").cast("long").alias("clip"), "rank")
+
+
 def read_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return evidence.read_neighbours(view(spark, d, "v_bpo").select("qname", "obs", F.col("start1").alias("read_pos")))
 
@@ -201,6 +219,20 @@ ORACLES = {
     "sam_bins": with_views("v_read", body='SELECT qname, seg, CASE WHEN start >> 14 = ("end" - 1) >> 14 THEN 4681 + (start >> 14) WHEN start >> 17 = ("end" - 1) >> 17 THEN 585 + (start >> 17) WHEN start >> 20 = ("end" - 1) >> 20 THEN 73 + (start >> 20) WHEN start >> 23 = ("end" - 1) >> 23 THEN 9 + (start >> 23) WHEN start >> 26 = ("end" - 1) >> 26 THEN 1 + (start >> 26) ELSE 0 END AS sam_bin, CASE WHEN strand = 1 THEN 199 - start % 200 ELSE start % 200 END AS sequencing_pos FROM v_read'),
     "usable_reads": with_views("v_read", body="SELECT qname, seg FROM v_read WHERE (flag & 1796) = 0 AND mapq >= 5"),
     "split_junctions": with_views("v_read", body=', p AS (SELECT *, lead(chrom) OVER w AS c2, lead(start) OVER w AS s2, lead("end") OVER w AS e2, lead(strand) OVER w AS t2, lead(mapq) OVER w AS m2 FROM v_read WINDOW w AS (PARTITION BY qname ORDER BY seg, chrom, start, "end", strand, mapq)) SELECT qname, seg, chrom AS chrom1, CASE WHEN strand = 0 THEN "end" - 1 ELSE start - 1 END AS pos1, CASE WHEN strand = 0 THEN 0 ELSE 1 END AS dir1, c2 AS chrom2, CASE WHEN t2 = 0 THEN s2 - 1 ELSE e2 - 1 END AS pos2, CASE WHEN t2 = 0 THEN 1 ELSE 0 END AS dir2 FROM p WHERE c2 IS NOT NULL AND mapq >= 5 AND m2 >= 5'),
+    "breakpoint_reads": with_views("v_segment", body=""",
+        w AS (SELECT *, lag(chrom) OVER w AS c0, lag(start) OVER w AS s0, lag("end") OVER w AS e0, lag(read_end) OVER w AS r0, lead(chrom) OVER w AS c2, lead(start) OVER w AS s2, lead("end") OVER w AS e2, lead(strand) OVER w AS t2, lead(read_start) OVER w AS r2
+          FROM v_segment WINDOW w AS (PARTITION BY qname ORDER BY seg, chrom, start, "end", strand, read_start, read_end)),
+        j AS (SELECT qname * 16 + seg AS cluster, chrom AS chrom1, CASE WHEN strand = 0 THEN "end" - 1 ELSE start - 1 END + qname % 23 - 11 AS start1, 3 AS n, strand AS dir1, c2 AS chrom2, CASE WHEN t2 = 0 THEN s2 - 1 ELSE e2 - 1 END + 2 * (qname % 23 - 11) AS start2, 1 - t2 AS dir2 FROM w WHERE c2 IS NOT NULL
+          UNION ALL SELECT qname * 16 + seg + 8, chrom, start + until - 1 + qname % 23 - 11, 1, 0, chrom, start + until - 1 + qname % 23 - 11 + gone, 1 FROM v_segment),
+        m AS (SELECT j.*, w.*, start1 + n AS end1, start2 - start1 AS size, least(100, CAST(floor((start2 - start1) / 2) AS BIGINT)) AS slack, start + until AS p, (dir1 = 0) <> (strand = 1) AS later FROM j JOIN w ON chrom1 = chrom AND start1 - 10 < "end" AND start < start1 + n + 10),
+        a AS (SELECT *, CASE WHEN dir1 = 0 AND dir2 = 1 AND chrom1 = chrom2 AND greatest(p - end1, start1 - p - 1, 0) <= slack AND abs(gone - size) <= slack THEN until - 1 END AS gap,
+          CASE WHEN abs(CASE WHEN dir1 = 0 THEN "end" - 1 ELSE start END - start1) <= 200 AND CASE WHEN later THEN c2 ELSE c0 END = chrom2
+            AND abs(CASE WHEN dir2 = 0 THEN CASE WHEN later THEN e2 ELSE e0 END - 1 ELSE CASE WHEN later THEN s2 ELSE s0 END END - start2) <= 200 THEN CASE WHEN later THEN r2 - 1 ELSE r0 END END AS crossed FROM m),
+        k AS (SELECT *, coalesce(gap, CASE WHEN strand = 1 THEN read_length - crossed - 2 ELSE crossed END) AS x FROM a),
+        f AS (SELECT *, greatest(0, x - 300) AS first, least(read_length, x + 301) AS last FROM k WHERE x IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY cluster, qname ORDER BY last - first DESC, is_primary DESC, start, seg, strand, x) AS i, CASE WHEN x + 301 > read_length THEN 1 ELSE 0 END AS r, CASE WHEN x < 300 THEN 1 ELSE 0 END AS l FROM f WHERE last > first),
+        u AS (SELECT *, l - r AS clip FROM o WHERE i = 1)
+        SELECT cluster, qname, seg, first, last, CAST(clip AS BIGINT) AS clip, row_number() OVER (PARTITION BY cluster ORDER BY clip, CASE WHEN clip <> 0 THEN first - last ELSE 0 END, qname) - 1 AS rank FROM u"""),
     "read_neighbours": with_views("v_bpo", body="SELECT qname, obs, lag(obs) OVER w AS before, lead(obs) OVER w AS after FROM v_bpo WINDOW w AS (PARTITION BY qname ORDER BY start1, obs)"),
     "breakpoint_distance": with_views("v_bpo", body=', m AS (SELECT *, inserted * 9 - 100 AS m1, inserted * 9 - 100 + evidence * 30 AS m2 FROM v_bpo), g AS (SELECT obs, dir1 = dir2 AS same, greatest(abs(m1) - 1, 0) AS d1, greatest(abs(m2) - 1, 0) AS d2, (m1 + 1 >= 0) = (m2 + 1 >= 0) AS way FROM m) SELECT obs, CASE WHEN same <> way THEN greatest(d1, d2) ELSE d1 + d2 END AS distance FROM g'),
     "evidence_counts": with_views("v_bpo", body=", m AS (SELECT start2 AS cluster, evidence, CASE WHEN obs % 5 <> 0 THEN qname END AS qname FROM v_bpo), u AS (SELECT cluster, min(evidence) AS evidence FROM m WHERE qname IS NOT NULL GROUP BY cluster, qname UNION ALL SELECT cluster, evidence FROM m WHERE qname IS NULL) SELECT cluster, evidence, count(*) AS n FROM u GROUP BY ALL"),
@@ -241,7 +273,7 @@ ORACLES = {
     "cluster_groups": with_views("v_bpo", body="SELECT start1 AS cluster, count(DISTINCT evidence) AS haplotypes, string_agg(CAST(obs AS VARCHAR), ',' ORDER BY obs) AS members FROM v_bpo GROUP BY start1"),
 }
 QUERIES = {f.__name__: f for f in (
-    cigar_offsets, gap_identity, rendered_runs, covered_segments, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, read_neighbours, breakpoint_distance,
+    cigar_offsets, gap_identity, rendered_runs, covered_segments, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, breakpoint_reads, read_neighbours, breakpoint_distance,
     breakpoint_clusters, evidence_counts, assembly_regions, consolidated_regions, standard_breakpoints, breakpoint_types, breakpoint_sizes, neighbour_pairs, large_insertions, insertions_off_indels,
     redundant_duplications, candidate_pools, merged_duplicates, close_duplicates, merge_stats, remapped_links, cluster_groups,
 )}

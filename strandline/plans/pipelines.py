@@ -145,13 +145,34 @@ def refine(reads: DataFrame, clusters: DataFrame, regions: DataFrame, reference:
     return {"contigs": contigs, "candidates": candidates, "redundant": cluster.redundant_duplications(dups, inserted).withColumnRenamed("id", "cluster")}
 
 
+def split_reads(reads: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Reads that show a two-region cluster of their sample, turned to its first end and in order: (sample, cluster, rank, qname, clip, seq, prefix, suffix).
+
+    A read's bases are its longest sequence, so that hard-clipped segments lack nothing.
+    """
+    read, runs, reverse = F.struct("sample", F.col("qname").cast("string").alias("qname")).alias("qname"), cigar.parse(F.col("cigar")), F.col("strand") == 1
+    known = reads.filter("cigar is not null")
+    left, right, length = cigar.leading_clip(runs), cigar.trailing_clip(runs), cigar.clipped_read_length(runs)
+    segments = known.select(
+        read, "seg", _coded("sample", "chrom").alias("chrom"), "start", "end", "strand", F.when(reverse, right).otherwise(left).alias("read_start"),
+        (length - F.when(reverse, left).otherwise(right)).alias("read_end"), length.alias("read_length"), "cigar", (F.col("flag").bitwiseAND(0x800) == 0).alias("is_primary"),
+    )
+    breaks = clusters.filter("region_count = 2").select("cluster", *[(_coded("sample", f"chrom{i}").alias(f"chrom{i}") if c == "chrom" else F.col(f"{c}{i}")) for i in (1, 2) for c in ("chrom", "start", "end", "dir")])
+    hits = settle(trim.ordered_breakpoint_reads(trim.breakpoint_ranges(segments, breaks)))
+    turned = F.when(reverse, variants.rev_comp("seq")).otherwise(F.col("seq"))
+    own = known.filter("seq is not null").select(read, turned.alias("seq")).join(hits.select("qname").distinct(), "qname", "left_semi")
+    bases = own.groupBy("qname").agg(F.max_by("seq", F.struct(F.length("seq"), "seq")).alias("seq"))
+    found = trim.cut_pieces(hits, bases)
+    return found.select(F.col("qname.sample").alias("sample"), "cluster", "rank", F.col("qname.qname").alias("qname"), "clip", "seq", "prefix", "suffix")
+
+
 def discover(reads: DataFrame, content: DataFrame | None = None, excluded: DataFrame | None = None, settings: DiscoverSettings = DiscoverSettings(), expected: DataFrame | None = None, sequences: DataFrame | None = None, reference: DataFrame | None = None) -> dict[str, DataFrame]:
     """reads (sample, qname, seg, chrom, start, end, strand, mapq, flag, cigar or null, and seq, if they are to be assembled); content
     (chrom, bin, gc, at), or sequences (chrom, seq) that it is counted from; excluded and expected (chrom, start, end; value)
     regions; reference chunks (chrom, start, seq).
 
     Tables: settings, depth, max_depth, clusters, regions, neighbours, evidence, insertions; with copy numbers cells, segments, haploid; with
-    reference and seq contigs, candidates.
+    reference and seq contigs, candidates, split_reads.
     """
     used = usable_reads(reads, settings)
     size = settings.bin_size
@@ -180,7 +201,7 @@ def discover(reads: DataFrame, content: DataFrame | None = None, excluded: DataF
     if reference is not None and "seq" in reads.columns:
         refined = refine(used, clusters, out["regions"], reference, settings)
         clusters = settle(clusters.join(refined.pop("redundant"), "cluster", "left_anti"))
-        out |= refined
+        out |= refined | {"split_reads": split_reads(used, clusters)}
     # a read may show what its sample has too little evidence of for a cluster
     out["evidence"] = seen.withColumn("qname", F.xxhash64("qname")).select(*[c for c in OBSERVATION if c != "evidence"])
     return out | {"clusters": clusters}

@@ -39,6 +39,11 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "evidence": big("event_id % 3"), "inserted": big("event_id % 25"), "qname": div("event_id", 4),
     }),
     "v_cigar": ("lineitem", {"qname": big("l_orderkey * 8 + l_linenumber"), "chrom": big("l_suppkey % 24"), "pos": READ_START, "cigar": CIGAR}),
+    "v_segment": ("lineitem", {
+        "qname": big("l_orderkey"), "seg": big("l_linenumber"), "chrom": big("l_suppkey % 24"), "start": READ_START, "end": f"{READ_START} + 3 * {Q} + l_linenumber + l_partkey % 50 + 1",
+        "strand": big("l_partkey % 2"), "read_start": big("l_linenumber * 400"), "read_end": f"l_linenumber * 400 + 3 * {Q}", "read_length": big("3600"), "cigar": CIGAR,
+        "is_primary": "l_linenumber = 1", "gone": big("l_partkey % 50 + 1"), "until": f"{Q} + l_linenumber",
+    }),
     "v_sv": ("part", {
         "sv": big("p_partkey"), "kind": "CASE WHEN p_partkey % 2 = 0 THEN 'DEL' ELSE 'DUP' END", "chrom": big("p_partkey % 24"),
         "start": big("(p_partkey * 7919) % 1000000"), "end": big("(p_partkey * 7919) % 1000000 + 9000 + p_size * 2000"), "quality": big("p_partkey % 60"),

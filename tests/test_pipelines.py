@@ -232,5 +232,26 @@ def test_refined_contigs(spark):
     (more,) = [c for c in candidates if c["inserted"]]
     assert len(more["inserted"]) == 150 and abs(more["start"] - 6999) <= more["homology"]
     assert not [k for k in kinds if k[:2] == (1, 0)]  # the duplication went
+    assert found["split_reads"].count() == 0  # no cluster of two regions
     plain = pipelines.discover(reads.drop("seq"), settings=replace(QUICK, cluster_distance=100))
     assert "candidates" not in plain and [c for c in plain["clusters"].collect() if (c["dir1"], c["dir2"]) == (1, 0)]
+
+
+def test_split_reads_of_two_regions(spark):
+    """Reads of two samples join one chromosome's start to another's end; each sample's reads go to its own cluster."""
+    r = random.Random(12)
+    left, right = ("".join(r.choice("ACGT") for _ in range(6000)) for _ in range(2))
+    rows, joined = [], {}
+    for sample in (0, 1):
+        for i, (a, b) in enumerate([(500, 600), (400, 200), (100 + sample, 700)]):
+            seq, strand = left[2000 - a : 2000] + right[3000 : 3000 + b], (i + sample) % 2
+            joined[sample, f"q{i}"] = seq
+            one = (1, 2000 - a, 2000, strand, 60, 0, f"{a}={b}S", seq)
+            two = (2, 3000, 3000 + b, strand, 60, 0x800, f"{a}H{b}=", seq[a:])  # hard-clipped: its bases are not whole
+            rows += [(sample, f"q{i}", k, *x) for k, x in enumerate((two, one) if strand else (one, two))]
+    reads = spark.createDataFrame(rows, READS + ", seq string")
+    clusters = spark.createDataFrame([(s, 10 + s, 2, 1, 1998, 2001, 0, 2, 2998, 3001, 1) for s in (0, 1)] + [(0, 12, 1, 1, 1998, 2001, 0, 2, 2998, 3001, 1)], "sample long, cluster long, region_count int, chrom1 long, start1 long, end1 long, dir1 int, chrom2 long, start2 long, end2 long, dir2 int")
+    found = pipelines.split_reads(reads, clusters).collect()
+    assert {(x["sample"], x["cluster"], x["qname"]) for x in found} == {(s, 10 + s, q) for s, q in joined} and len(found) == 6
+    assert all(x["prefix"] + x["seq"] + x["suffix"] == joined[x["sample"], x["qname"]] for x in found)
+    assert [x["qname"] for x in sorted(found, key=lambda x: (x["cluster"], x["rank"]))] == ["q1", "q0", "q2"] * 2

@@ -70,3 +70,60 @@ def test_insertion_read_order(spark):
     rows = [(1, 0, 1, "AC"), (1, 1, 0, "ACGT"), (1, 2, -1, "A"), (1, 3, 1, "ACG"), (1, 4, -1, "ACC"), (1, 5, 0, "A"), (1, 6, 1, "AG")]
     found = trim.insertion_read_order(spark.createDataFrame(rows, "cluster long, place long, clip long, seq string"))
     assert [r["place"] for r in found.orderBy("rank").collect()] == [4, 2, 1, 5, 3, 0, 6]
+
+
+def _segments(spark, rows):
+    return spark.createDataFrame(rows, "qname string, seg long, chrom long, start long, end long, strand long, read_start long, read_end long, read_length long, cigar string, is_primary boolean")
+
+
+BREAKS = "cluster long, chrom1 long, start1 long, end1 long, dir1 long, chrom2 long, start2 long, end2 long, dir2 long"
+
+
+def test_reads_of_a_translocation_come_out_in_order(spark):
+    """One chromosome runs up to 1000, then on from 5000 of another; reads of both strands cross the break at different places."""
+    r = random.Random(3)
+    left, right = ("".join(r.choice("ACGT") for _ in range(8000)) for _ in range(2))
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows, bases, joined = [], [], {}
+    for name, before, after, reverse in [("even", 600, 700, False), ("turned", 500, 500, True), ("short", 400, 100, False), ("shorter", 400, 60, True), ("late", 90, 500, False), ("later", 200, 400, True)]:
+        seq = left[1000 - before : 1000] + right[5000 : 5000 + after]
+        joined[name] = seq
+        n = before + after
+        strand = int(reverse)
+        one = (0, 1000 - before, 1000, strand, *((after, n) if reverse else (0, before)), n, f"{before}={after}S", True)
+        two = (1, 5000, 5000 + after, strand, *((0, after) if reverse else (before, n)), n, f"{before}H{after}=", False)
+        rows += [(name, i, *x) for i, x in enumerate((two, one) if reverse else (one, two))]
+        bases.append((name, turned(seq) if reverse else seq))
+    far = [("far", 0, 0, 400, 700, 0, 0, 300, 600, None, True), ("far", 1, 1, 5000, 5300, 0, 300, 600, 600, None, False)]
+    lone = [("lone", 0, 0, 800, 1000, 0, 0, 200, 200, "200=", True), ("no bases", 0, 0, 700, 1000, 0, 0, 300, 600, None, True), ("no bases", 1, 1, 5000, 5300, 0, 300, 600, 600, None, False)]
+    segments = _segments(spark, rows + far + lone)
+    breaks = spark.createDataFrame([(1, 0, 998, 1003, 0, 1, 4999, 5004, 1), (2, 0, 998, 1003, 0, None, None, None, None), (3, 0, 998, 1003, 1, 1, 4999, 5004, 1), (4, 0, 998, 1003, 0, 2, 4999, 5004, 1)], BREAKS)
+    found = trim.breakpoint_reads(segments, spark.createDataFrame(bases, "qname string, seq string"), breaks).orderBy("rank").collect()
+    assert {x["cluster"] for x in found} == {1} and sorted(x["qname"] for x in found) == sorted(joined)
+    for x in found:
+        assert x["prefix"] + x["seq"] + x["suffix"] == joined[x["qname"]]  # all turned as the first end's reference is
+        assert left[990:1000] + right[5000:5010] in x["seq"]
+    order = [(x["qname"], x["clip"]) for x in found]
+    assert order == [("short", -1), ("shorter", -1), ("even", 0), ("turned", 0), ("later", 1), ("late", 1)]
+    ranks = {x["qname"]: x["rank"] for x in trim.ordered_breakpoint_reads(trim.breakpoint_ranges(segments, breaks)).collect()}
+    assert ranks["no bases"] == 4  # the piece is base ``at`` with 300 on both sides: with 299 before it, the longest of those cut on the left
+
+
+def test_deletions_within_alignments_come_first(spark):
+    rows = [
+        ("inside", 0, 0, 1000, 2000, 0, 0, 800, 800, "400=200D400=", True), ("elsewhere", 0, 0, 1000, 2000, 0, 0, 800, 800, "100=200D700=", True), ("smaller", 0, 0, 1000, 2000, 0, 0, 950, 950, "400=50D550=", True),
+        ("second", 0, 0, 1000, 2000, 1, 0, 790, 790, "390=10D10=200D390=", True), ("unknown", 0, 0, 1000, 2000, 0, 0, 800, 800, None, True),
+    ]
+    breaks = spark.createDataFrame([(7, 0, 1399, 1400, 0, 0, 1600, 1601, 1), (8, 0, 1399, 1400, 1, 0, 1600, 1601, 0)], BREAKS)
+    segments = _segments(spark, rows)
+    assert sorted((x["cluster"], x["qname"], x["at"]) for x in trim.breakpoint_ranges(segments, breaks).collect()) == [(7, "inside", 399), (7, "second", 399)]
+    assert trim.breakpoint_ranges(segments.limit(0), breaks).count() == 0 and trim.breakpoint_ranges(segments, breaks.limit(0)).count() == 0
+
+
+def test_one_piece_of_each_read(spark):
+    ranges = spark.createDataFrame(
+        [(1, "a", 0, 5, 0, False, 1000, 500), (1, "a", 1, 5, 0, True, 1000, 600), (1, "a", 2, 5, 0, True, 1000, 900), (2, "a", 2, 5, 0, True, 1000, 900), (2, "a", 2, 5, 0, True, 1000, 900)],
+        "cluster long, qname string, seg long, pos long, strand long, is_primary boolean, read_length long, at long",
+    )
+    found = trim.ordered_breakpoint_reads(ranges).orderBy("cluster").collect()
+    assert [(x["cluster"], x["seg"], x["first"], x["last"], x["clip"], x["rank"]) for x in found] == [(1, 1, 300, 901, 0, 0), (2, 2, 600, 1000, -1, 0)]
