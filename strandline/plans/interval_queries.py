@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, prob
 from ..operators import gc, interval_join, sweep
+from ..session import shared_folder
+from ..sources import regions
 from .views import SEQUENCES_SQL, sequences, view, with_views
 
 BIN = 1000
@@ -31,6 +35,26 @@ def point_in_interval(spark: SparkSession, d: str) -> DataFrame:
     return interval_join.point_join(points, view(spark, d, "v_region")).select("qname", "seg", "region_id")
 
 
+#: One region of each chromosome (chrom, start, end).
+TARGETS = [(c, 20_000 * c, 20_000 * c + 15_000) for c in range(24)]
+
+
+def _indexed(spark: SparkSession, d: str) -> str:
+    """The reads as a table clustered by bin."""
+    path = f"{shared_folder(spark)}/reads-{uuid.uuid4().hex}"
+    regions.write_indexed(view(spark, d, "v_read"), path)
+    return path
+
+
+def region_reads(spark: SparkSession, d: str) -> DataFrame:
+    return regions.read_regions(spark, _indexed(spark, d), TARGETS).select("qname", "seg", "chrom", "start", "end", "mapq")
+
+
+def reads_of_regions(spark: SparkSession, d: str) -> DataFrame:
+    wanted = view(spark, d, "v_region").filter("value = 3")
+    return regions.reads_of_regions(spark, _indexed(spark, d), wanted, ["qname", "seg", "chrom", "start", "end"]).select("qname", "seg", "mapq")
+
+
 def _pair() -> list[Column]:
     return [F.col(c) for c in ("start1", "end1", "start2", "end2")]
 
@@ -206,6 +230,8 @@ _GC_SQL = """WITH """ + SEQUENCES_SQL + """, b AS (SELECT chrom, seq, unnest(gen
 _MEET = 'r.chrom = g.chrom AND r.start < g."end" AND g.start < r."end"'
 ORACLES = {
     "interval_overlaps": with_views("v_read", "v_region", body=f'SELECT qname, seg, region_id, greatest(r.start, g.start) AS shared_start, least(r."end", g."end") AS shared_end FROM v_read r JOIN v_region g ON {_MEET}'),
+    "region_reads": with_views("v_read", body='SELECT qname, seg, chrom, start, "end", mapq FROM v_read WHERE start < chrom * 20000 + 15000 AND "end" > chrom * 20000'),
+    "reads_of_regions": with_views("v_read", "v_region", body=f"SELECT qname, seg, mapq FROM v_read r WHERE EXISTS (SELECT 1 FROM v_region g WHERE g.value = 3 AND {_MEET})"),
     "interval_semi": with_views("v_read", "v_region", body=f"SELECT qname, seg FROM v_read r WHERE EXISTS (SELECT 1 FROM v_region g WHERE {_MEET})"),
     "interval_anti": with_views("v_read", "v_region", body=f"SELECT qname, seg FROM v_read r WHERE NOT EXISTS (SELECT 1 FROM v_region g WHERE {_MEET})"),
     "point_in_interval": with_views("v_read", "v_region", body='SELECT qname, seg, region_id FROM v_read r JOIN v_region g ON r.chrom = g.chrom AND r.start >= g.start AND r.start < g."end"'),
@@ -243,8 +269,7 @@ ORACLES = {
     "phred_scores": with_views("v_region", body="SELECT region_id, round(-10 * CASE WHEN region_id % 1000 = 0 THEN -307 ELSE log10((region_id % 1000) / 1000) END, 4) AS phred, round((2 * value + 3) / 20, 6) AS total, round((value + 3) / (3 * value + 6), 6) AS third, 2 AS best, round((2 * value + 3) / (3 * value + 6), 6) AS rest FROM v_region"),
 }
 QUERIES = {f.__name__: f for f in (
-    interval_overlaps, interval_semi, interval_anti, point_in_interval, range_distance, reciprocal_overlap, merged_range, expanded_range, strict_order, region_labels, region_tiles,
+    interval_overlaps, interval_semi, interval_anti, region_reads, reads_of_regions, point_in_interval, range_distance, reciprocal_overlap, merged_range, expanded_range, strict_order, region_labels, region_tiles,
     coverage_islands, expected_copies_majority, expected_copies_unanimous, depth_per_bin, excluded_bins, sliding_sums, regions_over_depth, merged_regions, subtracted_regions,
     gap_filled_regions, common_regions, gc_windows, gc_levels, gc_correction, scaled_depths, haploid_depth, state_bases, state_runs, phred_scores,
 )}
-#: The same query by the name it had when state_runs had a part of the axis.
