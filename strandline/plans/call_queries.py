@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..operators import genotype, hmm, matching, pools, records, sweep
-from .views import view, with_recursive, with_views
+from ..operators import allele_words, genotype, hmm, matching, pools, records, sweep
+from .views import BASES_SQL, bases, view, with_recursive, with_views
 
 BIN = 1000
 
@@ -321,7 +321,28 @@ _EMISSION_SQL = """, c AS (SELECT region_id AS bin, least(("end" - start) % 970
   e AS (SELECT bin, s, CASE WHEN f < 0.001 THEN a ELSE ln(f * exp(b) + (1 - f) * exp(a)) END AS v FROM q)
   SELECT bin, """ + ", ".join(f"round(max(v) FILTER (s = {i}), 6) AS s{i}" for i in range(6)) + " FROM e GROUP BY bin"
 
+#: A sequence, two deletions three bases apart and the first of them with bases inserted, in both dialects.
+_ALLELES = ("seq", "concat(substr(seq, 1, 200), substr(seq, 261))", "concat(substr(seq, 1, 203), substr(seq, 264))", "concat(substr(seq, 1, 200), 'GATTACA', substr(seq, 261))")
+
+
+def allele_support(spark: SparkSession, d: str) -> DataFrame:
+    """Four alleles of each document's bases, told apart by the words of reads cut from each around the variants, every other one turned."""
+    alleles = bases(spark, d).select(F.col("doc").alias("group"), F.posexplode(F.array(*[F.expr(a) for a in _ALLELES])).alias("allele", "seq"))
+    cut = alleles.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("seq", F.expr("substr(seq, 101 + 40 * i, 300)"))
+    reads = cut.select("group", (F.col("allele") * 10 + F.col("i")).alias("read"), F.when(F.col("i") % 2 == 1, variants.rev_comp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return allele_words.allele_support(reads, alleles)
+
+
 ORACLES = {
+    "allele_support": "WITH " + BASES_SQL + ", a AS (" + " UNION ALL ".join(f"SELECT doc AS grp, {i} AS allele, {a} AS seq FROM v_base" for i, a in enumerate(_ALLELES)) + """),
+        p AS (SELECT grp, allele * 10 + i AS read, i, substr(seq, 101 + 40 * i, 300) AS seq FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM a)),
+        s AS (SELECT grp, allele AS name, true AS is_allele, seq FROM a UNION ALL SELECT grp, read, false, CASE WHEN i % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END FROM p),
+        k AS (SELECT grp, name, is_allele, substr(seq, unnest(generate_series(1, length(seq) - 24)), 25) AS x FROM s),
+        w AS (SELECT DISTINCT grp, name, is_allele, least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS word FROM k),
+        t AS (SELECT grp, word FROM w WHERE is_allele GROUP BY ALL HAVING count(*) < 4),
+        m AS (SELECT grp, name AS read, word FROM w JOIN t USING (grp, word) WHERE NOT is_allele),
+        n AS (SELECT grp, read, count(*) AS told FROM m GROUP BY ALL)
+        SELECT m.grp AS "group", m.read, w.name AS allele, count(*) AS hits, n.told FROM m JOIN w ON w.is_allele AND w.grp = m.grp AND w.word = m.word JOIN n ON n.grp = m.grp AND n.read = m.read GROUP BY ALL""",
     "emission_table": with_views("v_region", body=_EMISSION_SQL),
     "copy_boundaries": with_views("v_read", body=_EDGES_SQL + "SELECT * FROM edges"),
     "boundary_clusters": with_views("v_read", body=_EDGES_SQL + ", d AS (SELECT DISTINCT chrom, kind, bin FROM edges), z AS (SELECT *, CASE WHEN bin - lag(bin) OVER w <= 5 THEN 0 ELSE 1 END AS n FROM d WINDOW w AS (PARTITION BY chrom, kind ORDER BY bin)), y AS (SELECT *, sum(n) OVER (PARTITION BY chrom, kind ORDER BY bin) AS k FROM z), x AS (SELECT chrom, kind, bin, min(bin) OVER w AS cluster, count(*) OVER w AS m FROM y WINDOW w AS (PARTITION BY chrom, kind, k)) SELECT chrom, kind, cluster, bin FROM x WHERE m > 1"),
@@ -384,6 +405,6 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     best_states, converged_states, synced_boundaries, emission_table, copy_boundaries, boundary_clusters, breakend_kinds, high_copies, copy_quality, genotype_likelihoods, joint_quality,
-    genotype_texts, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
+    genotype_texts, allele_support, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
     close_fit, inversions, inversion_conflicts, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
 )}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cigar, intervals, variants
-from ..operators import align, cluster, evidence, gc, genotype, hmm, interval_join, matching, pools, records, sweep, trim
+from ..operators import align, allele_words, cluster, evidence, gc, genotype, hmm, interval_join, matching, pools, records, sweep, trim
 from ..session import settle
 from ..settings import DiscoverSettings, JointCallSettings, SharedSettings
 from ..sources import sinks, text
@@ -23,6 +23,8 @@ OBSERVATION = ["sample", "chrom1", "start1", "end1", "dir1", "chrom2", "start2",
 SAMPLE_STEP, SEGMENT_STEP = 1 << 32, 1 << 40
 #: Bases that a read has on both sides of an end that it spans.
 BOTH_SIDES = 50
+#: Bases of reference on each side of a break whose words tell alleles apart, and the words that a read must show at least.
+ALLELE_FLANK, LEAST_TOLD = 100, 3
 #: Bases of reference on both sides of a region that contigs are aligned to.
 REFERENCE_FLANK = 3500
 
@@ -285,6 +287,53 @@ def allele_scores(best: DataFrame, support: DataFrame, used: DataFrame, numbered
     return found.select("sv", "sample", "qname", "condition", F.explode("_e").alias("e")).select("sv", "sample", "qname", "condition", "e.allele", "e.score", "e.other")
 
 
+def allele_sequences(best: DataFrame, numbered: DataFrame, reference: DataFrame, flank: int = ALLELE_FLANK) -> DataFrame:
+    """The alleles of each pool all of whose variants are exact: (group, allele, seq), several rows an allele. reference: chunks (chrom, start, seq).
+
+    Allele 0 is the reference at both ends of each variant; a variant's is its haplotype and 1: the reference on the sides that its ends
+    extend to, joined. A variant is exact if all its observations agree in both places and none shows inserted bases.
+    """
+    exact = (F.col("end1") - F.col("start1") == 1) & (F.col("end2") - F.col("start2") == 1) & (F.coalesce(F.col("insert_high"), F.lit(0)) == 0)
+    known = best.groupBy("pool").agg(F.bool_and(F.coalesce(exact, F.lit(False))).alias("_exact")).filter("_exact")
+    rows = best.join(known, "pool", "left_semi").join(numbered.select("sv", "haplotype"), "sv")
+    end = lambda i: F.struct(F.lit(i).alias("i"), F.col(f"chrom{i}").alias("chrom"), (F.col(f"start{i}") + 1).alias("at"), F.col(f"dir{i}").alias("dir"))
+    ends = rows.select("pool", "sv", "haplotype", F.explode(F.array(end(1), end(2))).alias("e")).select("pool", "sv", "haplotype", "e.*")
+    spans = ends.select(F.struct("pool", "sv", "haplotype", "i", "at", "dir").alias("id"), "chrom", F.greatest(F.lit(0), F.col("at") - flank).alias("start"), (F.col("at") + flank).alias("end"))
+    found = text.sequence_of(reference, spans).select("id.*", "seq").withColumn("_left", F.least(F.col("at"), F.lit(flank)).cast("int"))
+    whole = found.select(F.col("pool").alias("group"), F.lit(0).cast("long").alias("allele"), "seq")
+    side = F.when(F.col("dir") == variants.LEFT, F.substring(F.col("seq"), F.lit(1), F.col("_left"))).otherwise(F.substring(F.col("seq"), F.col("_left") + 1, F.length("seq")))
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c))).alias(f"_{c}{i}")
+    both = found.withColumn("side", side).groupBy("pool", "sv", "haplotype").agg(*[pick(c, i) for c in ("side", "dir") for i in (1, 2)])
+    joined = trim.derived_sequence(F.col("_side1"), F.col("_side2"), F.col("_dir1"), F.col("_dir2"), spacer="")
+    return whole.unionByName(both.select(F.col("pool").alias("group"), (F.col("haplotype") + 1).alias("allele"), joined.alias("seq")))
+
+
+def word_scores(best: DataFrame, numbered: DataFrame, used: DataFrame, reference: DataFrame, flank: int = ALLELE_FLANK) -> DataFrame:
+    """As ``allele_scores``, by what reads' own bases show: the share that each allele has in the words of a read that tell a pool's alleles apart.
+
+    used (sample, qname, chrom, start, end, cigar, seq; both null where unknown). A read speaks of the variants whose ends it comes near, if
+    it has LEAST_TOLD such words or more; only pools whose alleles are known exactly have rows.
+    """
+    alleles = settle(allele_sequences(best, numbered, reference, flank))
+    known = best.join(alleles.select(F.col("group").alias("pool")).distinct(), "pool", "left_semi")
+    ends = known.select("pool", "sv", F.explode(F.array(*[F.struct(F.col(f"chrom{i}").alias("chrom"), (F.col(f"start{i}") + 1 - flank).alias("start"), (F.col(f"start{i}") + 1 + flank).alias("end")) for i in (1, 2)])).alias("e")).select("pool", "sv", "e.*")
+    based = used.filter("cigar is not null and seq is not null").select("sample", F.xxhash64("qname").alias("qname"), "chrom", "start", "end", "cigar", "seq")
+    met = interval_join.interval_join(ends, based.withColumnRenamed("cigar", "_cigar")).withColumn("_runs", cigar.parse(F.col("_cigar")))
+    # the read's bases around the break: behind its last base before the break, or else before its first one behind it
+    at = F.col("start") + flank
+    before, behind = cigar.closest_read_position(F.col("_runs"), F.col("right_start"), at - 1), cigar.closest_read_position(F.col("_runs"), F.col("right_start"), at, False)
+    cut = F.coalesce(before + 1, behind)
+    first = F.greatest(F.lit(0), cut - flank)
+    piece = F.substring(F.col("seq"), (first + 1).cast("int"), (cut + flank - first).cast("int"))
+    near = settle(met.select("pool", "sv", "sample", "qname", piece.alias("seq")))
+    pieces = near.select(F.col("pool").alias("group"), F.struct("sample", "qname").alias("read"), "seq").distinct()
+    told = allele_words.allele_support(pieces, alleles).filter(F.col("told") >= LEAST_TOLD).select(F.col("group").alias("pool"), "read.*", F.col("allele").alias("_a"), (F.col("hits") / F.col("told")).alias("score"))
+    rows = near.select("pool", "sv", "sample", "qname").distinct().join(told, ["pool", "sample", "qname"]).join(numbered.select("sv", "haplotype"), "sv")
+    mine, none = F.col("_a") == F.col("haplotype") + 1, F.col("_a") == 0
+    allele = F.when(none, genotype.REF).when(mine, genotype.ALT).otherwise(genotype.OVERLAP)
+    return rows.select("sv", "sample", "qname", F.lit(0).alias("condition"), allele.alias("allele"), "score", F.when(~none & ~mine, F.col("_a") - 1).alias("other"))
+
+
 def with_guests(native: DataFrame, order: DataFrame, scores: DataFrame, allowed: DataFrame) -> DataFrame:
     """native (group, sample, haplotype, rank) with a second haplotype for the samples that have one and may have two: the one that their reads at
     the first of their own variants score highest, on average."""
@@ -306,13 +355,16 @@ def expected_ploidies(best: DataFrame, expected: DataFrame | None, settings: Joi
     return copies.withColumn("haploid", genotype.ploidy(F.col("copies"), settings.treat_single_copy_as_haploid) == 1)
 
 
-def joint_call(reads: DataFrame, stage: dict[str, DataFrame], settings: JointCallSettings = JointCallSettings(), expected: DataFrame | None = None) -> dict[str, DataFrame]:
+def joint_call(reads: DataFrame, stage: dict[str, DataFrame], settings: JointCallSettings = JointCallSettings(), expected: DataFrame | None = None, reference: DataFrame | None = None) -> dict[str, DataFrame]:
     """Variants over all samples, genotyped by what each read supports: calls, records, inversions; supporting_reads if asked for; with
     copy numbers cnvs, copy_segments, matches.
+
+    With reference chunks (chrom, start, seq) and reads that have seq, a read's own bases say which allele it has, where they tell.
     """
     members = settle(merged_variants(stage["clusters"], settings))
     best = settle(members.filter("cluster = sv").select("sv", "pool", "kind", "chrom1", "start1", "end1", "dir1", "chrom2", "start2", "end2", "dir2", "insert_high"))
-    used = settle(usable_reads(reads, settings).select("sample", "qname", "chrom", "start", "end"))
+    usable = usable_reads(reads, settings)
+    used = settle(usable.select("sample", "qname", "chrom", "start", "end"))
     # a sample's regions of too much depth leave its variants there unscored
     ends = best.select("sv", F.explode(F.array(*[F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start"), F.col(f"end{i}").alias("end")) for i in (1, 2)])).alias("e")).select("sv", "e.*")
     samples = F.explode(used.agg(F.sort_array(F.collect_set("sample"))).scalar()).alias("sample")  # one row names all samples
@@ -327,7 +379,11 @@ def joint_call(reads: DataFrame, stage: dict[str, DataFrame], settings: JointCal
     allowed = settle(allowed.select("group", samples, "ploidy"))
     placed_svs = numbered.select(F.col("pool").alias("group"), "sv", "haplotype")
     support = settle(supporting(best, members, stage.get("evidence"), settings.pool_margin))
-    scores = settle(allele_scores(best, support, used, numbered).join(deep, ["sv", "sample"], "left_anti"))
+    scores = allele_scores(best, support, used, numbered)
+    if reference is not None and "seq" in reads.columns:
+        shown = settle(word_scores(best, numbered, usable, reference))
+        scores = shown.unionByName(scores.join(shown.select("sv", "sample", "qname").distinct(), ["sv", "sample", "qname"], "left_anti"))
+    scores = settle(scores.join(deep, ["sv", "sample"], "left_anti"))
     # variants in order, then a second haplotype where one is missing, then the order anew
     native = settle(with_guests(native, genotype.sample_sv_order(placed_svs, native, allowed), scores, allowed))
     order = settle(genotype.sample_sv_order(placed_svs, native, allowed))
@@ -429,7 +485,7 @@ def run_discover(reads: DataFrame, folder: str, settings: DiscoverSettings = Dis
     sinks.write_run_stats(reads.sparkSession, folder, asdict(settings), found)
 
 
-def run_joint_call(reads: DataFrame, folders: str, output: str, contigs: DataFrame, settings: JointCallSettings = JointCallSettings(), expected: DataFrame | None = None) -> None:
+def run_joint_call(reads: DataFrame, folders: str, output: str, contigs: DataFrame, settings: JointCallSettings = JointCallSettings(), expected: DataFrame | None = None, reference: DataFrame | None = None) -> None:
     """``joint_call`` of a finished stage into Parquet tables, VCF text and, if asked for, supporting reads as JSON lines.
 
     contigs (chrom, name, length) name the chromosomes, one row each.
@@ -437,7 +493,7 @@ def run_joint_call(reads: DataFrame, folders: str, output: str, contigs: DataFra
     spark = reads.sparkSession
     sinks.check_folder(spark, output, settings.overwrite)
     stage = {name: sinks.read_stage(spark, folders, name) for name in sinks.stage_tables(spark, folders)}
-    found = joint_call(reads, stage, settings, expected)
+    found = joint_call(reads, stage, settings, expected, reference)
     sinks.write_stage(found, output, settings.overwrite)
     tables = {name: sinks.read_stage(spark, output, name) for name in found}
     mode = "overwrite" if settings.overwrite else "errorifexists"

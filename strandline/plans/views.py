@@ -83,3 +83,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEQUENCES_SQL = "v_seq AS (SELECT doc_id AS chrom, regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', 'N', 'g') AS seq FROM documents)"
+
+#: All letters of the documents as bases, other characters left out.
+_BASES = "regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', ''{flags})"
+BASES_SQL = f"v_base AS (SELECT CAST(doc_id AS BIGINT) AS doc, {_BASES.format(flags=", 'g'")} AS seq FROM documents)"
+
+
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("CAST(doc_id AS BIGINT) AS doc", f"{_BASES.format(flags='')} AS seq")
