@@ -186,6 +186,32 @@ def clip_read_edges(runs: Column, left: Column, right: Column) -> Column:
     return compress(F.concat(s(F.greatest(left, first)), kept, s(F.greatest(right, last))))
 
 
+def _clip_ref_start(runs: Column, least: Column) -> tuple[Column, Column]:
+    kind = "array<struct<op:string,len:bigint>>"
+    run = lambda op, n: F.struct(op.alias("op"), n.cast("long").alias("len"))
+    cut = lambda r: F.least(r["len"], F.greatest(least - r["ref"], F.lit(0)))
+
+    def part(r: Column) -> Column:
+        gap, whole = r["op"].isin("D", "N"), F.array(run(r["op"], r["len"])).cast(kind)
+        split = F.array(run(F.lit("S"), cut(r)), run(r["op"], r["len"] - cut(r))).cast(kind)
+        turned = F.array(run(F.lit("S"), r["len"])).cast(kind)
+        return F.when(gap & (r["ref"] <= least), F.array().cast(kind)).when((r["op"] == "I") & (r["ref"] < least), turned).when(r["op"].isin(*MATCH_OPS), split).otherwise(whole)
+
+    at = placed(runs, F.lit(0))
+    lost = F.aggregate(at, F.lit(0).cast("long"), lambda n, r: n + F.when(r["op"].isin("D", "N") & (r["ref"] <= least), r["len"]).when(r["op"].isin(*MATCH_OPS), cut(r)).otherwise(0))
+    return F.flatten(F.transform(at, part)), lost
+
+
+def clip_ref_edges(runs: Column, left: Column, right: Column) -> tuple[Column, Column]:
+    """The alignment without its first ``left`` and last ``right`` bases of reference at least, and by how many bases its start moves.
+
+    Matched bases and insertions that lie in what is cut become soft clips; deletions there, and one that would be an edge, go.
+    """
+    turned, _ = _clip_ref_start(F.reverse(runs), right)
+    kept, moved = _clip_ref_start(F.reverse(turned), left)
+    return compress(kept), moved
+
+
 def leading_soft(runs: Column) -> Column:
     return F.coalesce(F.when(F.try_element_at(runs, F.lit(1))["op"] == "S", F.try_element_at(runs, F.lit(1))["len"]), F.lit(0).cast("long"))
 

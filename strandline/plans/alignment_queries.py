@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar, variants
-from ..operators import cluster, evidence, pools, trim
-from .views import view, with_recursive, with_views
+from ..operators import cluster, evidence, pools, shifts, trim
+from .views import BASES_SQL, bases, view, with_recursive, with_views
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,26 @@ def indel_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.indel_evidence(view(spark, d, "v_cigar"))
 
 
+def clipped_edges(spark: SparkSession, d: str) -> DataFrame:
+    kept, moved = cigar.clip_ref_edges(F.col("runs"), F.col("qname") % 70, F.col("qname") % 55)
+    return _aligned(spark, d).select("qname", cigar.render(kept).alias("kept"), moved.alias("moved"))
+
+
+#: Bases with a stretch repeated in them, and indels of and around it, in both dialects.
+_REPEAT = "concat(substr(seq, 1, 300), repeat(substr(seq, 301, {n}), 40), substr(seq, 301))".format(n="CAST(7 + doc % 50 AS INT)")
+_INDEL = {"start": "CAST(250 + 60 * i AS BIGINT)", "end": "CAST(250 + 60 * i + (7 + doc % 50) * (i % 3) AS BIGINT)", "inserted": "CASE WHEN i % 3 = 0 OR i > 5 THEN substr(seq, CAST(251 + 60 * i AS INT), CAST(7 + doc % 50 AS INT)) ELSE '' END"}
+_CHUNK = 512
+
+
+def indel_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats of up to 2,280 bases, longer than a chunk; sequences too short for an indel have none there."""
+    seqs = bases(spark, d).filter("length(seq) >= 400").selectExpr("doc", f"{_REPEAT} AS seq")
+    indels = seqs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("doc * 8 + i AS id", "doc AS chrom", *[f"{e} AS `{n}`" for n, e in _INDEL.items()])
+    places = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / _CHUNK))).alias("k")
+    chunks = seqs.select(F.col("doc").alias("chrom"), "seq", places).select("chrom", (F.col("k") * _CHUNK).alias("start"), F.substring(F.col("seq"), (F.col("k") * _CHUNK + 1).cast("int"), F.lit(_CHUNK)).alias("seq"))
+    return shifts.indel_shifts(indels, chunks, _CHUNK)
+
+
 def clip_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.clip_evidence(view(spark, d, "v_cigar"))
 
@@ -213,6 +233,25 @@ ORACLES = {
     "rendered_runs": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, round(3 * q / (3 * q + x + 2), 6) AS identity, cigar AS rendered FROM n"),
     "covered_segments": with_views("v_cigar", body=_RUN_SQL + ', f AS (SELECT qname, pos AS start, CASE WHEN d >= 30 THEN pos + q + x ELSE pos + 3 * q + x + d END AS "end" FROM n UNION ALL SELECT qname, pos + q + x + d, pos + 3 * q + x + d FROM n WHERE d >= 30) SELECT * FROM f'),
     "indel_evidence": with_views("v_cigar", body=_RUN_SQL + 'SELECT qname, chrom, pos + q + x - 1 AS start, pos + q + x + d AS "end", 0 AS inserted FROM n WHERE d >= 25 UNION ALL SELECT qname, chrom, pos + 2 * q + x + d - 1, pos + 2 * q + x + d, i FROM n WHERE i >= 25'),
+    "clipped_edges": with_views("v_cigar", body=""", n AS (SELECT row_number() OVER () AS id, qname, regexp_extract_all(cigar, '(\\d+)([IDSX=])', 1) AS a, regexp_extract_all(cigar, '(\\d+)([IDSX=])', 2) AS o FROM v_cigar),
+        r AS (SELECT id, qname, i, CAST(a[i] AS BIGINT) AS n, o[i] AS op FROM (SELECT *, unnest(generate_series(1, len(o))) AS i FROM n)),
+        p AS (SELECT *, coalesce(sum(CASE WHEN op IN ('D', 'X', '=') THEN n END) OVER (PARTITION BY id ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ref, qname % 55 AS least FROM r),
+        q AS (SELECT id, qname, i, 0 AS j, op, n - greatest(0, least(n, least - ref)) AS n FROM p WHERE op IN ('X', '=') UNION ALL SELECT id, qname, i, 1, 'S', greatest(0, least(n, least - ref)) FROM p WHERE op IN ('X', '=')
+          UNION ALL SELECT id, qname, i, 0, CASE WHEN op = 'I' AND ref < least THEN 'S' ELSE op END, n FROM p WHERE op IN ('I', 'S') OR (op = 'D' AND ref > least)),
+        s AS (SELECT *, coalesce(sum(CASE WHEN op IN ('D', 'X', '=') THEN n END) OVER (PARTITION BY id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ref, qname % 70 AS least FROM q),
+        t AS (SELECT id, qname, i, j, 1 AS k, op, n - greatest(0, least(n, least - ref)) AS n FROM s WHERE op IN ('X', '=') UNION ALL SELECT id, qname, i, j, 0, 'S', greatest(0, least(n, least - ref)) FROM s WHERE op IN ('X', '=')
+          UNION ALL SELECT id, qname, i, j, 0, CASE WHEN op = 'I' AND ref < least THEN 'S' ELSE op END, n FROM s WHERE op IN ('I', 'S') OR (op = 'D' AND ref > least)),
+        m AS (SELECT id, CAST(sum(CASE WHEN op = 'D' AND ref <= least THEN n WHEN op IN ('X', '=') THEN greatest(0, least(n, least - ref)) ELSE 0 END) AS BIGINT) AS moved FROM s GROUP BY id),
+        u AS (SELECT *, CASE WHEN lag(op) OVER (PARTITION BY id ORDER BY i, j, k) = op THEN 0 ELSE 1 END AS new FROM t WHERE n > 0),
+        v AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i, j, k) AS run FROM u),
+        w AS (SELECT id, qname, run, CAST(sum(n) AS BIGINT) || min(op) AS x FROM v GROUP BY ALL)
+        SELECT qname, string_agg(x, '' ORDER BY run) AS kept, min(moved) AS moved FROM w JOIN m USING (id) GROUP BY id, qname"""),
+    "indel_shifts": "WITH " + BASES_SQL + f""", s AS (SELECT doc, {_REPEAT} AS seq FROM v_base WHERE length(seq) >= 400),
+        n AS (SELECT doc * 8 + i AS id, seq, {_INDEL["start"]} AS a, {_INDEL["end"]} AS b, {_INDEL["inserted"]} AS ins FROM (SELECT *, unnest(generate_series(0, 7)) AS i FROM s)),
+        t AS (SELECT id, ins = substr(seq, a + 1, b - a) AS idle, substr(seq, a + 1) AS x1, ins || substr(seq, b + 1) AS y1, reverse(substr(seq, 1, b)) AS x0, reverse(substr(seq, 1, a) || ins) AS y0 FROM n),
+        k AS (SELECT id, idle, way, x, y, unnest(generate_series(1, least(length(x), length(y)) + 1)) AS k FROM (SELECT id, idle, 0 AS way, x0 AS x, y0 AS y FROM t UNION ALL SELECT id, idle, 1, x1, y1 FROM t)),
+        f AS (SELECT id, way, CASE WHEN any_value(idle) THEN 0 ELSE min(k) FILTER (k > least(length(x), length(y)) OR substr(x, k, 1) <> substr(y, k, 1)) - 1 END AS n FROM k GROUP BY ALL)
+        SELECT id, CAST(max(n) FILTER (way = 0) AS BIGINT) AS "left", CAST(max(n) FILTER (way = 1) AS BIGINT) AS "right" FROM f GROUP BY id""",
     "clip_evidence": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, chrom, pos + 3 * q + x + d - 1 AS pos, 0 AS dir, s AS clipped FROM n WHERE s >= 500"),
     "closest_position": with_views("v_cigar", body=_RUN_SQL + """SELECT qname, CASE WHEN t < q + x THEN t WHEN t < q + x + d THEN q + x - 1 WHEN t < 2 * q + x + d THEN t - d WHEN t < 3 * q + x + d THEN t - d + i ELSE 3 * q + x + i - 1 END AS at_most,
         CASE WHEN t < q + x THEN t WHEN t < q + x + d THEN q + x WHEN t < 2 * q + x + d THEN t - d WHEN t < 3 * q + x + d THEN t - d + i END AS at_least FROM (SELECT *, qname % 90 AS t FROM n)"""),
@@ -273,7 +312,7 @@ ORACLES = {
     "cluster_groups": with_views("v_bpo", body="SELECT start1 AS cluster, count(DISTINCT evidence) AS haplotypes, string_agg(CAST(obs AS VARCHAR), ',' ORDER BY obs) AS members FROM v_bpo GROUP BY start1"),
 }
 QUERIES = {f.__name__: f for f in (
-    cigar_offsets, gap_identity, rendered_runs, covered_segments, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, breakpoint_reads, read_neighbours, breakpoint_distance,
+    cigar_offsets, gap_identity, rendered_runs, covered_segments, clipped_edges, indel_shifts, indel_evidence, clip_evidence, closest_position, sam_bins, usable_reads, split_junctions, split_segments, breakpoint_reads, read_neighbours, breakpoint_distance,
     breakpoint_clusters, evidence_counts, assembly_regions, consolidated_regions, standard_breakpoints, breakpoint_types, breakpoint_sizes, neighbour_pairs, large_insertions, insertions_off_indels,
     redundant_duplications, candidate_pools, merged_duplicates, close_duplicates, merge_stats, remapped_links, cluster_groups,
 )}
