@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import variants
-from ..operators import allele_words, genotype, hmm, matching, pools, records, sweep
+from ..operators import allele_words, genotype, hmm, matching, pools, records, sv_groups, sweep
 from .views import BASES_SQL, bases, view, with_recursive, with_views
 
 BIN = 1000
@@ -333,7 +333,59 @@ def allele_support(spark: SparkSession, d: str) -> DataFrame:
     return allele_words.allele_support(reads, alleles)
 
 
+def _groups(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Groups of up to ten variants and three samples; a part of them breaks each rule."""
+    r = view(spark, d, "v_region").withColumn("group", F.floor(F.col("region_id") / 10).cast("long"))
+    sample = (F.col("region_id") % 3).alias("sample")
+    group = {
+        "regions": r.filter("region_id % 10 < 1 or (region_id % 10 = 1 and group % 4 = 0)").filter("group % 37 <> 5").select("group"),
+        "haplotypes": r.filter("region_id % 10 < 4").select("group", (F.col("region_id") % 10).alias("haplotype"), F.when(F.col("group") % 4 == 0, 2).otherwise(1 + F.when(F.col("region_id") % 41 == 0, 1).otherwise(0)).alias("alignments")),
+        "variants": r.filter("region_id % 10 = 0 or (group % 4 <> 0 and value > 2) or region_id % 29 = 0").select("group", F.col("region_id").alias("sv"), (F.col("region_id") % 10 % 5).alias("haplotype")),
+        "lists": r.filter("region_id % 10 < 5 and value <> 4").select("group", sample, F.col("region_id").alias("place"), (F.floor(F.col("start") / 7) % 4 + F.when(F.col("region_id") % 31 == 0, 2).otherwise(0)).cast("long").alias("haplotype")),
+        "copies": r.filter("region_id % 10 < 3 and region_id % 43 <> 0").select("group", sample, (1 + F.col("value") % 2).alias("copies")),
+    }
+    return group, spark.range(3).withColumnRenamed("id", "sample")
+
+
+def group_violations(spark: SparkSession, d: str) -> DataFrame:
+    return sv_groups.violations(*_groups(spark, d), treat_single_copy_as_haploid=True)
+
+
+def sample_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The haplotypes that each sample's ploidy allows, and the variants on them, as text."""
+    group, samples = _groups(spark, d)
+    found = sv_groups.sample_variants(sv_groups.over_samples(group["lists"], group["copies"], True), group["variants"], samples)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("group", "sample", text("haplotypes"), text("variants"))
+
+
+_GROUPS_SQL = """, r AS (SELECT *, region_id // 10 AS g, region_id % 10 AS k, region_id % 3 AS sample FROM v_region),
+        regions AS (SELECT g FROM r WHERE (k < 1 OR (k = 1 AND g % 4 = 0)) AND g % 37 <> 5),
+        haplotypes AS (SELECT g, k AS haplotype, CASE WHEN g % 4 = 0 THEN 2 WHEN region_id % 41 = 0 THEN 2 ELSE 1 END AS alignments FROM r WHERE k < 4),
+        variants AS (SELECT g, region_id AS sv, k % 5 AS haplotype FROM r WHERE k = 0 OR (g % 4 <> 0 AND value > 2) OR region_id % 29 = 0),
+        lists AS (SELECT g, sample, region_id AS place, (start // 7) % 4 + CASE WHEN region_id % 31 = 0 THEN 2 ELSE 0 END AS haplotype FROM r WHERE k < 5 AND value <> 4),
+        copies AS (SELECT g, sample, 1 + value % 2 AS copies FROM r WHERE k < 3 AND region_id % 43 <> 0),
+        ploidy AS (SELECT g, sample, CASE WHEN max(copies) = 1 THEN 1 ELSE 2 END AS p FROM copies GROUP BY ALL) """
+
+
 ORACLES = {
+    "group_violations": with_views("v_region", body=_GROUPS_SQL + """, e AS (SELECT DISTINCT g, (SELECT count(*) FROM regions x WHERE x.g = r.g) AS regions, (SELECT count(*) FROM variants x WHERE x.g = r.g) AS svs FROM r
+            WHERE g IN (SELECT g FROM regions UNION SELECT g FROM haplotypes UNION SELECT g FROM variants UNION SELECT g FROM lists UNION SELECT g FROM copies)),
+        w AS (SELECT g, 'no region' AS rule FROM e WHERE regions = 0
+          UNION ALL SELECT g, 'alignments of a haplotype' FROM haplotypes JOIN e USING (g) WHERE alignments <> CASE WHEN regions = 1 THEN 1 ELSE 2 END
+          UNION ALL SELECT g, 'copies of a sample' FROM e WHERE (SELECT count(*) FROM copies x WHERE x.g = e.g) <> 3 OR (SELECT count(DISTINCT sample) FROM copies x WHERE x.g = e.g) <> 3
+          UNION ALL SELECT g, 'unknown haplotype of a sample' FROM lists l WHERE NOT EXISTS (SELECT 1 FROM haplotypes h WHERE h.g = l.g AND h.haplotype = l.haplotype)
+          UNION ALL SELECT g, 'repeated haplotype of a sample' FROM (SELECT g FROM lists GROUP BY g, sample, haplotype HAVING count(*) > 1)
+          UNION ALL SELECT g, 'more haplotypes than ploidy' FROM (SELECT g, sample, count(*) AS n FROM lists GROUP BY ALL) LEFT JOIN ploidy USING (g, sample) WHERE n > coalesce(p, 2)
+          UNION ALL SELECT g, 'unknown haplotype of a variant' FROM variants l WHERE NOT EXISTS (SELECT 1 FROM haplotypes h WHERE h.g = l.g AND h.haplotype = l.haplotype)
+          UNION ALL SELECT g, 'variants of a group of two regions' FROM e WHERE regions > 1 AND svs <> 1)
+        SELECT g AS "group", rule, count(*) AS n FROM w GROUP BY ALL"""),
+    "sample_variants": with_views("v_region", body=_GROUPS_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY g, sample ORDER BY place, haplotype) AS i FROM lists),
+        t AS (SELECT g, sample, place, haplotype FROM n LEFT JOIN ploidy USING (g, sample) WHERE i <= coalesce(p, 2)),
+        h AS (SELECT g, sample, string_agg(haplotype, ',' ORDER BY place) AS haplotypes FROM t GROUP BY ALL),
+        v AS (SELECT g, sample, string_agg(sv, ',' ORDER BY place, sv) AS variants FROM t JOIN variants USING (g, haplotype) GROUP BY ALL),
+        x AS (SELECT DISTINCT g, unnest([0, 1, 2]) AS sample FROM variants)
+        SELECT g AS "group", CAST(sample AS BIGINT) AS sample, coalesce(haplotypes, '') AS haplotypes, coalesce(variants, '') AS variants FROM x LEFT JOIN h USING (g, sample) LEFT JOIN v USING (g, sample)"""),
     "allele_support": "WITH " + BASES_SQL + ", a AS (" + " UNION ALL ".join(f"SELECT doc AS grp, {i} AS allele, {a} AS seq FROM v_base" for i, a in enumerate(_ALLELES)) + """),
         p AS (SELECT grp, allele * 10 + i AS read, i, substr(seq, 101 + 40 * i, 300) AS seq FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM a)),
         s AS (SELECT grp, allele AS name, true AS is_allele, seq FROM a UNION ALL SELECT grp, read, false, CASE WHEN i % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END FROM p),
@@ -405,6 +457,6 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     best_states, converged_states, synced_boundaries, emission_table, copy_boundaries, boundary_clusters, breakend_kinds, high_copies, copy_quality, genotype_likelihoods, joint_quality,
-    genotype_texts, allele_support, best_alleles, allele_counts, sample_sv_order, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
+    genotype_texts, allele_support, best_alleles, allele_counts, sample_sv_order, group_violations, sample_variants, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
     close_fit, inversions, inversion_conflicts, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
 )}
