@@ -13,7 +13,7 @@ from . import sweep
 from .groups import per_group
 from .interval_join import point_join
 
-POOL_MARGIN, CLOSE, SIZE_RATIO = 100, 10, 0.01
+POOL_MARGIN, CLOSE, SIZE_RATIO, SHARED = 100, 10, 0.01, 0.5
 #: What a deletion counts for in a variant's size, at most, and what stands in for it in other variants.
 MOST_DELETED, NO_DELETION = 500, 100
 
@@ -52,13 +52,21 @@ def merge_size(inserted: Column, deleted: Column) -> Column:
     return F.coalesce(inserted, F.lit(0)) + F.least(F.coalesce(deleted, F.lit(NO_DELETION)), F.lit(MOST_DELETED))
 
 
-def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO) -> DataFrame:
+def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO, shared: float = SHARED) -> DataFrame:
     """Members of a pool with close ends and nearly equal sizes merge greedily; members of one sample never do.
 
     pooled (pool, id, sample, start, end, size, reads, contig_length): (id, merged_id). In order, each member joins the first of those
     before it that head a group, are close to it and whose group lacks its sample; else it heads one. A pool is read as a stream: only heads
     that a later member can still join are held, by their ends, with the names of their members.
+
+    With a column ``words`` (``allele_words.novel_words`` of a member's contig; null without a contig) a member must also share that part of the
+    smaller one of its and the head's words, so that equal places with other inserted bases stay apart.
     """
+    named = "words" in pooled.columns
+
+    def alike(head: dict, words: frozenset | None) -> bool:
+        own = head["words"]
+        return own is None or words is None or len(own & words) >= shared * min(len(own), len(words))
 
     def merge(pool: Iterable[dict]) -> Iterator[tuple]:
         heads: dict[int, list[dict]] = {}  # by stretch of the end, each in order
@@ -78,14 +86,15 @@ def merge_close(pooled: DataFrame, close: int = CLOSE, ratio: float = SIZE_RATIO
             at = r["end"] // (close + 1)
             near = (h for k in (at - 1, at, at + 1) for h in heads.get(k, ()))
             fits = [h for h in near if r["sample"] not in h["samples"] and abs(h["end"] - r["end"]) <= close and 2 * abs(h["size"] - r["size"]) <= ratio * (h["size"] + r["size"])]
-            if fits:
-                head = min(fits, key=lambda h: h["number"])
+            words = frozenset(r["words"]) if named and r["words"] is not None else None
+            head = next((h for h in sorted(fits, key=lambda h: h["number"]) if alike(h, words)), None)
+            if head is not None:
                 head["samples"].add(r["sample"])
                 head["members"].append(r["id"])
                 if (r["reads"], r["contig_length"]) > head["best"][:2]:
                     head["best"] = (r["reads"], r["contig_length"], r["id"])
             else:
-                head = {"start": r["start"], "end": r["end"], "size": r["size"], "samples": {r["sample"]}, "members": [r["id"]], "best": (r["reads"], r["contig_length"], r["id"]), "number": number, "at": at}
+                head = {"start": r["start"], "end": r["end"], "size": r["size"], "samples": {r["sample"]}, "members": [r["id"]], "best": (r["reads"], r["contig_length"], r["id"]), "number": number, "at": at, "words": words}
                 number += 1
                 heads.setdefault(at, []).append(head)
                 waiting.append(head)

@@ -333,6 +333,20 @@ def allele_support(spark: SparkSession, d: str) -> DataFrame:
     return allele_words.allele_support(reads, alleles)
 
 
+#: Inserted bases of three members at one place: the second one's are the first one's or others, the third one's overlap these more or less.
+_INSERTED = "substr(seq, CAST(CASE WHEN i = 0 THEN 1 WHEN i = 1 THEN 1 + doc % 2 * 120 ELSE 1 + doc % 8 * 20 END AS INT), 60)"
+
+
+def merged_by_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Members with equal places and sizes merge by the words that they add to the reference."""
+    each = bases(spark, d).filter("length(seq) >= 700").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).withColumn("id", F.col("doc") * 3 + F.col("i"))
+    contigs = each.select("id", F.expr(f"concat(substr(seq, 401, 150), {_INSERTED}, substr(seq, 551, 150))").alias("seq"))
+    told = allele_words.novel_words(contigs, each.select("id", F.expr("substr(seq, 401, 300)").alias("seq")))
+    place = {"start": 550, "end": 551, "size": 160, "contig_length": 360}
+    pooled = each.select(F.col("doc").alias("pool"), "id", F.col("i").alias("sample"), F.col("i").alias("reads"), *[F.lit(v).cast("long").alias(n) for n, v in place.items()])
+    return pools.merge_close(pooled.join(told, "id"))
+
+
 def _groups(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """Groups of up to ten variants and three samples; a part of them breaks each rule."""
     r = view(spark, d, "v_region").withColumn("group", F.floor(F.col("region_id") / 10).cast("long"))
@@ -369,6 +383,14 @@ _GROUPS_SQL = """, r AS (SELECT *, region_id // 10 AS g, region_id % 10 AS k, re
 
 
 ORACLES = {
+    "merged_by_sequence": "WITH " + BASES_SQL + f""", e AS (SELECT doc, i, substr(seq, 401, 300) AS ref, concat(substr(seq, 401, 150), {_INSERTED}, substr(seq, 551, 150)) AS contig FROM (SELECT doc, seq, unnest([0, 1, 2]) AS i FROM v_base WHERE length(seq) >= 700)),
+        k AS (SELECT doc, i, true AS mine, substr(contig, unnest(generate_series(1, length(contig) - 24)), 25) AS x FROM e UNION ALL SELECT doc, i, false, substr(ref, unnest(generate_series(1, length(ref) - 24)), 25) FROM e),
+        w AS (SELECT doc, i, least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS word, bool_and(mine) AS novel FROM k GROUP BY ALL),
+        n AS (SELECT e.doc, e.i, list(word) FILTER (novel) AS words FROM e JOIN w ON w.doc = e.doc AND w.i = e.i GROUP BY ALL),
+        p AS (SELECT a.doc, a.i, b.i AS j, 2 * len(list_intersect(coalesce(a.words, []), coalesce(b.words, []))) >= least(len(coalesce(a.words, [])), len(coalesce(b.words, []))) AS alike FROM n a JOIN n b ON a.doc = b.doc AND a.i < b.i),
+        h AS (SELECT doc, bool_or(alike) FILTER (i = 0 AND j = 1) AS a01, bool_or(alike) FILTER (i = 0 AND j = 2) AS a02, bool_or(alike) FILTER (i = 1 AND j = 2) AS a12 FROM p GROUP BY doc),
+        g AS (SELECT doc, unnest([0, 1, 2]) AS i, unnest([0, CASE WHEN a01 THEN 0 ELSE 1 END, CASE WHEN a02 THEN 0 WHEN a12 AND NOT a01 THEN 1 ELSE 2 END]) AS head FROM h)
+        SELECT doc * 3 + i AS id, doc * 3 + max(i) OVER (PARTITION BY doc, head) AS merged_id FROM g""",
     "group_violations": with_views("v_region", body=_GROUPS_SQL + """, e AS (SELECT DISTINCT g, (SELECT count(*) FROM regions x WHERE x.g = r.g) AS regions, (SELECT count(*) FROM variants x WHERE x.g = r.g) AS svs FROM r
             WHERE g IN (SELECT g FROM regions UNION SELECT g FROM haplotypes UNION SELECT g FROM variants UNION SELECT g FROM lists UNION SELECT g FROM copies)),
         w AS (SELECT g, 'no region' AS rule FROM e WHERE regions = 0
@@ -457,6 +479,6 @@ ORACLES = {
 }
 QUERIES = {f.__name__: f for f in (
     best_states, converged_states, synced_boundaries, emission_table, copy_boundaries, boundary_clusters, breakend_kinds, high_copies, copy_quality, genotype_likelihoods, joint_quality,
-    genotype_texts, allele_support, best_alleles, allele_counts, sample_sv_order, group_violations, sample_variants, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
+    genotype_texts, allele_support, merged_by_sequence, best_alleles, allele_counts, sample_sv_order, group_violations, sample_variants, reserved_counts, guest_haplotypes, phase_sets, absorbed_overlaps, excluded_everywhere, resolved_replicates, top_supported, downsampled, one_per_read, sv_cnv_match, forced_breakends, power_boost,
     close_fit, inversions, inversion_conflicts, eligible_svs, deduped_records, ordered_records, merged_segments, accuracy_by_size, record_filters, breakend_strings, minor_fractions,
 )}

@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import allele_words, genotype
+from strandline.operators import allele_words, genotype, pools
 from strandline.plans import pipelines
 from strandline.settings import DiscoverSettings, JointCallSettings
 
@@ -117,3 +117,37 @@ def test_genotypes_follow_the_bases(spark):
         counts[name] = {r["sample"]: (r["gt"], r["ref"], r["alt"]) for r in calls.collect()}
     assert counts["bases"][0] == counts["none"][0] == (1, 8, 8)
     assert counts["bases"][1] == (2, 0, 8) and counts["none"][1][2] == 0
+
+
+def test_equal_places_with_other_inserts_stay_apart(spark):
+    """By brute force over members of many pools: order, samples, words of the smaller one, members without a contig."""
+    r = random.Random(9)
+    left, right, inserts = bases(80, 2), bases(80, 3), [bases(60, 10 + i) for i in range(3)]
+    inserts.append(inserts[0][:40] + bases(20, 20))
+    rows, contigs = [], []
+    for i in range(400):
+        kind = r.choice((0, 1, 2, 3, None))
+        rows.append((i // 10, i, r.randrange(6), 100 + r.randrange(3), 200 + r.randrange(30), 60, r.randrange(5), 220))
+        if kind is not None:
+            contigs.append((i, left + inserts[kind] + right))
+    df = spark.createDataFrame(rows, "pool long, id long, sample long, start long, end long, size long, reads long, contig_length long")
+    told = allele_words.novel_words(spark.createDataFrame(contigs, "id long, seq string"), spark.createDataFrame([(i, left + right) for i, _ in contigs], "id long, seq string"))
+    words = {x["id"]: set(x["words"]) for x in told.collect()}
+    assert all(len(w) in (84, 83, 82, 81) for w in words.values())
+    want = {}
+    for pool in range(40):
+        heads = []
+        for m in sorted((x for x in rows if x[0] == pool), key=lambda x: (x[3], x[4], x[2], x[1])):
+            for h in heads:
+                f, a, b = h[0], words.get(h[0][1]), words.get(m[1])
+                if m[2] not in {x[2] for x in h} and abs(f[4] - m[4]) <= 10 and abs(f[3] - m[3]) <= 10 and (a is None or b is None or 2 * len(a & b) >= min(len(a), len(b))):
+                    h.append(m)
+                    break
+            else:
+                heads.append([m])
+        for h in heads:
+            best = max(h, key=lambda x: (x[6], x[7], -h.index(x)))
+            want |= {x[1]: best[1] for x in h}
+    found = pools.merge_close(df.join(told, "id", "left")).collect()
+    assert {x["id"]: x["merged_id"] for x in found} == want
+    assert want != {x["id"]: x["merged_id"] for x in pools.merge_close(df).collect()}
