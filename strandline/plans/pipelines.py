@@ -497,7 +497,7 @@ def run_joint_call(reads: DataFrame, folders: str, output: str, contigs: DataFra
     sinks.write_stage(found, output, settings.overwrite)
     tables = {name: sinks.read_stage(spark, output, name) for name in found}
     mode = "overwrite" if settings.overwrite else "errorifexists"
-    sinks.joint_vcf(tables, contigs, settings.min_qual).write.mode(mode).option("compression", "gzip").text(f"{output}/vcf")
+    sinks.joint_vcf(tables, contigs, settings.min_qual, reference).write.mode(mode).option("compression", "gzip").text(f"{output}/vcf")
     if settings.report_supporting_reads:
         sinks.supporting_reads(tables["supporting_reads"]).write.mode(mode).option("compression", "gzip").text(f"{output}/supporting_reads_json")
     sinks.write_run_stats(spark, output, asdict(settings), tables)

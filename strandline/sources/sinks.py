@@ -47,7 +47,8 @@ VCF_FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 #: Header lines (fixed values).
 VCF_ALT = ("DEL,Deletion", "INS,Insertion", "DUP:TANDEM,Tandem duplication", "INV,Inversion", "CNV,Copy number variable region")
 VCF_INFO = (
-    "END,1,Integer,End position of the variant", "EVENT,A,String,ID of associated event", "EVENTTYPE,A,String,Type of associated event", "MATEID,A,String,ID of mate breakend",
+    "END,1,Integer,End position of the variant", "EVENT,A,String,ID of associated event", "EVENTTYPE,A,String,Type of associated event",
+    "HOMLEN,A,Integer,Length of homology at the breakpoints", "HOMSEQ,A,String,Bases of homology at the breakpoints", "MATEID,A,String,ID of mate breakend",
     "SVCLAIM,A,String,Claim made by the call: D (abundance) or J (adjacency) or DJ", "SVLEN,A,Integer,Length of structural variant", "SVTYPE,1,String,Type of structural variant",
 )
 VCF_FORMAT = (
@@ -82,10 +83,36 @@ def vcf_lines(records: DataFrame, samples: list[str], formats: dict[str, str], h
     return top.unionByName(body.select(F.lit(1).alias("_part"), "_order", F.col("pos").cast("long").alias("pos"), "id", "value")).orderBy("_part", "_order", "pos", "id").select("value")
 
 
-def joint_vcf(tables: dict[str, DataFrame], contigs: DataFrame, least_quality: int = 10) -> DataFrame:
+def _with_base(rows: DataFrame, reference: DataFrame | None, number: Column, pos: Column) -> DataFrame:
+    """Adds base: the reference's at ``pos`` (from 1), N where it isn't known."""
+    if reference is None:
+        return rows.withColumn("base", F.lit("N"))
+    from .text import sequence_of
+
+    placed = rows.withColumn("_place", F.struct(number.alias("chrom"), pos.alias("pos")))
+    spans = placed.select(F.col("_place").alias("id"), "_place.chrom", (F.col("_place.pos") - 1).alias("start"), F.col("_place.pos").alias("end")).filter("start >= 0").distinct()
+    found = sequence_of(reference, spans).select(F.col("id").alias("_place"), F.col("seq").alias("base"))
+    return placed.join(found, "_place", "left").withColumn("base", F.when(F.length("base") == 1, F.col("base")).otherwise("N")).drop("_place")
+
+
+def _with_homology(rows: DataFrame, reference: DataFrame | None) -> DataFrame:
+    """Adds homology: of deletions with a reference, the bases by which the place can move to the right; null for others."""
+    if reference is None:
+        return rows.withColumn("homology", F.lit(None).cast("string"))
+    from ..operators.shifts import indel_shifts
+    from .text import sequence_of
+
+    gone = rows.filter("kind = 'DEL' and chrom = mate_chrom and pos < end").select("id", "chrom", (F.col("pos") + 1).alias("start"), (F.col("end") + 1).alias("end"), F.lit("").alias("inserted"))
+    moved = gone.join(indel_shifts(gone, reference).filter("right > 0"), "id")
+    seqs = sequence_of(reference, moved.select("id", "chrom", "start", (F.col("start") + F.col("right")).alias("end"))).withColumnRenamed("seq", "homology")
+    return rows.join(seqs, "id", "left")
+
+
+def joint_vcf(tables: dict[str, DataFrame], contigs: DataFrame, least_quality: int = 10, reference: DataFrame | None = None) -> DataFrame:
     """The lines of a joint call's records, calls and copy-number variants. contigs (chrom, name, length), one row each.
 
-    A breakend pair is two lines that name each other. Without a reference at hand, REF is N. The columns are the samples in order.
+    A breakend pair is two lines that name each other. With reference chunks (chrom, start, seq), REF is the base there, deletions have
+    their homology to the right; else REF is N. The columns are the samples in order.
     """
     from ..functions import variants
 
@@ -99,25 +126,27 @@ def joint_vcf(tables: dict[str, DataFrame], contigs: DataFrame, least_quality: i
     by_sv = calls.groupBy(F.col("sv").cast("string").alias("call")).agg(*[_field(listed, c).alias(c) for c in formats])
     rows = tables["records"].withColumn("call", F.when(F.col("is_inversion"), F.element_at(F.split("id", ":"), 2)).otherwise(F.col("id"))).join(by_sv, "call")
     place = contigs.select(F.col("chrom"), F.col("name"))
-    rows = rows.join(place, "chrom").join(place.select(F.col("chrom").alias("mate_chrom"), F.col("name").alias("mate_name")), "mate_chrom")
+    rows = _with_homology(rows, reference).join(place, "chrom").join(place.select(F.col("chrom").alias("mate_chrom"), F.col("name").alias("mate_name")), "mate_chrom")
     pair = F.col("kind") == "BND"
     sides = F.when(pair, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     each = rows.withColumn("side", F.explode(sides))
     first = F.col("side") == 0
     here, there = F.when(first, F.col("dir1")).otherwise(F.col("dir2")), F.when(first, F.col("dir2")).otherwise(F.col("dir1"))
+    number = F.when(first, F.col("chrom")).otherwise(F.col("mate_chrom"))
+    pos = F.when(first, F.col("pos")).otherwise(F.col("end")) + 1 + F.when(pair & (here == variants.RIGHT), 1).otherwise(0)
+    each = _with_base(each, reference, number, pos)
     mate_pos = F.when(first, F.col("end")).otherwise(F.col("pos")) + 1 + F.when(there == variants.RIGHT, 1).otherwise(0)
     symbol = F.concat(F.lit("<"), F.when(F.col("kind") == "DUP", "DUP:TANDEM").otherwise(F.col("kind")), F.lit(">"))
-    alt = F.when(pair, variants.bnd_alt(here, there, F.lit("N"), F.lit(""), F.when(first, F.col("mate_name")).otherwise(F.col("name")), mate_pos)).otherwise(symbol)
+    alt = F.when(pair, variants.bnd_alt(here, there, F.col("base"), F.lit(""), F.when(first, F.col("mate_name")).otherwise(F.col("name")), mate_pos)).otherwise(symbol)
     ident = F.when(pair, F.concat_ws(":", "id", F.col("side"))).otherwise(F.col("id"))
-    pos = F.when(first, F.col("pos")).otherwise(F.col("end")) + 1 + F.when(pair & (here == variants.RIGHT), 1).otherwise(0)
     info = F.concat_ws(
         ";", F.concat(F.lit("SVTYPE="), "kind"), F.when(~pair, F.concat(F.lit("END="), (F.col("end") + 1).cast("string"))), F.when(~pair, F.concat(F.lit("SVLEN="), (F.col("end") - F.col("pos")).cast("string"))),
         F.when(pair, F.concat(F.lit("MATEID="), F.concat_ws(":", "id", F.lit(1) - F.col("side")))), F.when(F.col("event").isNotNull(), F.concat(F.lit("EVENT="), F.col("event"), F.lit(";EVENTTYPE=INV"))), F.concat(F.lit("SVCLAIM="), "claim"),
+        F.concat(F.lit("HOMLEN="), F.length("homology").cast("string"), F.lit(";HOMSEQ="), F.col("homology")),
     )
-    number = F.when(first, F.col("chrom")).otherwise(F.col("mate_chrom"))
-    lines = each.select(number.alias("_number"), F.when(first, F.col("name")).otherwise(F.col("mate_name")).alias("chrom"), pos.alias("pos"), ident.alias("id"), F.lit("N").alias("ref"), alt.alias("alt"), F.round("qual").cast("long").alias("qual"), "filter", info.alias("info"), *formats, F.array_repeat(F.lit(None).cast("string"), len(samples)).alias("cn"), F.array_repeat(F.lit(None).cast("string"), len(samples)).alias("cnq"))
+    lines = each.select(number.alias("_number"), F.when(first, F.col("name")).otherwise(F.col("mate_name")).alias("chrom"), pos.alias("pos"), ident.alias("id"), F.col("base").alias("ref"), alt.alias("alt"), F.round("qual").cast("long").alias("qual"), "filter", info.alias("info"), *formats, F.array_repeat(F.lit(None).cast("string"), len(samples)).alias("cn"), F.array_repeat(F.lit(None).cast("string"), len(samples)).alias("cnq"))
     if "cnvs" in tables:
-        lines = lines.unionByName(_cnv_lines(tables, place, samples))
+        lines = lines.unionByName(_cnv_lines(tables, place, samples, reference))
     return vcf_lines(lines, [str(s) for s in samples], {f.upper(): f for f in (*formats, "cn", "cnq")}, vcf_header(names, least_quality), order="_number")
 
 
@@ -125,7 +154,7 @@ def _field(entries: Column, name: str) -> Column:
     return F.transform(entries, lambda s: s[name].cast("string"))
 
 
-def _cnv_lines(tables: dict[str, DataFrame], place: DataFrame, samples: list) -> DataFrame:
+def _cnv_lines(tables: dict[str, DataFrame], place: DataFrame, samples: list, reference: DataFrame | None = None) -> DataFrame:
     """Copy-number variants: a sample without the segment has no values."""
     from ..functions import variants
 
@@ -133,12 +162,12 @@ def _cnv_lines(tables: dict[str, DataFrame], place: DataFrame, samples: list) ->
     entries = own.groupBy("cnv").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct("copies", "expected", "cnq", "high_copies").alias("v")))).alias("m"))
     names = F.array(*[F.lit(s) for s in samples])
     at = lambda f: F.transform(names, lambda s: f(F.try_element_at("m", s)))
-    rows = tables["cnvs"].join(entries, "cnv").join(place, "chrom")
+    rows = _with_base(tables["cnvs"].join(entries, "cnv").join(place, "chrom"), reference, F.col("chrom"), F.col("start") + 1)
     none = F.transform(names, lambda s: F.lit(None).cast("string"))
     kind = F.concat(F.lit("<"), F.when(F.col("type") == "DUP", "DUP:TANDEM").otherwise(F.col("type")), F.lit(">"))
     quality = F.array_max(at(lambda v: v["cnq"]))
     return rows.select(
-        F.col("chrom").alias("_number"), F.col("name").alias("chrom"), (F.col("start") + 1).alias("pos"), F.concat_ws(":", F.lit("CNV"), "cnv").alias("id"), F.lit("N").alias("ref"), kind.alias("alt"), quality.cast("long").alias("qual"), F.lit("PASS").alias("filter"),
+        F.col("chrom").alias("_number"), F.col("name").alias("chrom"), (F.col("start") + 1).alias("pos"), F.concat_ws(":", F.lit("CNV"), "cnv").alias("id"), F.col("base").alias("ref"), kind.alias("alt"), quality.cast("long").alias("qual"), F.lit("PASS").alias("filter"),
         F.concat(F.lit("SVTYPE=CNV;END="), F.col("end").cast("string"), F.lit(";SVLEN="), (F.col("end") - F.col("start")).cast("string"), F.lit(";SVCLAIM=D")).alias("info"),
         at(lambda v: variants.cnv_genotype(v["copies"], v["expected"] == 1)).alias("gt"), none.alias("gq"), none.alias("pl"), none.alias("ad"), none.alias("ps"), at(lambda v: F.coalesce(F.round(v["high_copies"], 1).cast("string"), v["copies"].cast("string"))).alias("cn"), at(lambda v: v["cnq"].cast("string")).alias("cnq"),
     )
