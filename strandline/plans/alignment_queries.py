@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, variants
 from ..operators import cluster, evidence, pools, shifts, trim
-from .views import BASES_SQL, bases, view, with_recursive, with_views
+from .views import bases, view, with_recursive, with_views
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -246,12 +246,6 @@ ORACLES = {
         v AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i, j, k) AS run FROM u),
         w AS (SELECT id, qname, run, CAST(sum(n) AS BIGINT) || min(op) AS x FROM v GROUP BY ALL)
         SELECT qname, string_agg(x, '' ORDER BY run) AS kept, min(moved) AS moved FROM w JOIN m USING (id) GROUP BY id, qname"""),
-    "indel_shifts": "WITH " + BASES_SQL + f""", s AS (SELECT doc, {_REPEAT} AS seq FROM v_base WHERE length(seq) >= 400),
-        n AS (SELECT doc * 8 + i AS id, seq, {_INDEL["start"]} AS a, {_INDEL["end"]} AS b, {_INDEL["inserted"]} AS ins FROM (SELECT *, unnest(generate_series(0, 7)) AS i FROM s)),
-        t AS (SELECT id, ins = substr(seq, a + 1, b - a) AS idle, substr(seq, a + 1) AS x1, ins || substr(seq, b + 1) AS y1, reverse(substr(seq, 1, b)) AS x0, reverse(substr(seq, 1, a) || ins) AS y0 FROM n),
-        k AS (SELECT id, idle, way, x, y, unnest(generate_series(1, least(length(x), length(y)) + 1)) AS k FROM (SELECT id, idle, 0 AS way, x0 AS x, y0 AS y FROM t UNION ALL SELECT id, idle, 1, x1, y1 FROM t)),
-        f AS (SELECT id, way, CASE WHEN any_value(idle) THEN 0 ELSE min(k) FILTER (k > least(length(x), length(y)) OR substr(x, k, 1) <> substr(y, k, 1)) - 1 END AS n FROM k GROUP BY ALL)
-        SELECT id, CAST(max(n) FILTER (way = 0) AS BIGINT) AS "left", CAST(max(n) FILTER (way = 1) AS BIGINT) AS "right" FROM f GROUP BY id""",
     "clip_evidence": with_views("v_cigar", body=_RUN_SQL + "SELECT qname, chrom, pos + 3 * q + x + d - 1 AS pos, 0 AS dir, s AS clipped FROM n WHERE s >= 500"),
     "closest_position": with_views("v_cigar", body=_RUN_SQL + """SELECT qname, CASE WHEN t < q + x THEN t WHEN t < q + x + d THEN q + x - 1 WHEN t < 2 * q + x + d THEN t - d WHEN t < 3 * q + x + d THEN t - d + i ELSE 3 * q + x + i - 1 END AS at_most,
         CASE WHEN t < q + x THEN t WHEN t < q + x + d THEN q + x WHEN t < 2 * q + x + d THEN t - d WHEN t < 3 * q + x + d THEN t - d + i END AS at_least FROM (SELECT *, qname % 90 AS t FROM n)"""),
