@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants
 from ..operators import allele_words, genotype, hmm, matching, pools, records, sv_groups, sweep
+from ..session import settle
 from .views import BASES_SQL, bases, view, with_recursive, with_views
 
 BIN = 1000
@@ -36,8 +37,8 @@ def converged_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synced_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    bins = segmentation_bins(spark, d)
-    return hmm.sync_boundaries(best_states(spark, d), bins, _haploid(spark), 5)
+    # bins and paths are read several times
+    return hmm.joint_segments(settle(segmentation_bins(spark, d)), _haploid(spark), 5)
 
 
 def emission_table(spark: SparkSession, d: str) -> DataFrame:
