@@ -21,10 +21,12 @@ FIRST_WINDOW, GROWTH, WIDEST_WINDOW = 64, 8, 1 << 15
 
 def common_start(x: Column, y: Column, most: int) -> Column:
     """How many first letters agree, up to ``most``, a power of two. N agrees with nothing."""
-    x, y = F.translate(x, "N", "-"), F.translate(y, "N", "+")
     steps = F.array(*[F.lit(most >> i) for i in range(most.bit_length())])
-    fits = lambda at, n: (at + n <= F.least(F.length(x), F.length(y))) & (F.substring(x, at + 1, n) == F.substring(y, at + 1, n))
-    return F.least(F.aggregate(steps, F.lit(0), lambda at, n: at + F.when(fits(at, n), n).otherwise(0)), F.lit(most))
+    fits = lambda p, at, n: (at + n <= p["size"]) & (F.substring(p["x"], at + 1, n) == F.substring(p["y"], at + 1, n))
+    count = lambda p: F.aggregate(steps, F.lit(0), lambda at, n: at + F.when(fits(p, at, n), n).otherwise(0))
+    # the texts are made once, as a value that the steps share, not anew in each step
+    pair = F.struct(F.translate(x, "N", "-").alias("x"), F.translate(y, "N", "+").alias("y"), F.least(F.length(x), F.length(y)).alias("size"))
+    return F.least(F.element_at(F.transform(F.array(pair), count), 1), F.lit(most))
 
 
 def indel_shifts(indels: DataFrame, chunks: DataFrame, chunk: int = 1_000_000) -> DataFrame:

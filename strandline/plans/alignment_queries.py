@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, variants
 from ..operators import cluster, evidence, pools, shifts, trim
+from ..session import settle, stored
 from .views import bases, view, with_recursive, with_views
 
 
@@ -51,9 +52,10 @@ def indel_shifts(spark: SparkSession, d: str) -> DataFrame:
     """Repeats of up to 2,280 bases, longer than a chunk; sequences too short for an indel have none there."""
     seqs = bases(spark, d).filter("length(seq) >= 400").selectExpr("doc", f"{_REPEAT} AS seq")
     indels = seqs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("doc * 8 + i AS id", "doc AS chrom", *[f"{e} AS `{n}`" for n, e in _INDEL.items()])
-    places = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / _CHUNK))).alias("k")
-    chunks = seqs.select(F.col("doc").alias("chrom"), "seq", places).select("chrom", (F.col("k") * _CHUNK).alias("start"), F.substring(F.col("seq"), (F.col("k") * _CHUNK + 1).cast("int"), F.lit(_CHUNK)).alias("seq"))
-    return shifts.indel_shifts(indels, chunks, _CHUNK)
+    # cut in one pass, not by a substring of the whole sequence for each chunk; each round of the shifts reads the chunks
+    pieces = seqs.select(F.col("doc").alias("chrom"), F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{_CHUNK}}}"), F.lit(0))).alias("k", "seq"))
+    chunks = stored(pieces.select("chrom", (F.col("k").cast("long") * _CHUNK).alias("start"), "seq"))
+    return shifts.indel_shifts(settle(indels), chunks, _CHUNK)
 
 
 def clip_evidence(spark: SparkSession, d: str) -> DataFrame:

@@ -59,3 +59,11 @@ def test_reference_clips(spark):
     kept, moved = cigar.clip_ref_edges(cigar.parse(F.col("text")), F.col("l"), F.col("r"))
     for x in df.withColumns({"kept": cigar.render(kept), "moved": moved}).collect():
         assert (x["kept"], x["moved"]) == (x["want"], x["by"]), x
+
+
+def test_texts_are_made_once(spark):
+    """The compared texts stood in each step of the comparison, four times."""
+    df = spark.createDataFrame([("ACGTN", "ACGTN", 4), ("ACG", "ACGT", 3), ("", "A", 0), ("CA", "GA", 0), ("A" * 9, "A" * 9, 8)], "x string, y string, n int")
+    found = df.select(shifts.common_start(F.col("x"), F.col("y"), 8).alias("same"), "n")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
+    assert all(r["same"] == r["n"] for r in found.collect())
