@@ -56,7 +56,8 @@ def best_alleles(scores: DataFrame) -> DataFrame:
         if name not in scores.columns:
             scores = scores.withColumn(name, value)
     of = lambda a: F.max(F.when(F.col("allele") == a, F.col("score")))
-    each = scores.groupBy("read", "condition").agg(of(REF).alias("r"), of(ALT).alias("a"), of(OVERLAP).alias("o"), F.bool_or(F.col("allele") == OVERLAP).alias("_o"), F.max("reserved").alias("reserved"), F.bool_and("alt_on_top").alias("alt_on_top"))
+    # dealt once, by the read, for both groupings
+    each = scores.repartition("read").groupBy("read", "condition").agg(of(REF).alias("r"), of(ALT).alias("a"), of(OVERLAP).alias("o"), F.bool_or(F.col("allele") == OVERLAP).alias("_o"), F.max("reserved").alias("reserved"), F.bool_and("alt_on_top").alias("alt_on_top"))
     entry = lambda allele, c: F.struct((-F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))).alias("down"), F.lit(allele).alias("allele"), F.col(c).alias("score"))
     ranked = F.sort_array(F.when(F.col("_o"), F.array(entry(REF, "r"), entry(ALT, "a"), entry(OVERLAP, "o"))).otherwise(F.array(entry(REF, "r"), entry(ALT, "a"))))
     each = each.withColumn("_s", ranked).withColumn("_1", F.col("_s")[0]).withColumn("_2", F.col("_s")[1])

@@ -75,6 +75,22 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("chrom
     return met.drop("_level", "_bucket", *[f"{m}{c}" for m in (LEFT, RIGHT) for c in ("own", "first")])
 
 
+def flat_join(left: DataFrame, right: DataFrame, by: Sequence[str] = ("chrom",), bucket: int = 1000, margin: int = 0) -> DataFrame:
+    """As ``interval_join``, for short left intervals and right ones that cover few buckets for each left row: there is one level.
+
+    A left row is written once for each bucket that it touches, mostly once, and isn't widened; the right ones are, and are written to all their buckets.
+    """
+    right = right.withColumnsRenamed({"start": "right_start", "end": "right_end"})
+    last = lambda end: F.floor((end - 1) / bucket).cast("long")
+    a = left.filter(F.col("start") - margin < F.col("end") + margin).withColumn(f"{LEFT}first", F.floor(F.col("start") / bucket).cast("long"))
+    a = a.withColumn("_bucket", F.explode(F.sequence(F.col(f"{LEFT}first"), last(F.greatest(F.col("end"), F.col("start") + 1)))))
+    b = right.filter("right_start < right_end").withColumn(f"{RIGHT}first", F.floor((F.col("right_start") - margin) / bucket).cast("long"))
+    b = b.withColumn("_bucket", F.explode(F.sequence(F.col(f"{RIGHT}first"), last(F.col("right_end") + margin))))
+    meet = intervals.overlaps(F.col("start") - margin, F.col("end") + margin, F.col("right_start"), F.col("right_end"))
+    met = a.drop(f"{LEFT}first").join(b, [*by, "_bucket"]).filter(meet & (F.col("_bucket") == F.greatest(F.floor(F.col("start") / bucket), f"{RIGHT}first")))
+    return met.drop("_bucket", f"{RIGHT}first")
+
+
 def _touching(left: DataFrame, right: DataFrame, by: Sequence[str], bucket: int, margin: int, key: Sequence[str]) -> DataFrame:
     spans = right.select(*by, "start", "end").distinct()
     return interval_join(left.select(*by, "start", "end", *[k for k in key if k not in (*by, "start", "end")]), spans, by, bucket, margin).select(*key).distinct()

@@ -256,7 +256,8 @@ def supporting(best: DataFrame, members: DataFrame, seen: DataFrame | None, marg
     place = ["chrom1", "dir1", "chrom2", "dir2"]
     spans = best.select("pool", "sv", *place, F.col("start1").alias("start"), F.col("end1").alias("end"), F.col("start2").alias("_vs"), F.col("end2").alias("_ve"))
     shown = seen.select(*place, F.col("start1").alias("start"), F.col("end1").alias("end"), "start2", "end2", "sample", "qname")
-    met = interval_join.interval_join(shown, spans, place, margin=margin)
+    # a cluster's first ends are a chain of observations, so that the variants' buckets are bounded by these, which are written once
+    met = interval_join.flat_join(shown, spans, place, margin=margin)
     second = intervals.distance(F.col("start2"), F.col("end2"), F.col("_vs"), F.col("_ve"))
     first = intervals.distance(F.col("start"), F.col("end"), F.col("right_start"), F.col("right_end"))
     near = met.filter(second <= margin).groupBy("pool", "sample", "qname").agg(F.min(F.struct((first + second).alias("gap"), "sv")).alias("_b"))
@@ -275,8 +276,8 @@ def allele_scores(best: DataFrame, support: DataFrame, used: DataFrame, numbered
     spans = used.select("chrom", (F.col("start") + BOTH_SIDES).alias("start"), (F.col("end") - BOTH_SIDES).alias("end"), "sample", F.xxhash64("qname").alias("qname"))
     spanning = interval_join.point_join(ends, spans).select("pool", "sv", "sample", "qname", "condition", F.lit(False).alias("mine"))
     told = spanning.unionByName(support.withColumn("condition", F.lit(0)).withColumn("mine", F.lit(True)))
-    # one row a read and variant: the ends it tells of, and whether it supports it
-    each = told.groupBy("pool", "sv", "sample", "qname").agg(F.collect_set("condition").alias("conditions"), F.bool_or("mine").alias("mine"))
+    # one row a read and variant: the ends it tells of, and whether it supports it; dealt by what they meet the other variants by
+    each = told.repartition("pool", "sample", "qname").groupBy("pool", "sv", "sample", "qname").agg(F.collect_set("condition").alias("conditions"), F.bool_or("mine").alias("mine"))
     shown = support.join(numbered.select("sv", "haplotype"), "sv").groupBy("pool", "sample", "qname").agg(F.collect_set(F.struct("sv", "haplotype")).alias("_all"))
     rows = each.join(shown, ["pool", "sample", "qname"], "left").withColumn("_others", F.filter(F.coalesce("_all", F.array()), lambda x: x["sv"] != F.col("sv")))
     entry = lambda allele, score, other: F.struct(F.lit(allele).alias("allele"), score.cast("double").alias("score"), other.cast("long").alias("other"))
