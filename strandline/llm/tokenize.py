@@ -11,13 +11,13 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import compress, repeat
+from itertools import compress, count, repeat
 from operator import is_
 
 import numpy as np
 
 PLAIN = re.compile(r"[ \n!-~¡-įı-ſ]*")
-#: Chunks kept per worker; then the cache starts anew. About 100 MB.
+#: Chunks kept per worker; then the cache starts anew. About 100 MB; twice as many where chunks keep their case and space.
 CACHE = 500_000
 _loaded: dict[tuple[str, bool], TextEncoder] = {}
 
@@ -32,7 +32,8 @@ _L, _N = _class("L"), _class("N")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED_WORDS = re.compile(rf"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 BARE_WORDS = re.compile(rf"{_ENDINGS}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-_SPACED, _BARE = re.compile(rf" [{_L}]+"), re.compile(rf"[{_L}]+")
+#: Letters alone, in a list of chunks joined by marks.
+_SPACED, _BARE = re.compile(rf"(?<![^\0]) [{_L}]+(?![^\0])"), re.compile(rf"(?<![^\0])[{_L}]+(?![^\0])")
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,6 +61,8 @@ class TextEncoder:
         #: In any case of letters: the library may look for an added token after it has lower-cased the text.
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         names = self.tokenizer.get_vocab()
+        #: The line feed's own id, which no word has.
+        self.line = names.get("Ċ") if keeps_space else None
         self.edge = np.zeros(max(names.values()) + 1, bool)
         self.edge[[i for name, i in names.items() if (name.startswith("Ġ") if keeps_space else name.endswith("</w>"))]] = True
 
@@ -86,11 +89,10 @@ class TextEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts the chunks, none of which is known, and the words in them into the cache."""
-        match = self.simple.fullmatch
-        simple = [c for c in chunks if match(c)]
+        simple = self.simple.findall("\0".join(chunks))
         cut = {c: self.words.findall(c) for c in chunks.difference(simple)}
         new = set().union(*cut.values()).difference(self.cache, simple)
-        simple += [w for w in new if match(w)]
+        simple += self.simple.findall("\0".join(new))
         if simple:  # as one text: the marks tell the words apart
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(simple) if self.keeps_space else " ".join(simple)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.edge[ids]) * 4
@@ -100,22 +102,35 @@ class TextEncoder:
             data = ids.tobytes()
             self.cache.update(zip(simple, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
         others = [w for w in new if w not in self.cache]
+        if self.line is not None:  # likewise, a line each; white space alone would join the line feeds
+            lines = [w for w in others if not w.isspace()]
+            others = [w for w in others if w.isspace()]
+            if lines:
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(ids == self.line) * 4
+                if len(ends) != len(lines) - 1:
+                    raise AssertionError("words and lines differ")
+                data = ids.tobytes()
+                self.cache.update(zip(lines, [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])]))
         self.cache.update(zip(others, self._library(others) if others else []))
         cache = self.cache
         for c, words in cut.items():
             if len(words) != 1:
                 cache[c] = b"".join([cache[w] for w in words])
 
+    def _most(self) -> int:
+        return 2 * CACHE if self.keeps_space else CACHE
+
     def _plain(self, chunks: list[str]) -> bytes:
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, chunks))
         except KeyError:
             new = set(chunks).difference(cache)
-            if len(cache) + len(new) > CACHE:
+            if len(cache) + len(new) > self._most():
                 cache.clear()
-                if len(new) > CACHE // 2:  # more than is kept: in stretches
-                    return b"".join([self._plain(chunks[i : i + CACHE // 2]) for i in range(0, len(chunks), CACHE // 2)])
+                if len(new) > self._most() // 2:  # more than is kept: in stretches
+                    return b"".join([self._plain(chunks[i : i + self._most() // 2]) for i in range(0, len(chunks), self._most() // 2)])
                 new = set(chunks)
             self._learn(new)
             return b"".join([cache[c] for c in chunks])
@@ -125,19 +140,20 @@ class TextEncoder:
         chunks = [self._chunks(t) if p else [] for t, p in zip(texts, plain)]
         get, missing = self.cache.get, set()
         found = [list(map(get, own)) for own in chunks]  # one look at the large cache for each chunk
-        short = [None in ids for ids in found]
-        for own, ids in compress(zip(chunks, found), short):
-            missing.update(compress(own, map(is_, ids, repeat(None))))
+        short = [list(compress(count(), map(is_, ids, repeat(None)))) for ids in found]
+        for own, places in zip(chunks, short):
+            missing.update([own[j] for j in places])
         rest = [i for i, p in enumerate(plain) if not p]
         whole = dict(zip(rest, self._library([texts[i] for i in rest]) if rest else []))
-        if len(self.cache) + len(missing) > CACHE:
+        if len(self.cache) + len(missing) > self._most():
             self.cache.clear()
             return [self._plain(own) if p else whole[i] for i, (own, p) in enumerate(zip(chunks, plain))]
         if missing:
             self._learn(missing)
         cache = self.cache
-        for i in compress(range(len(found)), short):
-            found[i] = [cache[c] if ids is None else ids for c, ids in zip(chunks[i], found[i])]
+        for own, ids, places in zip(chunks, found, short):
+            for j in places:
+                ids[j] = cache[own[j]]
         return [b"".join(ids) if p else whole[i] for i, (ids, p) in enumerate(zip(found, plain))]
 
 
