@@ -168,7 +168,7 @@ def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Ends of observations that share a position; their neighbours are the second ends of these."""
     # a position's observations are dealt together once; the ends and what they have seen are read from there
     at = ["chrom1", "start1", "end1", "dir2"]
-    b = stored(view(spark, d, "v_bpo").filter("obs % 3 <> 0").select(*at, "chrom2", "start2", "end2", F.min("obs").over(Window.partitionBy(*at)).alias("id")))
+    b = stored(view(spark, d, "v_bpo").select(*at, "chrom2", "start2", "end2", F.min("obs").over(Window.partitionBy(*at)).alias("id")))
     ends = b.select("id", F.col("chrom1").alias("chrom"), F.col("start1").alias("start"), F.col("end1").alias("end"), F.col("dir2").alias("dir")).distinct()
     seen = b.select("id", F.col("chrom2").alias("chrom"), F.col("start2").alias("start"), F.col("end2").alias("end"))
     return cluster.neighbour_pairs(ends.withColumn("is_indel", F.col("id") % 4 == 1), seen, 5000)
@@ -281,7 +281,7 @@ ORACLES = {
         SELECT obs, span, CASE WHEN dir1 = 0 AND d2 = 1 THEN span END AS deletion, CASE WHEN dir1 <> d2 THEN span END AS deldup, coalesce(dir1 = d2, false) AS same, end1 + evidence - start1 - 1 AS homology,
           start1 - inserted * 4000 < end1 AND start1 - inserted * 4000 >= CASE WHEN dir1 = 1 THEN -1 ELSE 0 END AND end1 <= 90000 - CASE WHEN dir1 = 1 THEN 1 ELSE 0 END AS valid,
           CASE WHEN obs % 5 = 0 THEN 4 WHEN obs % 3 = 0 THEN (2 * inserted + 7) // 2 ELSE 0 END AS inserted FROM p"""),
-    "neighbour_pairs": with_views("v_bpo", body=""", b AS (SELECT * FROM v_bpo WHERE obs % 3 <> 0), o AS (SELECT *, min(obs) OVER (PARTITION BY chrom1, start1, end1, dir2) AS id, count(*) OVER (PARTITION BY chrom1, start1, end1, dir2) AS n FROM b),
+    "neighbour_pairs": with_views("v_bpo", body=""", o AS (SELECT *, min(obs) OVER (PARTITION BY chrom1, start1, end1, dir2) AS id, count(*) OVER (PARTITION BY chrom1, start1, end1, dir2) AS n FROM v_bpo),
         e AS (SELECT DISTINCT id, chrom1 AS chrom, start1 AS s, end1 AS e, dir2 AS dir FROM o WHERE n >= 2),
         p AS (SELECT l.id, l.s AS ls, l.e AS le, n.id AS next_id, n.s AS ns, n.e AS ne FROM e l JOIN e n ON l.dir = 1 AND n.dir = 0 AND l.chrom = n.chrom AND (n.s > l.s OR (n.s = l.s AND n.e > l.e)) AND n.s - l.e <= 5000 AND NOT (l.id % 4 = 1 AND n.id % 4 = 1)),
         f AS (SELECT p.id, ls, le, next_id, ns, ne, avg(greatest(ns - o.end2, o.start2 - ne, 0)) AS fit FROM p JOIN o ON o.id = p.id GROUP BY ALL),
