@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
-from ..sources.text import sequence_of
+from ..session import stored
+from ..sources.text import joined_parts, parts_of
 
 FIRST_WINDOW, GROWTH, WIDEST_WINDOW = 64, 8, 1 << 15
 
@@ -39,7 +39,7 @@ def indel_shifts(indels: DataFrame, chunks: DataFrame, chunk: int = 1_000_000) -
     """
     named = indels.select("id", "chrom", "start", "end", F.coalesce(F.col("inserted"), F.lit("")).alias("inserted"))
     moves = named.filter("chrom is not null and start <= end and (start < end or inserted <> '')")
-    live = settle(moves.withColumn("way", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("at", F.lit(0).cast("long")))
+    live = stored(moves.withColumn("way", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("at", F.lit(0).cast("long")))
     c, window, done = F.col, FIRST_WINDOW, []
     size, right = F.length("inserted"), c("way") == 1
     while not live.isEmpty():
@@ -49,15 +49,16 @@ def indel_shifts(indels: DataFrame, chunks: DataFrame, chunk: int = 1_000_000) -
         old = span(0, F.when(right, c("start") + c("at")).otherwise(c("end") - c("at") - window), F.lit(window))
         new = span(1, F.when(right, c("end") + past).otherwise(c("start") - past - rest), rest)
         spans = live.select("id", "way", "chrom", F.explode(F.array(old, new)).alias("s")).filter("s.start < s.end")
-        read = sequence_of(chunks, spans.select(F.struct("id", "way", "s.which").alias("id"), "chrom", "s.start", "s.end"), chunk)
-        turned = F.when(c("way") == 1, c("seq")).otherwise(F.reverse("seq"))
-        pick = lambda i: F.coalesce(F.max(F.when(c("which") == i, turned)), F.lit(""))
-        both = read.select("id.*", "seq").groupBy("id", "way").agg(pick(0).alias("_x"), pick(1).alias("_y"))
+        # the bases are dealt once, by the indel and the way, for both texts
+        parts = parts_of(chunks, spans.select(F.struct("id", "way", "s.which").alias("id"), "chrom", "s.start", "s.end"), chunk)
+        pick = lambda i: joined_parts(F.when(c("id.which") == i, c("part")))
+        both = parts.groupBy(c("id.id").alias("id"), c("id.way").alias("way")).agg(pick(0).alias("_x"), pick(1).alias("_y"))
+        both = both.select("id", "way", *[F.when(right, c(n)).otherwise(F.reverse(n)).alias(n) for n in ("_x", "_y")])
         met = live.join(both, ["id", "way"], "left").fillna("", ["_x", "_y"])
         met = met.withColumn("_same", common_start(c("_x"), F.concat(own, c("_y")), window)).drop("_x", "_y")
         # an equal text in place of another of its length is no change
         idle = (size == c("end") - c("start")) & (c("at") + c("_same") >= size)
-        told = settle(met.withColumns({"_idle": idle, "at": c("at") + c("_same")}))
+        told = stored(met.withColumns({"_idle": idle, "at": c("at") + c("_same")}))
         over = c("_idle") | (c("_same") < window)
         done.append(told.filter(over).select("id", "way", F.when(c("_idle"), 0).otherwise(c("at")).cast("long").alias("n")))
         live = told.filter(~over).drop("_idle", "_same")

@@ -67,3 +67,15 @@ def test_texts_are_made_once(spark):
     found = df.select(shifts.common_start(F.col("x"), F.col("y"), 8).alias("same"), "n")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 2
     assert all(r["same"] == r["n"] for r in found.collect())
+
+
+def test_a_round_deals_bases_once(spark, monkeypatch):
+    """A round's texts were put together by each piece first and then, dealt again, by the indel."""
+    plans = []
+    real = shifts.stored
+    monkeypatch.setattr(shifts, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    chunks = spark.createDataFrame([("c", 0, "ACGT" * 200), ("c", 800, "TTAC" * 200)], "chrom string, start long, seq string")
+    indels = spark.createDataFrame([(1, "c", 40, 44, ""), (2, "c", 790, 790, "AC"), (3, "c", 803, 804, "")], "id long, chrom string, start long, end long, inserted string")
+    found = {r["id"]: (r["left"], r["right"]) for r in shifts.indel_shifts(indels, chunks, 800).collect()}
+    assert found[1] == (40, 756) and len(plans) > 2
+    assert all(p.count("Aggregate") == 2 for p in plans[1:])
